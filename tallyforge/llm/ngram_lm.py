@@ -25,8 +25,6 @@ the shortest is (c + 0.1) / (N + 0.1 (V + 1)).
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import elias_fano
+from . import arrays, elias_fano
 from .common import crc_mod, fresh_folder, mix_int, slices, utf8, word_hashes
 
 ORDER = 2
@@ -55,39 +53,6 @@ def _quantise(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs / STEP), 0, 255).astype(np.uint8)
 
 
-def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Each array as a file of the shared folder; a repeated task writes the same again."""
-    import pyarrow.fs as fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    for key, a in arrays.items():
-        # under a name of its own first, so that no reader sees half a file
-        own = f"{path}/.{name}.{key}.{os.getpid()}-{os.urandom(4).hex()}"
-        with store.open_output_stream(own) as out, pa.PythonFile(out, "w") as f:
-            np.lib.format.write_array(f, np.ascontiguousarray(a))
-        store.move(own, f"{path}/{name}.{key}.npy")
-
-
-def _load(folder: str, name: str, keys: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """The arrays, memory-mapped; a folder that isn't a mounted one is copied to this worker's own first."""
-    import pyarrow.fs as fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    if not isinstance(store, fs.LocalFileSystem):
-        own = _own_folder(folder)
-        for k in keys:
-            if not os.path.exists(f"{own}/{name}.{k}.npy"):
-                fs.copy_files(f"{path}/{name}.{k}.npy", f"{own}/{name}.{k}.npy", source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-        path = own
-    return {k: np.load(f"{path}/{name}.{k}.npy", mmap_mode="r") for k in keys}
-
-
-@lru_cache(maxsize=4)
-def _own_folder(folder: str) -> str:
-    return tempfile.mkdtemp(prefix="ngrams-")
-
-
 class Vocabulary:
     """The mapped shards of the words."""
 
@@ -96,7 +61,7 @@ class Vocabulary:
 
     @lru_cache(maxsize=None)  # noqa: B019 (lives as long as the worker's model)
     def shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        got = _load(self.folder, f"words-{k}", ("hash", "count"))
+        got = arrays.load(self.folder, f"words-{k}", ("hash", "count"))
         return got["hash"], got["count"]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +101,7 @@ class Level:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def shard(self, k: int):
-        got = _load(self.folder, f"level{self.n}-{k}", self.KEYS)
+        got = arrays.load(self.folder, f"level{self.n}-{k}", self.KEYS)
         part = lambda p: elias_fano.EliasFano({b: got[f"{p}_{b}"] for b in ("low", "words", "ones", "shape")})
         return part("pointer"), part("word"), got["prob"], got["backoff"], int(got["base"][0])
 
@@ -297,7 +262,7 @@ def _words(texts: DataFrame, folder: str, bits: int) -> list:
     def build(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys, counts = _merged(table)
-        _save(folder, f"words-{shard}", {"hash": keys.astype(np.uint64), "count": counts})
+        arrays.save(folder, f"words-{shard}", {"hash": keys.astype(np.uint64), "count": counts})
         return _made(shard, counts)
 
     cuts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
@@ -386,9 +351,9 @@ def _level(texts: DataFrame, model: Model, n: int, first: np.ndarray, inner: boo
             total = np.rint(MU * (10 ** -_backoffs(below, heads)[head] - 1)).astype(np.int64)
         prob = np.log10((counts + MU * 10**lower) / (np.maximum(total, counts) + MU))
         backoff = np.log10(MU / (counts + MU)) if inner else np.zeros(len(keys))
-        arrays = {f"pointer_{k}": a for k, a in elias_fano.build(pointer, len(keys) + 1).items()}
-        arrays |= {f"word_{k}": a for k, a in elias_fano.build(keys - base * size, (last + 1 - base) * size).items()}
-        _save(model.folder, f"level{n}-{shard}", arrays | {"prob": _quantise(prob), "backoff": _quantise(backoff), "base": np.array([base], np.int64)})
+        made = {f"pointer_{k}": a for k, a in elias_fano.build(pointer, len(keys) + 1).items()}
+        made |= {f"word_{k}": a for k, a in elias_fano.build(keys - base * size, (last + 1 - base) * size).items()}
+        arrays.save(model.folder, f"level{n}-{shard}", made | {"prob": _quantise(prob), "backoff": _quantise(backoff), "base": np.array([base], np.int64)})
         return _made(shard, counts)
 
     return _count(texts, keys_of, np.array(firsts, np.int64)).groupBy("shard").applyInArrow(build, MADE).orderBy("shard").collect()

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, slices, utf8
+from . import arrays
+from .common import checkpoint, fresh_folder, mix, slices, utf8
 from .suffix_sort import deep_shallow_sort
 
 LENGTH = 200
@@ -87,31 +88,52 @@ def _scan(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("h1", "h2", "raw").mapInArrow(run, "h1 long, h2 long, anchor long, place long")
 
 
-def _contexts(texts: DataFrame, length: int) -> DataFrame:
-    """For each place of a text's `spots`: the bytes before it, reversed, and those from it on, as far as a window reaches."""
+CONTEXT = "h1 long, h2 long, anchor long, place long, left binary, right binary"
+
+
+def _contexts(texts: DataFrame, length: int, folder: str, bits: int, present: tuple[int, ...], hot: bool) -> DataFrame:
+    """For each anchor of a text that occurs elsewhere: the bytes before it, reversed, and those from it on, as far as a window reaches.
+
+    Of the copies of a text that one task reads, the first is enough.
+    """
+    schema = pa.schema([*((c, pa.int64()) for c in ("h1", "h2", "anchor", "place")), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = arrays.sorted_shards(folder, bits, present, "hot")
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in slices(batch, "raw", 1 << 19):
-                out: dict[str, list] = {c: [] for c in ("h1", "h2", "anchor", "place", "hot", "left", "right")}
-                for h1, h2, raw, spots in zip(*(part.column(c).to_pylist() for c in ("h1", "h2", "raw", "spots")), strict=True):
-                    for s in spots:
-                        p = s["place"]
-                        out["h1"].append(h1)
-                        out["h2"].append(h2)
-                        out["anchor"].append(s["anchor"])
+            for part in slices(batch, "raw"):
+                data, at = utf8(part.column("raw"))
+                keys = list(zip(part.column("h1").to_pylist(), part.column("h2").to_pylist(), strict=True))
+                mine = []
+                for i, key in enumerate(keys):
+                    if key not in seen:
+                        seen.add(key)
+                        mine.append((i, *anchors(data[at[i] : at[i + 1]], length)))
+                if not mine:
+                    continue
+                kind = shared.find(np.concatenate([m[2] for m in mine]))
+                ends = np.cumsum([0, *(len(m[1]) for m in mine)])
+                out: dict[str, list] = {c: [] for c in schema.names}
+                for (i, place, anchor), a, b in zip(mine, ends[:-1], ends[1:], strict=True):
+                    take = kind[a:b] == int(hot)
+                    if not take.any():
+                        continue
+                    raw = data[at[i] : at[i + 1]].tobytes()
+                    for p, h in zip(place[take].tolist(), anchor[take].view(np.int64).tolist(), strict=True):
+                        out["h1"].append(keys[i][0])
+                        out["h2"].append(keys[i][1])
+                        out["anchor"].append(h)
                         out["place"].append(p)
-                        out["hot"].append(s["hot"])
                         out["left"].append(raw[max(0, p - length + GRAM) : p][::-1])
                         out["right"].append(raw[p : p + length])
-                        if len(out["h1"]) >= 4096:
-                            yield pa.RecordBatch.from_pydict(out, schema=schema)
-                            out = {c: [] for c in out}
+                    if len(out["h1"]) >= 4096:
+                        yield pa.RecordBatch.from_pydict(out, schema=schema)
+                        out = {c: [] for c in out}
                 if out["h1"]:
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("anchor", pa.int64()), ("place", pa.int64()), ("hot", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
-    return texts.mapInArrow(run, "h1 long, h2 long, anchor long, place long, hot boolean, left binary, right binary")
+    return texts.select("h1", "h2", "raw").mapInArrow(run, CONTEXT)
 
 
 def equal_windows(anchor: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
@@ -149,20 +171,34 @@ def _runs(matched: np.ndarray, length: int, place: np.ndarray) -> tuple[np.ndarr
     return who, place[who] - (high - 1), place[who] - low + length
 
 
-def repeated(rows: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """h1, h2, spans: the parts of texts (h1, h2, raw) that are covered by a window that occurs in another text or elsewhere in this one.
+def _shared_anchors(texts: DataFrame, length: int) -> tuple[str, int, tuple[int, ...], int, bool]:
+    """Writes the anchors that stand in two texts or at two places, in sorted shards: their folder, bits and shards, the occurrences, and whether any is hot.
 
-    rows may hold copies of a text, which change nothing; texts has one row of each.
+    Copies of a text give the same (text, place) and don't make an anchor
+    shared. Each task adds up its own rows first, so that a frequent anchor
+    sends one row from each; only the shards' names and sizes come back.
     """
-    found = checkpoint(_scan(rows, length))
-    one = F.struct("h1", "h2", "place")
-    # copies of a text give the same rows: an anchor counts if it stands in two texts or at two places
-    # each task adds up its own rows first, so a frequent anchor sends one row from each
-    shared = found.groupBy("anchor").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.count("*").alias("n")).where("a != b").select("anchor", (F.col("n") > HOT).alias("hot"))
-    spots = found.join(shared, "anchor").groupBy("h1", "h2").agg(F.collect_set(F.struct("place", "anchor", "hot")).alias("spots"))
-    spots = checkpoint(spots)
-    n = spots.agg(F.sum(F.size("spots"))).first()[0] or 0
-    around = checkpoint(_contexts(texts.join(spots, ["h1", "h2"]).select("h1", "h2", "raw", "spots"), length))
+    spark = texts.sparkSession
+    folder = fresh_folder(spark, "anchors")
+    bits = max(0, (texts.count() // 16_384).bit_length())
+    where = F.xxhash64("h1", "h2", "place")
+    shared = _scan(texts, length).groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.count("*").alias("n")).where("a != b")
+    shared = shared.select("anchor", "n", (F.shiftrightunsigned("anchor", 64 - bits) if bits else F.lit(0).cast("long")).cast("int").alias("shard"))
+
+    def build(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        anchor, n = table.column("anchor").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        order = np.argsort(anchor)
+        arrays.save(folder, f"shard-{shard}", {"hash": anchor[order], "hot": (n[order] > HOT).astype(np.uint8)})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "hot": pa.array([bool((n > HOT).any())])})
+
+    made = shared.groupBy("shard").applyInArrow(build, "shard int, n long, hot boolean").collect()
+    return folder, bits, tuple(sorted(r["shard"] for r in made)), sum(r["n"] for r in made), any(r["hot"] for r in made)
+
+
+def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """h1, h2, spans: the parts of texts (h1, h2, raw; copies change nothing) covered by a window that occurs in another text or elsewhere in this one."""
+    folder, bits, present, n, hot = _shared_anchors(texts, length)
     buckets = max(1, -(-n // TOGETHER))
 
     def search(table: pa.Table) -> pa.Table:
@@ -172,8 +208,10 @@ def repeated(rows: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFra
         at = pa.array(who)
         return pa.table({"h1": table.column("h1").take(at), "h2": table.column("h2").take(at), "start": start, "end": end})
 
-    spans = around.where("NOT hot").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(search, "h1 long, h2 long, start long, end long")
-    spans = spans.unionByName(_hot_windows(around.where("hot"), length))
+    around = _contexts(texts, length, folder, bits, present, False)
+    spans = around.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(search, "h1 long, h2 long, start long, end long")
+    if hot:
+        spans = spans.unionByName(_hot_windows(_contexts(texts, length, folder, bits, present, True), length))
     return spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -213,11 +251,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     `length` of them. Repeated rows are such copies.
     """
     rows = _keyed(docs)
-    each = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("_one"))
-    each = checkpoint(each)
-    long = rows.where(F.octet_length("raw") >= length)
-    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id").eqNullSafe(F.col("_one"))
-    return rows.join(each.drop("_one"), ["h1", "h2"]), checkpoint(repeated(long, long.join(each, ["h1", "h2"]).where(first), length))
+    each = checkpoint(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")))
+    return rows.join(each, ["h1", "h2"]), checkpoint(repeated(rows.where(F.octet_length("raw") >= length), length))
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
