@@ -10,7 +10,7 @@ place d of a window before its anchor, which windows are equal: those that
 share d bytes to the left and LENGTH - d to the right.
 
 Copies of a whole text are found by its hash first and searched once. Anchors
-with more than HOT occurrences aren't sorted in one task: their windows are
+in more than HOT texts aren't sorted in one task: their windows are
 counted by hash, which Spark adds up in parts.
 """
 
@@ -30,7 +30,7 @@ from .suffix_sort import deep_shallow_sort
 
 LENGTH = 200
 GRAM = 24
-#: Occurrences of one anchor that a task sorts at most.
+#: Texts (counted twice if an anchor stands in them twice) whose occurrences of one anchor a task sorts at most.
 HOT = 50_000
 #: Occurrences that go to a task together, on average.
 TOGETHER = 15_000
@@ -68,14 +68,22 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def _ends(place: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last place of each distinct anchor."""
+    order = np.argsort(anchor, kind="stable")
+    a = anchor[order]
+    edge = np.r_[True, a[1:] != a[:-1]] | np.r_[a[1:] != a[:-1], True] if len(a) else np.zeros(0, dtype=bool)
+    return place[order[edge]], a[edge]
+
+
 def _scan(texts: DataFrame, length: int) -> DataFrame:
-    """h1, h2, anchor, place: the anchors of each text (bytes in `raw`)."""
+    """h1, h2, anchor, place: the anchors of each text (bytes in `raw`), of repeated ones the first and last place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "raw"):
                 data, at = utf8(part.column("raw"))
-                found = [anchors(data[a:b], length) for a, b in zip(at[:-1], at[1:], strict=True)]
+                found = [_ends(*anchors(data[a:b], length)) for a, b in zip(at[:-1], at[1:], strict=True)]
                 n = [len(f[0]) for f in found]
                 of = np.repeat(np.arange(len(found)), n)
                 if not len(of):
@@ -88,15 +96,20 @@ def _scan(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("h1", "h2", "raw").mapInArrow(run, "h1 long, h2 long, anchor long, place long")
 
 
-CONTEXT = "h1 long, h2 long, anchor long, place long, left binary, right binary"
+CONTEXT = "anchor long, left binary, right binary, members binary"
 
 
 def _contexts(texts: DataFrame, length: int, folder: str, bits: int, present: tuple[int, ...], hot: bool) -> DataFrame:
     """For each anchor of a text that occurs elsewhere: the bytes before it, reversed, and those from it on, as far as a window reaches.
 
-    Of the copies of a text that one task reads, the first is enough.
+    Anchors of a batch with the same surroundings make one row; its members are
+    (h1, h2, place) as 64-bit numbers. Of the copies of a text that one task
+    reads, the first is enough: a second one of them counts nowhere.
     """
-    schema = pa.schema([*((c, pa.int64()) for c in ("h1", "h2", "anchor", "place")), ("left", pa.binary()), ("right", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("members", pa.binary())])
+
+    def rows(found: dict[tuple, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"anchor": [k[0] for k in found], "left": [k[1] for k in found], "right": [k[2] for k in found], "members": [np.array(m, np.int64).tobytes() for m in found.values()]}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = arrays.sorted_shards(folder, bits, present, "hot")
@@ -114,61 +127,76 @@ def _contexts(texts: DataFrame, length: int, folder: str, bits: int, present: tu
                     continue
                 kind = shared.find(np.concatenate([m[2] for m in mine]))
                 ends = np.cumsum([0, *(len(m[1]) for m in mine)])
-                out: dict[str, list] = {c: [] for c in schema.names}
+                found: dict[tuple, list[int]] = {}
                 for (i, place, anchor), a, b in zip(mine, ends[:-1], ends[1:], strict=True):
                     take = kind[a:b] == int(hot)
                     if not take.any():
                         continue
                     raw = data[at[i] : at[i + 1]].tobytes()
                     for p, h in zip(place[take].tolist(), anchor[take].view(np.int64).tolist(), strict=True):
-                        out["h1"].append(keys[i][0])
-                        out["h2"].append(keys[i][1])
-                        out["anchor"].append(h)
-                        out["place"].append(p)
-                        out["left"].append(raw[max(0, p - length + GRAM) : p][::-1])
-                        out["right"].append(raw[p : p + length])
-                    if len(out["h1"]) >= 4096:
-                        yield pa.RecordBatch.from_pydict(out, schema=schema)
-                        out = {c: [] for c in out}
-                if out["h1"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                        found.setdefault((h, raw[max(0, p - length + GRAM) : p][::-1], raw[p : p + length]), []).extend((*keys[i], p))
+                    if len(found) >= 8192:
+                        yield rows(found)
+                        found = {}
+                if found:
+                    yield rows(found)
 
     return texts.select("h1", "h2", "raw").mapInArrow(run, CONTEXT)
 
 
-def equal_windows(anchor: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
-    """matched[d, i]: the window that starts d bytes before anchor i equals one that starts d bytes before another of the same anchor."""
-    head = [a.to_bytes(8, "big", signed=True) for a in anchor.tolist()]
-    # occurrences with the same surroundings are one string each; they match wherever a window fits
-    kind: dict[tuple, int] = {}
-    of = np.array([kind.setdefault(x, len(kind)) for x in zip(head, left, right, strict=True)], np.int64)
-    times = np.bincount(of, minlength=len(kind))
-    n = len(kind)
-    rights, lefts = [h + r for h, _, r in kind], [h + x for h, x, _ in kind]
-    by_right, common_right = deep_shallow_sort(rights)
-    by_left, common_left = deep_shallow_sort(lefts)
-    room_right, room_left = np.array([len(s) - 8 for s in rights]), np.array([len(s) - 8 for s in lefts])
-    matched = np.zeros((length - GRAM + 1, n), dtype=bool)
-    group_right, group_left = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(length - GRAM + 1):
-        group_right[by_right] = np.cumsum(common_right < length - d + 8)
-        group_left[by_left] = np.cumsum(common_left < d + 8)
-        fits = np.flatnonzero((room_right >= length - d) & (room_left >= d))
-        if not len(fits):
-            continue
-        _, group = np.unique(group_right[fits] * (n + 1) + group_left[fits], return_inverse=True)
-        count = np.bincount(group, times[fits])
-        matched[d, fits] = count[group] > 1
-    return matched[:, of]
-
-
-def _runs(matched: np.ndarray, length: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrence, start and end of the bytes that each run of matched windows covers."""
-    edge = np.zeros((1, matched.shape[1]), dtype=bool)
-    step = np.diff(np.concatenate([edge, matched, edge]).astype(np.int8), axis=0).T
-    who, low = np.nonzero(step == 1)
-    _, high = np.nonzero(step == -1)  # the first d that matches no more
-    return who, place[who] - (high - 1), place[who] - low + length
+class Windows:
+    """The equal windows of a set of contexts: matched[d, k] if the window that starts d bytes before kind k's anchor occurs again."""
+
+    def __init__(self, anchor: np.ndarray, left: list[bytes], right: list[bytes], times: np.ndarray, length: int):
+        head = [a.to_bytes(8, "big", signed=True) for a in anchor.tolist()]
+        # occurrences with the same surroundings are of one kind; they match wherever a window fits
+        kind: dict[tuple, int] = {}
+        self.of = np.array([kind.setdefault(x, len(kind)) for x in zip(head, left, right, strict=True)], np.int64)
+        times = np.bincount(self.of, times, minlength=len(kind))
+        n = len(kind)
+        rights, lefts = [h + r for h, _, r in kind], [h + x for h, x, _ in kind]
+        by_right, common_right = deep_shallow_sort(rights)
+        by_left, common_left = deep_shallow_sort(lefts)
+        room_right, room_left = np.array([len(s) - 8 for s in rights]), np.array([len(s) - 8 for s in lefts])
+        self.matched = np.zeros((length - GRAM + 1, n), dtype=bool)
+        group_right, group_left = np.empty(n, np.int64), np.empty(n, np.int64)
+        for d in range(length - GRAM + 1):
+            # neighbours in order that have the bytes in common are of one group
+            group_right[by_right] = np.cumsum(common_right < length - d + 8)
+            group_left[by_left] = np.cumsum(common_left < d + 8)
+            fits = np.flatnonzero((room_right >= length - d) & (room_left >= d))
+            if not len(fits):
+                continue
+            _, group = np.unique(group_right[fits] * (n + 1) + group_left[fits], return_inverse=True)
+            count = np.bincount(group, times[fits])
+            self.matched[d, fits] = count[group] > 1
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind, and where the bytes that each run of matched windows covers begin and end, from the anchor; in order of kinds."""
+        edge = np.zeros((1, self.matched.shape[1]), dtype=bool)
+        step = np.diff(np.concatenate([edge, self.matched, edge]).astype(np.int8), axis=0).T
+        who, low = np.nonzero(step == 1)
+        _, high = np.nonzero(step == -1)  # the first d that matches no more
+        return who, 1 - high, length - low
+
+
+SPAN = "h1 long, h2 long, start long, end long"
+
+
+def covered(table: pa.Table, length: int) -> pa.Table:
+    """The spans of all members of a table of whole anchors."""
+    sizes = np.array([len(m) // 24 for m in table.column("members").to_pylist()], np.int64)
+    found = Windows(table.column("anchor").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), sizes, length)
+    who, start, end = found.runs(length)
+    members = np.frombuffer(b"".join(table.column("members").to_pylist()), np.int64).reshape(-1, 3)
+    of = np.repeat(found.of, sizes)
+    # each member takes the runs of its kind
+    first, last = np.searchsorted(who, of), np.searchsorted(who, of, side="right")
+    n = last - first
+    m = np.repeat(np.arange(len(members)), n)
+    run = np.arange(len(m)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    place = members[m, 2]
+    return pa.table({"h1": members[m, 0], "h2": members[m, 1], "start": place + start[run], "end": place + end[run]})
 
 
 def _shared_anchors(texts: DataFrame, length: int) -> tuple[str, int, tuple[int, ...], int, bool]:
@@ -201,15 +229,8 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     folder, bits, present, n, hot = _shared_anchors(texts, length)
     buckets = max(1, -(-n // TOGETHER))
 
-    def search(table: pa.Table) -> pa.Table:
-        anchor, place = table.column("anchor").to_numpy(), table.column("place").to_numpy()
-        matched = equal_windows(anchor, table.column("left").to_pylist(), table.column("right").to_pylist(), length)
-        who, start, end = _runs(matched, length, place)
-        at = pa.array(who)
-        return pa.table({"h1": table.column("h1").take(at), "h2": table.column("h2").take(at), "start": start, "end": end})
-
     around = _contexts(texts, length, folder, bits, present, False)
-    spans = around.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(search, "h1 long, h2 long, start long, end long")
+    spans = around.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: covered(t, length), SPAN)
     if hot:
         spans = spans.unionByName(_hot_windows(_contexts(texts, length, folder, bits, present, True), length))
     return spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -221,10 +242,19 @@ def _hot_windows(around: DataFrame, length: int) -> DataFrame:
     rows = around.withColumn("d", d).where(F.octet_length("right") >= length - F.col("d"))
     # left is reversed: d bytes of it and length - d of right name the window
     before, after = F.substring("left", F.lit(1), F.col("d")), F.substring("right", F.lit(1), length - F.col("d"))
-    rows = rows.select("h1", "h2", "anchor", "d", (F.col("place") - F.col("d")).alias("start"), F.xxhash64(before, after).alias("w1"), F.xxhash64(after, before, F.lit(7)).alias("w2"))
+    rows = rows.select("members", "anchor", "d", F.xxhash64(before, after).alias("w1"), F.xxhash64(after, before, F.lit(7)).alias("w2"))
     keys = ["anchor", "d", "w1", "w2"]
-    again = rows.groupBy(*keys).count().where("count > 1").select(*keys)
-    return rows.join(again, keys, "left_semi").select("h1", "h2", "start", (F.col("start") + length).alias("end"))
+    again = rows.groupBy(*keys).agg(F.sum(F.octet_length("members")).alias("n")).where("n > 24").select(*keys)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            members = [np.frombuffer(m, np.int64).reshape(-1, 3) for m in part.column("members").to_pylist()]
+            if members:
+                all_ = np.concatenate(members)
+                start = all_[:, 2] - np.repeat(part.column("d").to_numpy(), [len(m) for m in members])
+                yield pa.RecordBatch.from_pydict({"h1": all_[:, 0], "h2": all_[:, 1], "start": start, "end": start + length})
+
+    return rows.join(again, keys, "left_semi").select("members", "d").mapInArrow(spans, SPAN)
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
