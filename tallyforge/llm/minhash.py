@@ -7,11 +7,12 @@
 2. In each bucket the members are paired with the smallest id alone. The
    population count of the XOR of two sketches estimates how many minima
    differ; pairs far below the threshold go. The others' full sets are compared.
-3. The links give components. Buckets whose members are in more than one
-   component are gone through once more: pairs of members of different
-   components, again by sketch and then by full sets. After that no pair that
-   shares a bucket can lack a link that would change the components, and no
-   bucket's pairs within one component are ever made.
+3. The links give components. In buckets whose members are in more than one
+   component, PIVOTS rounds pair another member, which each bucket draws by a
+   hash, with those of other components. What is still apart then is gone
+   through pair by pair, by sketch and by full sets. After that no pair that
+   shares a bucket can lack a link that would change the components, and pairs
+   within one component are never made.
 
 A pair of the threshold's similarity misses all buckets with a probability of
 (1 - 0.8**ROWS)**BANDS, about 1e-7, and is discarded by its sketch more rarely.
@@ -35,7 +36,9 @@ K = ROWS * BANDS
 BITS = 1024
 #: Pairs whose sketches estimate a similarity this far below the threshold aren't compared.
 SLACK = 0.25
-#: Members of a bucket that one cell of the second round pairs with another's.
+#: Rounds in which a bucket's members of other components are paired with one member, drawn by a hash.
+PIVOTS = 2
+#: Members of a bucket that one cell of the last round pairs with another's.
 CELL = 512
 
 _seeds = mix(np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -151,6 +154,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return got.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
+def _across(open_: DataFrame, reps: DataFrame, near: Column) -> DataFrame:
+    """The near pairs of members of different components of each bucket, which is dealt out in cells of two parts of about CELL members."""
+    cells = F.ceil(F.col("m") / CELL).cast("int")
+    dealt = open_.withColumn("_s", F.pmod(F.xxhash64("id"), cells).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), cells - 1)))
+    dealt = dealt.select("key", "id", "c", "_s", F.least("_s", "_t").alias("_x"), F.greatest("_s", "_t").alias("_y")).join(reps.select("id", "n", "sketch"), "id")
+    one = dealt.select("key", "_x", "_y", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("_s").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = dealt.select("key", "_x", "_y", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("_s").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    # two members of one part meet in that part's own cell only
+    meet = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("pa") != F.col("pb")) | (F.col("_x") == F.col("_y")))
+    return checkpoint(one.join(two.hint("merge"), ["key", "_x", "_y"]).where(meet & near).select("a", "b").distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text and any other columns).
 
@@ -172,27 +187,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_apart("sa", "sb") <= most_different(percent / 100))
     crowded = checkpoint(members.join(buckets, "key"))
-    stars = crowded.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    stars = checkpoint(stars.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"))
-    links = checkpoint(confirm(stars, docs, width, percent))
-    roots = components(links)
 
-    # second round: buckets of three and more whose members aren't one component yet
-    named = crowded.where("m > 2").join(roots, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo != _hi").select("key")
-    open_ = named.join(split, "key", "left_semi")
-    cells = F.ceil(F.col("m") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("id"), cells).cast("int")
-    dealt = open_.withColumn("_s", own).withColumn("_t", F.explode(F.sequence(F.lit(0), cells - 1)))
-    dealt = dealt.select("key", "id", "c", "_s", F.least("_s", "_t").alias("_x"), F.greatest("_s", "_t").alias("_y")).join(reps.select("id", "n", "sketch"), "id")
-    one = dealt.select("key", "_x", "_y", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("_s").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = dealt.select("key", "_x", "_y", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("_s").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    # a pair of members of one cell part meets in that part's own cell only
-    meet = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("pa") != F.col("pb")) | (F.col("_x") == F.col("_y")))
-    rest = one.join(two.hint("merge"), ["key", "_x", "_y"]).where(meet & near).select("a", "b").distinct()
-    rest = checkpoint(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(links.unionByName(confirm(rest, docs, width, percent)))
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = checkpoint(pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"))
+        return checkpoint(confirm(close, docs, width, percent))
+
+    links = linked(crowded.where("id != a").select("a", F.col("id").alias("b")))
+    roots = components(links)
+    # buckets of three and more whose members aren't one component yet
+    crowded = crowded.where("m > 2").drop("a")
+    for turn in range(PIVOTS + 1):
+        named = crowded.join(roots, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
+        chosen = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("c").alias("ca")))
+        split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), chosen.alias("p")).where("lo != hi").select("key", "p.a", "p.ca")
+        open_ = checkpoint(named.join(split, "key"))
+        if open_.isEmpty():
+            break
+        if turn < PIVOTS:
+            more = linked(open_.where("c != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
+        else:
+            more = checkpoint(confirm(_across(open_, reps, near), docs, width, percent))
+        links = links.unionByName(more)
+        roots = components(links)
 
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["n_shingles", "f1", "f2"], "left")
