@@ -88,15 +88,19 @@ class EliasFano:
         todo = np.flatnonzero(end > begin)
         high = value[todo] >> self.width
         low = value[todo].astype(np.uint64) & self.mask
-        bit = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0)
-        at = bit - high
-        while len(todo):
-            one = (self.words[bit >> 6] >> (bit & 63).astype(np.uint64)) & _U(1)
-            here = (one > 0) & (at < end[todo])
-            todo, high, low, bit, at = todo[here], high[here], low[here], bit[here], at[here]
-            now = self._lows(at)
-            hit = (now == low) & (at >= begin[todo])
-            found[todo[hit]] = at[hit]
-            on = now < low
-            todo, high, low, bit, at = todo[on], high[on], low[on], bit[on] + 1, at[on] + 1
+        # the values with this high part, as far as they lie in the range
+        lo = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0) - high
+        hi = np.minimum(self.select0(high) - high, end[todo])
+        lo = np.maximum(lo, begin[todo])
+        last = hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            middle = (lo[live] + hi[live]) >> 1
+            less = self._lows(middle) < low[live]
+            lo[live[less]] = middle[less] + 1
+            hi[live[~less]] = middle[~less]
+            live = live[lo[live] < hi[live]]
+        there = np.flatnonzero(lo < last)
+        hit = there[self._lows(lo[there]) == low[there]]
+        found[todo[hit]] = lo[hit]
         return found
