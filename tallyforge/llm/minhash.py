@@ -6,10 +6,12 @@
    by a 128-bit fingerprint, and only the class's smallest id goes on.
 2. In each bucket the members are paired with the smallest id alone. The
    population count of the XOR of two sketches estimates how many minima
-   differ; pairs far below the threshold go. The others' full sets are compared.
+   differ; pairs far below the threshold go. So do pairs whose whole sets,
+   folded into parities alike, differ in more bits than the threshold allows
+   shingles. The others' full sets are compared.
 3. The links give components. In buckets whose members are in more than one
-   component, PIVOTS rounds pair another member, which each bucket draws by a
-   hash, with those of other components. What is still apart then is gone
+   component, PIVOTS rounds draw another member of each bucket by a hash, and
+   compare each member of another component with the nearest one it met. What is still apart then is gone
    through pair by pair, by sketch and by full sets. After that no pair that
    shares a bucket can lack a link that would change the components, and pairs
    within one component are never made.
@@ -34,12 +36,16 @@ from .components import components
 ROWS, BANDS = 5, 40
 K = ROWS * BANDS
 BITS = 1024
+#: Bits of the parities of a whole set, which bound how many shingles two sets don't share.
+WHOLE = 2048
 #: Pairs whose sketches estimate a similarity this far below the threshold aren't compared.
 SLACK = 0.25
 #: Rounds in which a bucket's members of other components are paired with one member, drawn by a hash.
-PIVOTS = 2
+PIVOTS = 1
 #: Members of a bucket that one cell of the last round pairs with another's.
 CELL = 512
+#: Members that a task of the last round takes together, about.
+TOGETHER = 20_000
 
 _seeds = mix(np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A = (_seeds[:K].astype(np.uint32) | np.uint32(1))[None, :]
@@ -86,6 +92,16 @@ def odd_sketches(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """WHOLE parities of each set, as int64 words: two sets differ in at least as many shingles as these in bits."""
+    n = len(sets)
+    sizes = [len(s) for s in sets]
+    place = (np.concatenate(sets) & np.uint64(WHOLE - 1)).astype(np.int64) if n else np.zeros(0, np.int64)
+    place += np.repeat(np.arange(n) * WHOLE, sizes)
+    odd = (np.bincount(place, minlength=n * WHOLE) & 1).astype(np.uint8).reshape(n, WHOLE)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def band_keys(least: np.ndarray) -> np.ndarray:
     grouped = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(_PLACE[:BANDS], (len(least), BANDS)).copy()
@@ -100,7 +116,7 @@ def most_different(threshold: float) -> int:
     return math.ceil(BITS / 2 * (1 - math.exp(-2 * apart / BITS)))
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, whole array<long>"
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -118,7 +134,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 one = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 two = np.array([mix(s ^ np.uint64(0xA4093822299F31D0)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 rows = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "n_shingles": size, "f1": one, "f2": two, "bands": rows(bands), "sketch": rows(sketch)})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "n_shingles": size, "f1": one, "f2": two, "bands": rows(bands), "sketch": rows(sketch), "whole": rows(parities(sets))})
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
@@ -137,10 +153,10 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, hashes array<long>")
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: str, b: str, bits: int = BITS) -> Column:
     """Bits in which two sketches differ."""
     total = F.lit(0)
-    for k in range(BITS // 64):
+    for k in range(bits // 64):
         total = total + F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k))))
     return total
 
@@ -154,16 +170,48 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return got.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
-def _across(open_: DataFrame, reps: DataFrame, near: Column) -> DataFrame:
+def _near_in_cell(c: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: np.ndarray, whole: np.ndarray, own: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the near pairs of different components: within a part's own cell, else of one part with the other."""
+    left, right = (np.arange(len(c)), np.arange(len(c))) if own else (np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()))
+    bits = lambda x, i, j: np.bitwise_count(x[i] ^ x[j]).sum(axis=-1, dtype=np.int64)
+    found = []
+    for at in range(0, len(left), 64):
+        i, j = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+        keep = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        if own:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        keep = (100 + percent) * bits(whole, i, j) <= (100 - percent) * (n[i] + n[j])
+        i, j = i[keep], j[keep]
+        keep = bits(sketch, i, j) <= most_different(percent / 100)
+        found.append((i[keep], j[keep]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The near pairs of members of different components of each bucket, which is dealt out in cells of two parts of about CELL members."""
     cells = F.ceil(F.col("m") / CELL).cast("int")
-    dealt = open_.withColumn("_s", F.pmod(F.xxhash64("id"), cells).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), cells - 1)))
-    dealt = dealt.select("key", "id", "c", "_s", F.least("_s", "_t").alias("_x"), F.greatest("_s", "_t").alias("_y")).join(reps.select("id", "n", "sketch"), "id")
-    one = dealt.select("key", "_x", "_y", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("_s").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = dealt.select("key", "_x", "_y", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("_s").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    # two members of one part meet in that part's own cell only
-    meet = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("pa") != F.col("pb")) | (F.col("_x") == F.col("_y")))
-    return checkpoint(one.join(two.hint("merge"), ["key", "_x", "_y"]).where(meet & near).select("a", "b").distinct())
+    dealt = open_.withColumn("s", F.pmod(F.xxhash64("id"), cells).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), cells - 1)))
+    dealt = dealt.select("key", "id", "c", "s", F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y")).join(reps.select("id", "n", "sketch", "whole"), "id")
+    groups = max(1, -(-open_.count() // TOGETHER))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending")]).combine_chunks()
+        key, x, y, ids, c, part, n = (table.column(k).to_numpy() for k in ("key", "x", "y", "id", "c", "s", "n"))
+        wide = lambda k: table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        sketch, whole = wide("sketch"), wide("whole")
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), True])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            r = slice(lo, hi)
+            i, j = _near_in_cell(c[r], part[r], n[r], sketch[r], whole[r], x[lo] == y[lo], percent)
+            a.append(ids[r][i])
+            b.append(ids[r][j])
+        one, two = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)))
+    return checkpoint(dealt.groupBy("g").applyInArrow(pairs, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -181,16 +229,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = checkpoint(signatures(docs, width))
     classes = checkpoint(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     mine = signed.where("n_shingles > 0").join(classes, ["n_shingles", "f1", "f2"]).where("doc_id = rep")
-    reps = mine.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    reps = mine.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch", "whole")
     members = reps.select("id", F.explode("bands").alias("key"))
     buckets = checkpoint(members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1"))
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_apart("sa", "sb") <= most_different(percent / 100))
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("whole").alias(f"w{x}"))
+    # sets of that similarity share all but (100 - percent) / (100 + percent) of their shingles
+    few = (100 + percent) * _apart("wa", "wb", WHOLE) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    near = few & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_apart("sa", "sb") <= most_different(percent / 100))
     crowded = checkpoint(members.join(buckets, "key"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        close = checkpoint(pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"))
-        return checkpoint(confirm(close, docs, width, percent))
+    def linked(pairs: DataFrame, nearest: bool = False) -> DataFrame:
+        close = pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near)
+        if nearest:  # of the pivots that a member met
+            close = close.groupBy("b").agg(F.min(F.struct(_apart("sa", "sb").alias("d"), F.col("a").alias("a"))).alias("p")).select("p.a", "b")
+        return checkpoint(confirm(checkpoint(close.select("a", "b")), docs, width, percent))
 
     links = linked(crowded.where("id != a").select("a", F.col("id").alias("b")))
     roots = components(links)
@@ -204,9 +256,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if open_.isEmpty():
             break
         if turn < PIVOTS:
-            more = linked(open_.where("c != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
+            more = linked(open_.where("c != ca").select("a", F.col("id").alias("b")), nearest=True)
         else:
-            more = checkpoint(confirm(_across(open_, reps, near), docs, width, percent))
+            more = checkpoint(confirm(_across(open_, reps, percent), docs, width, percent))
         links = links.unionByName(more)
         roots = components(links)
 
