@@ -198,7 +198,7 @@ def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def pairs(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending")]).combine_chunks()
         key, x, y, ids, c, part, n = (table.column(k).to_numpy() for k in ("key", "x", "y", "id", "c", "s", "n"))
-        wide = lambda k: table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        wide = lambda k: table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
         sketch, whole = wide("sketch"), wide("whole")
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), True])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
