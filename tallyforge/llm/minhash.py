@@ -44,6 +44,8 @@ SLACK = 0.25
 PIVOTS = 1
 #: Members of a bucket that one cell of the last round pairs with another's.
 CELL = 512
+#: Ids, of 8 bytes each, that may be broadcast.
+BROADCAST = 500_000
 #: Members that a task of the last round takes together, about.
 TOGETHER = 20_000
 
@@ -163,7 +165,9 @@ def _apart(a: str, b: str, bits: int = BITS) -> Column:
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have percent or more of their union in common."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    if ids.count() <= BROADCAST:  # few ids go to the texts; many meet them by a shuffle
+        ids = F.broadcast(ids)
     sets = checkpoint(sets_of(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["id"]))
     got = pairs.join(sets.withColumnsRenamed({"id": "b", "hashes": "hb"}), "b").join(sets.withColumnsRenamed({"id": "a", "hashes": "ha"}), "a")
     both = F.size(F.array_intersect("ha", "hb")).cast("long")
@@ -229,14 +233,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = checkpoint(signatures(docs, width))
     classes = checkpoint(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     mine = signed.where("n_shingles > 0").join(classes, ["n_shingles", "f1", "f2"]).where("doc_id = rep")
-    reps = mine.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch", "whole")
+    reps = checkpoint(mine.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch", "whole").dropDuplicates(["id"]))
     members = reps.select("id", F.explode("bands").alias("key"))
     buckets = checkpoint(members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1"))
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("whole").alias(f"w{x}"))
+    side = lambda x: mates.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("whole").alias(f"w{x}"))
     # sets of that similarity share all but (100 - percent) / (100 + percent) of their shingles
     few = (100 + percent) * _apart("wa", "wb", WHOLE) <= (100 - percent) * (F.col("na") + F.col("nb"))
     near = few & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_apart("sa", "sb") <= most_different(percent / 100))
     crowded = checkpoint(members.join(buckets, "key"))
+    # sketches of those that share a bucket at all
+    mates = checkpoint(reps.drop("bands").join(crowded.select("id").distinct(), "id", "left_semi"))
 
     def linked(pairs: DataFrame, nearest: bool = False) -> DataFrame:
         close = pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near)
@@ -258,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if turn < PIVOTS:
             more = linked(open_.where("c != ca").select("a", F.col("id").alias("b")), nearest=True)
         else:
-            more = checkpoint(confirm(_across(open_, reps, percent), docs, width, percent))
+            more = checkpoint(confirm(_across(open_, mates, percent), docs, width, percent))
         links = links.unionByName(more)
         roots = components(links)
 
