@@ -1,11 +1,287 @@
-"""All queries of the ledger operators and their SQL."""
+"""Queries of the ledger operators over the given tables, and their SQL.
+
+Stand-ins: a customer is an agent, an order its feedback, a lineitem a response,
+a nation a collection, the events table a stream in order of event_id.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import chain, fold, ids, lifecycle, paging, reconcile, rollups, tree
+from ..sources.tables import load
+
+STATUS = {"P": "PENDING", "F": "FINALIZED", "O": "ORPHANED"}
+_STATUS_SQL = "CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'F' THEN 'FINALIZED' ELSE 'ORPHANED' END"
+
+
+def agents(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "customer")
+    tier = F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.col("c_acctbal") / 2000))).cast("int")
+    quality, confidence = (F.col("c_custkey") * 37 % 10_001).cast("long"), (F.col("c_custkey") * 91 % 10_001).cast("long")
+    key = scalar.sort_key(tier, quality, confidence, F.col("c_custkey") % 10_000_000)
+    return c.select(F.col("c_custkey").alias("asset"), F.col("c_nationkey").alias("collection"), tier.alias("trust_tier"), quality.alias("quality"), key.alias("sort_key"), F.col("c_name").alias("name"))
+
+
+def feedbacks(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", "PENDING").when(F.col("o_orderstatus") == "F", "FINALIZED").otherwise("ORPHANED")
+    score = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 101)
+    return o.select(F.col("o_custkey").alias("asset"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("tag1"), score.alias("score"), status.alias("status"), (F.col("o_orderkey") % 7 == 0).alias("is_revoked"), "o_totalprice", "o_orderdate")
+
+
+_A = """a AS (SELECT c_custkey AS asset, c_nationkey AS collection, greatest(0, least(4, floor(c_acctbal / 2000)))::INTEGER AS trust_tier, (c_custkey * 37 % 10001)::BIGINT AS quality,
+  (greatest(0, least(4, floor(c_acctbal / 2000)))::BIGINT * 1000200010000000 + (c_custkey * 37 % 10001) * 100010000000 + (c_custkey * 91 % 10001) * 10000000 + c_custkey % 10000000)::BIGINT AS sort_key, c_name AS name FROM customer)"""
+_F = f"""f AS (SELECT o_custkey AS asset, o_orderkey AS id, o_orderpriority AS tag1, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 101 END AS score, {_STATUS_SQL} AS status, o_orderkey % 7 = 0 AS is_revoked, o_totalprice, o_orderdate FROM orders)"""
+_REP = """r AS (SELECT a.*, coalesce(s.n, 0)::BIGINT AS n, s.avg_score, coalesce(s.positive, 0)::BIGINT AS positive, coalesce(s.negative, 0)::BIGINT AS negative FROM a LEFT JOIN
+  (SELECT asset, count(*) AS n, round(avg(score))::BIGINT AS avg_score, count(*) FILTER (score >= 50) AS positive, count(*) FILTER (score < 50) AS negative FROM f
+   WHERE status <> 'ORPHANED' AND NOT is_revoked AND score IS NOT NULL GROUP BY asset) s USING (asset))"""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {_A}, {_F}, {_REP} SELECT * FROM r WHERE trust_tier >= 2 ORDER BY sort_key DESC, asset LIMIT 100")
+def leaderboard_reputation(spark, d):
+    return rollups.leaderboard(rollups.reputation(agents(spark, d), feedbacks(spark, d)), 100)
+
+
+@query(f"WITH {_A}, {_F}, {_REP} SELECT * FROM r")
+def agent_reputation(spark, d):
+    return rollups.reputation(agents(spark, d), feedbacks(spark, d))
+
+
+@query(f"WITH {_F} SELECT asset, count(*) FILTER (NOT is_revoked) AS feedback_count, coalesce(round(avg(score) FILTER (NOT is_revoked)), 0)::BIGINT AS raw_avg_score FROM f GROUP BY asset")
+def feedback_rollup(spark, d):
+    return rollups.feedback_rollup(feedbacks(spark, d), ["asset"])
+
+
+@query(f"WITH {_A}, {_F} SELECT (SELECT count(*) FROM a) AS agents_total, (SELECT count(*) FILTER (trust_tier = 4) FROM a) AS agents_tier4, (SELECT count(*) FILTER (trust_tier = 3) FROM a) AS agents_tier3, (SELECT count(*) FROM f WHERE status <> 'ORPHANED') AS feedbacks_total")
+def global_stats(spark, d):
+    a, f = agents(spark, d), feedbacks(spark, d).where(scalar.active())
+    return rollups.totals(agents=(a, {"total": F.count("*"), "tier4": F.count_if(F.col("trust_tier") == 4), "tier3": F.count_if(F.col("trust_tier") == 3)}), feedbacks=(f, {"total": F.count("*")}))
+
+
+@query(f"WITH {_A} SELECT trust_tier, count(*) AS n FROM a GROUP BY 1")
+def agent_tiers(spark, d):
+    return agents(spark, d).groupBy("trust_tier").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_F}, s AS (SELECT 'feedbacks' AS model, status FROM f UNION ALL SELECT 'responses', CASE l_linestatus WHEN 'O' THEN 'PENDING' ELSE 'FINALIZED' END FROM lineitem)
+SELECT model, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'FINALIZED') AS finalized, count(*) FILTER (status = 'ORPHANED') AS orphaned FROM s GROUP BY model""")
+def verification_stats(spark, d):
+    responses = load(spark, d, "lineitem").select(F.when(F.col("l_linestatus") == "O", "PENDING").otherwise("FINALIZED").alias("status"))
+    return rollups.status_counts(feedbacks=feedbacks(spark, d), responses=responses)
+
+
+@query("SELECT tag FROM (SELECT o_orderpriority AS tag FROM orders UNION SELECT o_orderstatus FROM orders) WHERE tag <> '' ORDER BY tag LIMIT 100")
+def distinct_tags(spark, d):
+    return rollups.distinct_tags(load(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], 100)
+
+
+@query(f"""WITH {_A}, {_F} SELECT n_nationkey AS collection, n_name, coalesce(x.c, 0)::BIGINT AS agent_count, coalesce(y.c, 0)::BIGINT AS total_feedbacks, y.s AS avg_score FROM nation
+LEFT JOIN (SELECT collection, count(*) AS c FROM a GROUP BY 1) x ON x.collection = n_nationkey LEFT JOIN (SELECT collection, count(*) AS c, round(avg(score))::BIGINT AS s FROM f JOIN a USING (asset) GROUP BY 1) y ON y.collection = n_nationkey""")
+def collection_stats(spark, d):
+    c = load(spark, d, "nation").select(F.col("n_nationkey").alias("collection"), "n_name")
+    return rollups.collection_stats(c, agents(spark, d), feedbacks(spark, d))
+
+
+@query(f"WITH {_F} SELECT asset, id, rn::INTEGER AS rn FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY o_totalprice DESC, id) AS rn FROM f) WHERE rn > 1 AND rn <= 4")
+def page_per_group(spark, d):
+    return paging.page_per_group(feedbacks(spark, d), ["asset"], [F.desc("o_totalprice"), F.col("id")], 3, 1).select("asset", "id", "rn")
+
+
+@query(f"WITH {_F} SELECT asset, id, score FROM f WHERE score < 90 OR (score = 90 AND id > 500) ORDER BY score DESC, id LIMIT 200")
+def keyset_page(spark, d):
+    return paging.keyset_page(feedbacks(spark, d), [("score", False), ("id", True)], 200, [90, 500]).select("asset", "id", "score")
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def page_with_total(spark, d):
+    return paging.page_with_total(load(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 50, 100)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build') ORDER BY c_custkey LIMIT 250")
+def agent_search(spark, d):
+    return paging.search(load(spark, d, "customer"), ["c_name", "c_mktsegment"], "BUILD", [F.col("c_custkey")], 250).select("c_custkey", "c_name")
+
+
+@query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, arg_min(event_type, (ts, event_id)) AS first_type, max(event_id) FILTER (event_type = (SELECT min(event_type) FROM events)) AS last_of_kind FROM events GROUP BY user_id""")
+def fold_events(spark, d):
+    e = load(spark, d, "events")
+    order = F.struct("ts", "event_id")
+    kind = e.agg(F.min("event_type").alias("kind"))
+    e = e.join(F.broadcast(kind))  # one row
+    state = fold.project(e, ["user_id"], order, last={"last_type": F.col("event_type")}, first={"first_type": F.col("event_type")})
+    return state.join(e.where("event_type = kind").groupBy("user_id").agg(F.max("event_id").alias("last_of_kind")), "user_id", "left")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, min(l_shipdate) AS s FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, min(l_shipdate) AS s FROM lineitem WHERE l_partkey % 2 = 1 GROUP BY 1, 2)
+SELECT coalesce(t.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(t.l_linenumber, b.l_linenumber) AS l_linenumber, CASE WHEN b.l_orderkey IS NOT NULL THEN b.q ELSE t.q END AS q, epoch(CASE WHEN t.l_orderkey IS NOT NULL THEN t.s ELSE b.s END)::BIGINT AS s FROM t FULL JOIN b ON t.l_orderkey = b.l_orderkey AND t.l_linenumber = b.l_linenumber""")
+def merge_policies(spark, d):
+    rows = load(spark, d, "lineitem")
+    keys = ["l_orderkey", "l_linenumber"]
+    half = lambda k: rows.where(F.col("l_partkey") % 2 == k).groupBy(*keys).agg(F.max("l_quantity").alias("q"), F.min("l_shipdate").alias("s"))
+    return fold.merge(half(0), half(1), keys, {"q": "overwrite", "s": "keep"}).withColumn("s", scalar.to_unix(F.col("s").cast("timestamp")))
+
+
+@query("SELECT l_orderkey, count(*) AS staged FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def stage_orphans(spark, d):
+    parents = load(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return fold.stage(load(spark, d, "lineitem"), parents, ["l_orderkey"])[1].groupBy("l_orderkey").agg(F.count("*").alias("staged"))
+
+
+@query("SELECT l_orderkey, count(*) AS promoted FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
+def promote_orphans(spark, d):
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    staged = fold.stage(load(spark, d, "lineitem"), o.where("o_orderstatus = 'F'"), ["l_orderkey"])[1]
+    return fold.promote(staged, o.where("o_orderstatus = 'O'"), ["l_orderkey"])[0].groupBy("l_orderkey").agg(F.count("*").alias("promoted"))
+
+
+@query(f"WITH {_F} SELECT asset, id, CASE WHEN status <> 'ORPHANED' THEN row_number() OVER (PARTITION BY asset, status <> 'ORPHANED' ORDER BY o_orderdate, id) END::BIGINT AS feedback_id FROM f")
+def scoped_ids(spark, d):
+    rows = feedbacks(spark, d).withColumn("feedback_id", F.lit(None).cast("long"))
+    return ids.assign_ids(rows, ["asset"], [F.col("o_orderdate"), F.col("id")], "feedback_id", scalar.active()).select("asset", "id", "feedback_id")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey)::BIGINT AS agent_id FROM customer")
+def global_ids(spark, d):
+    return ids.assign_global_ids(load(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey", "c_custkey"], "agent_id").select("c_custkey", "agent_id")
+
+
+@query("SELECT l_orderkey, count(*) AS n, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(DISTINCT l_linenumber) AS kinds FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
+def audit_gapless(spark, d):
+    return ids.audit_gapless(load(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+_TREE = "n AS (SELECT c_custkey AS node, CASE WHEN c_custkey >= 7 THEN c_custkey // 7 END AS parent FROM customer)"
+
+
+def _nodes(spark, d):
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") >= 7, F.floor(F.col("c_custkey") / 7)).alias("parent"))
+
+
+@query(f"WITH RECURSIVE {_TREE}, t AS (SELECT node AS root, node, 0 AS depth, node::VARCHAR AS path FROM n WHERE parent IS NULL UNION ALL SELECT t.root, n.node, depth + 1, path || ':' || n.node FROM t JOIN n ON n.parent = t.node WHERE depth < 8) SELECT * FROM t")
+def tree_forest(spark, d):
+    return tree.forest(_nodes(spark, d)).withColumn("path", F.concat_ws(":", F.col("path").cast("array<string>")))
+
+
+@query(f"WITH RECURSIVE {_TREE}, t AS (SELECT node AS root, node, 0 AS depth FROM n WHERE node % 5 = 0 UNION ALL SELECT t.root, n.parent, depth + 1 FROM t JOIN n ON n.node = t.node WHERE n.parent IS NOT NULL AND depth < 32) SELECT * FROM t")
+def tree_lineage(spark, d):
+    nodes = _nodes(spark, d)
+    return tree.lineage(nodes.where("node % 5 = 0").select("node"), nodes).drop("path")
+
+
+@query("""WITH l AS (SELECT user_id, event_id, sha256(user_id || ':' || event_id || ':' || event_type) AS leaf FROM events), s AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN leaf ELSE sha256(unhex(coalesce(lag(leaf) OVER w, repeat('00', 32))) || unhex(leaf)) END AS x, row_number() OVER w - 1 AS pos FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, count(*) AS events, count(*) FILTER (event_id % 97 = 0) AS tampered FROM s GROUP BY 1""")
+def chain_tampered(spark, d):
+    e = load(spark, d, "events").select("user_id", "event_id", F.sha2(F.concat_ws(":", "user_id", "event_id", "event_type"), 256).alias("leaf"))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    before = F.coalesce(F.lag("leaf").over(w), F.lit(chain.GENESIS))
+    good = chain.link(before, F.col("leaf"))
+    rows = e.withColumn("before", before).withColumn("digest", F.when(F.col("event_id") % 97 == 0, F.col("leaf")).otherwise(good))
+    return rows.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(chain.link(F.col("before"), F.col("leaf")) != F.col("digest")).alias("tampered"))
+
+
+@query("SELECT user_id, max(event_id) AS count, sha256(arg_max(event_type, event_id)) AS digest FROM events GROUP BY 1")
+def chain_heads(spark, d):
+    return chain.heads(load(spark, d, "events"), ["user_id"], "event_id", F.sha2("event_type", 256))
+
+
+@query("SELECT user_id, event_id, missing FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id - 1 AS missing FROM events) WHERE missing > 0")
+def chain_gaps(spark, d):
+    return chain.gaps(load(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 1000 = 0")
+def chain_checkpoints(spark, d):
+    return chain.checkpoints(load(spark, d, "events").select("event_id", "user_id"), "event_id")
+
+
+@query("""WITH h AS (SELECT user_id, count(*) AS count, sha256(max(event_type)) AS digest FROM events GROUP BY 1), a AS (SELECT user_id, count(*) + (user_id % 3) - 1 AS auth_count, sha256(CASE WHEN user_id % 4 = 0 THEN 'x' ELSE max(event_type) END) AS auth_digest FROM events WHERE user_id % 5 <> 0 GROUP BY 1)
+SELECT user_id, CASE WHEN auth_count IS NULL THEN 'keep' WHEN count < auth_count THEN 'behind' WHEN count > auth_count THEN 'exceeds' WHEN digest = auth_digest THEN 'ok' ELSE 'mismatch' END AS verdict FROM h LEFT JOIN a USING (user_id)""")
+def compare_heads(spark, d):
+    e = load(spark, d, "events")
+    ours = e.groupBy("user_id").agg(F.count("*").alias("count"), F.sha2(F.max("event_type"), 256).alias("digest"))
+    last = F.when(F.col("user_id") % 4 == 0, "x").otherwise(F.max("event_type"))
+    authority = e.where("user_id % 5 <> 0").groupBy("user_id").agg((F.count("*") + F.col("user_id") % 3 - 1).alias("auth_count"), F.sha2(last, 256).alias("auth_digest"))
+    return chain.compare_heads(ours, authority, ["user_id"]).select("user_id", "verdict")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_custkey % 10 < 6 THEN 'FINALIZED' WHEN o_orderstatus = 'P' AND o_custkey % 10 < 9 THEN 'ORPHANED' ELSE {_STATUS_SQL} END AS status FROM orders")
+def verify_existence(spark, d):
+    known = load(spark, d, "customer").select(F.col("c_custkey").alias("asset"), F.when(F.col("c_custkey") % 10 < 9, F.col("c_custkey") % 10 < 6).alias("exists"))
+    return lifecycle.verify_existence(feedbacks(spark, d), known, "asset").select(F.col("id").alias("o_orderkey"), "status")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'missing' WHEN o_orderkey % 11 = 0 THEN 'extra' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0 OR o_orderkey % 7 <> 0 AND (o_orderkey % 11 = 0 OR o_orderkey % 13 = 0)")
+def compare_copies(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    left = o.where("o_orderkey % 7 <> 0")
+    right = o.where("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 13 == 0, -1.0).otherwise(F.col("o_totalprice")))
+    return reconcile.compare(left, right, ["o_orderkey"], ["o_totalprice"])
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS known FROM customer")
+def multi_get(spark, d):
+    o = load(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return reconcile.with_flag(load(spark, d, "customer").select("c_custkey"), o, ["c_custkey"], "known")
+
+
+@query("SELECT o_orderkey, epoch(max(l_shipdate) FILTER (l_returnflag = 'R'))::BIGINT AS revoked_at FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def revoked_at(spark, d):
+    r = load(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("at"))
+    return load(spark, d, "orders").select("o_orderkey").join(r, "o_orderkey", "left").select("o_orderkey", scalar.to_unix(F.col("at").cast("timestamp")).alias("revoked_at"))
+
+
+@query("SELECT count(*) FILTER (NOT l_quantity BETWEEN 1 AND 40) AS quantity, count(*) FILTER (NOT l_discount <= 0.05) AS discount FROM lineitem")
+def range_violations(spark, d):
+    return load(spark, d, "lineitem").agg(*scalar.violations({"quantity": F.col("l_quantity").between(1, 40), "discount": F.col("l_discount") <= 0.05}))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey >= 100 AND o_custkey < 500")
+def filtered(spark, d):
+    return load(spark, d, "orders").where(scalar.where(o_orderstatus_in=["F", "P"], o_orderkey_gte=100, o_custkey_lt=500, o_orderpriority=None)).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, '#' || lpad(o_orderkey::VARCHAR, CASE WHEN o_orderkey < 1000 THEN 3 WHEN o_orderkey < 10000 THEN 4 WHEN o_orderkey < 100000 THEN 5 ELSE greatest(6, length(o_orderkey::VARCHAR)) END::INTEGER, '0') AS label, rtrim(rtrim(format('{}.{:03d}', o_orderkey // 1000, o_orderkey % 1000), '0'), '.') AS value FROM orders")
+def value_texts(spark, d):
+    k = F.col("o_orderkey")
+    return load(spark, d, "orders").select("o_orderkey", scalar.format_id(k).alias("label"), scalar.normalize_value(k.cast("string"), F.lit(3)).alias("value"))
+
+
+@query("SELECT page_id, CASE WHEN octet_length(encode(html)) > 4000 THEN 'oversize' ELSE 'ok' END AS status, sha256(html) AS sha256 FROM pages")
+def digest_documents(spark, d):
+    status = F.when(F.octet_length("html") > 4000, "oversize").otherwise("ok")
+    return load(spark, d, "pages").select("page_id", status.alias("status"), F.sha2("html", 256).alias("sha256"))
+
+
+@query("SELECT user_id, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+def pivot_keys(spark, d):
+    return rollups.pivot_keys(load(spark, d, "events"), "user_id", "event_type", F.col("value"), ["click", "view"])
+
+
+@query("SELECT o_custkey, count(*) AS n, epoch(max(o_orderdate))::BIGINT AS last_activity FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1")
+def last_activity(spark, d):
+    o = load(spark, d, "orders").where("o_orderstatus <> 'O'")
+    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), scalar.to_unix(F.max("o_orderdate").cast("timestamp")).alias("last_activity"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
