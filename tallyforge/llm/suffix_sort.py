@@ -124,6 +124,13 @@ def deep_shallow_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = _words(strings)
     order, equal = multikey_quicksort(words)
+    within: list[tuple[int, list[int]]] = []
+    for lo, hi in equal:
+        trie = BlindTrie(strings)
+        for i in order[lo:hi].tolist():
+            trie.insert(i)
+        order[lo:hi], shared = trie.walk()
+        within.append((lo, shared))
     common = np.zeros(n, np.int64)
     # neighbours that part within the shallow bytes
     a, b = words[order[:-1]], words[order[1:]]
@@ -135,10 +142,6 @@ def deep_shallow_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lead += (x >> np.uint64(8 * k)) == 0
     size = np.array([len(s) for s in strings], np.int64)
     common[1:] = np.where(differ.any(axis=1), np.minimum(column * 8 + lead, np.minimum(size[order[:-1]], size[order[1:]])), 0)
-    for lo, hi in equal:
-        trie = BlindTrie(strings)
-        for i in order[lo:hi].tolist():
-            trie.insert(i)
-        order[lo:hi], shared = trie.walk()
-        common[lo + 1 : hi] = shared[1:]
+    for lo, shared in within:
+        common[lo + 1 : lo + len(shared)] = shared[1:]
     return order, common
