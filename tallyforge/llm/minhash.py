@@ -9,8 +9,8 @@
    differ; pairs far below the threshold go. So do pairs whose whole sets,
    folded into parities alike, differ in more bits than the threshold allows
    shingles. The others' full sets are compared.
-3. The links give components. In buckets whose members are in more than one
-   component, PIVOTS rounds draw another member of each bucket by a hash, and
+3. The links give components. If a bucket whose members are in more than one
+   component holds more than CELL, up to PIVOTS rounds draw another member of each bucket by a hash, and
    compare each member of another component with the nearest one it met. What is still apart then is gone
    through pair by pair, by sketch and by full sets. After that no pair that
    shares a bucket can lack a link that would change the components, and pairs
@@ -43,7 +43,7 @@ SLACK = 0.25
 #: Rounds in which a bucket's members of other components are paired with one member, drawn by a hash.
 PIVOTS = 1
 #: Members of a bucket that one cell of the last round pairs with another's.
-CELL = 512
+CELL = 4096
 #: Ids, of 8 bytes each, that may be broadcast.
 BROADCAST = 500_000
 #: Members that a task of the last round takes together, about.
@@ -259,14 +259,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         chosen = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("c").alias("ca")))
         split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), chosen.alias("p")).where("lo != hi").select("key", "p.a", "p.ca")
         open_ = checkpoint(named.join(split, "key"))
-        if open_.isEmpty():
+        largest = open_.agg(F.max("m")).first()[0]
+        if largest is None:
             break
-        if turn < PIVOTS:
+        last = turn == PIVOTS or largest <= CELL
+        if not last:
             more = linked(open_.where("c != ca").select("a", F.col("id").alias("b")), nearest=True)
         else:
             more = checkpoint(confirm(_across(open_, mates, percent), docs, width, percent))
         links = links.unionByName(more)
         roots = components(links)
+        if last:
+            break
 
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["n_shingles", "f1", "f2"], "left")
