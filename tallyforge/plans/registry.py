@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar
-from ..operators import chain, fold, ids, lifecycle, paging, reconcile, rollups, tree
+from ..functions import hashes, scalar
+from ..operators import chain, events, fold, ids, lifecycle, paging, projections, proofs, reconcile, rollups, tree
 from ..sources.tables import load
 
 STATUS = {"P": "PENDING", "F": "FINALIZED", "O": "ORPHANED"}
@@ -279,6 +279,104 @@ def last_activity(spark, d):
     return o.groupBy("o_custkey").agg(F.count("*").alias("n"), scalar.to_unix(F.max("o_orderdate").cast("timestamp")).alias("last_activity"))
 
 
+def _raw(spark, d) -> DataFrame:
+    """Customers register, orders are their feedback, returned lineitems revoke it, as raw events."""
+    place = {"tx_index": F.lit(0), "event_ordinal": F.lit(None).cast("int")}
+    text = lambda c: F.col(c).cast("string")
+    digest = lambda *c: F.sha2(F.concat_ws(":", *c), 256)
+    c = load(spark, d, "customer").select(F.lit("AgentRegistered").alias("name"), F.to_json(F.struct(text("c_custkey").alias("asset"), text("c_nationkey").alias("collection"), F.col("c_name").alias("owner"), F.col("c_mktsegment").alias("agentUri"))).alias("data"), F.concat(F.lit("c"), "c_custkey").alias("tx_signature"), F.lit(0).cast("long").alias("slot"))
+    o = load(spark, d, "orders").select(F.lit("UriUpdated").alias("name"), F.to_json(F.struct(text("o_custkey").alias("asset"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).otherwise("").alias("newUri"), F.col("o_orderstatus").alias("updatedBy"))).alias("data"), F.concat(F.lit("o"), "o_orderkey").alias("tx_signature"), F.col("o_orderkey").alias("slot"))
+    v = load(spark, d, "lineitem").select(F.lit("ValidationRequested").alias("name"), F.to_json(F.struct(text("l_orderkey").alias("asset"), text("l_suppkey").alias("validatorAddress"), F.when(F.col("l_linenumber") != 6, text("l_linenumber")).alias("nonce"), digest("l_orderkey", "l_linenumber").alias("requestHash"), F.col("l_returnflag").alias("requester"))).alias("data"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("tx_signature"), F.col("l_orderkey").alias("slot"))
+    rows = c.unionByName(o).unionByName(v)
+    return rows.select("*", *[v.alias(k) for k, v in place.items()])
+
+
+@query("SELECT l_returnflag AS requester, l_linenumber <> 6 AS ok, count(*) AS n, sum(CASE WHEN l_linenumber <> 6 THEN l_linenumber END)::BIGINT AS nonces, max(sha256(l_orderkey || ':' || l_linenumber)) AS top FROM lineitem GROUP BY 1, 2")
+def typed_events(spark, d):
+    rows = events.typed(_raw(spark, d), "ValidationRequested")
+    return rows.groupBy("requester", "ok").agg(F.count("*").alias("n"), F.sum("nonce").cast("long").alias("nonces"), F.lower(F.hex(F.max("request_hash"))).alias("top"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS asset, c_name AS owner, c_nationkey::VARCHAR AS collection, CASE WHEN o.asset IS NULL THEN nullif(c_mktsegment, '') ELSE nullif(o.uri, '') END AS uri
+FROM customer LEFT JOIN (SELECT o_custkey AS asset, arg_max(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority ELSE '' END, o_orderkey) AS uri FROM orders GROUP BY 1) o ON asset = c_custkey""")
+def project_agents(spark, d):
+    raw = _raw(spark, d)
+    of = lambda kind: events.typed(raw, kind).where("ok")
+    none = lambda kind: of(kind).where("false")  # noqa: E731  # kinds that the tables don't hold
+    got = projections.agents(of("AgentRegistered"), none("AgentOwnerSynced"), none("AtomEnabled"), of("UriUpdated"), none("WalletUpdated"), none("WalletResetOnOwnerSync"), none("ParentAssetSet"))
+    return got.select("asset", "owner", "collection", "uri")
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber FROM lineitem WHERE l_linenumber <> 6), t AS (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber, TRUE AS told FROM lineitem WHERE l_linestatus = 'F')
+SELECT CASE WHEN told THEN 'RESPONDED' ELSE 'PENDING' END AS status, count(*) AS n FROM r FULL JOIN t USING (l_orderkey, l_suppkey, l_linenumber) GROUP BY 1""")
+def project_validations(spark, d):
+    place = [F.lit(0).alias("tx_index"), F.lit(0).alias("event_ordinal"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("tx_signature"), F.col("l_orderkey").alias("slot")]
+    key = [F.col("l_orderkey").cast("string").alias("asset"), F.col("l_suppkey").cast("string").alias("validator_address"), F.col("l_linenumber").cast("decimal(20,0)").alias("nonce")]
+    told = load(spark, d, "lineitem").where("l_linestatus = 'F'").select(*key, *place, F.col("l_tax").alias("response"), F.lit("").alias("response_uri"), F.lit("").alias("response_hash"), F.col("l_returnflag").alias("tag"))
+    return projections.validations(events.typed(_raw(spark, d), "ValidationRequested").where("ok"), told).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_F}, p AS (SELECT asset, tag1, min(id) AS first_seen, max(id) AS last_seen FROM f GROUP BY 1, 2), h AS (SELECT asset, arg_max(tag1, id) AS tag1 FROM f GROUP BY 1) SELECT p.tag1 AS col, (p.asset % 50)::VARCHAR AS creator, min(first_seen) AS first_seen_slot, max(last_seen) AS last_seen_slot, count(h.asset) AS asset_count FROM p LEFT JOIN h USING (asset, tag1) GROUP BY 1, 2")
+def project_pointers(spark, d):
+    f = feedbacks(spark, d).select("asset", F.col("tag1").alias("col"), F.lit(None).cast("boolean").alias("lock"), F.col("id").alias("slot"), F.lit(0).alias("tx_index"), F.lit(0).alias("event_ordinal"), F.lit("").alias("tx_signature"))
+    known = load(spark, d, "customer").select(F.col("c_custkey").alias("asset"), F.lit(None).cast("string").alias("creator"), (F.col("c_custkey") % 50).cast("string").alias("owner"))
+    return projections.pointers(known, f)[1]
+
+
+@query("""WITH l AS (SELECT user_id, event_id, event_type = (SELECT min(event_type) FROM events) AS gone, event_id % 13 = 0 AS fixed FROM events), c AS (SELECT user_id, max(event_id) FILTER (gone) AS cut FROM l GROUP BY 1),
+v AS (SELECT l.* FROM l JOIN c USING (user_id) WHERE NOT gone AND (cut IS NULL OR event_id > cut)), s AS (SELECT user_id, min(event_id) FILTER (fixed) AS stop FROM v GROUP BY 1)
+SELECT user_id, max(event_id) AS value, bool_or(fixed) AS immutable FROM v JOIN s USING (user_id) WHERE stop IS NULL OR event_id <= stop GROUP BY 1""")
+def metadata_state(spark, d):
+    e = load(spark, d, "events")
+    kind = e.agg(F.min("event_type").alias("kind"))  # one row
+    ops = e.join(F.broadcast(kind)).select("user_id", "event_id", F.when(F.col("event_type") == F.col("kind"), "delete").otherwise("set").alias("op"), F.col("event_id").alias("value"), (F.col("event_id") % 13 == 0).alias("immutable"))
+    return fold.metadata_state(ops, ["user_id"], F.col("event_id"))
+
+
+@query("SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS event_ordinal FROM orders")
+def event_ordinals(spark, d):
+    tx = load(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("events"))
+    return events.with_ordinal(tx).select(F.col("event").alias("o_orderkey"), "o_custkey", "event_ordinal")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_linestatus = 'O'), h AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_quantity > 20 AND l_linestatus = 'O')
+SELECT coalesce(CASE WHEN e.l_suppkey % 3 = 0 THEN FALSE END, h.l_tax > 0.04) AS lock, count(*) AS n FROM e LEFT JOIN h USING (l_orderkey, l_returnflag, n) GROUP BY 1""")
+def lock_hints(spark, d):
+    rows = load(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("tx_signature"), F.col("l_returnflag").alias("kind"), F.struct("l_linenumber", "l_partkey").alias("event_ordinal"), F.when(F.col("l_suppkey") % 3 == 0, False).alias("lock"), "l_quantity", "l_tax")
+    hints = rows.where("l_quantity > 20").select("tx_signature", "kind", F.col("event_ordinal").alias("position"), (F.col("l_tax") > 0.04).alias("lock"))
+    return events.with_lock_hints(rows, hints).groupBy("lock").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT program, sum(n)::BIGINT AS n FROM (SELECT 'P' || o_custkey % 7 AS program, 3 AS n FROM orders UNION ALL SELECT 'Q' || o_orderkey % 5, 3 FROM orders UNION ALL SELECT NULL, 1 FROM orders) GROUP BY 1""")
+def log_frames(spark, d):
+    p, q = F.concat(F.lit("Program P"), F.col("o_custkey") % 7), F.concat(F.lit("Program Q"), F.col("o_orderkey") % 5)
+    end = F.when(F.col("o_orderkey") % 2 == 0, " success").otherwise(" failed: x")
+    logs = F.array(F.lit("before"), F.concat(p, F.lit(" invoke [1]")), F.concat(q, F.lit(" invoke [2]")), F.lit("Program log: x"), F.concat(q, end), F.lit("Program data: y"), F.concat(p, F.lit(" success")))
+    return events.attribute_frames(load(spark, d, "orders").select("o_orderkey", logs.alias("logs"))).groupBy("program").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey % 10 AS g, count(*) FILTER (o_orderstatus = 'F') AS proved, count(*) AS n FROM orders GROUP BY 1")
+def proof_flag(spark, d):
+    keyed = load(spark, d, "orders").select("o_orderstatus", "o_custkey", F.concat(F.lit("t"), "o_orderkey").alias("tx_signature"), F.col("o_custkey").alias("asset"), F.lit("c").alias("client_address"), F.col("o_orderkey").alias("feedback_index"), F.md5(F.col("o_orderkey").cast("string")).alias("hash"))
+    got = proofs.flag(keyed, keyed.where("o_orderstatus = 'F'"))
+    return got.groupBy((F.col("o_custkey") % 10).alias("g")).agg(F.count_if("proved").alias("proved"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS back FROM documents")
+def base58_round_trip(spark, d):
+    """The digests of texts as base58 and back."""
+    raw = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return load(spark, d, "documents").select("doc_id", F.lower(F.hex(hashes.from_base58(hashes.base58(raw)))).alias("back"))
+
+
+@query()
+def keccak_leaves(spark, d):
+    """The hash of each feedback's leaf; tests hold the hash against known digests."""
+    of = lambda c: F.unhex(F.sha2(F.col(c).cast("string"), 256))
+    data = hashes.leaf("feedback", of("o_custkey"), of("o_orderpriority"), F.col("o_orderkey"), of("o_orderkey"), F.col("o_orderkey"))
+    return load(spark, d, "orders").select("o_orderkey", F.lower(F.hex(hashes.keccak256(data))).alias("leaf"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
