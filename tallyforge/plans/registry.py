@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes, scalar
-from ..operators import chain, events, fold, ids, lifecycle, paging, projections, proofs, reconcile, rollups, tree
+from ..operators import chain, events, fold, ids, lifecycle, paging, projections, proofs, reconcile, registrations, rollups, tree
 from ..sources.tables import load
 
 STATUS = {"P": "PENDING", "F": "FINALIZED", "O": "ORPHANED"}
@@ -377,6 +377,45 @@ def keccak_leaves(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.lower(F.hex(hashes.keccak256(data))).alias("leaf"))
 
 
+@query("""WITH k AS (SELECT o_custkey, ['mcp', 'a2a', 'ens', 'sns', 'wallet', 'other', 'oasf'][o_orderkey % 7 + 1] AS kind, o_orderkey % 7 AS n, o_orderkey % 3 AS form FROM orders)
+SELECT kind, count(*) AS n FROM k WHERE n <> 5 AND ((form = 0 AND n IN (0, 1, 6)) OR (form = 1 AND n IN (2, 3)) OR (form = 2 AND n = 4)) GROUP BY 1""")
+def service_kinds(spark, d):
+    """The kinds of the valid services; each order states one, in one of three forms of endpoint."""
+    key = F.col("o_orderkey")
+    kind = F.get(F.array(*[F.lit(k) for k in ("MCP", "a2a", "ens", "sns", "wallet", "other", "oasf")]), (key % 7).cast("int"))
+    end = F.when(key % 3 == 0, F.concat(F.lit("https://a.b/"), key)).when(key % 3 == 1, F.concat(F.lit("n"), key, F.lit(".sol"))).otherwise(F.concat(F.lit("eip155:1:0x"), F.lpad(key.cast("string"), 40, "0")))
+    made = F.to_json(F.array(F.struct(kind.alias("name"), end.alias("endpoint"))))
+    rows = load(spark, d, "orders").select(F.explode(registrations.sanitize_services(made)).alias("s"))
+    return rows.groupBy(F.col("s.name").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey AS asset, c_name AS name, c_custkey % 2 = 0 AS active, CASE WHEN c_custkey % 3 = 0 THEN 'https://m/' || c_custkey END AS mcp_endpoint,
+CASE WHEN c_custkey % 3 = 1 THEN 'own' || c_nationkey WHEN c_custkey % 5 <> 0 THEN 'old' END AS skill, c_custkey % 3 = 1 OR c_custkey % 5 <> 0 AS has_oasf FROM customer""")
+def registration_files(spark, d):
+    key = F.col("c_custkey")
+    service = F.when(key % 3 == 0, F.concat(F.lit('[{"name":"MCP","endpoint":"https://m/'), key, F.lit('"}]'))).when(key % 3 == 1, F.concat(F.lit('[{"type":"oasf","skills":["own'), "c_nationkey", F.lit('"]}]')))
+    fields = {"_uri:name": F.col("c_name"), "_uri:active": F.when(key % 2 == 0, "1").otherwise("False"), "_uri:services": service, "_uri:skills": F.when(key % 5 != 0, '["old"]')}
+    entries = F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*fields.values()))
+    rows = load(spark, d, "customer").select(key.alias("asset"), F.explode(entries).alias("key", "value")).where("value IS NOT NULL")
+    return registrations.registration_files(rows).select("asset", "name", "active", "mcp_endpoint", F.get("oasf_skills", F.lit(0)).alias("skill"), "has_oasf")
+
+
+@query("""SELECT o_orderkey AS asset, 'c1:' || o_custkey AS canonical_col FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0
+WHERE c_custkey IS NULL OR c_custkey % 4 = 1 OR c_acctbal < 1000""")
+def collections_to_refresh(spark, d):
+    agents = load(spark, d, "orders").select(F.col("o_orderkey").alias("asset"), F.concat(F.lit("c1:"), "o_custkey").alias("canonical_col"), F.lit(None).cast("string").alias("creator"), F.lit("o").alias("owner"))
+    key = F.col("c_custkey")
+    status = F.when(key % 4 == 1, "error").otherwise("ok")
+    pointers = load(spark, d, "customer").where(key % 4 != 0).select(F.concat(F.lit("c1:"), key).alias("col"), F.lit("o").alias("creator"), status.alias("metadata_status"), F.col("c_acctbal").alias("metadata_updated_at"), F.lit(1000).alias("last_seen_at"))
+    return registrations.collections_to_refresh(agents, pointers)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://ipfs.io/ipfs/' || url WHEN page_id % 3 = 1 THEN 'https://arweave.net/' || url WHEN url LIKE 'https://%' THEN url END AS fetched FROM pages")
+def fetch_urls(spark, d):
+    uri = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("ipfs://"), "url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("ar://"), "url")).otherwise(F.col("url"))
+    return load(spark, d, "pages").select("page_id", registrations.fetch_url(uri).alias("fetched"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
