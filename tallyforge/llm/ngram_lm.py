@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import arrays, elias_fano
 from .common import crc_mod, fresh_folder, mix_int, slices, utf8, word_hashes
 
-ORDER = 2
+ORDER = 3
 MU = 2.0
 #: n-grams (with repeats) that a shard of a level holds, about.
 SHARD = 2_000_000

@@ -194,6 +194,26 @@ def test_ngram_scores(spark, order):
         assert got[i]["n_known"] == sum(c1[w] > 0 for w in s[1:]) and got[i]["train_tokens"] == n
 
 
+def test_ngram_query_uses_trigrams(spark, tmp_path):
+    texts = ["a b c d b e " * 10 if k % 3 else "d b e a b c " * 9 for k in range(60)]
+    frame(spark, [(i, t, "a") for i, t in enumerate(texts)]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in ngram_lm.op8_ngram_lm(spark, str(tmp_path)).collect()}
+    tok = lambda t: words(t) + ["</s>"]
+    train = [t for i, t in enumerate(texts) if not got[i]["held_out"]]
+    assert 0 < len(train) < len(texts) == len(got)
+    c1 = collections.Counter(w for t in train for w in tok(t))
+    c2 = collections.Counter(p for t in train for p in zip(["<s>", *tok(t)], tok(t)))
+    c3 = collections.Counter(p for t in train for p in zip(["<s>", *tok(t)], tok(t), tok(t)[1:]))
+    n, v, mu = sum(c1.values()), len(c1), ngram_lm.MU
+    p2 = lambda a, w: (c2[a, w] + mu * (c1[w] + 0.1) / (n + 0.1 * (v + 1))) / ((len(train) if a == "<s>" else c1[a]) + mu)
+    p3 = lambda a, b, w: (c3[a, b, w] + mu * p2(b, w)) / (c2[a, b] + mu)
+    for i, t in enumerate(texts):
+        s = ["<s>", *tok(t)]
+        short = sum(math.log10(p2(a, b)) for a, b in zip(s, s[1:]))
+        want = math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))
+        assert abs(got[i]["score"] - want) < 0.03 * len(s) < abs(got[i]["score"] - short)
+
+
 def test_top_k_brute_force(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(0, 1, (230, 24)).astype(np.float32)
