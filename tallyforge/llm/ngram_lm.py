@@ -105,8 +105,8 @@ class Level:
         part = lambda p: elias_fano.EliasFano({b: got[f"{p}_{b}"] for b in ("low", "words", "ones", "shape")})
         return part("pointer"), part("word"), got["prob"], got["backoff"], int(got["base"][0])
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entry (-1: none), log10 probability and log10 backoff of sorted keys context * size + word."""
+    def find(self, keys: np.ndarray, logs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entry (-1: none), log10 probability and log10 backoff (zeros without logs) of sorted keys context * size + word."""
         entry, prob, backoff = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         cuts = np.searchsorted(keys, np.r_[self.first, np.iinfo(np.int64).max])
         for k in range(len(self.first)):
@@ -121,6 +121,8 @@ class Level:
             at = word.find(np.where(inside, keys[a:b] - base * self.size, 0), begin, end)
             hit = at >= 0
             entry[a:b] = np.where(hit, at + self.starts[k], -1)
+            if not logs:
+                continue
             at = np.maximum(at, 0)
             prob[a:b] = np.where(hit, p[at] * -STEP, 0.0)
             backoff[a:b] = np.where(hit, o[at] * -STEP, 0.0)
@@ -277,17 +279,25 @@ def _ids(vocabulary: Vocabulary, part: pa.RecordBatch) -> tuple[np.ndarray, np.n
     return ids[back], counts[back], starts
 
 
+def _before(entries: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
+    """The entry that ends before each token; `first` where a text begins."""
+    out = np.r_[-1, entries[:-1]][: len(entries)]
+    out[starts[:-1]] = first
+    return out
+
+
+def _joined(context: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """The key of the n-gram of each context and token; -1 if one of them isn't known."""
+    return np.where((context >= 0) & (ids >= 0), context * size + ids, -1)
+
+
 def _keys(levels: list[Level], ids: np.ndarray, starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """The key of the n-gram that ends in each token; -1 if it or its context isn't known, or the text begins too late for it."""
-    begin = np.zeros(len(ids), dtype=bool)
-    begin[starts[:-1]] = True
-    context = np.r_[-1, ids[:-1]][: len(ids)]
-    context[begin] = size  # the begin of a text is a word of its own
+    context = _before(ids, starts, size)  # the begin of a text is a word of its own
     for level in levels[: n - 2]:
-        kinds, back = np.unique(np.where((context >= 0) & (ids >= 0), context * size + ids, -1), return_inverse=True)
-        context = np.r_[-1, level.find(kinds)[0][back][:-1]][: len(ids)]
-        context[begin] = -1
-    return np.where((context >= 0) & (ids >= 0), context * size + ids, -1)
+        kinds, back = np.unique(_joined(context, ids, size), return_inverse=True)
+        context = _before(level.find(kinds, logs=False)[0][back], starts, -1)
+    return _joined(context, ids, size)
 
 
 def train(texts: DataFrame, order: int = ORDER, rows: int | None = None) -> Model:
@@ -402,9 +412,11 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 total[begin] = model.texts
                 # what a context costs that lacks the token; nothing if the context itself isn't known
                 cost = np.log10(MU / (total + MU))
+                context = _before(ids, starts, model.types)
                 for level in levels:
-                    kinds, back = np.unique(_keys(levels, ids, starts, model.types, level.n), return_inverse=True)
+                    kinds, back = np.unique(_joined(context, ids, model.types), return_inverse=True)
                     entry, prob, backoff = (x[back] for x in level.find(kinds))
+                    context = _before(entry, starts, -1)
                     logs = np.where(entry >= 0, prob, logs + cost)
                     cost = np.r_[0.0, np.where(entry >= 0, backoff, 0.0)[:-1]][: len(ids)]
                     cost[begin] = 0.0
