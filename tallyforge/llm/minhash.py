@@ -176,28 +176,60 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
 def _near_in_cell(c: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: np.ndarray, whole: np.ndarray, own: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the near pairs of different components: within a part's own cell, else of one part with the other."""
-    left, right = (np.arange(len(c)), np.arange(len(c))) if own else (np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()))
+    if own:  # those outside the cell's largest component with all
+        kinds, back, sizes = np.unique(c, return_inverse=True, return_counts=True)
+        most = kinds[sizes.argmax()]
+        left, right = np.flatnonzero(back != sizes.argmax()), np.arange(len(c))
+    else:
+        left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min())
     bits = lambda x, i, j: np.bitwise_count(x[i] ^ x[j]).sum(axis=-1, dtype=np.int64)
     found = []
     for at in range(0, len(left), 64):
         i, j = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
         keep = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         if own:
-            keep &= i < j
+            keep &= (i < j) | (c[j] == most)
         i, j = i[keep], j[keep]
         keep = (100 + percent) * bits(whole, i, j) <= (100 - percent) * (n[i] + n[j])
         i, j = i[keep], j[keep]
         keep = bits(sketch, i, j) <= most_different(percent / 100)
         found.append((i[keep], j[keep]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+
+def _dealt(open_: DataFrame) -> DataFrame:
+    """key, id, c, s (slice), x, y (cell), g (group) of the members of each bucket.
+
+    A bucket of CELL members is one cell. In a larger one the members outside
+    its largest component are cut into slices of about CELL, then those of the
+    largest, and a slice of the former meets every slice, itself included; no
+    cell holds two slices of the largest component. So k members outside it,
+    of m in all, make about k * m / CELL rows and m at least. A cell that may
+    hold more than CELL / 4 rows is a group of its own, of some 2 * CELL rows
+    at most; the rest share groups of about TOGETHER rows.
+    """
+    sizes = open_.groupBy("key", "c").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("top"))
+    sizes = checkpoint(sizes.select("key", "m", F.col("top.n").alias("n"), F.col("top.c").alias("most")))
+    small = F.col("m") <= CELL
+    few, many = F.when(small, 1).otherwise(F.ceil((F.col("m") - F.col("n")) / CELL)).cast("int"), F.when(small, 0).otherwise(F.ceil(F.col("n") / CELL)).cast("int")
+    sizes = sizes.select("key", "m", "most", few.alias("few"), many.alias("many"))
+    shared = sizes.where(F.col("m") <= CELL // 4).agg(F.sum("m")).first()[0] or 0
+    groups = max(1, -(-shared // TOGETHER))
+    aside = (F.col("m") > CELL) & (F.col("c") == F.col("most"))
+    of = lambda k: F.pmod(F.xxhash64("id"), F.greatest(k, F.lit(1))).cast("int")
+    dealt = open_.select("key", "id", "c").join(sizes, "key")
+    dealt = dealt.withColumn("s", F.when(aside, F.col("few") + of(F.col("many"))).otherwise(of(F.col("few"))))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.when(aside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    dealt = dealt.withColumns({"x": F.least("s", "t"), "y": F.greatest("s", "t")})
+    cell = F.xxhash64("key", "x", "y")
+    return dealt.select("key", "id", "c", "s", "x", "y", F.when(F.col("m") > CELL // 4, cell).otherwise(F.pmod(cell, F.lit(groups))).alias("g"))
 
 
 def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The near pairs of members of different components of each bucket, which is dealt out in cells of two parts of about CELL members."""
-    cells = F.ceil(F.col("m") / CELL).cast("int")
-    dealt = open_.withColumn("s", F.pmod(F.xxhash64("id"), cells).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), cells - 1)))
-    dealt = dealt.select("key", "id", "c", "s", F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y")).join(reps.select("id", "n", "sketch", "whole"), "id")
-    groups = max(1, -(-open_.count() // TOGETHER))
+    """The near pairs of members of different components of each bucket, which is dealt out in cells."""
+    dealt = _dealt(open_).join(reps.select("id", "n", "sketch", "whole"), "id")
 
     def pairs(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending")]).combine_chunks()
@@ -214,7 +246,6 @@ def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         one, two = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)))
     return checkpoint(dealt.groupBy("g").applyInArrow(pairs, "a long, b long").distinct())
 
 

@@ -106,6 +106,29 @@ def test_last_round_pairs():
     assert list(zip(i.tolist(), j.tolist())) == [(3, 7)]
 
 
+def test_last_round_deals_only_across_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 16)
+    monkeypatch.setattr(minhash, "TOGETHER", 40)
+    # one stray among 600; three components and strays; no large component; small buckets
+    buckets = {1: [0] * 600 + [1], 2: [0] * 90 + [1] * 30 + [2] * 20 + list(range(3, 23)), 3: list(range(50)), 4: [0] * 9 + [1], 5: [7, 8], 6: [0, 0, 5]}
+    open_ = spark.createDataFrame([(k, 1000 * k + i, 1000 * k + c) for k, cs in buckets.items() for i, c in enumerate(cs)], "key long, id long, c long")
+    rows = minhash._dealt(open_).collect()
+    assert sum(r["key"] == 1 for r in rows) <= 600 + 1 + 600 // 16 + 1
+    assert max(collections.Counter(r["g"] for r in rows).values()) <= 4 * 40
+    cells = collections.defaultdict(list)
+    for r in rows:
+        cells[r["key"], r["x"], r["y"]].append(r)
+    met = collections.Counter()
+    for (_, x, y), members in cells.items():
+        assert len({r["g"] for r in members}) == 1
+        met.update((min(a["id"], b["id"]), max(a["id"], b["id"])) for i, a in enumerate(members) for b in members[:i] if a["c"] != b["c"] and (x == y or a["s"] != b["s"]))
+    want = {(1000 * k + j, 1000 * k + i) for k, cs in buckets.items() for i in range(len(cs)) for j in range(i) if cs[i] != cs[j]}
+    assert set(met) == want and set(met.values()) == {1}
+    # all sketches equal: the last round finds each of these pairs
+    reps = open_.select("id", F.lit(10).cast("long").alias("n"), F.array_repeat(F.lit(3).cast("long"), 16).alias("sketch"), F.array_repeat(F.lit(5).cast("long"), 32).alias("whole"))
+    assert {(r["a"], r["b"]) for r in minhash._across(open_, reps, 80).collect()} == want
+
+
 def test_bpe_equals_library(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
     rnd = random.Random(7)
