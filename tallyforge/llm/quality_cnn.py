@@ -36,8 +36,11 @@ _SPAN = HALF * STRIDE
 
 
 def layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array of byte codes 1 to 256, each padded with 0 to whole halves, at least two; and their first halves."""
-    halves = [max(2, -(-len(t) // _SPAN)) for t in texts]
+    """All texts in one array of byte codes 1 to 256, each padded with 0 to whole halves, at least two, and a half of zeros behind it; and their first halves.
+
+    The last windows of a text's halves reach WIDTH - STRIDE bytes beyond them: into that half of zeros, not into the next text.
+    """
+    halves = [max(2, -(-len(t) // _SPAN)) + 1 for t in texts]
     first = np.cumsum([0, *halves])
     flat = np.zeros(int(first[-1]) * _SPAN + WIDTH, np.int16)
     for t, h in zip(texts, first[:-1], strict=True):
@@ -78,8 +81,8 @@ def _activations(flat: np.ndarray, n: int, p: dict) -> tuple[np.ndarray, np.ndar
 
 
 def _chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The left half of every chunk, and each document's first chunk."""
-    sizes = np.diff(first) - 1
+    """The left half of every chunk, and each document's first chunk; the half of zeros behind a document is in none."""
+    sizes = np.diff(first) - 2
     starts = np.cumsum(np.r_[0, sizes])
     left = np.arange(starts[-1]) + np.repeat(first[:-1] - starts[:-1], sizes)
     return left, starts[:-1]

@@ -269,6 +269,20 @@ def test_mix_takes_the_budget(spark):
     assert {r["source"]: r["n"] for r in mixed} == {k: r["taken"] for k, r in plan.items()}
 
 
+def test_quality_of_a_text_alone_and_in_batches(spark):
+    rnd = np.random.default_rng(4)
+    params = quality_cnn.initial(rnd)
+    params["cb"] -= 0.5  # few windows fire, so that one foreign one shows
+    texts = [rnd.integers(97, 123, n).astype(np.uint8) for n in (0, 1, 115, 116, 117, 127, 128, 240, 244, 245, 250, 255, 256, 384, 500, 512, 640) for _ in range(6)]
+    alone = np.array([quality_cnn.probabilities([t], params)[0] for t in texts])
+    for order in (np.arange(len(texts)), np.arange(len(texts))[::-1], rnd.permutation(len(texts))):
+        assert np.allclose(quality_cnn.probabilities([texts[i] for i in order], params), alone[order], rtol=0, atol=1e-5)
+    docs = frame(spark, [(i, t.tobytes().decode(), "a") for i, t in enumerate(texts)])
+    for parts in (1, 7):
+        got = {r["doc_id"]: r["score"] for r in quality_cnn.score(docs.repartition(parts), params).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], alone, rtol=0, atol=1e-5)
+
+
 def test_classifiers_on_held_out_rows():
     rnd = random.Random(9)
     clean = lambda: " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 8))) for _ in range(60))
