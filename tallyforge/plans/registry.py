@@ -184,6 +184,12 @@ def tree_lineage(spark, d):
     return tree.lineage(nodes.where("node % 5 = 0").select("node"), nodes).drop("path")
 
 
+@query(f"WITH RECURSIVE {_TREE}, t AS (SELECT node AS root, node, 0 AS depth FROM n UNION ALL SELECT t.root, n.parent, depth + 1 FROM t JOIN n ON n.node = t.node WHERE n.parent IS NOT NULL AND depth < 32) SELECT * FROM t")
+def tree_lineage_all(spark, d):
+    nodes = _nodes(spark, d)
+    return tree.lineage(nodes.select("node"), nodes).drop("path")
+
+
 @query("""WITH l AS (SELECT user_id, event_id, sha256(user_id || ':' || event_id || ':' || event_type) AS leaf FROM events), s AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN leaf ELSE sha256(unhex(coalesce(lag(leaf) OVER w, repeat('00', 32))) || unhex(leaf)) END AS x, row_number() OVER w - 1 AS pos FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, count(*) AS events, count(*) FILTER (event_id % 97 = 0) AS tampered FROM s GROUP BY 1""")
 def chain_tampered(spark, d):

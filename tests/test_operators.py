@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalar
 from tallyforge.operators import chain, fold, tree
+from tallyforge.plans import registry
 from tallyforge.streaming.fold import fold_stream
 
 
@@ -56,3 +57,15 @@ def test_stream_equals_batch(spark, tmp_path):
 
     last = max(int(v[1:]) for v in os.listdir(f"{tmp_path}/out"))
     assert {r["k"] for r in spark.read.parquet(f"{tmp_path}/out/v{last}").collect()} == {1, 2}
+
+
+def test_lineage_query_starts_from_every_customer(spark):
+    parents = {r["c_custkey"]: r["c_custkey"] // 7 or None for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey").collect()}
+    want = set()
+    for root in parents:
+        node, depth = root, 0
+        while node is not None:
+            want.add((root, node, depth))
+            node, depth = parents.get(node), depth + 1
+    got = registry.queries()["tree_lineage_all"](spark, "/root/testdata/sf0.001").select("root", "node", "depth").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
