@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: Bytes of text that one vectorised step holds at a time; a longer text makes a step of its own.
 STEP_BYTES = 1 << 21
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(made)
     return sc.getCheckpointDir() or made
@@ -52,6 +55,53 @@ def crc_mod(column: str, k: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % k, F.lit(0)).cast("int")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that df has no column of, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """A 64-bit hash of all columns of a row, nulls told apart from what is beside them; maps, which have none, as their entries in order."""
+    plain = lambda f: F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`")
+    return F.xxhash64(F.lit(seed), *[x for f in df.schema.fields for x in (plain(f), F.col(f"`{f.name}`").isNull())])
+
+
+def draw(rows: DataFrame, by: str, most: int) -> list[Row]:
+    """doc_id, text, `by` of at most `most` distinct rows of each value of `by`: those with the lowest hashes of id and text.
+
+    Hashes are uniform, so a class of n rows finds them below a share of
+    2 * most / n of all hashes; where repeated rows leave too few, the share
+    grows. No task reads a whole class. Rows with a null in any of the three
+    columns aren't drawn. What comes to the driver is bounded in rows for each
+    class, not in bytes: whole texts.
+    """
+    keys = ["_one", "_two"]
+    hashed = rows.select("doc_id", "text", by).dropna().withColumns({"_one": F.xxhash64("doc_id", "text"), "_two": F.xxhash64(F.lit(1), "text", "doc_id")})
+    share = {r[by]: min(1.0, 2 * most / r["count"]) for r in hashed.groupBy(by).count().collect()}
+    if not share:
+        return []
+    kind = hashed.select(by).schema.add("_share", "double")
+    while True:
+        cut = F.broadcast(rows.sparkSession.createDataFrame(list(share.items()), kind))
+        few = checkpoint(hashed.join(cut, by).where(F.col("_one") / float(1 << 63) < 2 * F.col("_share") - 1).select(by, *keys).dropDuplicates())
+        got = {r[by]: r["count"] for r in few.groupBy(by).count().collect()}
+        short = [c for c, s in share.items() if s < 1 and got.get(c, 0) < most]
+        if not short:
+            break
+        share.update({c: min(1.0, 16 * share[c]) for c in short})
+    picked = few.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).where(F.col("_k") <= most).select(by, *keys)
+    picked = rows.sparkSession.createDataFrame(picked.collect(), picked.schema)
+    drawn = hashed.join(F.broadcast(picked), [by, *keys], "left_semi").dropDuplicates([by, *keys])
+    return sorted(drawn.select("doc_id", "text", by).collect(), key=lambda r: (r["doc_id"], r["text"], r[by]))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of batch whose texts hold at most `most` bytes together, or one row."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -2,11 +2,13 @@
 
 A text's features are its byte n-grams (A-Z as a-z), hashed into BUCKETS rows
 of an embedding; the text is the mean of its rows, and a softmax over the
-languages follows. Training draws a bounded sample of labelled rows, cropped
-anew in each epoch; a part of it is kept back to fit a temperature, and the
-confidence below which a prediction is marked as not accepted. For scoring,
-the embedding times the softmax weights is one small table, and every n-gram
-of the whole text is looked up in it.
+languages follows. Training draws a bounded sample of labelled rows and cuts
+each whole text anew in each epoch into pieces of mixed lengths, every one of
+which is learnt from; a text's pieces weigh as much as one text. A part of the
+sample is kept back to fit a temperature, and the confidence below which a
+prediction is marked as not accepted. For scoring, the embedding times the
+softmax weights is one small table, and every n-gram of the whole text is
+looked up in it.
 """
 
 from __future__ import annotations
@@ -16,18 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, utf8
+from .common import crc_mod, draw, slices, unused, utf8
 
 BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (2, 3, 4)
-#: Labelled rows that training takes from each language, at most; which ones a hash of doc_id decides.
+#: Labelled rows that training takes from each language, at most; which ones a hash decides.
 PER_LANGUAGE = 400
-#: Languages that a model holds, at most: those with the most labelled rows.
-LANGUAGES = 500
+#: Lengths in bytes of the pieces that training cuts texts into.
+PIECES = (60, 200, 1000, 2000)
+#: Bytes of a text whose n-grams are held at a time.
+BLOCK = 1 << 20
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -45,12 +49,23 @@ class Model:
     accept: float
 
 
-def grams(text: np.ndarray) -> np.ndarray:
-    """The buckets of all n-grams of a text's bytes, with a space on either side."""
+def grams(text: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of a text's bytes, with a space on either side, from a block of the text at a time."""
     padded = np.full(len(text) + 5, 32, np.uint8)
     padded[1 : len(text) + 1] = _FOLD[text]
     four = np.ndarray(len(text) + 2, "<u4", padded.tobytes(), strides=(1,))
-    return np.concatenate([((four[: len(text) + 3 - n] & _MASK[n]) * _MULTIPLIER[n]) >> np.uint32(16) for n in ORDERS])
+    for at in range(0, len(text) + 1, BLOCK):
+        yield np.concatenate([((four[at : max(at, min(at + BLOCK, len(text) + 3 - n))] & _MASK[n]) * _MULTIPLIER[n]) >> np.uint32(16) for n in ORDERS])
+
+
+def mean_logits(text: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """The mean of the rows of a text's n-grams. Those of a long text are counted by bucket, so that memory doesn't grow with it."""
+    if len(text) < BUCKETS // len(ORDERS):
+        return np.take(logits, np.concatenate(list(grams(text))), axis=0).mean(axis=0, dtype=np.float64)
+    counts = np.zeros(BUCKETS, np.int64)
+    for found in grams(text):
+        counts += np.bincount(found, minlength=BUCKETS)
+    return (counts / counts.sum()) @ logits
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -58,7 +73,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
+def train(texts: list[bytes], langs: list[str], epochs: int = 3, rate: float = 0.5, seed: int = 5) -> Model:
     """A model of the languages in langs; every fifth row is kept back for the calibration."""
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -70,29 +85,32 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
     soft, bias = rng.normal(0, 0.5, (DIM, len(languages))), np.zeros(len(languages))
     arrays = [np.frombuffer(t, np.uint8) for t in texts]
 
-    def crop(i: int) -> np.ndarray:
-        a = arrays[i]
-        most = int(rng.choice([60, 200, 1000, 2000]))
-        at = int(rng.integers(0, max(1, len(a) - most + 1)))
-        return a[at : at + most]
+    def pieces(i: int) -> list[np.ndarray]:
+        size = len(arrays[i])
+        cuts = np.cumsum(rng.choice(PIECES, size // min(PIECES) + 1))
+        return np.split(arrays[i], cuts[cuts < size])
 
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):
-            g, n = np.unique(grams(crop(i)), return_counts=True)
-            share = (n / n.sum())[:, None]
-            x = (emb[g] * share).sum(axis=0)
-            err = _softmax(x @ soft + bias)
-            err[y[i]] -= 1
-            err *= min(weight[y[i]], 10.0)
-            back = soft @ err
-            soft -= step * np.outer(x, err)
-            bias -= step * 0.1 * err
-            emb[g] -= step * 20 * share * back
+            parts = pieces(i)
+            for part in parts:
+                g, n = np.unique(np.concatenate(list(grams(part))), return_counts=True)
+                share = (n / n.sum())[:, None]
+                x = (emb[g] * share).sum(axis=0)
+                err = _softmax(x @ soft + bias)
+                err[y[i]] -= 1
+                err *= min(weight[y[i]], 10.0) / len(parts)
+                back = soft @ err
+                soft -= step * np.outer(x, err)
+                bias -= step * 0.1 * err
+                emb[g] -= step * 20 * share * back
     logits = (emb @ soft).astype(np.float32)
-    z = np.array([logits[grams(crop(i))].mean(axis=0) + bias for i in held]) if len(held) else np.zeros((0, len(languages)))
+    # the calibration sees the first piece of each text, and the whole text
+    z = np.array([mean_logits(a, logits) + bias for i in held for a in (pieces(i)[0], arrays[i])]) if len(held) else np.zeros((0, len(languages)))
+    held = np.repeat(held, 2)
     best, loss = 1.0, np.inf
-    for t in np.geomspace(0.1, 10, 41) if len(held) else ():
+    for t in np.geomspace(0.5, 10, 31) if len(held) else ():
         now = -np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
         if now < loss:
             best, loss = float(t), now
@@ -101,14 +119,8 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
 
 
 def sample(docs: DataFrame, train_on) -> tuple[list[bytes], list[str]]:
-    """The training rows: of each language the PER_LANGUAGE with the smallest hashes of doc_id."""
-    rows = docs.where(train_on & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(top)).select("doc_id", "lang", F.row_number().over(first).alias("k")).where(F.col("k") <= PER_LANGUAGE)
-    ids = docs.sparkSession.createDataFrame(picked.select("doc_id").distinct().collect(), docs.select("doc_id").schema)
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("lang").isin(top) & F.col("text").isNotNull()).select("text", "lang", "doc_id")
-    found = sorted(got.collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    """The training rows: of each language PER_LANGUAGE distinct ones, drawn by a hash."""
+    found = draw(docs.where(train_on), "lang", PER_LANGUAGE)
     return [r["text"].encode() for r in found], [r["lang"] for r in found]
 
 
@@ -122,24 +134,25 @@ def identify(docs: DataFrame, model: Model | None, reject: bool = True) -> DataF
     """
     base = docs.drop("lang_pred", "score", "accepted")
     schema = base.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("accepted")).schema
-    base = base.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    (flag,) = unused(base, "letters")
+    base = base.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, at = utf8(part.column("text"))
                 names, scores = [], []
-                for i, letters in enumerate(part.column("_letters").to_pylist()):
+                for i, letters in enumerate(part.column(flag).to_pylist()):
                     if not letters or model is None:
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         continue
-                    z = np.take(model.logits, grams(data[at[i] : at[i + 1]]), axis=0).mean(axis=0, dtype=np.float64) + model.bias
+                    z = mean_logits(data[at[i] : at[i + 1]], model.logits) + model.bias
                     p = _softmax(z / model.temperature)
                     names.append(model.languages[int(p.argmax())])
                     scores.append(float(p.max()))
                 sure = [n != UNKNOWN and not (reject and s < model.accept) for n, s in zip(names, scores, strict=True)]
-                cols = {c: part.column(c) for c in part.schema.names if c != "_letters"}
+                cols = {c: part.column(c) for c in part.schema.names if c != flag}
                 yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "accepted": pa.array(sure, pa.bool_())})
 
     return base.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ averaged) over chunks of two halves, each chunk sharing a half with the next,
 so that chunks overlap and none of the text is left out. A layer of HIDDEN
 units sees each chunk, the document takes each unit's maximum over its chunks,
 and a logistic unit makes one probability of them. Training (Adam, balanced
-classes) runs on a bounded, documented sample of labelled rows.
+classes) runs on whole texts of a bounded, documented sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, utf8
+from .common import crc_mod, draw, slices, utf8
 
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 WIDTH, STRIDE = 16, 4
@@ -26,8 +26,6 @@ WIDTH, STRIDE = 16, 4
 HALF = 32
 #: Labelled rows that training takes from each class, at most; which ones a hash of doc_id decides.
 PER_CLASS = 800
-#: Bytes of a document that one training step looks at, from a place drawn anew in each epoch.
-CROP = 4096
 THRESHOLD = 0.3
 #: Filter positions computed at a time.
 BLOCK = 16_384
@@ -138,7 +136,7 @@ def _gradients(flat: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.nd
     return g
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 16, rate: float = 0.004, seed: int = 3) -> dict[str, np.ndarray]:
+def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 16, rate: float = 0.004, seed: int = 3) -> dict[str, np.ndarray]:
     """Parameters fitted to the labelled texts; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     p = initial(rng)
@@ -150,11 +148,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 1
         order = rng.permutation(len(arrays))
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
-            crops = []
-            for i in ids:
-                a = int(rng.integers(0, max(1, len(arrays[i]) - CROP + 1)))
-                crops.append(arrays[i][a : a + CROP])
-            g = _gradients(*layout(crops), y[ids], weight[ids], p)
+            g = _gradients(*layout([arrays[i] for i in ids]), y[ids], weight[ids], p)
             t += 1
             now = rate * (1 - epoch / epochs)
             for k in p:
@@ -165,28 +159,26 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 1
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], list[int]]:
-    """Of each class the labelled documents with the smallest hashes of doc_id, outside the held-out fifth."""
+    """Of each class the labelled documents with the smallest hashes of doc_id, outside the held-out fifth.
+
+    An id with both labels counts as label 0. Labels other than 0 and 1, null
+    ids and null texts take no part.
+    """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(crc_mod("doc_id", 5) != 0)
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # of the labels with a document at all
-    known = known.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
-    first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class).select("doc_id", "quality")
-    few = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    got = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    found = sorted(got.collect(), key=lambda r: (r["doc_id"], r["text"]))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    found = draw(docs.select("doc_id", "text").join(known, "doc_id"), "quality", per_class)
     return [r["text"].encode() for r in found], [r["quality"] for r in found]
 
 
-def score(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
-    """docs with score and predicted (columns of these names are replaced).
+def score(docs: DataFrame, params: dict[str, np.ndarray] | None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted, under the given names (columns of these names are replaced).
 
     Null counts as empty; an empty text is scored as padding alone. Without
     parameters (no labelled rows of both classes) every score is 1. Rows are
     independent of each other; whole texts are scored.
     """
-    base = docs.drop("score", "predicted")
-    schema = base.select("*", F.lit(0.0).alias("score"), F.lit(1).alias("predicted")).schema
+    base = docs.drop(*names)
+    schema = base.select("*", F.lit(0.0).alias(names[0]), F.lit(1).alias(names[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +186,7 @@ def score(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
                 data, at = utf8(part.column("text"))
                 got = probabilities([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], params) if params else np.ones(len(at) - 1)
                 cols = {c: part.column(c) for c in part.schema.names}
-                yield pa.RecordBatch.from_pydict(cols | {"score": got, "predicted": (got >= THRESHOLD).astype(np.int32)})
+                yield pa.RecordBatch.from_pydict(cols | {names[0]: got, names[1]: (got >= THRESHOLD).astype(np.int32)})
 
     return base.mapInArrow(run, schema)
 
