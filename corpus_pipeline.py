@@ -3,37 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm import minhash, mixing, quality_cnn, sentencepiece, suffix_dedup
-from tallyforge.llm.common import fresh_folder
+from tallyforge.llm.common import fresh_folder, unused
 
 #: SQL cannot express the classifier or the tokenizer.
 ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, trained on the labelled ones among them, accepts."""
+    """The documents that the classifier, trained on the labelled ones among them, accepts.
+
+    Columns all stay, whatever their names. A null or empty text is scored as
+    padding alone; repeated rows share their score; without labels of both
+    classes every document stays; an empty table stays empty.
+    """
     params = quality_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_cnn.score(docs, params).where("predicted = 1").select(*docs.columns)
+    names = unused(docs, "score", "predicted")
+    return quality_cnn.score(docs, params, names).where(F.col(names[1]) == 1).drop(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
+    """One document, the one with the smallest id, of each group of near-duplicates.
+
+    Texts without words have no duplicates and stay. Of rows that repeat an id,
+    and of rows without one, one of each group stays, as minhash.deduplicate() says.
+    """
     return minhash.deduplicate(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the passages that occur anywhere else."""
+    """The documents without the passages that occur anywhere else; null texts stay null, rows and columns all stay."""
     return suffix_dedup.strip(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them; those without words once, as they cost nothing."""
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each row the number of token ids, their hash, and that of the text they decode to."""
+    """Of each row the number of token ids, their hash, and that of the text they decode to; a null text counts as empty."""
     return sentencepiece.digest(docs, sentencepiece.default_model())
 
 

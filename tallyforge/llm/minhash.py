@@ -3,8 +3,9 @@
 1. Each text becomes its set of word shingles, K minimum hashes of the set,
    BANDS bucket keys of ROWS minima each, and an Odd Sketch: the minima hashed
    into a bitmap of BITS parities. Texts with the same set fall into one class,
-   by a 128-bit fingerprint, and only the class's smallest id goes on.
-2. In each bucket the members are paired with the smallest id alone. The
+   by its size and a 128-bit fingerprint, and only the class goes on, under a
+   number of its own. Classes that an id's rows have in common are linked.
+2. In each bucket the members are paired with the smallest number alone. The
    population count of the XOR of two sketches estimates how many minima
    differ; pairs far below the threshold go. So do pairs whose whole sets,
    folded into parities alike, differ in more bits than the threshold allows
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, slices, utf8, word_hashes
+from .common import checkpoint, mix, row_hash, slices, unused, utf8, word_hashes
 from .components import components
 
 ROWS, BANDS = 5, 40
@@ -118,31 +119,37 @@ def most_different(threshold: float) -> int:
     return math.ceil(BITS / 2 * (1 - math.exp(-2 * apart / BITS)))
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, whole array<long>"
+#: What names a class of texts with the same set.
+FINGERPRINT = ["n_shingles", "f1", "f2"]
+SIGNED = "n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, whole array<long>"
+
+
+def _fingerprints(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
+    total = lambda key: np.array([mix(s ^ np.uint64(key)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    return {"n_shingles": np.array([len(s) for s in sets], np.int64), "f1": total(0), "f2": total(0xA4093822299F31D0)}
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set size, fingerprint, band keys and Odd Sketch of each row."""
+    """The columns of docs but text, with set size, fingerprint, band keys and Odd Sketch of the text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(*utf8(part.column("text")), width)
-                size = np.array([len(s) for s in sets], np.int64)
-                full = np.flatnonzero(size)
+                full = np.flatnonzero([len(s) for s in sets])
                 least = np.array([minima(sets[i]) for i in full], np.uint32).reshape(len(full), K)
                 bands, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), BITS // 64), np.int64)
                 bands[full], sketch[full] = band_keys(least), odd_sketches(least)
-                one = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                two = np.array([mix(s ^ np.uint64(0xA4093822299F31D0)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 rows = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "n_shingles": size, "f1": one, "f2": two, "bands": rows(bands), "sketch": rows(sketch), "whole": rows(parities(sets))})
+                same = {c: part.column(c) for c in part.schema.names if c != "text"}
+                yield pa.RecordBatch.from_pydict(same | _fingerprints(sets) | {"bands": rows(bands), "sketch": rows(sketch), "whole": rows(parities(sets))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    kept = ", ".join(f"{c} {t}" for c, t in docs.drop("text").dtypes)
+    return docs.mapInArrow(run, f"{kept}, {SIGNED}")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and the full set of shingle hashes of each row."""
+    """The fingerprint and the full set of shingle hashes of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +157,9 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(*utf8(part.column("text")), width)
                 ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"id": part.column("doc_id").cast(pa.int64()), "hashes": pa.ListArray.from_arrays(ends, flat)})
+                yield pa.RecordBatch.from_pydict(_fingerprints(sets) | {"hashes": pa.ListArray.from_arrays(ends, flat)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, hashes array<long>")
+    return docs.select("text").mapInArrow(run, "n_shingles long, f1 long, f2 long, hashes array<long>")
 
 
 def _apart(a: str, b: str, bits: int = BITS) -> Column:
@@ -163,12 +170,17 @@ def _apart(a: str, b: str, bits: int = BITS) -> Column:
     return total
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have percent or more of their union in common."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    if ids.count() <= BROADCAST:  # few ids go to the texts; many meet them by a shuffle
-        ids = F.broadcast(ids)
-    sets = checkpoint(sets_of(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["id"]))
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets have percent or more of their union in common.
+
+    A class's set is that of a row with its smallest id; as an id may have
+    several texts, the fingerprint says which row it is.
+    """
+    asked = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id"))
+    few = asked.count() <= BROADCAST  # few ids go to the texts; many meet them by a shuffle
+    small = lambda x: F.broadcast(x) if few else x
+    texts = docs.join(small(asked.select(F.col("rep").alias("_rep")).distinct()), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    sets = checkpoint(sets_of(texts, width).join(small(asked.select("id", *FINGERPRINT)), FINGERPRINT).select("id", "hashes").dropDuplicates(["id"]))
     got = pairs.join(sets.withColumnsRenamed({"id": "b", "hashes": "hb"}), "b").join(sets.withColumnsRenamed({"id": "a", "hashes": "ha"}), "a")
     both = F.size(F.array_intersect("ha", "hb")).cast("long")
     return got.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
@@ -249,22 +261,26 @@ def _across(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return checkpoint(dealt.groupBy("g").applyInArrow(pairs, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text and any other columns).
+def _of_one_id(signed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, id (class) of the ids whose rows have more than one set; and links (a, b) that join an id's classes."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in FINGERPRINT for f in (F.min, F.max)]
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*ends)
+    several = several.where(" OR ".join(f"min_{c} <> max_{c}" for c in FINGERPRINT)).select("doc_id")
+    texts = signed.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", *FINGERPRINT).distinct()
+    texts = checkpoint(texts.join(classes, FINGERPRINT).select("doc_id", "id"))
+    first = texts.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return texts, texts.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
 
-    Texts are linked if their sets of `width`-word shingles (A-Z as a-z; fewer
-    words make one shingle) have at least percent % of their union in common;
-    component_id is the smallest doc_id reachable over links, and the row that
-    bears it is kept. Texts that are null, empty or without words have no
-    shingles and no links. Equal sets always link. A null doc_id can't name a
-    component: such a row has a null component_id and is kept. Rows that repeat
-    an id belong to one node, which has the links of all its texts as far as
-    the first of them confirms. An empty table gives an empty result.
-    """
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The columns of docs but text, with n_shingles, group (null: no words) and component_id; docs has doc_id, text and no column that signatures() makes."""
     signed = checkpoint(signatures(docs, width))
-    classes = checkpoint(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    mine = signed.where("n_shingles > 0").join(classes, ["n_shingles", "f1", "f2"]).where("doc_id = rep")
-    reps = checkpoint(mine.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch", "whole").dropDuplicates(["id"]))
+    texts = signed.where("n_shingles > 0")
+    # rows of a class have the same sketches; each task sends one row of it
+    reps = texts.groupBy(*FINGERPRINT).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "whole")])
+    reps = checkpoint(reps.withColumn("id", F.monotonically_increasing_id()).withColumn("n", F.col("n_shingles")))
+    classes = reps.select("id", "rep", *FINGERPRINT)
+    repeated, links = _of_one_id(signed, classes)
     members = reps.select("id", F.explode("bands").alias("key"))
     buckets = checkpoint(members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1"))
     side = lambda x: mates.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("whole").alias(f"w{x}"))
@@ -273,15 +289,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     near = few & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_apart("sa", "sb") <= most_different(percent / 100))
     crowded = checkpoint(members.join(buckets, "key"))
     # sketches of those that share a bucket at all
-    mates = checkpoint(reps.drop("bands").join(crowded.select("id").distinct(), "id", "left_semi"))
+    mates = checkpoint(reps.select("id", "n", "sketch", "whole").join(crowded.select("id").distinct(), "id", "left_semi"))
 
     def linked(pairs: DataFrame, nearest: bool = False) -> DataFrame:
         close = pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(near)
         if nearest:  # of the pivots that a member met
             close = close.groupBy("b").agg(F.min(F.struct(_apart("sa", "sb").alias("d"), F.col("a").alias("a"))).alias("p")).select("p.a", "b")
-        return checkpoint(confirm(checkpoint(close.select("a", "b")), docs, width, percent))
+        return checkpoint(confirm(checkpoint(close.select("a", "b")), docs, classes, width, percent))
 
-    links = linked(crowded.where("id != a").select("a", F.col("id").alias("b")))
+    links = links.unionByName(linked(crowded.where("id != a").select("a", F.col("id").alias("b"))))
     roots = components(links)
     # buckets of three and more whose members aren't one component yet
     crowded = crowded.where("m > 2").drop("a")
@@ -297,23 +313,68 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not last:
             more = linked(open_.where("c != ca").select("a", F.col("id").alias("b")), nearest=True)
         else:
-            more = checkpoint(confirm(_across(open_, mates, percent), docs, width, percent))
+            more = checkpoint(confirm(_across(open_, mates, percent), docs, classes, width, percent))
         links = links.unionByName(more)
         roots = components(links)
         if last:
             break
 
-    named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("_c"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["n_shingles", "f1", "f2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    least = roots.join(classes, "id").groupBy("component").agg(F.min("rep").alias("least"))
+    roots = roots.join(least, "component")
+    named = classes.join(roots, "id", "left").select(*FINGERPRINT, F.coalesce("component", "id").alias("group"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("_least"))
+    out = signed.drop("bands", "sketch", "whole").join(named, FINGERPRINT, "left")
+    own = F.coalesce("_least", "doc_id")
+    if not repeated.isEmpty():  # a row without words belongs to what its id's other rows belong to
+        other = repeated.join(classes.join(roots, "id", "left"), "id").groupBy("doc_id").agg(F.min(F.coalesce("least", "rep")).alias("_other"))
+        out, own = out.join(other, "doc_id", "left"), F.coalesce("_least", "_other", "doc_id")
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own)).drop("f1", "f2", "_least", "_other")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text and any other columns).
+
+    Texts are linked if their sets of `width`-word shingles (A-Z as a-z; fewer
+    words make one shingle) have at least percent % of their union in common;
+    component_id is the smallest doc_id reachable over links, and the rows that
+    bear it are kept. Texts that are null, empty or without words have no
+    shingles and no links. Equal sets always link. Rows that repeat an id are
+    one node, with the links of all their texts. A row without an id links
+    others, but has a null component_id, as a null names none, and is kept.
+    An empty table gives an empty result.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = _labelled(ids, width, percent).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with all their columns."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group of near_duplicates(), with all its columns; rows without words all stay.
+
+    The row with the smallest doc_id stays, null last; of several with that id
+    the one whose columns hash lowest; of equal rows one.
+    """
+    one, two, first, second = unused(docs, "row_one", "row_two", "other_one", "other_two")
+    hashed = docs.withColumns({one: row_hash(docs, 0), two: row_hash(docs, 1)})
+    same = (F.col(one) == F.col(first)) & (F.col(two) == F.col(second))
+    rows = _labelled(hashed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(one).alias("one"), F.col(two).alias("two")), width, percent)
+    rows = checkpoint(rows.where("group IS NOT NULL").select("group", "doc_id", "one", "two"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "one", "two")).alias("best")
+    groups = checkpoint(rows.groupBy("group").agg(best, F.count("*").alias("n")).where("n > 1").select("group", F.col("best.one").alias("b1"), F.col("best.two").alias("b2")))
+    rows = checkpoint(rows.join(groups, "group"))
+    named = lambda x: x.select(F.col("one").alias(first), F.col("two").alias(second))
+    gone = named(rows.where("one <> b1 OR two <> b2")).distinct()
+    # equal rows of which one stays
+    twice = checkpoint(rows.where("one = b1 AND two = b2").groupBy("one", "two").agg(F.count("*").alias("m")).where("m > 1"))
+    if twice.isEmpty():
+        return hashed.join(_sized(gone), same, "left_anti").drop(one, two)
+    single = hashed.join(_sized(gone.unionByName(named(twice))), same, "left_anti")
+    return single.unionByName(hashed.join(_sized(named(twice)), same, "left_semi").dropDuplicates([one, two])).drop(one, two)
+
+
+def _sized(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are few."""
+    keys = checkpoint(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import elias_fano, langid, minhash, mixing, ngram_lm, quality_cnn, quality_rules, sharding, suffix_dedup, suffix_sort, topk
 from tallyforge.llm import sentencepiece as sp
+from tallyforge.llm.common import draw
 from tallyforge.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -87,6 +88,40 @@ def test_near_duplicates_brute_force(spark):
     assert [got[i] for i in range(len(rows))] == comp
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rnd = random.Random(12)
+    text = lambda n: " ".join(f"w{rnd.randrange(10_000)}" for _ in range(n))
+    near = lambda t: t + " more"
+    a, b, c, d = (text(60) for _ in range(4))
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (7, c), (8, None), (8, near(c)), (3, ""), (None, d), (12, near(d)), (None, near(near(d))), (6, near(b)), (None, "alone"), (None, "alone"), (2, " ")]
+    docs = frame(spark, [(i, t, "a") for i, t in rows])
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["n_shingles"], r["kept"]) for r in minhash.near_duplicates(docs).collect()))
+    n = lambda t: max(len(words(t)) - 4, 1 if words(t) else 0)
+    root = {1: 1, 5: 1, 6: 1, 7: 7, 8: 7, 3: 3, 12: 12, 2: 2, None: 0}
+    assert got == sorted((i or 0, root[i], n(t), i is None or root[i] == i) for i, t in rows)
+    kept = minhash.deduplicate(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "7", "8", "3", "12", "None", "2"])
+    assert [r["text"] for r in kept if r["doc_id"] == 8] == [None] and len({r["text"] for r in kept if r["doc_id"] is None}) == 1
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of texts of 80 to 85 % similarity: all but one in a hundred at most are found."""
+    rnd = random.Random(13)
+    rows, pairs = [], 0
+    while pairs < 2000:
+        base = [f"w{rnd.randrange(10**9)}" for _ in range(rnd.randrange(40, 120))]
+        other = list(base)
+        for k in rnd.sample(range(len(base)), rnd.randrange(2, 7)):
+            other[k] = f"x{rnd.randrange(10**9)}"
+        a, b = (set(zip(x, x[1:])) for x in (base, other))
+        if 80 * len(a | b) <= 100 * len(a & b) <= 85 * len(a | b):
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, [(i, t, "a") for i, t in rows]), width=2).collect()}
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(pairs))
+    assert sum(got[2 * k + 1] == 2 * k for k in range(pairs)) >= 0.99 * pairs
+
+
 def test_sketches():
     rnd = np.random.default_rng(3)
     a = np.unique(rnd.integers(0, 1 << 62, 600).astype(np.uint64))
@@ -295,5 +330,78 @@ def test_classifiers_on_held_out_rows():
     en = lambda: " ".join(rnd.choice("the of and house way with not nice".split()) for _ in range(20))
     model = langid.train([f().encode() for _ in range(40) for f in (de, en)], ["de", "en"] * 40, epochs=3)
     for f, want in ((de, 0), (en, 1)):
-        z = np.take(model.logits, langid.grams(np.frombuffer(f().encode(), np.uint8)), axis=0).mean(axis=0) + model.bias
+        z = langid.mean_logits(np.frombuffer(f().encode(), np.uint8), model.logits) + model.bias
         assert int(z.argmax()) == want
+
+
+def test_language_scores_by_a_dictionary(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    logits = rnd.normal(0, 1, (langid.BUCKETS, 3)).astype(np.float32)
+    model = langid.Model(["de", "en", "fr"], logits, rnd.normal(0, 1, 3), 0.7, 0.5)
+    long = "".join(rnd.choice(list("abc dé"), 90_000).tolist())
+    texts = ["A", "Über alles", long, "12 34", "", None, "the end"]
+
+    def want(t):
+        b = b" " + bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode()) + b" "
+        got = collections.Counter(b[i : i + n] for n in langid.ORDERS for i in range(len(b) - n + 1))
+        multiplier = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
+        z = sum(n * logits[(int.from_bytes(g, "little") * multiplier[len(g)] % (1 << 32)) >> 16].astype(float) for g, n in got.items()) / sum(got.values()) + model.bias
+        e = [math.exp(x / 0.7) for x in z]
+        return model.languages[int(np.argmax(z))], max(e) / sum(e)
+
+    for block in (langid.BLOCK, 1000):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for i, t in enumerate(texts):
+            if t and t != "12 34":
+                z = langid.mean_logits(np.frombuffer(t.encode(), np.uint8), logits) + model.bias
+                assert abs(langid._softmax(z / 0.7).max() - want(t)[1]) < 1e-5
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        name, score = want(t) if t and t != "12 34" else ("und", 0.0)
+        assert got[i]["lang_pred"] == name and abs(got[i]["score"] - score) < 1e-5 and got[i]["accepted"] == (score >= 0.5)
+
+
+def test_draw_is_bounded_and_repeats(spark):
+    rows = [(i, f"t{i}", "en" if i % 3 else "de") for i in range(600)] + [(7, "t7", "en")] * 500 + [(None, "x", "en"), (1, None, "en"), (2, "y", None), (9, "only", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = draw(docs, "lang", 20)
+    assert collections.Counter(r["lang"] for r in got) == {"en": 20, "de": 20, "fr": 1} and len(set(got)) == 41
+    assert draw(docs.repartition(7), "lang", 20) == got and draw(docs.limit(0), "lang", 20) == []
+    assert len(draw(docs, "lang", 10_000)) == 601
+
+
+def test_network_by_loops():
+    """Every layer of the network once more, one text and one number at a time; and its gradients by differences."""
+    rnd = np.random.default_rng(11)
+    p = quality_cnn.initial(rnd)
+    texts = [rnd.integers(0, 256, n).astype(np.uint8) for n in (0, 5, 300, 517)]
+    got = quality_cnn.probabilities(texts, p)
+    for t, probability in zip(texts, got):
+        halves = max(2, -(-len(t) // 128))
+        code = np.zeros(halves * 128 + 16, int)
+        code[: len(t)] = t.astype(int) + 1
+        act = np.array([np.maximum(p["emb"][code[i * 4 : i * 4 + 16]].reshape(-1) @ p["conv"] + p["cb"], 0) for i in range(halves * 32)])
+        hidden = []
+        for k in range(halves - 1):
+            chunk = act[k * 32 : k * 32 + 64]
+            hidden.append(np.maximum(np.concatenate([chunk.max(axis=0), chunk.mean(axis=0)]) @ p["dense"] + p["db"], 0))
+        z = np.max(hidden, axis=0) @ p["out"] + p["ob"][0]
+        assert abs(probability - 1 / (1 + math.exp(-z))) < 1e-5
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    y, w = np.array([1, 0, 1, 0], np.float32), np.array([1.0, 2.0, 0.5, 1.0], np.float32)
+    flat, first = quality_cnn.layout(texts)
+    g = quality_cnn._gradients(flat, first, y, w, p)
+
+    def loss():
+        q = quality_cnn._forward(flat, first, p)["p"]
+        return -(w * (y * np.log(q) + (1 - y) * np.log(1 - q))).mean()
+
+    for key in p:
+        at = np.unravel_index(np.argmax(np.abs(g[key])), g[key].shape)
+        was = p[key][at]
+        p[key][at] = was + 1e-3
+        up = loss()
+        p[key][at] = was - 1e-3
+        down = loss()
+        p[key][at] = was
+        assert abs((up - down) / 2e-3 - g[key][at]) < 0.05 * abs(g[key][at]) + 1e-3, key
