@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from functools import lru_cache
 
@@ -35,17 +37,32 @@ def load(folder: str, name: str, keys: tuple[str, ...]) -> dict[str, np.ndarray]
     return {k: np.load(f"{path}/{name}.{k}.npy", mmap_mode="r") for k in keys}
 
 
+def exists(folder: str, name: str, key: str) -> bool:
+    store, path = fs.FileSystem.from_uri(folder)
+    return store.get_file_info(f"{path}/{name}.{key}.npy").type == fs.FileType.File
+
+
 @lru_cache(maxsize=4)
 def _own_folder(folder: str) -> str:
-    return tempfile.mkdtemp(prefix="arrays-")
+    made = tempfile.mkdtemp(prefix="arrays-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)  # with the worker
+    return made
 
 
 class SortedShards:
-    """64-bit hashes in sorted shards by their first bits, some of which may be missing."""
+    """64-bit hashes in sorted shards by their first bits; a shard without a file is empty. Only shards that are asked for are opened, OPEN of them at a time."""
+
+    OPEN = 256
+
+    def __init__(self, folder: str, bits: int, value: str):
+        self.folder, self.bits, self.value = folder, bits, value
+        self.shard = lru_cache(maxsize=self.OPEN)(self._shard)
 
-    def __init__(self, folder: str, bits: int, present: tuple[int, ...], value: str):
-        self.folder, self.bits, self.present, self.value = folder, bits, present, value
-        self.open: dict[int, dict[str, np.ndarray]] = {}
+    def _shard(self, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+        if not exists(self.folder, f"shard-{k}", self.value):
+            return None
+        got = load(self.folder, f"shard-{k}", ("hash", self.value))
+        return got["hash"], got[self.value]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The value of each hash, -1 for those that aren't there."""
@@ -53,20 +70,19 @@ class SortedShards:
         asked = hashes[order]
         got = np.full(len(hashes), -1, np.int64)
         top = asked >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(asked), np.uint64)
-        for k in self.present:
-            a, b = np.searchsorted(top, [k, k + 1])
-            if a == b:
+        edges = np.r_[np.flatnonzero(np.r_[True, top[1:] != top[:-1]]), len(top)] if len(top) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            pair = self.shard(int(top[a]))
+            if pair is None:
                 continue
-            if k not in self.open:
-                self.open[k] = load(self.folder, f"shard-{k}", ("hash", self.value))
-            known, value = self.open[k]["hash"], self.open[k][self.value]
+            known, value = pair
             at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
-            got[a:b] = np.where(known[at] == asked[a:b], value[at], -1)
+            got[a:b] = np.where(known[at] == asked[a:b], value[at].astype(np.int64), -1)
         out = np.empty(len(hashes), np.int64)
         out[order] = got
         return out
 
 
 @lru_cache(maxsize=4)
-def sorted_shards(folder: str, bits: int, present: tuple[int, ...], value: str) -> SortedShards:
-    return SortedShards(folder, bits, present, value)
+def sorted_shards(folder: str, bits: int, value: str) -> SortedShards:
+    return SortedShards(folder, bits, value)

@@ -9,9 +9,12 @@ deep-shallow sorting, and the common prefixes of neighbours tell, for each
 place d of a window before its anchor, which windows are equal: those that
 share d bytes to the left and LENGTH - d to the right.
 
-Copies of a whole text are found by its hash first and searched once. Anchors
-in more than HOT texts aren't sorted in one task: their windows are
-counted by hash, which Spark adds up in parts.
+Copies of a whole text are found by its hash first and searched once. The
+surroundings of an anchor in more than HOT texts aren't sorted in one task:
+they are split by the bytes that all windows of a range of d have in common, and
+each part is sorted by itself. What still shares all of those bytes in more
+than HOT different surroundings is split by the whole window, which leaves
+nothing to sort, only to count.
 """
 
 from __future__ import annotations
@@ -30,17 +33,18 @@ from .suffix_sort import deep_shallow_sort
 
 LENGTH = 200
 GRAM = 24
-#: Texts (counted twice if an anchor stands in them twice) whose occurrences of one anchor a task sorts at most.
+#: Texts (counted twice if an anchor stands in them twice) whose occurrences of one anchor, or part of it, a task sorts at most.
 HOT = 50_000
+#: Ranges of d by which a frequent anchor is split.
+RANGES = 8
 #: Occurrences that go to a task together, on average.
 TOGETHER = 15_000
 
-_PLACE_BITS = np.uint64(28)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows of a text."""
+    """Places of the anchors of all windows of a text, and hashes of their bytes, evenly spread."""
     reach = length - GRAM + 1  # grams in a window
     grams = len(text) - GRAM + 1
     if len(text) < length:
@@ -65,7 +69,36 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     low = (mask - (least[fresh] & mask)).astype(np.int64)
     at = fresh + ((low - fresh) & int(mask))
     at = np.unique(at)
-    return at, h[at]
+    # a window's smallest hash is small: mixed once more, it falls anywhere
+    return at, mix(h[at] ^ _C)
+
+
+def steady(text: np.ndarray, place: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors that stand for all: of those whose surroundings come again at equal steps, the first; and how far from it the last is.
+
+    So a text of one letter, with an anchor at every byte, has a few that stand
+    for all. The windows of such a run cover one another's ends, so together
+    they are one span.
+    """
+    alone = np.arange(len(place)), np.zeros(len(place), np.int64)
+    if len(place) < 2:
+        return alone
+    step = np.diff(place)
+    again = (anchor[1:] == anchor[:-1]) & (step <= length)
+    if again.sum() < 64:
+        return alone
+    joined = np.zeros(len(step), dtype=bool)
+    for s, n in zip(*np.unique(step[again], return_counts=True), strict=True):
+        if n < 16:
+            continue
+        differ = np.r_[0, np.cumsum(text[s:] != text[:-s])]
+        i = np.flatnonzero(again & (step == s) & (place[:-1] >= length) & (place[1:] + length <= len(text)))
+        joined[i] = differ[place[i] + length] == differ[place[i] - length]
+    # a pair that follows a run of another step begins anew
+    joined[1:] &= ~(joined[:-1] & (step[1:] != step[:-1]))
+    head = np.flatnonzero(np.r_[True, ~joined])
+    last = np.r_[head[1:], len(place)] - 1
+    return head, place[last] - place[head]
 
 
 def _ends(place: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,12 +132,13 @@ def _scan(texts: DataFrame, length: int) -> DataFrame:
 CONTEXT = "anchor long, left binary, right binary, members binary"
 
 
-def _contexts(texts: DataFrame, length: int, folder: str, bits: int, present: tuple[int, ...], hot: bool) -> DataFrame:
+def _contexts(texts: DataFrame, length: int, folder: str, bits: int, hot: bool) -> DataFrame:
     """For each anchor of a text that occurs elsewhere: the bytes before it, reversed, and those from it on, as far as a window reaches.
 
     Anchors of a batch with the same surroundings make one row; its members are
-    (h1, h2, place) as 64-bit numbers. Of the copies of a text that one task
-    reads, the first is enough: a second one of them counts nowhere.
+    h1, h2 and, as one number, the place and how far the same surroundings go on
+    at equal steps. Of the copies of a text that one task reads, the first is
+    enough: a second one of them counts nowhere.
     """
     schema = pa.schema([("anchor", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("members", pa.binary())])
 
@@ -112,7 +146,7 @@ def _contexts(texts: DataFrame, length: int, folder: str, bits: int, present: tu
         return pa.RecordBatch.from_pydict({"anchor": [k[0] for k in found], "left": [k[1] for k in found], "right": [k[2] for k in found], "members": [np.array(m, np.int64).tobytes() for m in found.values()]}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = arrays.sorted_shards(folder, bits, present, "hot")
+        shared = arrays.sorted_shards(folder, bits, "hot")
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "raw"):
@@ -122,19 +156,22 @@ def _contexts(texts: DataFrame, length: int, folder: str, bits: int, present: tu
                 for i, key in enumerate(keys):
                     if key not in seen:
                         seen.add(key)
-                        mine.append((i, *anchors(data[at[i] : at[i + 1]], length)))
+                        text = data[at[i] : at[i + 1]]
+                        place, anchor = anchors(text, length)
+                        head, reach = steady(text, place, anchor, length)
+                        mine.append((i, place[head], anchor[head], (place[head] << 32) + reach))
                 if not mine:
                     continue
                 kind = shared.find(np.concatenate([m[2] for m in mine]))
                 ends = np.cumsum([0, *(len(m[1]) for m in mine)])
                 found: dict[tuple, list[int]] = {}
-                for (i, place, anchor), a, b in zip(mine, ends[:-1], ends[1:], strict=True):
+                for (i, place, anchor, member), a, b in zip(mine, ends[:-1], ends[1:], strict=True):
                     take = kind[a:b] == int(hot)
                     if not take.any():
                         continue
                     raw = data[at[i] : at[i + 1]].tobytes()
-                    for p, h in zip(place[take].tolist(), anchor[take].view(np.int64).tolist(), strict=True):
-                        found.setdefault((h, raw[max(0, p - length + GRAM) : p][::-1], raw[p : p + length]), []).extend((*keys[i], p))
+                    for p, h, m in zip(place[take].tolist(), anchor[take].view(np.int64).tolist(), member[take].tolist(), strict=True):
+                        found.setdefault((h, raw[max(0, p - length + GRAM) : p][::-1], raw[p : p + length]), []).extend((*keys[i], m))
                     if len(found) >= 8192:
                         yield rows(found)
                         found = {}
@@ -183,32 +220,43 @@ class Windows:
 SPAN = "h1 long, h2 long, start long, end long"
 
 
+def _members(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All members, h1, h2, place, reach each; how many each row has; and how many occurrences, at most two for each member, those are."""
+    blobs = column.to_pylist()
+    sizes = np.array([len(m) // 24 for m in blobs], np.int64)
+    flat = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 3)
+    members = np.column_stack([flat[:, :2], flat[:, 2] >> 32, flat[:, 2] & 0xFFFFFFFF])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return members, sizes, sizes + np.bincount(row, members[:, 3] > 0, len(sizes)).astype(np.int64)
+
+
+def _spans(members: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    return {"h1": members[:, 0], "h2": members[:, 1], "start": members[:, 2] + start, "end": members[:, 2] + members[:, 3] + end}
+
+
 def covered(table: pa.Table, length: int) -> pa.Table:
     """The spans of all members of a table of whole anchors."""
-    sizes = np.array([len(m) // 24 for m in table.column("members").to_pylist()], np.int64)
-    found = Windows(table.column("anchor").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), sizes, length)
+    members, sizes, times = _members(table.column("members"))
+    found = Windows(table.column("anchor").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), times, length)
     who, start, end = found.runs(length)
-    members = np.frombuffer(b"".join(table.column("members").to_pylist()), np.int64).reshape(-1, 3)
     of = np.repeat(found.of, sizes)
     # each member takes the runs of its kind
     first, last = np.searchsorted(who, of), np.searchsorted(who, of, side="right")
     n = last - first
     m = np.repeat(np.arange(len(members)), n)
     run = np.arange(len(m)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    place = members[m, 2]
-    return pa.table({"h1": members[m, 0], "h2": members[m, 1], "start": place + start[run], "end": place + end[run]})
+    return pa.table(_spans(members[m], start[run], end[run]))
 
 
-def _shared_anchors(texts: DataFrame, length: int) -> tuple[str, int, tuple[int, ...], int, bool]:
-    """Writes the anchors that stand in two texts or at two places, in sorted shards: their folder, bits and shards, the occurrences, and whether any is hot.
+def _shared_anchors(texts: DataFrame, length: int, hot: int) -> tuple[str, int, int, bool]:
+    """Writes the anchors that stand in two texts or at two places, in sorted shards: their folder and bits, the occurrences, and whether any is hot.
 
     Copies of a text give the same (text, place) and don't make an anchor
     shared. Each task adds up its own rows first, so that a frequent anchor
-    sends one row from each; only the shards' names and sizes come back.
+    sends one row from each.
     """
-    spark = texts.sparkSession
-    folder = fresh_folder(spark, "anchors")
-    bits = max(0, (texts.count() // 16_384).bit_length())
+    folder = fresh_folder(texts.sparkSession, "anchors")
+    bits = max(0, (texts.count() // 32_768).bit_length())
     where = F.xxhash64("h1", "h2", "place")
     shared = _scan(texts, length).groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.count("*").alias("n")).where("a != b")
     shared = shared.select("anchor", "n", (F.shiftrightunsigned("anchor", 64 - bits) if bits else F.lit(0).cast("long")).cast("int").alias("shard"))
@@ -217,44 +265,89 @@ def _shared_anchors(texts: DataFrame, length: int) -> tuple[str, int, tuple[int,
         shard = table.column("shard")[0].as_py()
         anchor, n = table.column("anchor").to_numpy().view(np.uint64), table.column("n").to_numpy()
         order = np.argsort(anchor)
-        arrays.save(folder, f"shard-{shard}", {"hash": anchor[order], "hot": (n[order] > HOT).astype(np.uint8)})
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "hot": pa.array([bool((n > HOT).any())])})
+        arrays.save(folder, f"shard-{shard}", {"hash": anchor[order], "hot": (n[order] > hot).astype(np.uint8)})
+        return pa.table({"n": pa.array([int(n.sum())], pa.int64()), "hot": pa.array([bool((n > hot).any())])})
 
-    made = shared.groupBy("shard").applyInArrow(build, "shard int, n long, hot boolean").collect()
-    return folder, bits, tuple(sorted(r["shard"] for r in made)), sum(r["n"] for r in made), any(r["hot"] for r in made)
+    made = shared.groupBy("shard").applyInArrow(build, "n long, hot boolean").agg(F.sum("n"), F.max("hot")).first()
+    return folder, bits, made[0] or 0, bool(made[1])
 
 
-def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """h1, h2, spans: the parts of texts (h1, h2, raw; copies change nothing) covered by a window that occurs in another text or elsewhere in this one."""
-    folder, bits, present, n, hot = _shared_anchors(texts, length)
+    folder, bits, n, any_hot = _shared_anchors(texts, length, hot)
     buckets = max(1, -(-n // TOGETHER))
 
-    around = _contexts(texts, length, folder, bits, present, False)
+    around = _contexts(texts, length, folder, bits, False)
     spans = around.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: covered(t, length), SPAN)
-    if hot:
-        spans = spans.unionByName(_hot_windows(_contexts(texts, length, folder, bits, present, True), length))
+    if any_hot:
+        spans = spans.unionByName(_hot_windows(_contexts(texts, length, folder, bits, True), length, hot))
     return spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def _hot_windows(around: DataFrame, length: int) -> DataFrame:
-    """The same for very frequent anchors, without a task that holds all their occurrences: equal windows are counted by hash."""
-    d = F.explode(F.sequence(F.lit(0), F.least(F.octet_length("left"), F.lit(length - GRAM))))
-    rows = around.withColumn("d", d).where(F.octet_length("right") >= length - F.col("d"))
-    # left is reversed: d bytes of it and length - d of right name the window
-    before, after = F.substring("left", F.lit(1), F.col("d")), F.substring("right", F.lit(1), length - F.col("d"))
-    rows = rows.select("members", "anchor", "d", F.xxhash64(before, after).alias("w1"), F.xxhash64(after, before, F.lit(7)).alias("w2"))
+KIND = ["k1", "k2"]
+
+
+def _hot_windows(around: DataFrame, length: int, hot: int) -> DataFrame:
+    """The spans of very frequent anchors, without a task that holds all occurrences of one.
+
+    For d from lo on and below hi, all windows hold the lo bytes before the
+    anchor and the length - hi + 1 from it on; only surroundings that share
+    these can match. Those that do make a part; equal ones in it are one kind
+    with a number of occurrences, which Spark adds up in each task first. A
+    part's kinds, without their members, are sorted by one task, and the runs
+    found go to the members by the kind's hash.
+    """
+    cuts = [int(x) for x in np.linspace(0, length - GRAM + 1, RANGES + 1)]
+    ranges = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    fits = F.greatest("lo", F.lit(length) - F.octet_length("right")) <= F.least(F.col("hi") - 1, F.octet_length("left"))
+    head = lambda c, n: F.substring(c, F.lit(1), n)
+    split = around.withColumn("r", F.explode(ranges)).select("anchor", "left", "right", "members", "r.lo", "r.hi").where(fits)
+    part = F.xxhash64("anchor", "lo", head("left", F.col("lo")), head("right", length - F.col("hi") + 1))
+    split = split.select("anchor", "lo", "hi", "members", part.alias("part"), head("left", F.col("hi") - 1).alias("left"), head("right", length - F.col("lo")).alias("right"))
+    named = ("anchor", "lo", "left", "right", F.octet_length("left"))
+    split = checkpoint(split.withColumns({"k1": F.xxhash64(*named), "k2": F.xxhash64(F.lit(1), *named)}))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = {c: batch.column(c) for c in batch.schema.names if c != "members"}
+                yield pa.RecordBatch.from_pydict(same | {"times": _members(batch.column("members"))[2]})
+
+    counted = split.select("part", "anchor", *KIND, "left", "right", "members").mapInArrow(count, "part long, anchor long, k1 long, k2 long, left binary, right binary, times long")
+    kinds = checkpoint(counted.groupBy(*KIND, "part").agg(F.first("anchor").alias("anchor"), F.first("left").alias("left"), F.first("right").alias("right"), F.sum("times").alias("times")))
+    sizes = kinds.groupBy("part").agg(F.count("*").alias("n"))
+    large = checkpoint(sizes.where(F.col("n") > hot).select("part"))
+    buckets = max(1, -(-kinds.count() // TOGETHER))
+
+    def sort(table: pa.Table) -> pa.Table:
+        found = Windows(table.column("anchor").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), table.column("times").to_numpy(), length)
+        who, start, end = found.runs(length)
+        row = np.argsort(found.of)  # kinds are distinct: one row each
+        k1, k2 = table.column("k1").to_numpy()[row], table.column("k2").to_numpy()[row]
+        return pa.table({"k1": k1[who], "k2": k2[who], "start": start, "end": end})
+
+    small = kinds.join(large, "part", "left_anti").withColumn("bucket", F.pmod("part", F.lit(buckets)))
+    runs = small.groupBy("bucket").applyInArrow(sort, "k1 long, k2 long, start long, end long")
+    spans = split.select(*KIND, "members").join(runs, KIND).select("members", "start", "end").mapInArrow(_member_spans, SPAN)
+    if large.isEmpty():
+        return spans
+    # nothing left to sort: the whole window names the group
+    rest = split.join(large, "part", "left_semi")
+    rest = rest.withColumn("d", F.explode(F.sequence("lo", F.least(F.col("hi") - 1, F.octet_length("left"))))).where(F.octet_length("right") >= length - F.col("d"))
+    before, after = head("left", F.col("d")), head("right", length - F.col("d"))
+    rest = rest.select("members", "anchor", "d", F.xxhash64(before, after).alias("w1"), F.xxhash64(after, before, F.lit(7)).alias("w2"))
     keys = ["anchor", "d", "w1", "w2"]
-    again = rows.groupBy(*keys).agg(F.sum(F.octet_length("members")).alias("n")).where("n > 24").select(*keys)
+    counted = rest.mapInArrow(count, "anchor long, d int, w1 long, w2 long, times long")
+    again = counted.groupBy(*keys).agg(F.sum("times").alias("times")).where("times > 1").select(*keys)
+    found = rest.join(again, keys, "left_semi").select("members", (-F.col("d")).cast("long").alias("start"), (F.lit(length) - F.col("d")).cast("long").alias("end"))
+    return spans.unionByName(found.mapInArrow(_member_spans, SPAN))
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            members = [np.frombuffer(m, np.int64).reshape(-1, 3) for m in part.column("members").to_pylist()]
-            if members:
-                all_ = np.concatenate(members)
-                start = all_[:, 2] - np.repeat(part.column("d").to_numpy(), [len(m) for m in members])
-                yield pa.RecordBatch.from_pydict({"h1": all_[:, 0], "h2": all_[:, 1], "start": start, "end": start + length})
 
-    return rows.join(again, keys, "left_semi").select("members", "d").mapInArrow(spans, SPAN)
+def _member_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        if part.num_rows:
+            members, sizes, _ = _members(part.column("members"))
+            yield pa.RecordBatch.from_pydict(_spans(members, np.repeat(part.column("start").to_numpy(), sizes), np.repeat(part.column("end").to_numpy(), sizes)))
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -268,44 +361,48 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("*", text.cast("binary").alias("raw"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): docs with raw, h1, h2 and copies; and h1, h2, spans of the texts with something to remove, copies left aside.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """row (all columns of docs), copies and spans: null copies for a text that no other row has, null spans where nothing is to be removed.
 
     Every text is taken as its UTF-8 bytes (null as none). A row whose text
     occurs in another row too has copies > 1: all its bytes go if it has
     `length` of them. Repeated rows are such copies.
     """
-    rows = _keyed(docs)
-    each = checkpoint(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")))
-    return rows.join(each, ["h1", "h2"]), checkpoint(repeated(rows.where(F.octet_length("raw") >= length), length))
-
-
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
+    long = rows.where(F.octet_length("row.text") >= length)
+    each = checkpoint(long.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1"))
+    cuts = checkpoint(repeated(long.select("h1", "h2", F.col("row.text").cast("binary").alias("raw")), length, hot))
+    return rows.join(each, ["h1", "h2"], "left").join(cuts, ["h1", "h2"], "left").select("row", "copies", "spans")
 
 
-def _cut(rows: DataFrame, length: int, schema, finish) -> DataFrame:
-    """finish(row columns, kept bytes, spans) of each row."""
+def _cut(rows: DataFrame, schema, finish) -> DataFrame:
+    """finish(columns of docs, bytes, kept bytes, spans) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "raw"):
-                kept, spans = [], []
-                for raw, copies, found in zip(*(part.column(c).to_pylist() for c in ("raw", "copies", "spans")), strict=True):
-                    cut = [(0, len(raw))] if copies > 1 and len(raw) >= length else merged([(s["start"], s["end"]) for s in found or []])
-                    ends = [0, *(x for c in cut for x in c), len(raw)]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
+            at = 0
+            for part in slices(pa.RecordBatch.from_struct_array(batch.column("row")), "text"):
+                copies, found = (batch.column(c).slice(at, part.num_rows).to_pylist() for c in ("copies", "spans"))
+                at += part.num_rows
+                data, ends = utf8(part.column("text"))
+                raws, kept, spans = [], [], []
+                for i, (n, mine) in enumerate(zip(copies, found, strict=True)):
+                    raw = data[ends[i] : ends[i + 1]].tobytes()
+                    cut = [(0, len(raw))] if n else merged([(s["start"], s["end"]) for s in mine or []])
+                    edges = [0, *(x for c in cut for x in c), len(raw)]
+                    raws.append(raw)
+                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                     spans.append(cut)
-                yield finish(part, kept, spans)
+                yield finish(part, raws, kept, spans)
 
     return rows.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def digest(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     A byte goes if a string of `length` bytes that covers it also starts
@@ -313,39 +410,35 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     input. Null and empty texts lose nothing; equal rows are copies of each
     other; an empty table gives no rows. Other columns are left out.
     """
-    rows, cuts = remove_repeats(docs.select("doc_id", "text"), length)
 
-    def finish(part: pa.RecordBatch, kept: list[bytes], spans: list) -> pa.RecordBatch:
-        n = [len(r) for r in part.column("raw").to_pylist()]
+    def finish(part: pa.RecordBatch, raws: list[bytes], kept: list[bytes], spans: list) -> pa.RecordBatch:
+        n = [len(r) for r in raws]
         return pa.RecordBatch.from_pydict({
             "doc_id": part.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array([a - len(k) for a, k in zip(n, kept, strict=True)], pa.int64()),
-            "n_spans": pa.array([len(s) for s in spans], pa.int64()), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
+            "n_spans": pa.array([len(s) for s in spans], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
         })
 
-    joined = rows.join(cuts, ["h1", "h2"], "left").select("doc_id", "raw", "copies", "spans")
-    return _cut(joined, length, DIGEST, finish)
+    return _cut(remove_repeats(docs.select("doc_id", "text"), length, hot), DIGEST, finish)
 
 
-def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """docs with the repeated bytes taken out of text, and n_chars, if there, counted again.
 
     As in digest(). What is left of a character that was cut in two goes too,
     so that the text stays valid. Texts may end up empty; rows all stay, with
-    their other columns.
+    their other columns, whatever their names.
     """
     names = docs.columns
-    rows, cuts = remove_repeats(docs, length)
 
-    def finish(part: pa.RecordBatch, kept: list[bytes], spans: list) -> pa.RecordBatch:
+    def finish(part: pa.RecordBatch, raws: list[bytes], kept: list[bytes], spans: list) -> pa.RecordBatch:
         before = part.column("text").to_pylist()
         text = [b if not s else k.decode("utf-8", "ignore") for b, k, s in zip(before, kept, spans, strict=True)]
         new = {"text": pa.array(text, pa.string())}
         if "n_chars" in names:
-            new["n_chars"] = pa.array([a if not s else len(t) for a, s, t in zip(part.column("n_chars").to_pylist(), spans, text, strict=True)], part.schema.field("n_chars").type)
+            new["n_chars"] = pa.array([a if not s else len(t) for a, s, t in zip(part.column("n_chars").to_pylist(), spans, text, strict=True)]).cast(part.schema.field("n_chars").type)
         return pa.RecordBatch.from_pydict({c: new.get(c, part.column(c)) for c in names})
 
-    joined = rows.join(cuts, ["h1", "h2"], "left").select(*names, "raw", "copies", "spans")
-    return _cut(joined, length, docs.schema, finish)
+    return _cut(remove_repeats(docs, length, hot), docs.schema, finish)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tallyforge.llm import elias_fano, langid, minhash, mixing, ngram_lm, quality_cnn, quality_rules, sharding, suffix_dedup, suffix_sort, topk
+from tallyforge.llm import arrays, elias_fano, langid, minhash, mixing, ngram_lm, quality_cnn, quality_rules, sharding, suffix_dedup, suffix_sort, topk
 from tallyforge.llm import sentencepiece as sp
 from tallyforge.llm.common import draw
 from tallyforge.llm.components import components
@@ -185,36 +185,59 @@ def test_deep_shallow_sort():
     strings += [b"x" * 60 + bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 9))) for _ in range(300)] + strings[:50]
     order, common = suffix_sort.deep_shallow_sort(strings)
     ordered = [strings[i] for i in order]
-    # runs that agree on all words hold zero bytes and short strings in trie order: bytes order within them
-    assert sorted(ordered) == sorted(strings)
+    assert ordered == sorted(strings)
     assert all(c == suffix_sort.lcp(a, b) for a, b, c in zip(ordered, ordered[1:], common[1:]))
 
 
-def test_suffix_dedup_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 12, 2])
+def test_suffix_dedup_brute_force(spark, hot):
     rnd = random.Random(6)
     alphabet = "abcdefgh é"
     passage = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (230, 199, 420)]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 400))) + rnd.choice(passage) + "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 300))) for _ in range(24)]
-    texts += ["and " * 200, texts[0], texts[0], passage[0] * 2, "x" * 200, "y" * 201]
-    raw = [t.encode() for t in texts]
+    texts += ["and " * 200, texts[0], texts[0], passage[0] * 2, "x" * 200, "y" * 201, "z" * 3000, "ab" * 900 + "z" * 900, None, ""]
+    raw = [(t or "").encode() for t in texts]
     count = collections.Counter(r[i : i + 200] for r in raw for i in range(len(r) - 199))
-    got = {r["doc_id"]: r for r in suffix_dedup.digest(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in suffix_dedup.digest(docs, hot=hot).collect()}
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.strip(docs, hot=hot).collect()} if hot == 12 else {}
     for i, r in enumerate(raw):
         gone = bytearray(len(r))
         for p in range(len(r) - 199):
             if count[r[p : p + 200]] > 1:
                 gone[p : p + 200] = b"\1" * 200
+        left = bytes(b for b, g in zip(r, gone) if not g)
         assert got[i]["n_removed"] == sum(gone), i
-        assert got[i]["kept_sha256"] == hashlib.sha256(bytes(b for b, g in zip(r, gone) if not g)).hexdigest()
-
-
-def test_hot_windows_agree(spark):
-    left, right = b"l" * 176, bytes(range(100, 200)) * 2
-    rows = [(1, left[::-1], right, np.array([k, k, 500], np.int64).tobytes()) for k in range(3)] + [(1, b"q" * 176, right, np.array([9, 9, 500], np.int64).tobytes())]
-    around = spark.createDataFrame([(a, bytearray(x), bytearray(y), bytearray(m)) for a, x, y, m in rows], suffix_dedup.CONTEXT)
-    hot = {(r["h1"], p) for r in suffix_dedup._hot_windows(around, 200).collect() for p in range(r["start"], r["end"])}
-    cold = suffix_dedup.covered(around.toArrow(), 200).to_pylist()
-    assert hot == {(r["h1"], p) for r in cold for p in range(r["start"], r["end"])} and hot
+        assert got[i]["n_spans"] == len(re.findall(b"\1+", bytes(gone)))
+        assert got[i]["kept_sha256"] == hashlib.sha256(left).hexdigest()
+        assert not cut or cut[i] == (None if texts[i] is None else left.decode("utf-8", "ignore") if sum(gone) else texts[i])
+
+
+def test_steady_surroundings():
+    for text in (b"x" * 5000, b"and " * 1000, b"abc" * 900 + b"x" * 900 + b"q" + b"x" * 900, bytes(np.random.default_rng(1).integers(97, 123, 4000).astype(np.uint8)) + b"y" * 700):
+        raw = np.frombuffer(text, np.uint8)
+        place, anchor = suffix_dedup.anchors(raw, 200)
+        head, reach = suffix_dedup.steady(raw, place, anchor, 200)
+        around = lambda p: text[max(0, p - 176) : p + 200]
+        ends = np.r_[head[1:], len(place)]
+        for h, e, r in zip(head, ends, reach):
+            assert place[e - 1] - place[h] == r and len({around(p) for p in place[h:e]}) == 1
+            assert (anchor[h:e] == anchor[h]).all() and len(set(np.diff(place[h:e]))) <= 1
+        if text[:1] == b"x":
+            assert len(head) < 600
+
+
+def test_shards_of_sorted_hashes(tmp_path):
+    rnd = np.random.default_rng(2)
+    known = np.unique(rnd.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    for k in range(16):
+        mine = known[known >> np.uint64(60) == k]
+        if k != 3:
+            arrays.save(f"file://{tmp_path}", f"shard-{k}", {"hash": mine, "v": (mine % np.uint64(5)).astype(np.uint8)})
+    shards = arrays.SortedShards(f"file://{tmp_path}", 4, "v")
+    asked = np.r_[known, rnd.integers(0, 1 << 62, 100).astype(np.uint64) * np.uint64(2) + np.uint64(1)]
+    want = [int(x % np.uint64(5)) if x in set(known.tolist()) and int(x) >> 60 != 3 else -1 for x in asked.tolist()]
+    assert shards.find(asked).tolist() == want and shards.find(asked[:0]).tolist() == []
 
 
 def test_elias_fano():
