@@ -25,7 +25,9 @@ the shortest is (c + 0.1) / (N + 0.1 (V + 1)).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -46,31 +48,36 @@ GATHER = 3_000_000
 STEP = 1 / 24
 END = np.uint64(mix_int(0xE7037ED1A0B428DB))
 
-Shards = list[tuple[int, int]]  # first key or id, entries
-
-
 def _quantise(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs / STEP), 0, 255).astype(np.uint8)
 
 
+def _runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """shard, begin, end of the runs of a sorted array of shards: only shards that are asked for."""
+    edges = np.r_[np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]), len(shards)] if len(shards) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(shards[a]), a, b
+
+
 class Vocabulary:
-    """The mapped shards of the words."""
+    """The mapped shards of the words, OPEN of them at a time."""
+
+    OPEN = 256
 
-    def __init__(self, folder: str, bits: int, starts: list[int]):
-        self.folder, self.bits, self.starts = folder, bits, starts
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits = folder, bits
+        self.starts = arrays.load(folder, "words", ("starts",))["starts"]
+        self.shard = lru_cache(maxsize=self.OPEN)(self._shard)
 
-    @lru_cache(maxsize=None)  # noqa: B019 (lives as long as the worker's model)
-    def shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         got = arrays.load(self.folder, f"words-{k}", ("hash", "count"))
         return got["hash"], got["count"]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted distinct hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else [0, len(hashes)]
-        for k in range(1 << self.bits):
-            a, b = cuts[k], cuts[k + 1]
-            if a == b or self.starts[k] == self.starts[k + 1]:
+        for k, a, b in _runs(hashes >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(hashes), np.uint64)):
+            if self.starts[k] == self.starts[k + 1]:
                 continue
             known, count = self.shard(k)
             at = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
@@ -82,25 +89,25 @@ class Vocabulary:
     def count_of(self, ids: np.ndarray) -> np.ndarray:
         """Counts of sorted ids."""
         out = np.zeros(len(ids), np.int64)
-        cuts = np.searchsorted(ids, self.starts)
-        for k in range(len(self.starts) - 1):
-            if cuts[k] < cuts[k + 1]:
-                out[cuts[k] : cuts[k + 1]] = self.shard(k)[1][ids[cuts[k] : cuts[k + 1]] - self.starts[k]]
+        for k, a, b in _runs(np.searchsorted(self.starts, ids, side="right") - 1):
+            out[a:b] = self.shard(k)[1][ids[a:b] - self.starts[k]]
         return out
 
 
 class Level:
-    """The mapped shards of the n-grams of one length."""
+    """The mapped shards of the n-grams of one length, OPEN of them at a time."""
+
+    OPEN = 256
 
     KEYS = tuple(f"{a}_{b}" for a in ("pointer", "word") for b in ("low", "words", "ones", "shape")) + ("prob", "backoff", "base")
 
-    def __init__(self, folder: str, n: int, size: int, shards: Shards):
+    def __init__(self, folder: str, n: int, size: int):
         self.folder, self.n, self.size = folder, n, size  # size: the number of word ids
-        self.first = np.array([s[0] for s in shards], np.int64)
-        self.starts = np.cumsum([0, *(s[1] for s in shards)])
+        got = arrays.load(folder, f"level{n}", ("first", "starts"))
+        self.first, self.starts = got["first"], got["starts"]
+        self.shard = lru_cache(maxsize=self.OPEN)(self._shard)
 
-    @lru_cache(maxsize=None)  # noqa: B019
-    def shard(self, k: int):
+    def _shard(self, k: int):
         got = arrays.load(self.folder, f"level{self.n}-{k}", self.KEYS)
         part = lambda p: elias_fano.EliasFano({b: got[f"{p}_{b}"] for b in ("low", "words", "ones", "shape")})
         return part("pointer"), part("word"), got["prob"], got["backoff"], int(got["base"][0])
@@ -108,10 +115,8 @@ class Level:
     def find(self, keys: np.ndarray, logs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entry (-1: none), log10 probability and log10 backoff (zeros without logs) of sorted keys context * size + word."""
         entry, prob, backoff = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
-        cuts = np.searchsorted(keys, np.r_[self.first, np.iinfo(np.int64).max])
-        for k in range(len(self.first)):
-            a, b = int(cuts[k]), int(cuts[k + 1])
-            if a == b or self.starts[k] == self.starts[k + 1]:
+        for k, a, b in _runs(np.searchsorted(self.first, keys, side="right") - 1):
+            if k < 0 or self.starts[k] == self.starts[k + 1]:
                 continue
             pointer, word, p, o, base = self.shard(k)
             context, inside = keys[a:b] // self.size - base, (keys[a:b] // self.size) < base + pointer.n - 1
@@ -131,35 +136,32 @@ class Level:
     def words_of(self, entries: np.ndarray) -> np.ndarray:
         """The last word's id of sorted entries."""
         out = np.zeros(len(entries), np.int64)
-        cuts = np.searchsorted(entries, self.starts)
-        for k in range(len(self.first)):
-            if cuts[k] < cuts[k + 1]:
-                _, word, _, _, _ = self.shard(k)
-                out[cuts[k] : cuts[k + 1]] = word.get(entries[cuts[k] : cuts[k + 1]] - self.starts[k]) % self.size
+        for k, a, b in _runs(np.searchsorted(self.starts, entries, side="right") - 1):
+            out[a:b] = self.shard(k)[1].get(entries[a:b] - self.starts[k]) % self.size
         return out
 
 
+@dataclass
 class Model:
-    """What a task needs to know; small, whatever the corpus: where the shards are and where they begin."""
+    """What a task needs to know; small, whatever the corpus. Where the shards begin is in files of the folder."""
 
-    def __init__(self, folder: str, bits: int, starts: list[int], tokens: int, texts: int):
-        self.folder, self.bits, self.starts, self.tokens, self.texts = folder, bits, starts, tokens, texts
-        self.levels: list[tuple[int, Shards]] = []
-
-    @property
-    def types(self) -> int:
-        return self.starts[-1]
+    folder: str
+    bits: int
+    types: int
+    tokens: int
+    texts: int
+    levels: tuple[int, ...] = ()
 
     def open(self) -> tuple[Vocabulary, list[Level]]:
-        return _open(self.folder, self.bits, tuple(self.starts), tuple((n, tuple(s)) for n, s in self.levels))
+        return _open(self.folder, self.bits, self.types, self.levels)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
 @lru_cache(maxsize=2)
-def _open(folder: str, bits: int, starts: tuple, levels: tuple) -> tuple[Vocabulary, list[Level]]:
-    return Vocabulary(folder, bits, list(starts)), [Level(folder, n, starts[-1], list(s)) for n, s in levels]
+def _open(folder: str, bits: int, types: int, levels: tuple[int, ...]) -> tuple[Vocabulary, list[Level]]:
+    return Vocabulary(folder, bits), [Level(folder, n, types) for n in levels]
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +208,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 BLOCKS = "shard int, block binary"
 
 
-def _count(texts: DataFrame, keys_of, cuts: np.ndarray) -> DataFrame:
-    """shard, block: the keys that keys_of(batch) gives, counted in each task and packed for the shards that begin at cuts."""
+def _count(texts: DataFrame, keys_of, cuts) -> DataFrame:
+    """shard, block: the keys that keys_of(batch) gives, counted in each task and packed for the shards that begin at cuts()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -223,9 +225,8 @@ def _count(texts: DataFrame, keys_of, cuts: np.ndarray) -> DataFrame:
             if held:
                 keys, counts = _add(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if len(held) > 1 else held[0]
                 held.clear()
-                at = np.r_[np.searchsorted(keys, cuts), len(keys)]
-                for k in np.flatnonzero(np.diff(at)):
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([int(k)], pa.int32()), "block": pa.array([_packed(keys[at[k] : at[k + 1]], counts[at[k] : at[k + 1]])], pa.binary())})
+                for k, a, b in _runs(np.searchsorted(cuts(), keys, side="right") - 1):
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "block": pa.array([_packed(keys[a:b], counts[a:b])], pa.binary())})
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -267,7 +268,9 @@ def _words(texts: DataFrame, folder: str, bits: int) -> list:
         arrays.save(folder, f"words-{shard}", {"hash": keys.astype(np.uint64), "count": counts})
         return _made(shard, counts)
 
-    cuts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    def cuts() -> np.ndarray:
+        return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+
     return _count(texts, lambda part: _tokens(part)[0], cuts).groupBy("shard").applyInArrow(build, MADE).orderBy("shard").collect()
 
 
@@ -308,28 +311,31 @@ def train(texts: DataFrame, order: int = ORDER, rows: int | None = None) -> Mode
     texts = texts.select("text")
     rows = texts.count() if rows is None else rows
     folder = fresh_folder(spark, "ngrams")
-    bits = max(0, (rows // 4096).bit_length())
+    # distinct words grow more slowly than texts
+    bits = max(0, math.ceil(0.7 * math.log2(max(1, rows) / 2048)))
     made = {r["shard"]: r for r in _words(texts, folder, bits)}
-    starts = np.cumsum([0, *(made[k]["entries"] if k in made else 0 for k in range(1 << bits))]).tolist()
-    model = Model(folder, bits, starts, sum(r["total"] for r in made.values()), rows)
+    starts = np.cumsum([0, *(made[k]["entries"] if k in made else 0 for k in range(1 << bits))])
+    arrays.save(folder, "words", {"starts": starts})
+    model = Model(folder, bits, int(starts[-1]), sum(r["total"] for r in made.values()), rows)
     size = model.types
-    cuts = [(starts[k] + e) * size + int(p * size) for k, r in sorted(made.items()) for e, p in zip(r["at"], r["part"], strict=True)]
+    cuts = [int(starts[k] + e) * size + int(p * size) for k, r in sorted(made.items()) for e, p in zip(r["at"], r["part"], strict=True)]
     pieces = -(-rows // SHARD)
     cuts += [size * size + size * k // pieces for k in range(pieces)]
     for n in range(2, order + 1):
         if not size:
             break
         first = np.unique(np.array(cuts, np.int64))
-        made = {r["shard"]: r for r in _level(texts, model, n, first, n < order)}
-        shards = [(int(c), made[k]["entries"] if k in made else 0) for k, c in enumerate(first)]
-        model.levels.append((n, shards))
-        at = np.cumsum([0, *(s[1] for s in shards)])
+        arrays.save(folder, f"cuts{n}", {"first": first})
+        made = {r["shard"]: r for r in _level(texts, model, n, n < order)}
+        at = np.cumsum([0, *(made[k]["entries"] if k in made else 0 for k in range(len(first)))])
+        arrays.save(folder, f"level{n}", {"first": first, "starts": at})
+        model = replace(model, levels=(*model.levels, n))
         cuts = [(int(at[k]) + e) * size + int(p * size) for k, r in sorted(made.items()) for e, p in zip(r["at"], r["part"], strict=True)]
     return model
 
 
-def _level(texts: DataFrame, model: Model, n: int, first: np.ndarray, inner: bool) -> list:
-    size, firsts = model.types, first.tolist()
+def _level(texts: DataFrame, model: Model, n: int, inner: bool) -> list:
+    size = model.types
 
     def keys_of(part: pa.RecordBatch) -> np.ndarray:
         vocabulary, levels = model.open()
@@ -366,16 +372,14 @@ def _level(texts: DataFrame, model: Model, n: int, first: np.ndarray, inner: boo
         arrays.save(model.folder, f"level{n}-{shard}", made | {"prob": _quantise(prob), "backoff": _quantise(backoff), "base": np.array([base], np.int64)})
         return _made(shard, counts)
 
-    return _count(texts, keys_of, np.array(firsts, np.int64)).groupBy("shard").applyInArrow(build, MADE).orderBy("shard").collect()
+    return _count(texts, keys_of, lambda: arrays.load(model.folder, f"cuts{n}", ("first",))["first"]).groupBy("shard").applyInArrow(build, MADE).orderBy("shard").collect()
 
 
 def _backoffs(level: Level, entries: np.ndarray) -> np.ndarray:
     """log10 backoffs of sorted entries."""
     out = np.zeros(len(entries))
-    cuts = np.searchsorted(entries, level.starts)
-    for k in range(len(level.first)):
-        if cuts[k] < cuts[k + 1]:
-            out[cuts[k] : cuts[k + 1]] = level.shard(k)[3][entries[cuts[k] : cuts[k + 1]] - level.starts[k]] * -STEP
+    for k, a, b in _runs(np.searchsorted(level.starts, entries, side="right") - 1):
+        out[a:b] = level.shard(k)[3][entries[a:b] - level.starts[k]] * -STEP
     return out
 
 
@@ -389,15 +393,20 @@ def _logs(level: Level, context: np.ndarray, word: np.ndarray, lower: np.ndarray
     return np.where(entry[back] >= 0, prob[back], np.log10(MU / (total[head] + MU)) + lower)
 
 
+SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score.
 
     A null text counts as empty: one token, the end. A token is known if
     training saw it. A model of no texts gives the same score to all tokens.
-    Rows are independent of each other.
+    Rows are independent of each other. Columns of `keep` with the names of the
+    results are replaced.
     """
-    base = docs.select(*keep, "text")
-    schema = docs.select(*keep).select("*", *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")]).schema
+    keep = [c for c in keep if c not in SCORES]
+    base = docs.select(F.struct(*keep).alias("row"), "text")
+    schema = docs.select(*keep).select("*", *[F.lit(0).cast("long").alias(c) for c in SCORES[:3]], *[F.lit(0.0).alias(c) for c in SCORES[3:]]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, levels = model.open()
@@ -421,7 +430,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     cost = np.r_[0.0, np.where(entry >= 0, backoff, 0.0)[:-1]][: len(ids)]
                     cost[begin] = 0.0
                 n = np.diff(starts)
-                cols = {c: part.column(c) for c in keep}
+                kept = pa.RecordBatch.from_struct_array(part.column("row"))
+                cols = {c: kept.column(c) for c in keep}
                 known = np.add.reduceat((counts > 0).astype(np.int64), starts[:-1]) if len(n) else n
                 yield pa.RecordBatch.from_pydict(cols | {
                     "n_tokens": pa.array(n, pa.int64()), "n_known": known, "train_tokens": np.full(len(n), model.tokens, np.int64),
