@@ -5,13 +5,17 @@ reach across (a word is a run of spaces and what follows it). Every distinct
 word of a batch is encoded once: all words lie end to end in one flat array of
 symbols, each round looks up the rank of every adjacent pair, takes each word's
 best pair by a segmented minimum, merges its leftmost occurrences at once, and
-compacts the array, until no pair of the vocabulary remains. Symbols that are
-no piece fall back to their UTF-8 bytes.
+compacts the array, until no pair of the vocabulary remains. A word of more than
+LONG symbols (base64, a text without spaces) has rounds of its own, one for each
+rank, which look at the places of that rank alone, so that its cost doesn't grow
+with rounds times length. Symbols that are no piece fall back to their UTF-8
+bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,8 +29,10 @@ from .common import slices
 
 META = "▁"
 _SEGMENT = re.compile(f"{META}*[^{META}]+|{META}+")
-#: Words that a worker remembers between batches.
-REMEMBERED = 200_000
+#: Words that a worker remembers between batches, and their longest.
+REMEMBERED, REMEMBERED_SIZE = 200_000, 1000
+#: Symbols beyond which a word has rounds of its own.
+LONG = 1000
 
 
 class Bpe:
@@ -111,8 +117,16 @@ class Bpe:
         # characters that are no piece stand as -2 - code point, and never merge
         code = np.array([self.id_of.get(chr(c), -2 - int(c)) for c in kinds], np.int64)
         symbols = code[back]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        sizes = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), sizes)
         done_symbols, done_words = [], []
+        long = np.flatnonzero(sizes > LONG)
+        for w, end in zip(long.tolist(), np.cumsum(sizes)[long].tolist(), strict=True):
+            done_symbols.append(self._merge_long(symbols[end - sizes[w] : end]))
+            done_words.append(np.full(len(done_symbols[-1]), w))
+        if len(long):
+            short = ~np.repeat(sizes > LONG, sizes)
+            symbols, word = symbols[short], word[short]
         while len(symbols) > 1:
             pair = self.find(symbols[:-1], symbols[1:])
             pair[word[:-1] != word[1:]] = -1
@@ -134,7 +148,7 @@ class Bpe:
             hits = np.flatnonzero(take)
             fresh = np.r_[True, np.diff(hits) > 1]
             run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
-            hits = self._leftmost(hits, (np.arange(len(hits)) - run), pair, word)
+            hits = self._leftmost(hits, np.arange(len(hits)) - run, pair, word, symbols, rank)
             merged = symbols.copy()
             merged[hits] = self.made[pair[hits]]
             keep = alive.copy()
@@ -153,17 +167,89 @@ class Bpe:
             at = end
         return out
 
-    @staticmethod
-    def _leftmost(hits: np.ndarray, place: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """One merge in each word and round where a new pair may outrank the next equal one, else all leftmost ones.
-
-        Equal pairs merge left to right in the library too; a merge makes pairs
-        of another piece, and only a pair of a higher score than the current one
-        comes before the equal ones to its right. Pieces of a BPE model rank
-        below the pieces they are made of, but a score may tie or a model may be
-        edited, so the first merge alone stands where two different pieces share
-        the best score in a word.
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one word: rounds in order of rank, over the places that wait for it."""
+        symbols = symbols.copy()
+        n = len(symbols)
+        left, right = np.arange(-1, n - 1), np.r_[np.arange(1, n), -1]
+        want = np.full(n, -1, np.int64)  # the row of the pair that begins at a place; -1 also where a symbol is gone
+        gone = np.zeros(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            at = at[right[at] >= 0]
+            rows = self.find(symbols[at], symbols[right[at]])
+            want[at] = rows
+            at, rows = at[rows >= 0], rows[rows >= 0]
+            ranks = self.ranks[rows]
+            order = np.argsort(ranks, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(ranks[order])) + 1) if len(order) else ():
+                rank = int(ranks[part[0]])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(queue, rank)
+                waiting[rank].append(at[part])
+
+        look(np.arange(n))
+        while queue:
+            rank = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[want[at] >= 0]
+            at = at[self.ranks[want[at]] == rank]
+            if not len(at):
+                continue
+            whole = at
+            if (self.made[want[at]] != self.made[want[at[0]]]).any():  # pieces of the same rank: one at a time
+                at = at[:1]
+            # of neighbouring pairs every second one stands, counted from the left of the run
+            fresh = np.r_[True, at[1:] != right[at[:-1]]]
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+            chained = np.r_[False, at[1:] == right[right[at[:-1]]]]
+            at = at[self._in_one_round(chained, want[at], symbols[at], np.where(left[at] >= 0, symbols[left[at]], -1), rank)]
+            if len(at) < len(whole):  # those that are neither merged nor gone now wait for the next round
+                waiting[rank] = [whole]
+                heapq.heappush(queue, rank)
+            other = right[at]
+            symbols[at] = self.made[want[at]]
+            gone[other] = True
+            want[at] = want[other] = -1
+            after = right[other]
+            right[at] = after
+            left[after[after >= 0]] = at[after >= 0]
+            before = left[at]
+            want[before[before >= 0]] = -1
+            look(np.unique(np.r_[at, before[before >= 0]]))
+        return symbols[~gone]
+
+    def _in_one_round(self, chained: np.ndarray, pair: np.ndarray, first: np.ndarray, before: np.ndarray, rank) -> np.ndarray:
+        """Which of the hits, equal pairs from left to right, may merge at once.
+
+        The library merges equal pairs from left to right too, but a merge makes
+        new pairs, and those of a rank no worse than the current one come before
+        the equal pairs to its right. That matters only where the next hit
+        follows directly (chained): such hits stand if neither the symbol before
+        their chain, nor the next one's first symbol, nor another merged symbol
+        makes a piece of such a rank with what was merged. The others wait.
         """
+        if not chained.any():
+            return np.ones(len(chained), dtype=bool)
+        at = np.flatnonzero(chained)
+        head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(chained))))
+        made = self.made[pair[at]]
+        unsafe = np.zeros(len(at), dtype=bool)
+        limit = rank if np.isscalar(rank) else rank[at]
+        for a, b in ((made, first[at]), (made, made), (before[head[at]], made)):
+            found = self.find(a, b)
+            unsafe |= (found >= 0) & (self.ranks[found] <= limit)
+        # one unsafe hit holds its whole chain
+        held = np.zeros(len(chained), dtype=bool)
+        held[head[at[unsafe]]] = True
+        return ~(chained & held[head])
+
+    def _leftmost(self, hits: np.ndarray, place: np.ndarray, pair: np.ndarray, word: np.ndarray, symbols: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Every second of neighbouring hits, from the left, as far as they may merge in one round; of a word where different pieces share the best rank, the first alone."""
         hits = hits[place % 2 == 0]
         if len(hits) < 2:
             return hits
@@ -171,7 +257,10 @@ class Bpe:
         lead = np.maximum.accumulate(np.where(first, np.arange(len(hits)), 0))
         mixed = np.zeros(int(word[hits].max()) + 1, dtype=bool)
         mixed[word[hits[pair[hits] != pair[hits[lead]]]]] = True
-        return hits[first | ~mixed[word[hits]]]
+        hits = hits[first | ~mixed[word[hits]]]
+        chained = np.r_[False, (np.diff(hits) == 2) & (word[hits[1:]] == word[hits[:-1]])]
+        inside = (hits > 0) & (word[np.maximum(hits - 1, 0)] == word[hits])
+        return hits[self._in_one_round(chained, pair[hits], symbols[hits], np.where(inside, symbols[hits - 1], -1), best[hits])]
 
     def _bytes(self, ids: list[int]) -> list[int]:
         out: list[int] = []
@@ -203,14 +292,18 @@ class Coder:
     def __init__(self, path: str):
         self.bpe = load(path)
         self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.long: list[str] = []  # of the last call, not to be remembered
 
     def words(self, texts: list[str]) -> list[list[str]]:
         out = [segments(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        for w in self.long:
+            self.known.pop(w, None)
         fresh = sorted({w for ws in out for w in ws if w not in self.known})
         for w, ids in zip(fresh, self.bpe.merge(fresh), strict=True):
             self.known[w] = (len(ids), ",".join(map(str, ids)), self.bpe.decode_bytes(ids), ids)
+        self.long = [w for w in fresh if len(w) > REMEMBERED_SIZE]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:

@@ -179,6 +179,23 @@ def test_bpe_equals_library(spark):
     assert all(r["again"] == model.decode(model.encode(r["text"])) for r in back.collect())
 
 
+def test_long_words_equal_library():
+    model = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
+    rnd = random.Random(17)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = "".join(rnd.choice("the of and into with nation ing er est un re".split()) for _ in range(4000))
+    texts = ["".join(rnd.choice(base64) for _ in range(60_000)), prose, "a" * 5001, "ab" * 3000, " " * 3000 + "x", "日本語" * 700 + "ÿ" * 3, "".join(chr(rnd.randrange(33, 0x3000)) for _ in range(4000)), prose[:999] + " " + prose]
+    coder = sp.Coder(sp.default_model())
+    for t in texts:
+        assert coder.encode([t, "short " + t[:50]])[0] == model.encode(t)
+    few = ["ab", "aba", "aab", "hing", "a", "\n\n", "  ", "=="]
+    for _ in range(300):
+        t = "".join(rnd.choice(few) for _ in range(rnd.randrange(2, 30)))
+        assert coder.encode([t])[0] == model.encode(t)
+    long = ["".join(rnd.choice(few) for _ in range(900)) for _ in range(3)]
+    assert coder.encode(long) == model.encode(long)
+
+
 def test_deep_shallow_sort():
     rnd = random.Random(5)
     strings = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randrange(0, 90))) for _ in range(400)]
