@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, checkpoint
+from .common import SPACE, WORD, checkpoint, row_hash, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -50,33 +50,58 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return rows.select("source", "source_size", "n_rows", "target")
 
 
-def take(sized: DataFrame, seed: int = SEED, rows: int = ROWS, **budget) -> DataFrame:
-    """sized (doc_id, source, size) with source_size, target and taken.
+#: Equal rows that one row is multiplied into at once.
+TIMES = 1000
 
-    A target of more than the source's size repeats the whole source as often
-    as it fits; the rest of the budget, whole words, takes documents in order of
-    their hash, and of the last one the first words only. So taken sums to the
-    target, rounded down, and reruns agree. Null ids hash as the empty string;
-    equal rows stand next to each other, in either order with the same sum;
-    a source without words has target 0; an empty table gives an empty one.
-    """
+
+def _each(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Every row `times` times, numbered from 0; a row of very many is first cut into pieces, which are dealt out."""
+    rows = rows.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / TIMES))))
+    few, many = rows.where(F.col(times) <= TIMES), rows.where(F.col(times) > TIMES)
+    if not many.isEmpty():
+        few = few.unionByName(many.repartition(F.xxhash64(number)))
+    last = F.least(F.col(times) - 1, F.col(number) * TIMES + TIMES - 1)
+    return few.withColumn(number, F.explode(F.sequence(F.col(number) * TIMES, last)))
+
+
+def _allotted(sized: DataFrame, seed: int, rows: int, **budget) -> tuple[DataFrame, Column]:
+    """The distinct rows of sized with _times, source_size, target; and what the _i-th of equal ones takes."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     plan = targets(sources, **budget).withColumnRenamed("source", "_source")
-    got = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    got = sized.groupBy(*sized.columns).agg(F.count("*").alias("_times"))
+    got = got.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     got = got.withColumn("_key", _key("doc_id", seed))
     unit = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
     got = got.withColumn("_range", F.floor(unit * F.ceil(F.col("n_rows") / rows)).cast("long"))
-    part = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size")
-    got = got.withColumn("_sum", F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, -1)))
-    totals = got.groupBy("source", "_range").agg(F.sum("size").alias("_total"))
+    part = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_last(), *[c for c in sized.columns if c not in ("doc_id", "source")])
+    words = F.col("size") * F.col("_times")
+    got = got.withColumn("_sum", F.sum(words).over(part.rowsBetween(Window.unboundedPreceding, -1)))
+    totals = got.groupBy("source", "_range").agg(F.sum(words).alias("_total"))
     across = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
     got = got.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    before = F.col("_offset") + F.coalesce(F.col("_sum"), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part_of = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - before))
-    return got.withColumn("taken", epochs * F.col("size") + part_of).drop("_key", "_range", "_sum", "_s", "_r", "_offset", "n_rows")
+    before = F.col("_offset") + F.coalesce(F.col("_sum"), F.lit(0))
+    got = got.withColumns({"_epochs": epochs, "_rest": rest - before}).drop("_key", "_range", "_sum", "_s", "_r", "_offset", "n_rows")
+    mine = F.least(F.col("size"), F.col("_rest") - F.col("_i") * F.col("size"))
+    return got, F.col("_epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), mine)
+
+
+def take(sized: DataFrame, seed: int = SEED, rows: int = ROWS, **budget) -> DataFrame:
+    """sized (doc_id, source, size) with source_size, target and taken.
+
+    A target of more than the source's size repeats the whole source as often
+    as it fits; the rest of the budget, whole words, takes documents in order of
+    their hash, and of the last one the first words only. So taken sums to the
+    target, rounded down, and reruns agree. Null ids hash as the empty string;
+    rows that repeat an id stand next to each other in order of their other
+    columns, and equal rows are one row with a number until the end, so that
+    neither makes a range larger than its distinct rows; a source without words
+    has target 0; an empty table gives an empty one.
+    """
+    got, taken = _allotted(sized, seed, rows, **budget)
+    return _each(checkpoint(got), "_times", "_i").withColumn("taken", taken).drop("_times", "_i", "_epochs", "_rest")
 
 
 def _size(text: str) -> Column:
@@ -92,26 +117,32 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it, the last partial copy cut after its words.
 
     Documents without words are in it once: they cost no budget. Rows that
-    repeat an id keep their own texts; an empty table gives an empty one.
+    repeat an id keep their own texts; equal rows each take their own share; an
+    empty table gives an empty one.
     The columns are those of docs; n_chars, if there, is that of the cut text.
     """
-    nulls = [F.col(c).isNull() for c in ("doc_id", "source", "text")]
-    keys = ["_h1", "_h2", "_n"]
-    hashed = docs.withColumn("_h1", F.xxhash64("doc_id", "source", "text", *nulls)).withColumn("_h2", F.xxhash64(F.lit(1), "text", "source", "doc_id", *nulls))
-    counted = checkpoint(hashed.select("doc_id", "source", "_h1", "_h2", _size("text").alias("size")))
-    # equal rows are told apart by a number, on both sides
-    number = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(0)))
-    taken = checkpoint(take(counted, **options).withColumn("_n", number).select(*keys, "size", "taken"))
-    got = hashed.withColumn("_n", number).join(taken.withColumnsRenamed({"size": "_size", "taken": "_taken"}), keys)
-    copies = F.transform(F.sequence(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int")), lambda i: F.least(F.col("_size"), F.col("_taken") - i * F.col("_size")))
-    words = F.when(F.col("_size") > 0, F.filter(copies, lambda k: k > 0)).otherwise(F.array(F.lit(0).cast("long")))
-    got = got.withColumn("_k", F.explode(words))
-    short = F.col("_k") < F.col("_size")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[{SPACE}]*{WORD}"), F.lit(0)), F.lit(1), F.col("_k").cast("int")), "")
+    one, two, first, second, size, part, copy = unused(docs, "row_one", "row_two", "taken_one", "taken_two", "row_size", "row_taken", "row_copy")
+    hashed = docs.withColumns({one: row_hash(docs, 0), two: row_hash(docs, 1)})
+    counted = checkpoint(hashed.select("doc_id", "source", F.col(one).alias("_h1"), F.col(two).alias("_h2"), _size("text").alias("size")))
+    groups, taken = _allotted(counted, **{"seed": SEED, "rows": ROWS} | options)
+    groups = checkpoint(groups)
+    alike = (F.col(one) == F.col(first)) & (F.col(two) == F.col(second))
+    named = lambda x: x.select(F.col("_h1").alias(first), F.col("_h2").alias(second), F.col("size").alias(size), F.col("taken").alias(part))
+    single = named(groups.where("_times = 1").withColumn("_i", F.lit(0)).withColumn("taken", taken))
+    got = hashed.join(single, alike)
+    if not groups.where("_times > 1").isEmpty():  # equal rows: one of them stands for all, as often as they are
+        several = named(_each(groups.where("_times > 1"), "_times", "_i").withColumn("taken", taken))
+        distinct = hashed.join(several.select(first, second).distinct(), alike, "left_semi").dropDuplicates([one, two])
+        got = got.unionByName(distinct.join(several, alike))
+    copies = F.transform(F.sequence(F.lit(0), F.floor(F.col(part) / F.col(size)).cast("int")), lambda i: F.least(F.col(size), F.col(part) - i * F.col(size)))
+    words = F.when(F.col(size) > 0, F.filter(copies, lambda k: k > 0)).otherwise(F.array(F.lit(0).cast("long")))
+    got = got.withColumn(copy, F.explode(words))
+    short = F.col(copy) < F.col(size)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[{SPACE}]*{WORD}"), F.lit(0)), F.lit(1), F.col(copy).cast("int")), "")
     got = got.withColumn("text", F.when(short, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return got.select(*docs.columns)
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import row_hash, unused
+
 #: The table's size: prime, and over 100 slots for each of hundreds of shards.
 SLOTS = 65_537
 SHARDS = 64
@@ -50,22 +52,25 @@ def lookup_table(shards: Sequence[str], slots: int = SLOTS) -> np.ndarray:
 def place(docs: DataFrame, shards: Sequence[str], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """docs with columns slot and shard (columns of these names are replaced).
 
-    The slot is xxhash64 of `key` modulo the table's size; a null key has the
-    hash of no value, so all null keys share one shard. Equal keys share one
-    too. The table has `slots` rows whatever the input, so it is broadcast, and
-    the documents aren't shuffled.
+    The slot is xxhash64 of `key` modulo the table's size. Equal keys share a
+    shard; rows with a null key are dealt out by a hash of all their columns, so
+    only equal ones share one for certain. The table has `slots` rows whatever
+    the input, so it is broadcast, and the documents aren't shuffled.
     """
     spark = docs.sparkSession
     table = lookup_table(shards, slots)
     rows = spark.createDataFrame([(s, shards[k]) for s, k in enumerate(table.tolist())], "slot int, shard string")
-    keyed = docs.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+    docs = docs.drop("slot", "shard")
+    hashed = F.when(F.col(key).isNull(), row_hash(docs, 2)).otherwise(F.xxhash64(key))
+    keyed = docs.withColumn("slot", F.pmod(hashed, F.lit(slots)).cast("int"))
     return keyed.join(F.broadcast(rows), "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: Sequence[str], key: str = "doc_id", slots: int = SLOTS, files: int = 8) -> None:
-    """Writes the placed documents in one folder for each shard; `files` tasks share a shard, by a hash of the key."""
-    placed = place(docs, shards, key, slots).withColumn("_part", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(files)))
-    placed.repartition("shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    """Writes the placed documents in one folder for each shard; `files` tasks share a shard, by a hash of the whole row."""
+    placed = place(docs, shards, key, slots)
+    (part,) = unused(placed, "part")
+    placed.withColumn(part, F.pmod(row_hash(docs, 3), F.lit(files))).repartition("shard", part).drop(part).write.partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
