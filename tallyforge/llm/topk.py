@@ -4,25 +4,35 @@ For a vector cut into segments of l components with mean m and deviation s,
 the values m*sqrt(l) and s*sqrt(l) keep its norm, and the distance between two
 vectors' values is a lower bound of their distance. With equal norms on both
 sides that bound says that the inner product of the values is an upper bound
-of the vectors' inner product. A block of queries meets a block of rows: the
-coarse bounds of all pairs are one small matrix product, the exact scores of
-the most promising rows set each query's k-th score, and only pairs that may
-still reach it go to the finer bound and then to the exact score.
+of the vectors' inner product.
+
+Queries are written once, in blocks with their statistics and a first k-th
+score, to the shared folder. Rows aren't shuffled: a task gathers HOLD rows,
+orders them by coarse statistics into cells with an envelope (least and
+greatest of each value), and takes the blocks of queries in turn. Cells whose
+envelope is below a query's k-th score fall at once; of the best cells first
+the exact scores raise it; rows of the others meet the coarse bound, then the
+finer one, and what is left is scored. Each task's k best of a query are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from . import arrays
+from .common import checkpoint, fresh_folder
 
 LEVELS = (4, 16)
-QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+QUERY_BLOCK = 1024
+#: Rows that a task holds, and rows of a cell of them.
+HOLD, CELL = 65_536, 1024
 #: Pairs that are bounded or scored at a time.
-PAIRS = 1 << 17
+PAIRS = 1 << 18
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -34,41 +44,94 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean * np.sqrt(length), np.sqrt(spread)], axis=1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows, all with all: in float64 where that is exact, else in int64."""
+    if not q.size or not x.size:
+        return np.zeros((len(q), len(x)), np.int64)
+    reach = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
+    return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if reach < 2**53 else q @ x.T
+
+
+def _envelope(stats: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum.reduceat(stats, edges[:-1], axis=0), np.maximum.reduceat(stats, edges[:-1], axis=0)
+
+
+class Rows:
+    """The rows that a task holds, in cells."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        coarse = statistics(x.astype(np.float64), LEVELS[0])
+        # cells: rows that agree on which of their segments' means are high, in order of the largest one
+        means = coarse[:, : coarse.shape[1] // 2]
+        high = (means > np.median(means, axis=0)) @ (1 << np.arange(means.shape[1]))
+        order = np.lexsort((means.max(axis=1, initial=0.0), high))
+        self.ids, self.x, self.coarse = ids[order], x[order], coarse[order]
+        self.fine = statistics(self.x.astype(np.float64), LEVELS[1])
+        self.edges = np.r_[np.arange(0, len(ids), CELL), len(ids)]
+        self.least, self.most = _envelope(self.coarse, self.edges)
+        self.norm = float(np.linalg.norm(self.x.astype(np.float64), axis=1).max())
+
+
+class Queries:
+    """A block of queries."""
+
+    KEYS = ("ids", "v", "kth")
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, kth: np.ndarray):
+        self.ids, self.v, self.kth = ids, v, kth
+        self.coarse, self.fine = (statistics(v.astype(np.float64), n) for n in LEVELS)
+        self.norm = float(np.linalg.norm(v.astype(np.float64), axis=1).max(initial=0.0))
+
+
+def first_scores(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """The k-th score of each query among the other rows of its own block, which are candidates too: no k-th score is below it."""
+    scores = _exact(v, v).astype(np.float64)
+    scores[ids[:, None] == ids[None, :]] = -np.inf
+    return np.sort(scores, axis=1)[:, -k] if len(ids) >= k else np.full(len(ids), -np.inf)
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, row, score) of each query's k best rows of the block, its own excepted; ties to the smaller id."""
-    if not x.shape[1]:
-        return [(int(a), int(b), 0) for a in qid for b in np.sort(xid[xid != a])[:k]]
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
+def search(q: Queries, rows: Rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, row, score of each query's k best of the rows, its own id excepted, as far as they reach its first k-th score; ties to the smaller id."""
     # rounding of the bounds, far above what float64 loses here
-    slack = 1e-9 * (1 + np.linalg.norm(qf, axis=1).max() * np.linalg.norm(xf, axis=1).max())
-    coarse, fine = ((statistics(qf, n), statistics(xf, n)) for n in LEVELS)
-    rows = max(1, PAIRS // len(xid))
-    out = []
-    for at in range(0, len(qid), rows):
-        part = slice(at, at + rows)
-        upper = coarse[0][part] @ coarse[1].T
-        own = qid[part, None] == xid[None, :]
-        upper[own] = -np.inf
-        n = min(k, len(xid))
-        lead = np.argpartition(-upper, n - 1, axis=1)[:, :n]
-        exact = np.einsum("qd,qkd->qk", q[part], x[lead]).astype(np.float64)
-        exact[np.take_along_axis(own, lead, 1)] = -np.inf
-        least = exact.min(axis=1) if n == k else np.full(len(upper), -np.inf)
-        a, b = np.nonzero(~own & (upper >= (least - slack)[:, None]))
-        bound = np.einsum("pd,pd->p", fine[0][part][a], fine[1][b])
-        keep = bound >= least[a] - slack
-        a, b = a[keep], b[keep]
-        score = np.einsum("pd,pd->p", q[part][a], x[b])
-        starts = np.searchsorted(a, np.arange(len(upper) + 1))
-        for i in range(len(upper)):
-            s = slice(starts[i], starts[i + 1])
-            for j in _best(score[s], xid[b[s]], k):
-                out.append((int(qid[at + i]), int(xid[b[s][j]]), int(score[s][j])))
-    return out
+    slack = 1e-9 * (1 + q.norm * rows.norm)
+    limit = q.kth - slack
+    best_score, best_id = np.full((len(q.ids), k), -np.inf), np.full((len(q.ids), k), np.iinfo(np.int64).max)
+    # a cell's bound: each query value times the envelope's end that suits it; deviations aren't negative
+    up = np.maximum(q.coarse, 0) @ rows.most.T + np.minimum(q.coarse, 0) @ rows.least.T
+    for c in np.argsort(-up.max(axis=0), kind="stable"):
+        part = slice(int(rows.edges[c]), int(rows.edges[c + 1]))
+        size = part.stop - part.start
+        who = np.flatnonzero(up[:, c] >= limit)
+        for at in range(0, len(who), max(1, PAIRS // size)):
+            w = who[at : at + max(1, PAIRS // size)]
+            a, b = np.nonzero(q.coarse[w] @ rows.coarse[part].T >= limit[w, None])
+            if not len(a):
+                continue
+            if 4 * len(a) < len(w) * size:  # few pairs: the finer bound, then the rest one by one
+                keep = np.einsum("pd,pd->p", q.fine[w[a]], rows.fine[part][b]) >= limit[w[a]]
+                a, b = a[keep], b[keep]
+                score = np.einsum("pd,pd->p", q.v[w[a]], rows.x[part][b]).astype(np.float64)
+            else:  # bounds save nothing here: all at once
+                score = _exact(q.v[w], rows.x[part])[a, b].astype(np.float64)
+            keep = (score >= q.kth[w[a]]) & (q.ids[w[a]] != rows.ids[part][b])
+            a, b, score = a[keep], b[keep], score[keep]
+            if not len(a):
+                continue
+            ids = rows.ids[part][b]
+            order = np.lexsort((ids, -score, a))
+            a, ids, score = a[order], ids[order], score[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            top = place < k
+            hit = np.unique(a)
+            new_score, new_id = np.full((len(hit), 2 * k), -np.inf), np.full((len(hit), 2 * k), np.iinfo(np.int64).max)
+            new_score[:, :k], new_id[:, :k] = best_score[w[hit]], best_id[w[hit]]
+            row = np.searchsorted(hit, a[top])
+            new_score[row, k + place[top]], new_id[row, k + place[top]] = score[top], ids[top]
+            order = np.lexsort((new_id, -new_score), axis=1)[:, :k]
+            best_score[w[hit]], best_id[w[hit]] = np.take_along_axis(new_score, order, 1), np.take_along_axis(new_id, order, 1)
+            limit[w[hit]] = np.maximum(limit[w[hit]], best_score[w[hit], -1] - slack)
+    a, b = np.nonzero(best_score > -np.inf)
+    return q.ids[a], best_id[a, b], best_score[a, b].astype(np.int64)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -81,36 +144,58 @@ def quantised(vectors: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query row with the other rows.
 
-    Queries are the rows whose vec_id is divisible by `every`. Vectors that are
-    null or hold a null or non-finite component take no part, nor do rows with
-    a null id; vectors of different lengths aren't compared. Ties go to the
-    smaller vec_id. Rows that bear the query's id are its own row; a repeated
-    id among the candidates counts once for each row. No queries or no
-    candidates give no rows. Components are taken to be small enough for sums
-    in 64-bit integers.
+    Queries are the rows whose vec_id is divisible by `every`; of rows that bear
+    one id the smallest vector, component by component, is the query. Vectors
+    that are null or hold a null or non-finite component take no part, nor do
+    rows with a null id; vectors of different lengths aren't compared. Ties go to
+    the smaller vec_id. All rows that bear the query's id are its own; a repeated
+    id among the candidates counts once for each row. No queries or no candidates
+    give no rows. Components are taken to be small enough for sums in 64-bit
+    integers, scores to be below 2**53.
     """
     rows = checkpoint(quantised(vectors).withColumn("dim", F.size("v")))
-    n, m = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    qs, xs = max(1, -(-m // QUERY_BLOCK)), max(1, -(-n // ROW_BLOCK))
-    part = lambda seed, count: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
-    every_block = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    queries = rows.where(F.col("vec_id") % every == 0).select("dim", part(1, qs).alias("qb"), every_block(xs).alias("xb"), "vec_id", "v")
-    others = rows.select("dim", every_block(qs).alias("qb"), part(2, xs).alias("xb"), "vec_id", "v")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ids = t.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return ids[order], flat.reshape(len(ids), -1)[order] if len(ids) else flat.reshape(0, 0)
-
-        (qid, q), (xid, x) = read(left), read(right)
-        found = search_block(qid, q, xid, x, k) if len(qid) and len(xid) else []
-        a = np.array(found, np.int64).reshape(-1, 3)
-        return pa.table({"query_id": a[:, 0], "vec_id": a[:, 1], "score": a[:, 2]})
-
-    keys = ["dim", "qb", "xb"]
-    found = queries.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    asked = checkpoint(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    folder = fresh_folder(vectors.sparkSession, "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def read(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = t.column("vec_id").to_numpy(), t.column("v")
+        flat = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy(zero_copy_only=False)
+        return ids, flat.reshape(len(ids), -1)
+
+    def write(t: pa.Table) -> pa.Table:
+        ids, v = read(t)
+        dim, block = v.shape[1], t.column("block")[0].as_py()
+        arrays.save(folder, f"block-{dim}-{block}", {"ids": ids, "v": v, "kth": first_scores(ids, v, k)})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int32())})
+
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    written = asked.groupBy("dim", "block").applyInArrow(write, "dim int, block int").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            dims = table.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                mine = Rows(*read(table.filter(pa.array(dims == dim))))
+                for b in sorted(r["block"] for r in written if r["dim"] == dim):
+                    got = arrays.load(folder, f"block-{dim}-{b}", Queries.KEYS)
+                    a, i, s = search(Queries(*(np.asarray(got[c]) for c in Queries.KEYS)), mine, k)
+                    if len(a):
+                        yield pa.RecordBatch.from_pydict({"query_id": a, "vec_id": i, "score": s})
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HOLD:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    found = rows.select("dim", "vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -325,6 +325,34 @@ def test_top_k_brute_force(spark):
         assert got[i] == [(j, int(s[j])) for j in sorted((j for j in range(230) if j != i), key=lambda j: (-s[j], j))[:5]]
 
 
+def test_top_k_over_cells(monkeypatch):
+    """Blocks of queries against held rows in small cells, with clusters, ties, zero vectors and vectors of no components."""
+    rnd = np.random.default_rng(5)
+    monkeypatch.setattr(topk, "CELL", 16)
+    centre = rnd.normal(0, 300, (8, 20))
+    x = np.floor(centre[rnd.integers(0, 8, 700)] + rnd.normal(0, 30, (700, 20))).astype(np.int64)
+    x[5:9], x[30:40] = x[4], 0
+    ids = rnd.permutation(700)
+    ids[600] = ids[3]
+    at = np.flatnonzero(ids % 50 == 0)
+    for kth in (np.full(len(at), -np.inf), topk.first_scores(ids[at], x[at], 5)):
+        a, b, s = topk.search(topk.Queries(ids[at], x[at], kth), topk.Rows(ids, x), 5)
+        got = collections.defaultdict(list)
+        for i, j, v in zip(a.tolist(), b.tolist(), s.tolist()):
+            got[i].append((j, v))
+        for q in at:
+            score = x @ x[q]
+            assert got[ids[q]] == [(ids[j], score[j]) for j in sorted(np.flatnonzero(ids != ids[q]), key=lambda j: (-score[j], ids[j]))[:5]]
+    a, b, s = topk.search(topk.Queries(np.array([0]), np.zeros((1, 0), int), np.array([-np.inf])), topk.Rows(np.arange(9), np.zeros((9, 0), int)), 5)
+    assert b.tolist() == [1, 2, 3, 4, 5] and s.tolist() == [0] * 5
+
+
+def test_top_k_of_repeated_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [5.0, 1.0]), (4, [1.0, 5.0]), (4, [1.0, 5.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 4, 5 << 16), (0, 2, 4, 5 << 16), (0, 3, 3, 1 << 16)]
+
+
 def test_lookup_table():
     table = sharding.lookup_table([f"s{k}" for k in range(10)], 1009)
     counts = np.bincount(table)
