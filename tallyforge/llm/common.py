@@ -73,32 +73,39 @@ def row_hash(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[x for f in df.schema.fields for x in (plain(f), F.col(f"`{f.name}`").isNull())])
 
 
-def draw(rows: DataFrame, by: str, most: int) -> list[Row]:
-    """doc_id, text, `by` of at most `most` distinct rows of each value of `by`: those with the lowest hashes of id and text.
-
-    Hashes are uniform, so a class of n rows finds them below a share of
-    2 * most / n of all hashes; where repeated rows leave too few, the share
-    grows. No task reads a whole class. Rows with a null in any of the three
-    columns aren't drawn. What comes to the driver is bounded in rows for each
-    class, not in bytes: whole texts.
+def draw(docs: DataFrame, by: str, most: int, labels: DataFrame | None = None) -> list[Row]:
+    """doc_id, text, `by` of at most `most` distinct documents of each value of `by`, a column of docs or of labels (doc_id, by): those with the lowest hashes of id and text.
+
+    Hashes are uniform, so a class of n labels finds its documents below a share
+    of 2 * most / n of all hashes; where repeated or missing ones leave too few,
+    the share grows. No task reads a whole class, and texts aren't shuffled: the
+    few drawn are broadcast to them. Nulls in any of the three columns aren't
+    drawn. What comes to the driver is bounded in rows for each class, not in
+    bytes: whole texts.
     """
     keys = ["_one", "_two"]
-    hashed = rows.select("doc_id", "text", by).dropna().withColumns({"_one": F.xxhash64("doc_id", "text"), "_two": F.xxhash64(F.lit(1), "text", "doc_id")})
-    share = {r[by]: min(1.0, 2 * most / r["count"]) for r in hashed.groupBy(by).count().collect()}
+    spark = docs.sparkSession
+    own = [] if labels is not None else [by]
+    labels = (docs if labels is None else labels).select("doc_id", by).dropna()
+    hashed = docs.select("doc_id", "text", *own).dropna().withColumns({"_one": F.xxhash64("doc_id", "text"), "_two": F.xxhash64(F.lit(1), "text", "doc_id")})
+    share = {r[by]: min(1.0, 2 * most / r["count"]) for r in labels.groupBy(by).count().collect()}
     if not share:
         return []
-    kind = hashed.select(by).schema.add("_share", "double")
+    kind = labels.select(by).schema.add("_share", "double")
+    low = lambda s: F.col("_one") / float(1 << 63) < 2 * s - 1
     while True:
-        cut = F.broadcast(rows.sparkSession.createDataFrame(list(share.items()), kind))
-        few = checkpoint(hashed.join(cut, by).where(F.col("_one") / float(1 << 63) < 2 * F.col("_share") - 1).select(by, *keys).dropDuplicates())
+        cut = F.broadcast(spark.createDataFrame(list(share.items()), kind))
+        near = hashed.where(low(F.lit(max(share.values())))).select("doc_id", *own, *keys)
+        near = near if own else near.join(labels, "doc_id")
+        few = checkpoint(near.join(cut, by).where(low(F.col("_share"))).select(by, *keys).dropDuplicates())
         got = {r[by]: r["count"] for r in few.groupBy(by).count().collect()}
         short = [c for c, s in share.items() if s < 1 and got.get(c, 0) < most]
         if not short:
             break
         share.update({c: min(1.0, 16 * share[c]) for c in short})
     picked = few.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).where(F.col("_k") <= most).select(by, *keys)
-    picked = rows.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    drawn = hashed.join(F.broadcast(picked), [by, *keys], "left_semi").dropDuplicates([by, *keys])
+    picked = spark.createDataFrame(picked.collect(), picked.schema)
+    drawn = hashed.join(F.broadcast(picked), [*own, *keys]).dropDuplicates([by, *keys])
     return sorted(drawn.select("doc_id", "text", by).collect(), key=lambda r: (r["doc_id"], r["text"], r[by]))
 
 

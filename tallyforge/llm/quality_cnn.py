@@ -166,7 +166,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(crc_mod("doc_id", 5) != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    found = draw(docs.select("doc_id", "text").join(known, "doc_id"), "quality", per_class)
+    found = draw(docs, "quality", per_class, known)
     return [r["text"].encode() for r in found], [r["quality"] for r in found]
 
 
