@@ -79,33 +79,118 @@ def keccak256(message: pd.Series) -> pd.Series:
     return found
 
 
-def _encode58(b: bytes) -> str:
-    n, text = int.from_bytes(b, "big"), ""
-    while n:
-        n, at = divmod(n, 58)
-        text = ALPHABET[at] + text
-    return "1" * (len(b) - len(b.lstrip(b"\0"))) + text
+def _digits(values: np.ndarray, base: int, into: int, places: int) -> np.ndarray:
+    """Rows of digits in one base as rows of digits in another, the highest first, by long division of all rows at once."""
+    left, out = values.astype(np.int64), np.zeros((len(values), places), np.int64)
+    for k in range(places - 1, -1, -1):
+        rest = np.zeros(len(left), np.int64)
+        for j in range(left.shape[1]):
+            rest = rest * base + left[:, j]
+            left[:, j], rest = np.divmod(rest, into)
+        out[:, k] = rest
+    return out
+
+
+def _by_length(values: list) -> dict[int, list[int]]:
+    found: dict[int, list[int]] = {}
+    for i, v in enumerate(values):
+        if v is not None:
+            found.setdefault(len(v), []).append(i)
+    return found
+
+
+_LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
+_VALUE = np.full(256, -1, np.int64)
+_VALUE[_LETTERS] = np.arange(58)
+
+
+def base58_batch(values: list[bytes | None]) -> list[str | None]:
+    """The base58 texts; a zero byte in front is a `1`. Values of one length go together."""
+    out: list[str | None] = [None] * len(values)
+    for size, where in _by_length(values).items():
+        raw = np.frombuffer(b"".join(values[i] for i in where), np.uint8).reshape(len(where), size)
+        digits = _digits(raw, 256, 58, size * 138 // 100 + 1)
+        zeros = (np.cumsum(raw != 0, axis=1) == 0).sum(axis=1)
+        lead = (np.cumsum(digits != 0, axis=1) == 0).sum(axis=1)
+        text = _LETTERS[digits]
+        for row, i in enumerate(where):
+            out[i] = "1" * int(zeros[row]) + text[row, lead[row] :].tobytes().decode()
+    return out
 
 
-def _decode58(text: str) -> bytes | None:
-    n = 0
-    for c in text:
-        at = ALPHABET.find(c)
-        if at < 0:
-            return None
-        n = n * 58 + at
-    return bytes(len(text) - len(text.lstrip("1"))) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+def from_base58_batch(texts: list[str | None]) -> list[bytes | None]:
+    """The bytes of base58 texts; null for other texts."""
+    out: list[bytes | None] = [None] * len(texts)
+    raw_texts = [None if t is None or not t.isascii() else t.encode() for t in texts]
+    for size, where in _by_length(raw_texts).items():
+        value = _VALUE[np.frombuffer(b"".join(raw_texts[i] for i in where), np.uint8).reshape(len(where), size)]
+        good = (value >= 0).all(axis=1)
+        digits = _digits(np.maximum(value, 0), 58, 256, size * 74 // 100 + 1)
+        ones = (np.cumsum(value != 0, axis=1) == 0).sum(axis=1)
+        lead = (np.cumsum(digits != 0, axis=1) == 0).sum(axis=1)
+        for row, i in enumerate(where):
+            if good[row]:
+                out[i] = bytes(int(ones[row])) + digits[row, lead[row] :].astype(np.uint8).tobytes()
+    return out
 
 
 @F.pandas_udf(T.StringType())
 def base58(value: pd.Series) -> pd.Series:
-    return value.map(lambda b: None if b is None else _encode58(bytes(b)))
+    return pd.Series(base58_batch([None if v is None else bytes(v) for v in value]), index=value.index, dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
 def from_base58(text: pd.Series) -> pd.Series:
-    """The bytes of a base58 text; null for other texts."""
-    return text.map(lambda t: None if t is None else _decode58(t))
+    return pd.Series(from_base58_batch([None if pd.isna(t) else t for t in text]), index=text.index, dtype=object)
+
+
+#: Rotations of the published lookup hash's mixing rounds and of its last one, and what it starts from.
+_MIX, _FINAL, _START = (4, 6, 8, 16, 19, 4), (14, 11, 25, 16, 4, 14, 24), 0x9E3779B9 + 3923095
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+
+
+def lookup_hash(values: list[bytes]) -> np.ndarray:
+    """The 32-bit lookup hash of byte strings, as a database hashes text; strings of one length go together.
+
+    Three words take in twelve bytes a round; the first byte of the last
+    round's third word stays free.
+    """
+    out = np.zeros(len(values), np.uint32)
+    for size, where in _by_length(values).items():
+        raw = np.zeros((len(where), size // 12 * 12 + 12), np.uint8)
+        raw[:, :size] = np.frombuffer(b"".join(values[i] for i in where), np.uint8).reshape(len(where), size)
+        tail = size // 12 * 12
+        raw[:, tail + 9 : tail + 12] = raw[:, tail + 8 : tail + 11].copy()
+        raw[:, tail + 8] = 0
+        words = raw.view("<u4").astype(np.uint32)
+        w = [np.full(len(where), (_START + size) & 0xFFFFFFFF, np.uint32) for _ in range(3)]
+        for k in range(size // 12 + 1):
+            for j in range(3):
+                w[j] = w[j] + words[:, 3 * k + j]
+            if k < size // 12:  # each word in turn gives way to the one before it
+                for r, n in enumerate(_MIX):
+                    x, y, z = r % 3, (r + 1) % 3, (r + 2) % 3
+                    w[x] = (w[x] - w[z]) ^ _turn(w[z], n)
+                    w[z] = w[z] + w[y]
+        for r, n in enumerate(_FINAL):
+            x, y = (2, 0, 1)[r % 3], (1, 2, 0)[r % 3]
+            w[x] = (w[x] ^ w[y]) - _turn(w[y], n)
+        out[where] = w[2]
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def tie_breaker(text: pd.Series) -> pd.Series:
+    """The absolute value of the signed lookup hash of a text, modulo ten million; null stays null."""
+    full = text.notna()
+    found = pd.Series([None] * len(text), index=text.index, dtype="Int64")
+    if full.any():
+        signed = lookup_hash([t.encode() for t in text[full]]).view(np.int32).astype(np.int64)
+        found[full] = np.abs(signed) % 10_000_000
+    return found
 
 
 def u64_le(n: Column) -> Column:

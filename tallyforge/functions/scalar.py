@@ -73,6 +73,32 @@ def block_time(seconds: Column, slot: Column, now_ms: Column) -> Column:
     return F.timestamp_millis(ms.cast("long"))
 
 
+def decompose_id(text: Column, *names: str) -> Column:
+    """The parts of `a:b:c`, without the prefix `sol:` of old ids, as a struct of texts; null if their number differs."""
+    parts = F.split(F.regexp_replace(text, "^sol:", ""), ":")
+    return F.when(F.size(parts) == len(names), F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]))
+
+
+def strip_nul(text: Column) -> Column:
+    """The text without zero characters."""
+    return F.replace(text, F.lit("\0"), F.lit(""))
+
+
+def digest_text(text: Column) -> Column:
+    """A digest's hex digits in lower case, without `\\x` or `0x` in front; blank is null."""
+    return F.nullif(F.lower(F.regexp_replace(F.trim(text), r"^(\\x|0x)", "")), F.lit(""))
+
+
+def response_status(status: Column) -> Column:
+    """What a response's status is called: an orphaned one is ORPHANED, a verified one FINALIZED, others PENDING."""
+    return F.when(status.isin("ORPHANED", "FINALIZED"), status).otherwise("PENDING")
+
+
+def cluster_id(network: Column) -> Column:
+    """101 is the main network, 103 the development one."""
+    return F.when(network == "mainnet", 101).otherwise(103)
+
+
 def pointer_variants(pointer: Column) -> Column:
     """`c1:<cid>` and the bare cid stand for each other if the cid is base32."""
     bare = F.regexp_replace(pointer, "^c1:", "")

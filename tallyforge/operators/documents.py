@@ -109,3 +109,73 @@ def decode_value(value: pd.Series) -> pd.Series:
         return b[1:] if b[0] == 0 else b
 
     return value.map(one)
+
+
+#: The members that every document may have, by their metadata key; the trust kinds; the members beyond those that are kept, the items of a list, characters of a nested value.
+STANDARD = {"name": "name", "description": "description", "image": "image", "type": "type", "services": "services", "registrations": "registrations", "supportedTrust": "supported_trust", "active": "active", "x402Support": "x402_support"}
+TRUSTS = ["reputation", "crypto-economic", "tee-attestation", "8004", "oasf", "x402"]
+EXTRA, ITEMS, NESTED = 50, 20, 10_000
+
+
+def supported_trust(text: Column) -> Column:
+    """The known trust kinds among the first ITEMS of a JSON list, in lower case, as a JSON list; null if none is."""
+    items = F.transform(F.slice(F.from_json(text, "array<string>"), 1, ITEMS), lambda x: clean_text(F.lower(x)))
+    good = F.filter(items, lambda x: x.isin(TRUSTS))
+    return F.when(F.size(good) > 0, F.to_json(good))
+
+
+def flag(text: Column) -> Column:
+    """true or false; other values are null."""
+    return F.when(text.isin("true", "false"), text)
+
+
+def read_documents(docs: DataFrame, most: int, full: bool = False, body: str = "body", fetched: str | None = None) -> DataFrame:
+    """digest() with the fetch's own status (timeout, error, blocked) where it isn't ok, fields cleaned by their kind, and `truncated`.
+
+    Only STANDARD members are kept, under their metadata names; with full, up to
+    EXTRA others in the order of the document, cleaned as text, nested ones as
+    JSON of NESTED characters; `truncated` says that there were more. Members
+    that are empty after cleaning go. Services and registrations stay JSON text
+    here; registrations.sanitize_services() and sanitize_registrations() clean
+    them. Names of the extra members that clash with a standard one's metadata
+    name lose to it.
+    """
+    rows = digest(docs, most, body)
+    if fetched is not None:
+        bad = F.col(fetched).isNotNull() & (F.col(fetched) != "ok")
+        rows = rows.withColumns({"doc_status": F.when(bad, F.col(fetched)).otherwise(F.col("doc_status")), "fields": F.when(~bad, F.col("fields"))})
+    cleaners = {"name": clean_text, "description": clean_text, "type": clean_text, "image": clean_url, "supportedTrust": supported_trust, "active": flag, "x402Support": flag}
+    kept = [F.struct(F.lit(meta).alias("key"), cleaners.get(k, lambda x: x)(F.try_element_at("fields", F.lit(k))).alias("value")) for k, meta in STANDARD.items()]
+    standard = F.array(*kept)
+    names = F.filter(F.map_entries("fields"), lambda e: ~e["key"].isin(list(STANDARD) + list(STANDARD.values())))
+    nested = lambda v: F.when(v.rlike(r"^\s*[\[{]"), F.substring(v, 1, NESTED)).otherwise(clean_text(v))
+    extra = F.transform(F.slice(names, 1, EXTRA), lambda e: F.struct(e["key"].alias("key"), nested(e["value"]).alias("value")))
+    every = F.concat(standard, extra) if full else standard
+    good = F.filter(every, lambda e: e["value"].isNotNull() & ~e["value"].isin("", "[]"))
+    rows = rows.withColumn("truncated", F.coalesce(F.size(names) > EXTRA, F.lit(False)) if full else F.lit(False))
+    return rows.withColumn("fields", F.when(F.col("fields").isNotNull(), F.map_from_entries(good)))
+
+
+def backfill_names(agents: DataFrame, metadata: DataFrame) -> DataFrame:
+    """agents whose nft_name is null or empty take the name that their document gives."""
+    names = metadata.where("key = '_uri:name'").groupBy("asset").agg(F.max("value").alias("_name"))
+    return agents.join(names, "asset", "left").withColumn("nft_name", F.coalesce(F.nullif("nft_name", F.lit("")), F.col("_name"))).drop("_name")
+
+
+def latest_tasks(tasks: DataFrame, order: str = "queued_at") -> DataFrame:
+    """The newest queued document of each agent; ties to the higher uri."""
+    columns = [c for c in tasks.columns if c != "asset"]
+    newest = F.max_by(F.struct(*columns), F.struct(order, "uri")).alias("_t")
+    return tasks.groupBy("asset").agg(newest).select("asset", *[F.col(f"_t.{c}").alias(c) for c in columns])
+
+
+def base64_to_binary(metadata: DataFrame, value: str = "value") -> DataFrame:
+    """Old values, base64 texts, as bytes; what is no base64 becomes its own bytes."""
+    text = F.col(value).cast("string")
+    return metadata.withColumn(value, F.coalesce(F.try_to_binary(F.when(text.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(text) % 4 == 0), text), F.lit("base64")), text.cast("binary")))
+
+
+def cap_bytes(page: DataFrame, most: int = 10 << 20, value: str = "value") -> DataFrame:
+    """A page with its stored bytes in `page_bytes`; `rejected` is true on every row if they are more than `most`."""
+    total = page.agg(F.coalesce(F.sum(F.octet_length(value)), F.lit(0)).alias("page_bytes"))
+    return page.crossJoin(F.broadcast(total)).withColumn("rejected", F.col("page_bytes") > most)  # one row

@@ -16,21 +16,42 @@ def assign_ids(rows: DataFrame, scope: list[str], order: list[Column], column: s
     return rows.withColumn(column, F.when(new, most + rank).otherwise(F.col(column)))
 
 
-def assign_global_ids(rows: DataFrame, order: list[str], column: str, start: int = 0) -> DataFrame:
-    """Ids over the whole table in order: ranges are sorted apart, and a running sum over their sizes gives each one's offset."""
+def number_globally(rows: DataFrame, order: list[str], column: str) -> DataFrame:
+    """rows numbered from 1 in order: ranges are sorted apart, and a running sum over their sizes gives each one's offset."""
     ranged = checkpoint(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_p", before.alias("_o"))  # a row for each partition
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_k", rank).join(F.broadcast(offsets), "_p").withColumn(column, F.lit(start) + F.col("_o") + F.col("_k")).drop("_p", "_k", "_o")
+    return ranged.withColumn("_k", rank).join(F.broadcast(offsets), "_p").withColumn(column, F.col("_o") + F.col("_k")).drop("_p", "_k", "_o")
 
 
-def audit_gapless(rows: DataFrame, scope: list[str], column: str) -> DataFrame:
-    """Scopes whose ids aren't 1 to n."""
-    a = rows.where(F.col(column).isNotNull()).groupBy(*scope).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.countDistinct(column).alias("kinds"))
-    return a.where("lo <> 1 OR hi <> n OR kinds <> n")
+def assign_global_ids(rows: DataFrame, order: list[str], column: str, eligible: Column | None = None) -> DataFrame:
+    """Rows that lack an id and are eligible get the highest id there is and their number in order; ids that exist stay. Without the column all rows are new."""
+    if column not in rows.columns:
+        rows = rows.withColumn(column, F.lit(None).cast("long"))
+    new = F.col(column).isNull() & (F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True))
+    most = rows.agg(F.coalesce(F.max(column), F.lit(0)).alias("_most"))
+    numbered = number_globally(rows.where(new).drop(column), order, "_number").crossJoin(F.broadcast(most))  # one row
+    return rows.where(~new).unionByName(numbered.withColumn(column, F.col("_most") + F.col("_number")).select(*rows.columns))
 
 
-def counters(rows: DataFrame, scope: list[str], column: str) -> DataFrame:
-    return rows.groupBy(*scope).agg((F.max(column) + 1).alias("next_value"))
+def repair_ids(rows: DataFrame, order: list[str], column: str, key: str) -> DataFrame:
+    """key and the id that a full numbering in order gives, of the rows whose id differs from it."""
+    right = number_globally(rows, order, "_right")
+    return right.where(~F.col(column).eqNullSafe(F.col("_right"))).select(key, F.col("_right").alias(column))
+
+
+def audit_gapless(rows: DataFrame, scope: list[str], column: str, needed: Column | None = None) -> DataFrame:
+    """Scopes whose ids, of all rows that hold one, aren't 1 to n; and with `needed`, scopes with rows that should hold one and don't (`missing`)."""
+    held = F.col(column).isNotNull()
+    missing = F.count_if(needed & ~held) if needed is not None else F.lit(0).cast("long")
+    a = rows.groupBy(*scope).agg(F.count(column).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.countDistinct(column).alias("kinds"), missing.alias("missing"))
+    found = a.where("(n > 0 AND (lo <> 1 OR hi <> n OR kinds <> n)) OR missing > 0")
+    return found if needed is not None else found.drop("missing")
+
+
+def counters(rows: DataFrame, scope: list[str], column: str, name: str | None = None) -> DataFrame:
+    """The next id of each scope; with a name, as scope texts `name:a:b`."""
+    found = rows.groupBy(*scope).agg((F.coalesce(F.max(column), F.lit(0)) + 1).alias("next_value"))
+    return found if name is None else found.select(F.concat_ws(":", F.lit(name), *[F.col(c).cast("string") for c in scope]).alias("scope"), "next_value")

@@ -15,12 +15,14 @@ def page_per_group(rows: DataFrame, by: list[str], order: list[Column], first: i
 
 
 def after(keys: list[tuple[str, bool]], cursor: list) -> Column:
-    """Rows after the cursor in an order of columns, each ascending or not."""
+    """Rows after the cursor in an order of columns, each ascending or not, nulls last in either direction."""
     steps, equal = [], F.lit(True)
     for (name, up), value in zip(keys, cursor, strict=True):
-        steps.append(equal & ((F.col(name) > value) if up else (F.col(name) < value)))
-        equal = equal & (F.col(name) == value)
-    return reduce(lambda a, b: a | b, steps)
+        c = F.col(name)
+        if value is not None:  # nothing comes after a null but what the next columns say
+            steps.append(equal & (((c > value) if up else (c < value)) | c.isNull()))
+        equal = equal & (c.isNull() if value is None else c == value)
+    return F.coalesce(reduce(lambda a, b: a | b, steps, F.lit(False)), F.lit(False))
 
 
 def keyset_page(rows: DataFrame, keys: list[tuple[str, bool]], first: int, cursor: list | None = None) -> DataFrame:
@@ -46,8 +48,3 @@ def encode_cursor(*columns: str) -> Column:
 
 def decode_cursor(text: Column, schema: str) -> Column:
     return F.from_json(F.unbase64(text).cast("string"), schema)
-
-
-def lookup(rows: DataFrame, condition: Column) -> DataFrame:
-    """The one row that fits; two rows mean that the id is ambiguous."""
-    return rows.where(condition).limit(2)

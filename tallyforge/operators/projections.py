@@ -6,11 +6,15 @@ repeated delivery of an event changes nothing. Empty inputs give empty tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from .fold import last_non_null, project
+from . import events
+from .fold import last_non_null, merge, metadata_state, project, stage
+from .rollups import feedback_rollup
 
 #: Fixed value: the wallet that stands for none.
 NO_WALLET = "1" * 32
@@ -24,19 +28,28 @@ def _last(rows: DataFrame, key: str, **values: Column) -> DataFrame:
     return project(rows, [key], _order(), last=values)
 
 
-def agents(registered: DataFrame, owners: DataFrame, atoms: DataFrame, uris: DataFrame, wallets: DataFrame, resets: DataFrame, parents: DataFrame) -> DataFrame:
+#: Columns of an agent that its events give.
+AGENT = "asset, owner, creator, collection, slot, tx_signature, tx_index, event_ordinal, created_at, updated_at, uri, wallet, atom_enabled, parent_asset, parent_creator, parent_locked".split(", ")
+
+
+def agents(registered: DataFrame, owners: DataFrame, atoms: DataFrame, uris: DataFrame, wallets: DataFrame, resets: DataFrame, parents: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """A row for each registered asset.
 
-    A repeated registration overwrites owner, uri and atom_enabled and keeps
-    creator, collection, slot and signature of the first. Later events count
+    A repeated registration overwrites owner, uri, atom_enabled and its place in
+    the block and keeps creator, collection, slot, signature and created_at of
+    the first; updated_at is the time of the last event. Later events count
     from the first registration on; a blank uri is null, and so is the wallet
-    that stands for none. One aggregate by asset over the union of all kinds.
+    that stands for none. A snapshot (columns AGENT) stands for all events before
+    these. One aggregate by asset over the union of all kinds.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    empty = {"owner": "string", "uri": "string", "wallet": "string", "atom_enabled": "boolean", "parent_asset": "string", "parent_creator": "string", "lock": "boolean", "collection": "string"}
+    empty = {"owner": "string", "uri": "string", "wallet": "string", "atom_enabled": "boolean", "parent_asset": "string", "parent_creator": "string", "lock": "boolean", "collection": "string", "creator": "string"}
 
-    def part(rows: DataFrame, kind: str, **given: Column) -> DataFrame:
-        return rows.select("asset", _order().alias("o"), "slot", "tx_signature", F.lit(kind).alias("kind"), *[given.get(c, none(t)).alias(c) for c, t in empty.items()])
+    def part(rows: DataFrame, kind: str, order: Column | None = None, **given: Column) -> DataFrame:
+        at = F.col("block_time") if "block_time" in rows.columns else none("timestamp")
+        place = [F.col("slot").cast("long").alias("slot"), "tx_signature", F.col("tx_index").cast("int").alias("tx_index"), F.col("event_ordinal").cast("int").alias("event_ordinal")]
+        times = [given.get("first_at", at).cast("timestamp").alias("first_at"), given.get("at", at).cast("timestamp").alias("at")]
+        return rows.select("asset", (_order() if order is None else order).alias("o"), *place, *times, F.lit(kind).alias("kind"), *[given.get(c, none(t)).alias(c) for c, t in empty.items()])
 
     wallet = F.nullif("new_wallet", F.lit(NO_WALLET))
     rows = part(registered, "new", owner=F.col("owner"), uri=scalar.blank_to_null(F.col("agent_uri")), atom_enabled=F.col("atom_enabled"), collection=F.col("collection"))
@@ -49,13 +62,19 @@ def agents(registered: DataFrame, owners: DataFrame, atoms: DataFrame, uris: Dat
         part(parents, "parent", parent_asset=F.col("parent_asset"), parent_creator=F.col("parent_creator"), lock=F.col("lock")),
     ):
         rows = rows.unionByName(more)
-    born = rows.where("kind = 'new'").groupBy("asset").agg(F.min("o").alias("_born"))
+    rows = rows.withColumn("creator", F.when(F.col("kind") == "new", F.col("owner")))
+    if snapshot is not None:
+        lowest = F.struct(*[F.lit(-2).cast("long").alias(c) for c in ("slot", "tx_index", "event_ordinal")], F.lit("").alias("tx_signature"))
+        same = {c: F.col(c) for c in ("owner", "uri", "wallet", "atom_enabled", "parent_asset", "parent_creator", "collection", "creator")}
+        rows = rows.unionByName(part(snapshot, "kept", lowest, lock=F.col("parent_locked"), first_at=F.col("created_at"), at=F.col("updated_at"), **same))
+    born = rows.where("kind IN ('new', 'kept')").groupBy("asset").agg(F.min("o").alias("_born"))
     live = rows.join(born, "asset").where("o >= _born")
-    of = lambda column, *kinds: F.max_by(column, F.when(F.col("kind").isin(*kinds), F.col("o")))
-    first = lambda column: F.min_by(column, F.when(F.col("kind") == "new", F.col("o")))
+    of = lambda column, *kinds: F.max_by(column, F.when(F.col("kind").isin(*kinds, "kept"), F.col("o")))
+    first = lambda column: F.min_by(column, F.when(F.col("kind").isin("new", "kept"), F.col("o")))
     return live.groupBy("asset").agg(
-        of("owner", "new", "owner", "reset").alias("owner"), first("owner").alias("creator"), first("collection").alias("collection"),
-        first("slot").alias("slot"), first("tx_signature").alias("tx_signature"), of("uri", "new", "uri").alias("uri"), of("wallet", "wallet", "reset").alias("wallet"),
+        of("owner", "new", "owner", "reset").alias("owner"), first("creator").alias("creator"), first("collection").alias("collection"),
+        first("slot").alias("slot"), first("tx_signature").alias("tx_signature"), of("tx_index", "new").alias("tx_index"), of("event_ordinal", "new").alias("event_ordinal"),
+        first("first_at").alias("created_at"), F.max_by("at", "o").alias("updated_at"), of("uri", "new", "uri").alias("uri"), of("wallet", "wallet", "reset").alias("wallet"),
         of("atom_enabled", "new", "atom").alias("atom_enabled"), of("parent_asset", "parent").alias("parent_asset"), of("parent_creator", "parent").alias("parent_creator"),
         last_non_null(F.col("lock"), F.col("o")).alias("parent_locked"),
     )
@@ -92,11 +111,47 @@ def feedbacks(new: DataFrame, revoked: DataFrame) -> DataFrame:
     return state.join(gone, FEEDBACK_KEY, "left").withColumn("is_revoked", F.col("revoked_slot").isNotNull())
 
 
-def revocations(revoked: DataFrame, feedbacks: DataFrame) -> DataFrame:
-    """The last revocation of each feedback key, PENDING with a parent, else ORPHANED."""
-    last = project(revoked, FEEDBACK_KEY, _order(), last={c: F.col(c) for c in ("seal_hash", "slot", "tx_signature")})
+def revocations(revoked: DataFrame, feedbacks: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The last revocation of each feedback key, PENDING with a parent, else ORPHANED.
+
+    A stored one (same columns) stays unless the incoming one's place is no
+    lower, a null in it counting as lowest.
+    """
+    columns = ["seal_hash", "slot", "tx_index", "event_ordinal", "tx_signature"]
+    last = project(revoked, FEEDBACK_KEY, _order(), last={c: F.col(c) for c in columns})
     there = feedbacks.select(*FEEDBACK_KEY, F.lit(True).alias("_p")).distinct()
-    return last.join(there, FEEDBACK_KEY, "left").withColumn("status", F.when(F.col("_p"), "PENDING").otherwise("ORPHANED")).drop("_p")
+    rows = last.join(there, FEEDBACK_KEY, "left").withColumn("status", F.when(F.col("_p"), "PENDING").otherwise("ORPHANED")).drop("_p")
+    return rows if stored is None else merge(stored, rows, FEEDBACK_KEY, {c: "guarded" for c in (*columns, "status")}, _order())
+
+
+RESPONSE_KEY = ["asset", "client_address", "feedback_index", "responder", "tx_signature"]
+
+
+def responses(appended: DataFrame, feedbacks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(responses with their feedback, PENDING; those to stage): the last event of each full key.
+
+    Events name the client `client`; a response hash that doesn't fit its
+    feedback's changes nothing.
+    """
+    columns = ["response_hash", "seal_hash", "response_uri", "new_response_digest", "new_response_count", "slot", "tx_index", "event_ordinal"]
+    rows = appended.withColumnRenamed("client", "client_address")
+    last = project(rows, RESPONSE_KEY, _order(), last={c: F.col(c) for c in columns})
+    last = last.withColumnsRenamed({"new_response_digest": "running_digest", "new_response_count": "response_count"})
+    there, early = stage(last, feedbacks, FEEDBACK_KEY)
+    return there.withColumn("status", F.lit("PENDING")), early
+
+
+def feedback_effects(agents: DataFrame, feedbacks: DataFrame, new: DataFrame, revoked: DataFrame) -> DataFrame:
+    """agents with feedback_count and raw_avg_score counted again, and the reputation fields of the events of agents that have them enabled."""
+    counts = feedback_rollup(feedbacks, ["asset"])
+    fields = reputation_fields(new, revoked)
+    made = [c for c in (*counts.columns, *fields.columns) if c != "asset"]
+    old = {c: F.col(c) for c in made if c in agents.columns}
+    rows = agents.withColumnsRenamed({c: f"_{c}" for c in old}).join(counts, "asset", "left").join(fields, "asset", "left")
+    for c in made:
+        default = F.lit(0).cast("long") if c in ("feedback_count", "raw_avg_score") else F.lit(None)
+        rows = rows.withColumn(c, F.coalesce(c, f"_{c}" if c in old else default, default))
+    return rows.drop(*[f"_{c}" for c in old])
 
 
 def reputation_fields(new: DataFrame, revoked: DataFrame) -> DataFrame:
@@ -116,3 +171,48 @@ def validations(requested: DataFrame, responded: DataFrame) -> DataFrame:
     asked = project(requested, key, _order(), last={c: F.col(c) for c in ("request_uri", "request_hash", "requester")})
     told = project(responded, key, _order(), last={c: F.col(c) for c in ("response", "response_uri", "response_hash", "tag")}).withColumn("_told", F.lit(True))
     return asked.join(told, key, "full").withColumn("status", F.when(F.col("_told"), "RESPONDED").otherwise("PENDING")).drop("_told")
+
+
+def metadata(set_: DataFrame, deleted: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """id, asset, key, value, immutable: what sets and deletions leave.
+
+    Keys of documents (`_uri:`) aren't set by events; zero characters go; the id
+    is the asset and the key's hash.
+    """
+    sets = set_.where(~F.startswith("key", F.lit("_uri:"))).select("asset", "key", F.lit("set").alias("op"), scalar.strip_nul(F.col("value")).alias("value"), "immutable", _order().alias("o"))
+    ops = sets.unionByName(deleted.select("asset", "key", F.lit("delete").alias("op"), _order().alias("o")), allowMissingColumns=True)
+    if snapshot is not None:
+        lowest = F.struct(*[F.lit(-2).cast("long").alias(c) for c in ("slot", "tx_index", "event_ordinal")], F.lit("").alias("tx_signature"))
+        ops = ops.unionByName(snapshot.select("asset", "key", F.lit("set").alias("op"), "value", "immutable", lowest.alias("o")))
+    rows = metadata_state(ops, ["asset", "key"], F.col("o"))
+    return rows.select(F.concat_ws(":", "asset", scalar.key_hash(F.col("key"))).alias("id"), "asset", "key", "value", "immutable")
+
+
+def fold(raw: DataFrame, snapshot: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, dead letters): raw events of all kinds folded into every table, on top of a snapshot of the tables.
+
+    Each kind is a filter and a projection of the one table of events. Replaying
+    a batch on the snapshot that it made changes nothing.
+    """
+    kept = snapshot or {}
+    typed = {k: events.typed(raw, k) for k in events.FIELDS}
+    of = {k: df.where("ok").drop("ok") for k, df in typed.items()}
+    dead = reduce(DataFrame.unionByName, [df.where("NOT ok").select(F.lit(k).alias("name"), "slot", "tx_index", "event_ordinal", "tx_signature") for k, df in typed.items()])
+    tables = {"agents": agents(*[of[k] for k in ("AgentRegistered", "AgentOwnerSynced", "AtomEnabled", "UriUpdated", "WalletUpdated", "WalletResetOnOwnerSync", "ParentAssetSet")], snapshot=kept.get("agents"))}
+    over = lambda name, rows, keys, **how: merge(kept[name], rows, keys, {c: how.get(c, "overwrite") for c in rows.columns if c not in keys}) if name in kept else rows
+    tables["collections"] = over("collections", registries(of["RegistryInitialized"]), ["collection"], created_slot="keep")
+    known = feedbacks(of["NewFeedback"], of["FeedbackRevoked"].where("false"))
+    first = {c: "keep" for c in known.columns if c not in ("running_digest", "feedback_hash")}
+    known = over("feedbacks", known, FEEDBACK_KEY, **first)
+    with_agent, early = stage(known, tables["agents"], ["asset"])
+    tables["orphan_feedbacks"] = early
+    tables["revocations"] = revocations(of["FeedbackRevoked"], with_agent, kept.get("revocations"))
+    gone = tables["revocations"].where("status <> 'ORPHANED'").select(*FEEDBACK_KEY, F.col("slot").alias("_slot"))
+    marked = with_agent.join(gone, FEEDBACK_KEY, "left").withColumns({"revoked_slot": F.coalesce("_slot", "revoked_slot"), "is_revoked": F.col("is_revoked") | F.col("_slot").isNotNull()})
+    tables["feedbacks"] = marked.drop("_slot")
+    answers, waiting = responses(of["ResponseAppended"], tables["feedbacks"])
+    tables["responses"], tables["orphan_responses"] = over("responses", answers, RESPONSE_KEY, status="keep"), over("orphan_responses", waiting, RESPONSE_KEY)
+    tables["validations"] = over("validations", validations(of["ValidationRequested"], of["ValidationResponded"]), ["asset", "validator_address", "nonce"], **{c: "coalesce" for c in ("request_uri", "request_hash", "requester", "response", "response_uri", "response_hash", "tag")})
+    tables["metadata"] = metadata(of["MetadataSet"], of["MetadataDeleted"], kept.get("metadata"))
+    tables["agents"] = feedback_effects(tables["agents"], tables["feedbacks"], of["NewFeedback"], of["FeedbackRevoked"])
+    return tables, dead

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hashes, scalar
 from ..operators import chain, events, fold, ids, lifecycle, paging, projections, proofs, reconcile, registrations, rollups, tree
 from ..sources.tables import load
+from . import entities
 
 STATUS = {"P": "PENDING", "F": "FINALIZED", "O": "ORPHANED"}
 _STATUS_SQL = "CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'F' THEN 'FINALIZED' ELSE 'ORPHANED' END"
@@ -74,11 +75,6 @@ def global_stats(spark, d):
     return rollups.totals(agents=(a, {"total": F.count("*"), "tier4": F.count_if(F.col("trust_tier") == 4), "tier3": F.count_if(F.col("trust_tier") == 3)}), feedbacks=(f, {"total": F.count("*")}))
 
 
-@query(f"WITH {_A} SELECT trust_tier, count(*) AS n FROM a GROUP BY 1")
-def agent_tiers(spark, d):
-    return agents(spark, d).groupBy("trust_tier").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {_F}, s AS (SELECT 'feedbacks' AS model, status FROM f UNION ALL SELECT 'responses', CASE l_linestatus WHEN 'O' THEN 'PENDING' ELSE 'FINALIZED' END FROM lineitem)
 SELECT model, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'FINALIZED') AS finalized, count(*) FILTER (status = 'ORPHANED') AS orphaned FROM s GROUP BY model""")
 def verification_stats(spark, d):
@@ -103,11 +99,6 @@ def page_per_group(spark, d):
     return paging.page_per_group(feedbacks(spark, d), ["asset"], [F.desc("o_totalprice"), F.col("id")], 3, 1).select("asset", "id", "rn")
 
 
-@query(f"WITH {_F} SELECT asset, id, score FROM f WHERE score < 90 OR (score = 90 AND id > 500) ORDER BY score DESC, id LIMIT 200")
-def keyset_page(spark, d):
-    return paging.keyset_page(feedbacks(spark, d), [("score", False), ("id", True)], 200, [90, 500]).select("asset", "id", "score")
-
-
 @query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def page_with_total(spark, d):
     return paging.page_with_total(load(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 50, 100)
@@ -190,32 +181,11 @@ def tree_lineage_all(spark, d):
     return tree.lineage(nodes.select("node"), nodes).drop("path")
 
 
-@query("""WITH l AS (SELECT user_id, event_id, sha256(user_id || ':' || event_id || ':' || event_type) AS leaf FROM events), s AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN leaf ELSE sha256(unhex(coalesce(lag(leaf) OVER w, repeat('00', 32))) || unhex(leaf)) END AS x, row_number() OVER w - 1 AS pos FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, count(*) AS events, count(*) FILTER (event_id % 97 = 0) AS tampered FROM s GROUP BY 1""")
-def chain_tampered(spark, d):
-    e = load(spark, d, "events").select("user_id", "event_id", F.sha2(F.concat_ws(":", "user_id", "event_id", "event_type"), 256).alias("leaf"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    before = F.coalesce(F.lag("leaf").over(w), F.lit(chain.GENESIS))
-    good = chain.link(before, F.col("leaf"))
-    rows = e.withColumn("before", before).withColumn("digest", F.when(F.col("event_id") % 97 == 0, F.col("leaf")).otherwise(good))
-    return rows.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(chain.link(F.col("before"), F.col("leaf")) != F.col("digest")).alias("tampered"))
-
-
-@query("SELECT user_id, max(event_id) AS count, sha256(arg_max(event_type, event_id)) AS digest FROM events GROUP BY 1")
-def chain_heads(spark, d):
-    return chain.heads(load(spark, d, "events"), ["user_id"], "event_id", F.sha2("event_type", 256))
-
-
 @query("SELECT user_id, event_id, missing FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id - 1 AS missing FROM events) WHERE missing > 0")
 def chain_gaps(spark, d):
     return chain.gaps(load(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id % 1000 = 0")
-def chain_checkpoints(spark, d):
-    return chain.checkpoints(load(spark, d, "events").select("event_id", "user_id"), "event_id")
-
-
 @query("""WITH h AS (SELECT user_id, count(*) AS count, sha256(max(event_type)) AS digest FROM events GROUP BY 1), a AS (SELECT user_id, count(*) + (user_id % 3) - 1 AS auth_count, sha256(CASE WHEN user_id % 4 = 0 THEN 'x' ELSE max(event_type) END) AS auth_digest FROM events WHERE user_id % 5 <> 0 GROUP BY 1)
 SELECT user_id, CASE WHEN auth_count IS NULL THEN 'keep' WHEN count < auth_count THEN 'behind' WHEN count > auth_count THEN 'exceeds' WHEN digest = auth_digest THEN 'ok' ELSE 'mismatch' END AS verdict FROM h LEFT JOIN a USING (user_id)""")
 def compare_heads(spark, d):
@@ -246,12 +216,6 @@ def multi_get(spark, d):
     return reconcile.with_flag(load(spark, d, "customer").select("c_custkey"), o, ["c_custkey"], "known")
 
 
-@query("SELECT o_orderkey, epoch(max(l_shipdate) FILTER (l_returnflag = 'R'))::BIGINT AS revoked_at FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
-def revoked_at(spark, d):
-    r = load(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("at"))
-    return load(spark, d, "orders").select("o_orderkey").join(r, "o_orderkey", "left").select("o_orderkey", scalar.to_unix(F.col("at").cast("timestamp")).alias("revoked_at"))
-
-
 @query("SELECT count(*) FILTER (NOT l_quantity BETWEEN 1 AND 40) AS quantity, count(*) FILTER (NOT l_discount <= 0.05) AS discount FROM lineitem")
 def range_violations(spark, d):
     return load(spark, d, "lineitem").agg(*scalar.violations({"quantity": F.col("l_quantity").between(1, 40), "discount": F.col("l_discount") <= 0.05}))
@@ -268,23 +232,11 @@ def value_texts(spark, d):
     return load(spark, d, "orders").select("o_orderkey", scalar.format_id(k).alias("label"), scalar.normalize_value(k.cast("string"), F.lit(3)).alias("value"))
 
 
-@query("SELECT page_id, CASE WHEN octet_length(encode(html)) > 4000 THEN 'oversize' ELSE 'ok' END AS status, sha256(html) AS sha256 FROM pages")
-def digest_documents(spark, d):
-    status = F.when(F.octet_length("html") > 4000, "oversize").otherwise("ok")
-    return load(spark, d, "pages").select("page_id", status.alias("status"), F.sha2("html", 256).alias("sha256"))
-
-
 @query("SELECT user_id, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
 def pivot_keys(spark, d):
     return rollups.pivot_keys(load(spark, d, "events"), "user_id", "event_type", F.col("value"), ["click", "view"])
 
 
-@query("SELECT o_custkey, count(*) AS n, epoch(max(o_orderdate))::BIGINT AS last_activity FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1")
-def last_activity(spark, d):
-    o = load(spark, d, "orders").where("o_orderstatus <> 'O'")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), scalar.to_unix(F.max("o_orderdate").cast("timestamp")).alias("last_activity"))
-
-
 def _raw(spark, d) -> DataFrame:
     """Customers register, orders are their feedback, returned lineitems revoke it, as raw events."""
     place = {"tx_index": F.lit(0), "event_ordinal": F.lit(None).cast("int")}
@@ -423,8 +375,8 @@ def fetch_urls(spark, d):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | entities.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | entities.SQL

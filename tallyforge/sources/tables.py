@@ -19,13 +19,44 @@ def read_actions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, malformed string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").json(path)
 
 
+def action_counts(actions: DataFrame) -> DataFrame:
+    """One row: lines in all, parsed and malformed."""
+    bad = F.col("malformed").isNotNull()
+    # a query of the malformed column alone isn't allowed on files, so that another one is read too
+    rows = actions.withColumn("_other", F.struct(*[c for c in actions.columns if c != "malformed"]))
+    return rows.agg(F.count("*").alias("total"), F.count_if(~bad & F.col("_other").isNotNull()).alias("parsed"), F.count_if(bad).alias("malformed"))
+
+
+#: Columns of raw events.
+EVENTS = "name string, data string, tx_signature string, slot long, block_time timestamp, tx_index int, event_ordinal int"
+
+
+def read_events(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
+    """Raw events from Parquet files."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def stream_events(spark: SparkSession, path: str, schema: str = EVENTS, files: int = 100, stop_slot: int | None = None) -> DataFrame:
+    """The same as a stream, so many files a batch; events of slots beyond stop_slot aren't read."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return rows if stop_slot is None else rows.where(F.col("slot") <= stop_slot)
+
+
 def snapshot_window(table: DataFrame, start: int, cutoff: int, slot: str = "slot") -> DataFrame:
     return table.where(F.col(slot).between(start, cutoff))
 
 
+def snapshot_windows(tables: dict[str, tuple[DataFrame, str]], start: int, cutoff: int) -> dict[str, DataFrame]:
+    """The same range of slots of several tables, each with the name of its slot column."""
+    return {name: snapshot_window(df, start, cutoff, slot) for name, (df, slot) in tables.items()}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once, in the shared folder that the session names (one is set only where none is named)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalar
-from tallyforge.operators import chain, fold, tree
+from tallyforge.operators import fold, tree
 from tallyforge.plans import registry
-from tallyforge.streaming.fold import fold_stream
 
 
 def test_values(spark):
@@ -20,20 +19,6 @@ def test_immutable_run(spark):
     assert fold.metadata_state(ops, ["k"], F.col("n")).first()["value"] == "d"
 
 
-def test_chain(spark):
-    import hashlib
-
-    before, rows = bytes(32), []
-    for n in range(5):
-        leaf = hashlib.sha256(bytes([n])).digest()
-        before = hashlib.sha256(before + leaf).digest()
-        rows.append(("a", n, leaf.hex(), before.hex()))
-    good = spark.createDataFrame(rows, "agent string, n int, leaf string, digest string")
-    assert chain.verify_chain(good, ["agent"], ["n"]).first()["first_mismatch"] is None
-    bad = good.withColumn("leaf", F.when(F.col("n") == 3, F.lit("00" * 32)).otherwise(F.col("leaf")))
-    assert chain.verify_chain(bad, ["agent"], ["n"]).first()["first_mismatch"] == 3
-
-
 def test_tree_cycle(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4)], "node int, parent int")
     assert sorted((r.node, r.depth) for r in tree.forest(nodes).collect()) == [(1, 0), (2, 1), (3, 2)]
@@ -47,18 +32,6 @@ def test_order_of_rows_is_irrelevant(spark):
     assert f(one) == f(two)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    for n, part in enumerate(([(1, 1, "a"), (2, 2, "b")], [(1, 3, "c")])):
-        spark.createDataFrame(part, "k int, n int, v string").write.parquet(f"{tmp_path}/in/p{n}")
-    events = spark.readStream.schema("k int, n int, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    project = lambda df: fold.project(df, ["k"], F.struct("n"), last={"v": F.col("v")})
-    fold_stream(events, f"{tmp_path}/out", f"{tmp_path}/ck", project, ["k"], {"v": "overwrite"}).awaitTermination(120)
-    import os
-
-    last = max(int(v[1:]) for v in os.listdir(f"{tmp_path}/out"))
-    assert {r["k"] for r in spark.read.parquet(f"{tmp_path}/out/v{last}").collect()} == {1, 2}
-
-
 def test_lineage_query_starts_from_every_customer(spark):
     parents = {r["c_custkey"]: r["c_custkey"] // 7 or None for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey").collect()}
     want = set()
