@@ -127,18 +127,21 @@ def revocations(revoked: DataFrame, feedbacks: DataFrame, stored: DataFrame | No
 RESPONSE_KEY = ["asset", "client_address", "feedback_index", "responder", "tx_signature"]
 
 
-def responses(appended: DataFrame, feedbacks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(responses with their feedback, PENDING; those to stage): the last event of each full key.
+def responses(appended: DataFrame, feedbacks: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(responses with their feedback, those to stage): the last event of each full key, PENDING if it is new or was staged.
 
     Events name the client `client`; a response hash that doesn't fit its
-    feedback's changes nothing.
+    feedback's changes nothing. `stored` are responses with their status and
+    staged ones without: the latter come out with their feedback once it is there.
     """
     columns = ["response_hash", "seal_hash", "response_uri", "new_response_digest", "new_response_count", "slot", "tx_index", "event_ordinal"]
     rows = appended.withColumnRenamed("client", "client_address")
     last = project(rows, RESPONSE_KEY, _order(), last={c: F.col(c) for c in columns})
-    last = last.withColumnsRenamed({"new_response_digest": "running_digest", "new_response_count": "response_count"})
+    last = last.withColumnsRenamed({"new_response_digest": "running_digest", "new_response_count": "response_count"}).withColumn("status", F.lit(None).cast("string"))
+    if stored is not None:
+        last = merge(stored.select(*last.columns), last, RESPONSE_KEY, {c: "keep" if c == "status" else "overwrite" for c in last.columns if c not in RESPONSE_KEY})
     there, early = stage(last, feedbacks, FEEDBACK_KEY)
-    return there.withColumn("status", F.lit("PENDING")), early
+    return there.withColumn("status", F.coalesce("status", F.lit("PENDING"))), early.drop("status")
 
 
 def feedback_effects(agents: DataFrame, feedbacks: DataFrame, new: DataFrame, revoked: DataFrame) -> DataFrame:
@@ -203,6 +206,8 @@ def fold(raw: DataFrame, snapshot: dict[str, DataFrame] | None = None) -> tuple[
     tables["collections"] = over("collections", registries(of["RegistryInitialized"]), ["collection"], created_slot="keep")
     known = feedbacks(of["NewFeedback"], of["FeedbackRevoked"].where("false"))
     first = {c: "keep" for c in known.columns if c not in ("running_digest", "feedback_hash")}
+    if "orphan_feedbacks" in kept:  # staged ones count again: their agent may have come
+        kept = kept | {"feedbacks": kept["feedbacks"].unionByName(kept["orphan_feedbacks"])}
     known = over("feedbacks", known, FEEDBACK_KEY, **first)
     with_agent, early = stage(known, tables["agents"], ["asset"])
     tables["orphan_feedbacks"] = early
@@ -210,8 +215,8 @@ def fold(raw: DataFrame, snapshot: dict[str, DataFrame] | None = None) -> tuple[
     gone = tables["revocations"].where("status <> 'ORPHANED'").select(*FEEDBACK_KEY, F.col("slot").alias("_slot"))
     marked = with_agent.join(gone, FEEDBACK_KEY, "left").withColumns({"revoked_slot": F.coalesce("_slot", "revoked_slot"), "is_revoked": F.col("is_revoked") | F.col("_slot").isNotNull()})
     tables["feedbacks"] = marked.drop("_slot")
-    answers, waiting = responses(of["ResponseAppended"], tables["feedbacks"])
-    tables["responses"], tables["orphan_responses"] = over("responses", answers, RESPONSE_KEY, status="keep"), over("orphan_responses", waiting, RESPONSE_KEY)
+    answered = kept["responses"].unionByName(kept["orphan_responses"], allowMissingColumns=True) if "responses" in kept else None
+    tables["responses"], tables["orphan_responses"] = responses(of["ResponseAppended"], tables["feedbacks"], answered)
     tables["validations"] = over("validations", validations(of["ValidationRequested"], of["ValidationResponded"]), ["asset", "validator_address", "nonce"], **{c: "coalesce" for c in ("request_uri", "request_hash", "requester", "response", "response_uri", "response_hash", "tag")})
     tables["metadata"] = metadata(of["MetadataSet"], of["MetadataDeleted"], kept.get("metadata"))
     tables["agents"] = feedback_effects(tables["agents"], tables["feedbacks"], of["NewFeedback"], of["FeedbackRevoked"])

@@ -23,8 +23,8 @@ def action_counts(actions: DataFrame) -> DataFrame:
     """One row: lines in all, parsed and malformed."""
     bad = F.col("malformed").isNotNull()
     # a query of the malformed column alone isn't allowed on files, so that another one is read too
-    rows = actions.withColumn("_other", F.struct(*[c for c in actions.columns if c != "malformed"]))
-    return rows.agg(F.count("*").alias("total"), F.count_if(~bad & F.col("_other").isNotNull()).alias("parsed"), F.count_if(bad).alias("malformed"))
+    other = F.to_json(F.struct(*[c for c in actions.columns if c != "malformed"]))
+    return actions.agg(F.count("*").alias("total"), F.count_if(~bad & other.isNotNull()).alias("parsed"), F.count_if(bad & other.isNotNull()).alias("malformed"))
 
 
 #: Columns of raw events.
