@@ -5,7 +5,7 @@
    into a bitmap of BITS parities. Texts with the same set fall into one class,
    by its size and a 128-bit fingerprint, and only the class goes on, under a
    number of its own. Classes that an id's rows have in common are linked.
-2. In each bucket the members are paired with the smallest number alone. The
+2. In each bucket the members are paired with the one of the smallest id alone. The
    population count of the XOR of two sketches estimates how many minima
    differ; pairs far below the threshold go. So do pairs whose whole sets,
    folded into parities alike, differ in more bits than the threshold allows
@@ -281,8 +281,8 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     reps = checkpoint(reps.withColumn("id", F.monotonically_increasing_id()).withColumn("n", F.col("n_shingles")))
     classes = reps.select("id", "rep", *FINGERPRINT)
     repeated, links = _of_one_id(signed, classes)
-    members = reps.select("id", F.explode("bands").alias("key"))
-    buckets = checkpoint(members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1"))
+    members = reps.select("id", "rep", F.explode("bands").alias("key"))
+    buckets = checkpoint(members.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1"))
     side = lambda x: mates.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("whole").alias(f"w{x}"))
     # sets of that similarity share all but (100 - percent) / (100 + percent) of their shingles
     few = (100 + percent) * _apart("wa", "wb", WHOLE) <= (100 - percent) * (F.col("na") + F.col("nb"))
@@ -297,10 +297,12 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
             close = close.groupBy("b").agg(F.min(F.struct(_apart("sa", "sb").alias("d"), F.col("a").alias("a"))).alias("p")).select("p.a", "b")
         return checkpoint(confirm(checkpoint(close.select("a", "b")), docs, classes, width, percent))
 
-    links = links.unionByName(linked(crowded.where("id != a").select("a", F.col("id").alias("b"))))
+    # copies are mostly younger than what they were made from: the smallest doc_id is nearest to most
+    first = crowded.where("rep <=> lead").groupBy("key").agg(F.min("id").alias("a"))
+    links = links.unionByName(linked(crowded.join(first, "key").where("id != a").select("a", F.col("id").alias("b"))))
     roots = components(links)
     # buckets of three and more whose members aren't one component yet
-    crowded = crowded.where("m > 2").drop("a")
+    crowded = crowded.where("m > 2").drop("rep", "lead")
     for turn in range(PIVOTS + 1):
         named = crowded.join(roots, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
         chosen = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("c").alias("ca")))
