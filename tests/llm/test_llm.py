@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyforge.llm import arrays, elias_fano, langid, minhash, mixing, ngram_lm, quality_cnn, quality_rules, sharding, suffix_dedup, suffix_sort, topk
@@ -47,6 +48,22 @@ def test_odd_and_empty_inputs(spark):
         assert suffix_dedup.digest(docs).count() == n
         assert suffix_dedup.strip(docs).columns == docs.columns
         assert ngram_lm.score(docs, ngram_lm.train(docs), ["doc_id"]).count() == n
+    model = ngram_lm.train(odd(spark))
+    for docs in (odd(spark),):
+        null = lambda df, *cols: [tuple(r[c] for c in cols) for r in df.collect() if r["doc_id"] in (1, 2)]
+        empty = hashlib.sha256(b"").hexdigest()
+        assert null(langid.identify(docs, None), "lang_pred", "score", "accepted") == [("und", 0.0, False)] * 2
+        assert null(sp.digest(docs, sp.default_model()), "n_tokens", "ids_sha256", "decoded_sha256") == [(0, empty, empty)] * 2
+        assert null(suffix_dedup.digest(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == [(0, 0, 0, empty)] * 2
+        assert null(quality_rules.apply_rules(docs), "n_words", "n_repeat_words", "base_failed", "kept") == [(0, 0, True, False)] * 2
+        scored = ngram_lm.score(docs, model, ["doc_id", "score", "lang"])
+        assert scored.columns == ["doc_id", "lang", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        assert null(scored, "n_tokens", "n_known") == [(1, 1)] * 2
+        params = quality_cnn.initial(np.random.default_rng(0))
+        alone = quality_cnn.probabilities([np.zeros(0, np.uint8)], params)[0]
+        assert all(abs(s - alone) < 1e-6 for (s,) in null(quality_cnn.score(docs, params), "score"))
+        found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+        assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, None: None}
     vectors = spark.createDataFrame([(0, [1.0, 2.0]), (50, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [0.5, 0.5]), (6, [])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(vectors).collect()] == [(0, 1, 5, 128 * 256 + 128 * 512)]
     assert topk.top_k(vectors.limit(0)).count() == 0
@@ -363,6 +380,35 @@ def test_lookup_table():
         sharding.lookup_table(["a"], 1000)
 
 
+def test_placement_by_plain_python(spark, tmp_path):
+    """The table filled by preference lists, and every row placed by the published hash."""
+    names, slots = [f"shard-{k:03d}" for k in range(7)], 101
+    prefer = {}
+    for n in names:
+        h = hashlib.sha256(n.encode()).digest()
+        offset, skip = int.from_bytes(h[:8], "big") % slots, int.from_bytes(h[8:16], "big") % (slots - 1) + 1
+        prefer[n] = iter([(offset + j * skip) % slots for j in range(slots)])
+    owner = {}
+    while len(owner) < slots:
+        for n in names:
+            slot = next((s for s in prefer[n] if s not in owner), None)
+            if slot is not None:
+                owner[slot] = n
+    docs = frame(spark, [(i * 7919 - 5000, f"t{i}", "a") for i in range(500)] + [(None, f"null {i}", "a") for i in range(200)] + [(None, "equal", "a")] * 3)
+    rows = sharding.place(docs, names, slots=slots).collect()
+    assert len(rows) == 703
+    for r in rows:
+        if r["doc_id"] is not None:
+            slot = xxhash.xxh64(r["doc_id"].to_bytes(8, "little", signed=True), seed=42).intdigest()
+            slot = (slot - (1 << 64) if slot >> 63 else slot) % slots
+            assert (r["slot"], r["shard"]) == (slot, owner[slot])
+    nulls = [r for r in rows if r["doc_id"] is None]
+    assert len({r["shard"] for r in nulls}) == 7 and len({r["shard"] for r in nulls if r["text"] == "equal"}) == 1
+    sharding.write_shards(docs, f"{tmp_path}/out", names, slots=slots, files=2)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r["text"], r["shard"]) for r in back.collect()) == sorted((r["text"], r["shard"]) for r in rows) and "part" not in back.columns
+
+
 def test_mix_takes_the_budget(spark):
     rnd = random.Random(3)
     docs = frame(spark, [(i, " ".join(["w"] * rnd.randrange(0, 40)), rnd.choice(["a", "b", "c", None])) for i in range(300)])
