@@ -55,6 +55,13 @@ def crc_mod(column: str, k: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % k, F.lit(0)).cast("int")
 
 
+def crc32_sql(column: str) -> str:
+    """crc32 of a column as text in DuckDB's SQL, bit by bit; for ASCII."""
+    bits = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384::BIGINT))"
+    codes = f"list_transform(string_split({column}::VARCHAR, ''), lambda s: unicode(s)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that df has no column of, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}

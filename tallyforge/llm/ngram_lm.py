@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays, elias_fano
-from .common import crc_mod, fresh_folder, mix_int, slices, utf8, word_hashes
+from .common import crc32_sql, crc_mod, fresh_folder, mix_int, slices, utf8, word_hashes
 
 ORDER = 3
 MU = 2.0
@@ -448,5 +448,21 @@ def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
 
 
-QUERIES = {"op8_ngram_lm": op8_ngram_lm}
-SQL: dict[str, str] = {}
+def ngram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_ngram_lm says of each text that depends on single tokens alone, so that SQL can say it too."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = crc_mod("doc_id", 10) == 0
+    got = score(docs.withColumn("held_out", held), train(docs.where(~held), order=1), ["doc_id", "held_out"])
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+QUERIES = {"op8_ngram_lm": op8_ngram_lm, "ngram_base": ngram_base}
+SQL = {
+    "ngram_base": f"""
+WITH d AS (SELECT doc_id, coalesce({crc32_sql("doc_id")} % 10, 0) = 0 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') || [chr(10)] AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c ON c.w = t.w CROSS JOIN n GROUP BY doc_id, held_out"""
+}

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyforge.llm import arrays, elias_fano, langid, minhash, mixing, ngram_lm, quality_cnn, quality_rules, sharding, suffix_dedup, suffix_sort, topk
+from tallyforge.llm import registry
 from tallyforge.llm import sentencepiece as sp
 from tallyforge.llm.common import draw
 from tallyforge.llm.components import components
@@ -519,3 +521,16 @@ def test_network_by_loops():
         down = loss()
         p[key][at] = was
         assert abs((up - down) / 2e-3 - g[key][at]) < 0.05 * abs(g[key][at]) + 1e-3, key
+
+
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op5_mixing", "op7_topk", "ngram_base"])
+def test_queries_equal_their_sql(spark, name):
+    data = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = registry.queries()[name](spark, data)
+    columns = sorted(got.columns)
+    want = db.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    plain = lambda rows: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    assert plain(map(tuple, got.select(*columns).collect())) == plain(want)
