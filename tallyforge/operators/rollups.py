@@ -29,6 +29,12 @@ def leaderboard(agents: DataFrame, first: int, least_tier: int = 2) -> DataFrame
     return agents.where(F.col("trust_tier") >= least_tier).orderBy(F.desc("sort_key"), "asset").limit(first)
 
 
+def leaderboard_reputation(agents: DataFrame, feedbacks: DataFrame, first: int, least_tier: int = 2) -> DataFrame:
+    """The reputation of the first agents of the leaderboard: those few are found first, and only their feedback is read on."""
+    board = leaderboard(agents, first, least_tier)
+    return reputation(board, feedbacks.join(F.broadcast(board.select("asset")), "asset", "left_semi"))
+
+
 def totals(**counts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
     """One row: each table's aggregates, one pass a table."""
     parts = [df.agg(*[c.alias(f"{name}_{k}") for k, c in aggs.items()]) for name, (df, aggs) in counts.items()]

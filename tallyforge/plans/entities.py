@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes, scalar
 from ..operators import chain, documents, entities, fold, ids, lifecycle, paging, projections, reconcile, rollups, stats
+from ..sources import schemas
 from ..sources.tables import load
 
 _COL = "'bafyaaaaaaaaaaaaaaaaaaaaa', substr('abcdefghijklmnopqrstuvwxyz', {} + 1, 1)"
@@ -355,6 +356,22 @@ def audit_responses(spark, d):
     return ids.audit_gapless(table(spark, d, "rs"), key, "response_id", scalar.active()).select(*key, "missing")
 
 
+@query("SELECT id, CASE WHEN status <> 'ORPHANED' AND revocation_id IS NULL THEN coalesce(max(revocation_id) OVER (PARTITION BY asset), 0) + row_number() OVER (PARTITION BY asset, revocation_id IS NULL AND status <> 'ORPHANED' ORDER BY slot, tx_index, tx_signature, id) ELSE revocation_id END AS revocation_id FROM rv")
+def revocation_ids(spark, d):
+    order = [F.col(c) for c in ("slot", "tx_index", "tx_signature", "id")]
+    return ids.assign_ids(table(spark, d, "rv"), ["asset"], order, "revocation_id", scalar.active()).select("id", "revocation_id")
+
+
+@query("SELECT col, creator, row_number() OVER (ORDER BY first_seen_at, first_seen_slot, col, creator) AS number FROM cp")
+def pointer_ids(spark, d):
+    return ids.assign_global_ids(table(spark, d, "cp"), ["first_seen_at", "first_seen_slot", "col", "creator"], "number").select("col", "creator", F.col("number").cast("long").alias("number"))
+
+
+@query("SELECT count(*) FILTER (trust_tier > 4) AS trust_tier, count(*) FILTER (quality_score > 10000) AS quality_score, count(*) FILTER (raw_avg_score > 100) AS raw_avg_score, 0::BIGINT AS status, count(*) FILTER (status <> 'ORPHANED' AND agent_id IS NULL) AS agent_id FROM ag")
+def agent_violations(spark, d):
+    return schemas.violations(table(spark, d, "ag"), "agents")
+
+
 # orphans and statuses
 
 

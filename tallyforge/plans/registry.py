@@ -56,7 +56,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH {_A}, {_F}, {_REP} SELECT * FROM r WHERE trust_tier >= 2 ORDER BY sort_key DESC, asset LIMIT 100")
 def leaderboard_reputation(spark, d):
-    return rollups.leaderboard(rollups.reputation(agents(spark, d), feedbacks(spark, d)), 100)
+    return rollups.leaderboard_reputation(agents(spark, d), feedbacks(spark, d), 100)
 
 
 @query(f"WITH {_A}, {_F}, {_REP} SELECT * FROM r")
@@ -115,8 +115,8 @@ def fold_events(spark, d):
     order = F.struct("ts", "event_id")
     kind = e.agg(F.min("event_type").alias("kind"))
     e = e.join(F.broadcast(kind))  # one row
-    state = fold.project(e, ["user_id"], order, last={"last_type": F.col("event_type")}, first={"first_type": F.col("event_type")})
-    return state.join(e.where("event_type = kind").groupBy("user_id").agg(F.max("event_id").alias("last_of_kind")), "user_id", "left")
+    of_kind = F.max(F.when(F.col("event_type") == F.col("kind"), F.col("event_id"))).alias("last_of_kind")
+    return e.groupBy("user_id").agg(F.max_by("event_type", order).alias("last_type"), F.min_by("event_type", order).alias("first_type"), of_kind)
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, min(l_shipdate) AS s FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, min(l_shipdate) AS s FROM lineitem WHERE l_partkey % 2 = 1 GROUP BY 1, 2)
