@@ -46,8 +46,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that this session's operators wrote to the shared folder and that weren't removed.
+written: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one. What is in it is read as long as results that need it aren't written; remove() then takes it away."""
+    written.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return written[-1]
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that fresh_folder() named."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        written.remove(folder)
 
 
 def crc_mod(column: str, k: int):

@@ -16,13 +16,16 @@ STOP_WORDS = {
     "fr": ["le", "la", "les", "de", "des", "et", "un", "une", "du", "en", "que", "est", "pour", "dans", "qui", "sur", "par", "au", "il", "pas"],
     "es": ["el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "es", "por", "con", "para", "del", "se", "al", "lo", "no", "su"],
 }
-#: rule, numerator, denominator, least and most of 100 * numerator / denominator, and the words a text needs for the rule to apply.
-RULES: list[tuple[str, str, str, int | None, int | None, int]] = [
-    ("word_length", "word_chars", "n_words", 150, 2500, 1),
-    ("symbols", "n_symbols", "word_chars", None, 10, 1),
-    ("duplicate_lines", "n_dup_lines", "n_lines", None, 50, 1),
-    ("stop_words", "n_stop_words", "n_words", 2, None, 100),
-    ("words_per_line", "n_words", "n_lines", 150, None, 100),
+#: Letters of the script that those languages share, as a pattern's class.
+LATIN = "A-Za-z\u00C0-\u024F"
+#: rule, numerator, denominator, least and most of 100 * numerator / denominator, the words a text needs for the rule to
+#: apply, and the percentage of Latin letters among its characters: stop words say nothing of a text in another script.
+RULES: list[tuple[str, str, str, int | None, int | None, int, int]] = [
+    ("word_length", "word_chars", "n_words", 150, 2500, 1, 0),
+    ("symbols", "n_symbols", "word_chars", None, 10, 1, 0),
+    ("duplicate_lines", "n_dup_lines", "n_lines", None, 50, 1, 0),
+    ("stop_words", "n_stop_words", "n_words", 2, None, 100, 50),
+    ("words_per_line", "n_words", "n_lines", 150, None, 100, 0),
 ]
 
 
@@ -46,6 +49,7 @@ def measures(text: Column) -> list[tuple[str, Column]]:
         ("n_words", F.size("_words")),
         ("word_chars", F.length(F.translate("_text", " \t\n\x0b\x0c\r", ""))),
         ("n_symbols", F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))),
+        ("n_latin", F.length(F.regexp_replace("_text", f"[^{LATIN}]+", ""))),
         ("n_lines", F.size("_lines")),
         ("n_dup_lines", F.size("_lines") - F.size(F.array_distinct("_lines"))),
         ("n_stop_words", F.size(F.filter(F.transform(words, F.lower), lambda w: F.array_contains(stops, w)))),
@@ -59,13 +63,14 @@ def measures(text: Column) -> list[tuple[str, Column]]:
 def verdict(rules: list[tuple] = RULES) -> Column:
     """True if no rule of the table is broken; a rule with denominator 0 or too few words doesn't apply."""
     good = F.lit(True)
-    for _, over, under, least, most, words in rules:
+    for _, over, under, least, most, words, latin in rules:
         fails = F.lit(False)
         if least is not None:
             fails = fails | (100 * F.col(over) < least * F.col(under))
         if most is not None:
             fails = fails | (100 * F.col(over) > most * F.col(under))
-        good = good & ~((F.col("n_words") >= words) & (F.col(under) > 0) & fails)
+        script = (100 * F.col("n_latin") >= latin * F.col("word_chars")) if latin else F.lit(True)
+        good = good & ~((F.col("n_words") >= words) & (F.col(under) > 0) & script & fails)
     return good
 
 
@@ -79,7 +84,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: list[tuple] = RULES)
     out = docs
     for name, value in measures(F.col(text)):
         out = out.withColumn(name, value)
-    for name in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"):
+    for name in ("n_words", "word_chars", "n_symbols", "n_latin", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"):
         out = out.withColumn(name, F.col(name).cast("long"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", base)
@@ -98,19 +103,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     stops = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
     tests = []
-    for _, over, under, least, most, words in RULES:
+    for _, over, under, least, most, words, latin in RULES:
         parts = ([f"100 * {over} < {least} * {under}"] if least is not None else []) + ([f"100 * {over} > {most} * {under}"] if most is not None else [])
-        tests.append(f"NOT (n_words >= {words} AND {under} > 0 AND ({' OR '.join(parts)}))")
+        tests.append(f"NOT (n_words >= {words} AND {under} > 0 AND {f'100 * n_latin >= {latin} * word_chars' if latin else 'TRUE'} AND ({' OR '.join(parts)}))")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
-    length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+    length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, length(regexp_replace(t, '[^{LATIN}]', '', 'g')) AS n_latin,
     length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars FROM d),
 g AS (SELECT doc_id, i, ws[i:i+{WINDOW - 1}] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM m)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 w AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, {WINDOW})) AS k) GROUP BY doc_id),
-v AS (SELECT m.doc_id, len(ws) AS n_words, word_chars, n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+v AS (SELECT m.doc_id, len(ws) AS n_words, word_chars, n_symbols, n_latin, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
     len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stop_words, coalesce(w.n, 0) AS n_repeat_words FROM m LEFT JOIN w ON w.doc_id = m.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,

@@ -331,6 +331,12 @@ def test_ngram_query_uses_trigrams(spark, tmp_path):
         assert abs(got[i]["score"] - want) < 0.03 * len(s) < abs(got[i]["score"] - short)
 
 
+def test_stop_words_only_judge_their_script(spark):
+    russian, jumble = " ".join(f"слово{chr(1072 + k % 30)}{chr(1072 + k // 30)}" for k in range(200)), " ".join(f"wq{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.apply_rules(frame(spark, [(1, russian, "a"), (2, jumble, "a"), (3, "the " + jumble + " of and to in the of and to in", "a")])).collect()}
+    assert got == {1: (False, True), 2: (False, False), 3: (False, True)}
+
+
 def test_top_k_brute_force(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(0, 1, (230, 24)).astype(np.float32)

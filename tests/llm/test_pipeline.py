@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import mixing, quality_cnn
+from tallyforge.llm import common, mixing, quality_cnn
 from tallyforge.llm.sentencepiece import default_model
 
 DATA = "/root/testdata/sf0.001"
@@ -178,3 +178,9 @@ def test_empty_tables(spark, tmp_path, k):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = odd(spark).limit(0)
     assert corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).collect() == []
+
+
+def test_run_removes_what_it_no_longer_needs(spark):
+    before = len(common.written)
+    rows = corpus_pipeline.run(spark, DATA)
+    assert len(common.written) == before + 1 and rows.count() > 0 and "ids_sha256" in rows.columns
