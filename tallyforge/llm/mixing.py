@@ -19,7 +19,7 @@ SHARE = 1.5
 CAP = 2
 SEED = 17
 #: Documents in a range of hashes.
-ROWS = 20_000
+ROWS = 4_000
 
 
 def _key(id_column: str, seed: int) -> Column:

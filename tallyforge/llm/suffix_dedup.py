@@ -37,8 +37,8 @@ GRAM = 24
 HOT = 50_000
 #: Ranges of d by which a frequent anchor is split.
 RANGES = 8
-#: Occurrences that go to a task together, on average.
-TOGETHER = 15_000
+#: Occurrences that are sorted together, on average, and such groups in a task.
+TOGETHER, GROUPS = 15_000, 4
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -277,8 +277,9 @@ def repeated(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFram
     folder, bits, n, any_hot = _shared_anchors(texts, length, hot)
     buckets = max(1, -(-n // TOGETHER))
 
-    around = _contexts(texts, length, folder, bits, False)
-    spans = around.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: covered(t, length), SPAN)
+    around = _contexts(texts, length, folder, bits, False).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    # as many tasks as the occurrences need, whatever the session's number of shuffle partitions
+    spans = around.repartition(-(-buckets // GROUPS), "bucket").groupBy("bucket").applyInArrow(lambda t: covered(t, length), SPAN)
     if any_hot:
         spans = spans.unionByName(_hot_windows(_contexts(texts, length, folder, bits, True), length, hot))
     return spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
