@@ -18,9 +18,10 @@ def clean_text(text: Column) -> Column:
 
 
 def clean_url(url: Column) -> Column:
-    """http, https, ipfs and ar addresses without blanks; others are null."""
-    plain = F.trim(url)
-    return F.when(plain.rlike(r"^(https?://[^\s<>\"]+|ipfs://[A-Za-z0-9]{32,}[^\s<>\"]*|ar://[A-Za-z0-9_-]{43}[^\s<>\"]*)$"), plain)
+    """An http or https address with a host, or an ipfs or ar one whose first part is a plain id; without tags (by a pattern) and outer blanks, of TEXT characters. Others are null."""
+    plain = F.trim(F.regexp_replace(F.substring(url, 1, TEXT), r"<[^>]*>", ""))
+    web = plain.rlike(r"^(?i)https?://[^\s/?#<>\"]+[^\s<>\"]*$")
+    return F.when(web | plain.rlike(r"^ipfs://[a-zA-Z0-9]+(/[^<>]*)?$") | plain.rlike(r"^ar://[a-zA-Z0-9_-]+(/[^<>]*)?$"), plain)
 
 
 def digest(docs: DataFrame, most: int, body: str = "body") -> DataFrame:
@@ -49,7 +50,7 @@ def to_metadata(digested: DataFrame, agents: DataFrame, most: int) -> DataFrame:
     large = F.octet_length("v") > most
     told = F.to_json(F.struct(F.lit("oversize").alias("status"), F.octet_length("v").alias("bytes"), F.sha2("v", 256).alias("sha256")))
     fields = each.select("asset", F.concat(F.lit("_uri:"), "k", F.when(large, "_meta").otherwise("")).alias("key"), F.when(large, told).otherwise(F.col("v")).alias("value"))
-    status = F.to_json(F.struct(F.col("doc_status").alias("status"), "bytes", "sha256", (F.col("doc_status") == "error").alias("retryable")))
+    status = F.to_json(F.struct(F.col("doc_status").alias("status"), "bytes", "sha256", F.col("doc_status").isin("error", "timeout").alias("retryable")))
     extra = live.select("asset", F.explode(F.map_from_arrays(F.array(F.lit("_uri:_source"), F.lit("_uri:_status")), F.array(F.col("uri"), status))).alias("key", "value"))
     return fields.unionByName(extra)
 
@@ -87,6 +88,17 @@ def encode_value(value: pd.Series) -> pd.Series:
     return value.map(one)
 
 
+#: Keys whose values are never compressed.
+PLAIN_KEYS = ["_uri:type", "_uri:name", "_uri:description", "_uri:image", "_uri:services", "_uri:registrations", "_uri:supported_trust", "_uri:active", "_uri:x402_support", "_uri:skills", "_uri:domains", "_uri:_status"]
+
+
+def encode_values(metadata: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """metadata with its values encoded: those of PLAIN_KEYS as they are behind a byte 0, others as encode_value() says."""
+    raw = F.concat(F.unhex(F.lit("00")), F.col(value).cast("binary"))
+    packed = encode_value(F.when(~F.col(key).isin(PLAIN_KEYS), F.col(value).cast("binary")))
+    return metadata.withColumn(value, F.when(F.col(key).isin(PLAIN_KEYS), raw).otherwise(packed))
+
+
 @F.pandas_udf(T.BinaryType())
 def decode_value(value: pd.Series) -> pd.Series:
     """The value that was encoded; without a known first byte the bytes themselves. Damaged frames, and those beyond the limits, are null."""

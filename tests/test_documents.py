@@ -35,3 +35,26 @@ def test_values_come_back(spark):
 
     bomb = spark.createDataFrame([(b"\1" + zstandard.ZstdCompressor().compress(bytes(documents.EXPANDED + 1)),)], "v binary")
     assert bomb.select(documents.decode_value("v")).first()[0] is None
+
+
+def test_plain_keys_stay_plain(spark):
+    rows = spark.createDataFrame([("_uri:name", b"x" * 900), ("own", b"x" * 900), ("own2", b"y"), ("_uri:image", None)], "key string, value binary")
+    got = {r["key"]: r["value"] and bytes(r["value"]) for r in documents.encode_values(rows).collect()}
+    assert got["_uri:name"] == b"\0" + b"x" * 900 and got["own"][:1] == b"\1" and len(got["own"]) < 100 and got["own2"] == b"\0y" and got["_uri:image"] is None
+
+
+def test_urls(spark):
+    good = ["http://a.b", "https://a.b/c?d=e#f", "ipfs://Qm1/x.json", "ar://a_-9/y", " https://a.b "]
+    bad = ["javascript:x", "ipfs://", "ipfs://a-b", "ar://a.b", "https://", "ftp://a.b", "data:text/html,x", "https://a b", ""]
+    got = {r["u"]: r["c"] for r in spark.createDataFrame([(u,) for u in good + bad], "u string").select("u", documents.clean_url(F.col("u")).alias("c")).collect()}
+    assert [got[u] for u in good] == [u.strip() for u in good] and [got[u] for u in bad] == [None] * len(bad)
+
+
+def test_documents_in_full(spark):
+    body = '{"name":"<i>N</i>","supportedTrust":["OASF","x402","other"],"active":true,"x402Support":"yes","image":"javascript:x","extra":{"a":1},"more":"<b>t</b>","none":""}'
+    docs = spark.createDataFrame([("a", body.encode(), "ok"), ("b", body.encode(), "blocked"), ("c", None, "timeout"), ("d", b"{}", None)], "asset string, body binary, fetch string")
+    got = {r["asset"]: r for r in documents.read_documents(docs, 10_000, full=True, fetched="fetch").collect()}
+    assert got["a"]["fields"] == {"name": "N", "supported_trust": '["oasf","x402"]', "active": "true", "extra": '{"a":1}', "more": "t"}
+    assert [got[k]["doc_status"] for k in "abcd"] == ["ok", "blocked", "timeout", "ok"] and got["b"]["fields"] is None and got["d"]["fields"] == {}
+    plain = {r["asset"]: r for r in documents.read_documents(docs, 10_000).collect()}
+    assert plain["a"]["fields"] == {"name": "N", "supported_trust": '["oasf","x402"]', "active": "true"} and not plain["a"]["truncated"]

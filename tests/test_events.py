@@ -95,7 +95,7 @@ def test_proofs_and_errors(spark):
     line = lambda index, more="": f"Program log: PP_FINALIZE|v=1|session={h}|client={c.hex()}|asset={a.hex()}|feedback_index={index}|seal={h.upper()}|context=1|context_ref={h}{more}"
     logs = ["Program P invoke [1]", line(3), line(9), line("x"), line(3, "|asset=00"), "Program log: PP_FINALIZE|v=1|", "Program P success", line(4)]
     frames = events.attribute_frames(spark.createDataFrame([("t", logs)], "tx_signature string, logs array<string>"))
-    asset, client = hashes._encode58(a), hashes._encode58(c)
+    asset, client = hashes.base58_batch([a, c])
     fed = spark.createDataFrame([("t", asset, client, 3, h, 5), ("u", asset, client, 4, h, 6)], "tx_signature string, asset string, client_address string, feedback_index long, hash string, slot long")
     good, bad = proofs.match(proofs.finalisations(frames, "P"), fed)
     assert [r.feedback_index for r in good.collect()] == [3]
@@ -115,3 +115,8 @@ def test_keccak_base58_and_leaf(spark):
     one = rows.limit(1).select(hashes.leaf("feedback", F.lit(b"a" * 32), F.lit(b"c" * 32), F.lit(258), F.lit(None).cast("binary"), F.lit(1)).alias("x"), hashes.u64_le(F.lit(-1)).alias("m")).first()
     assert one.x == b"8004_LEAF_V1____" + b"a" * 32 + b"c" * 32 + (258).to_bytes(8, "little") + bytes(32) + (1).to_bytes(8, "little")
     assert one.m == b"\xff" * 8
+
+
+def test_failed_transactions_go(spark):
+    tx = spark.createDataFrame([("a", None), ("b", "err")], "tx_signature string, err string")
+    assert [r["tx_signature"] for r in events.succeeded(tx).collect()] == ["a"]
