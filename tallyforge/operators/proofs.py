@@ -51,8 +51,19 @@ def flag(feedbacks: DataFrame, proofs: DataFrame) -> DataFrame:
     return feedbacks.drop("proved").join(there, KEY, "left").withColumn("proved", F.coalesce("_p", F.lit(False))).drop("_p")
 
 
-def backfill(feedbacks: DataFrame, proofs: DataFrame, after_slot: int, after_signature: str, limit: int) -> DataFrame:
-    """Transactions with unproved feedback after the cursor, oldest first."""
+def backfill(feedbacks: DataFrame, proofs: DataFrame, after_slot: int, after_signature: str, limit: int, retry: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """Transactions with unproved feedback after the cursor, oldest first; and, whatever the cursor, those of `retry` (tx_signature, attempts) tried fewer than `most` times."""
     bare = feedbacks.join(proofs.select(*KEY).distinct(), KEY, "left_anti").groupBy("slot", "tx_signature").agg(F.count("*").alias("unproved"))
-    later = (F.col("slot") > after_slot) | ((F.col("slot") == after_slot) & (F.col("tx_signature") > after_signature))
-    return bare.where(later).orderBy("slot", "tx_signature").limit(limit)
+    wanted = (F.col("slot") > after_slot) | ((F.col("slot") == after_slot) & (F.col("tx_signature") > after_signature))
+    if retry is not None:
+        due = retry.groupBy("tx_signature").agg(F.max("attempts").alias("_n")).where(F.col("_n") < most)
+        bare = bare.join(due, "tx_signature", "left")
+        wanted = wanted | F.col("_n").isNotNull()
+    return bare.where(wanted).orderBy("slot", "tx_signature").limit(limit).select("slot", "tx_signature", "unproved")
+
+
+def retries(retry: DataFrame, tried: DataFrame, proofs: DataFrame) -> DataFrame:
+    """The retry list after a round: transactions that were tried and have no proof, each with one attempt more."""
+    done = proofs.select("tx_signature").distinct()
+    again = tried.select("tx_signature").distinct().join(done, "tx_signature", "left_anti").withColumn("attempts", F.lit(1))
+    return retry.join(done, "tx_signature", "left_anti").unionByName(again).groupBy("tx_signature").agg(F.sum("attempts").cast("int").alias("attempts"))

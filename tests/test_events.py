@@ -102,6 +102,12 @@ def test_proofs_and_errors(spark):
     assert sorted(r.reason for r in bad.collect()) == ["unmatched", "unreadable", "unreadable", "unreadable"]
     assert {r.tx_signature: r.proved for r in proofs.flag(fed, good).collect()} == {"t": True, "u": False}
     assert [r.tx_signature for r in proofs.backfill(fed, good, 5, "t", 10).collect()] == ["u"]
+    none = good.where("false")
+    retry = proofs.retries(spark.createDataFrame([("t", 3)], "tx_signature string, attempts int"), fed, none)
+    assert {r.tx_signature: r.attempts for r in retry.collect()} == {"t": 4, "u": 1}
+    assert [r.tx_signature for r in proofs.backfill(fed, none, 6, "u", 10, retry).collect()] == ["t", "u"]
+    assert [r.tx_signature for r in proofs.backfill(fed, none, 6, "u", 10, proofs.retries(retry, fed, none)).collect()] == ["u"]
+    assert proofs.retries(retry, fed, good).collect() == [("u", 2)]
 
 
 def test_keccak_base58_and_leaf(spark):
