@@ -29,3 +29,25 @@ def forest(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
 def lineage(starts: DataFrame, nodes: DataFrame, max_depth: int = 32) -> DataFrame:
     """Ancestors of each start."""
     return walk(starts, nodes.where("parent IS NOT NULL").select(F.col("node").alias("src"), F.col("parent").alias("dst")), max_depth)
+
+
+def _live(agents: DataFrame) -> DataFrame:
+    """node, parent of the agents that aren't orphaned: an orphaned one cuts the walk."""
+    return agents.where("status <> 'ORPHANED'").select(F.col("asset").alias("node"), F.col("parent_asset").alias("parent"))
+
+
+def subtree(agents: DataFrame, root: str, max_depth: int = 8, include_root: bool = True) -> DataFrame:
+    """node, depth, path of an agent's descendants, at most 8 deep, by depth and path; without a root there is nothing."""
+    nodes = _live(agents)
+    edges = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
+    found = walk(nodes.where(F.col("node") == root).select("node"), edges, max(1, min(max_depth, 8)))
+    return found.where(F.col("depth") >= (0 if include_root else 1)).select("node", "depth", "path").orderBy("depth", "path")
+
+
+def ancestors(agents: DataFrame, asset: str, include_self: bool = True, max_depth: int = 32) -> DataFrame:
+    """node, depth of an agent's ancestors, the root first."""
+    nodes = _live(agents)
+    known = nodes.select(F.col("node").alias("_known"))
+    found = lineage(nodes.where(F.col("node") == asset).select("node"), nodes, max(1, min(max_depth, 32)))
+    # a parent that isn't there, or is orphaned, ends the line
+    return found.join(known, F.col("node") == F.col("_known"), "left_semi").where(F.col("depth") >= (0 if include_self else 1)).select("node", "depth").orderBy(F.desc("depth"), "node")

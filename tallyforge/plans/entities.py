@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashes, scalar
-from ..operators import chain, documents, entities, fold, ids, lifecycle, paging, projections, reconcile, rollups, stats
+from ..operators import chain, documents, entities, fold, ids, lifecycle, paging, projections, reconcile, rollups, stats, tree
 from ..sources import schemas
 from ..sources.tables import load
 
@@ -79,7 +79,8 @@ def query(sql: str):
 
     def add(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"WITH {ctes}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {ctes} {sql}"
+        start = next((w for w in ("WITH RECURSIVE ", "WITH ") if sql.startswith(w)), "")
+        SQL[f.__name__] = f"{start}{ctes}, {sql[len(start) :]}" if start else f"WITH {ctes} {sql}"
         return f
 
     return add
@@ -185,6 +186,13 @@ def agent_children(spark, d):
     return entities.children(table(spark, d, "ag"), "a3", 40, 5).select("asset")
 
 
+@query("""WITH RECURSIVE n AS (SELECT asset AS node, CASE WHEN feedback_count <> 3 THEN parent_asset END AS parent FROM ag WHERE status <> 'ORPHANED'), t AS (SELECT node, 0 AS depth, [node] AS path FROM n WHERE node = 'a3' UNION ALL SELECT n.node, depth + 1, list_append(path, n.node) FROM t JOIN n ON n.parent = t.node WHERE depth < 3 AND NOT list_contains(path, n.node))
+SELECT node, depth, array_to_string(path, '/') AS path FROM t WHERE depth > 0""")
+def agent_subtree(spark, d):
+    agents = table(spark, d, "ag").withColumn("parent_asset", F.when(F.col("feedback_count") != 3, F.col("parent_asset")))
+    return tree.subtree(agents, "a3", 3, include_root=False).withColumn("path", F.concat_ws("/", "path"))
+
+
 @query("SELECT asset, sort_key FROM ag WHERE status <> 'ORPHANED' AND trust_tier >= 1 AND sort_key < 9000000 AND collection = 'n3' ORDER BY sort_key DESC, asset LIMIT 30")
 def get_leaderboard(spark, d):
     return entities.get_leaderboard(table(spark, d, "ag"), "n3", 1, 30, 9_000_000).select("asset", "sort_key")

@@ -25,6 +25,16 @@ def test_tree_cycle(spark):
     assert sorted(r.node for r in tree.lineage(nodes.where("node = 4").select("node"), nodes).collect()) == [4, 5]
 
 
+def test_one_tree_and_one_line(spark):
+    rows = [("a", None, "ok"), ("b", "a", "ok"), ("c", "b", "ok"), ("d", "c", "ORPHANED"), ("e", "d", "ok"), ("f", "a", "ok"), ("x", "y", "ok"), ("y", "x", "ok")]
+    agents = spark.createDataFrame(rows, "asset string, parent_asset string, status string")
+    assert [(r.node, r.depth) for r in tree.subtree(agents, "a").collect()] == [("a", 0), ("b", 1), ("f", 1), ("c", 2)]
+    assert [r.node for r in tree.subtree(agents, "a", 1, include_root=False).collect()] == ["b", "f"]
+    assert [r.node for r in tree.subtree(agents, "x", 99).collect()] == ["x", "y"] and tree.subtree(agents, "none").isEmpty()
+    assert [(r.node, r.depth) for r in tree.ancestors(agents, "c").collect()] == [("a", 2), ("b", 1), ("c", 0)]
+    assert [r.node for r in tree.ancestors(agents, "e").collect()] == ["e"] and [r.node for r in tree.ancestors(agents, "c", include_self=False).collect()] == ["a", "b"]
+
+
 def test_order_of_rows_is_irrelevant(spark):
     rows = [(1, i, f"v{i}") for i in range(20)]
     one, two = (spark.createDataFrame(r, "k int, n int, v string") for r in (rows, rows[::-1]))
