@@ -30,9 +30,10 @@ def leaderboard(agents: DataFrame, first: int, least_tier: int = 2) -> DataFrame
 
 
 def leaderboard_reputation(agents: DataFrame, feedbacks: DataFrame, first: int, least_tier: int = 2) -> DataFrame:
-    """The reputation of the first agents of the leaderboard: those few are found first, and only their feedback is read on."""
-    board = leaderboard(agents, first, least_tier)
-    return reputation(board, feedbacks.join(F.broadcast(board.select("asset")), "asset", "left_semi"))
+    """The reputation of the first agents of the leaderboard, 1000 at most: those few rows come to the driver, and their keys go into the scan of the feedback."""
+    board = leaderboard(agents, min(first, 1000), least_tier)
+    rows = board.collect()
+    return reputation(agents.sparkSession.createDataFrame(rows, board.schema), feedbacks.where(F.col("asset").isin([r["asset"] for r in rows])))
 
 
 def totals(**counts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
