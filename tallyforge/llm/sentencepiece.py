@@ -30,7 +30,7 @@ from .common import slices
 META = "▁"
 _SEGMENT = re.compile(f"{META}*[^{META}]+|{META}+")
 #: Words that a worker remembers between batches, and their longest.
-REMEMBERED, REMEMBERED_SIZE = 200_000, 1000
+REMEMBERED, REMEMBERED_SIZE = 100_000, 1000
 #: Symbols beyond which a word has rounds of its own.
 LONG = 1000
 
@@ -291,7 +291,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.bpe = load(path)
-        self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.known: dict[str, tuple[int, str, bytes]] = {}
         self.long: list[str] = []  # of the last call, not to be remembered
 
     def words(self, texts: list[str]) -> list[list[str]]:
@@ -302,12 +302,12 @@ class Coder:
             self.known.pop(w, None)
         fresh = sorted({w for ws in out for w in ws if w not in self.known})
         for w, ids in zip(fresh, self.bpe.merge(fresh), strict=True):
-            self.known[w] = (len(ids), ",".join(map(str, ids)), self.bpe.decode_bytes(ids), ids)
+            self.known[w] = (len(ids), ",".join(map(str, ids)), self.bpe.decode_bytes(ids))
         self.long = [w for w in fresh if len(w) > REMEMBERED_SIZE]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for w in ws for i in self.known[w][3]] for ws in self.words(texts)]
+        return [[int(i) for w in ws for i in self.known[w][1].split(",")] for ws in self.words(texts)]
 
     def decode(self, ids: list[int]) -> str:
         got = self.bpe.decode_bytes(ids)
