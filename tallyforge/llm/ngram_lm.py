@@ -59,6 +59,20 @@ def _runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(shards[a]), a, b
 
 
+def _by_begin(keys: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The same of sorted keys that lie in the shards that begin at `begins`; -1 for those before the first. Whichever is shorter is looked up in the other."""
+    if not len(keys):
+        return
+    lo, hi = (int(x) for x in np.searchsorted(begins, keys[[0, -1]], side="right") - 1)
+    if hi - lo > len(keys):
+        yield from _runs(np.searchsorted(begins, keys, side="right") - 1)
+        return
+    edges = np.r_[0, np.searchsorted(keys, begins[lo + 1 : hi + 1]), len(keys)].tolist()
+    for k, a, b in zip(range(lo, hi + 1), edges[:-1], edges[1:], strict=True):
+        if a < b:
+            yield k, a, b
+
+
 class Vocabulary:
     """The mapped shards of the words, OPEN of them at a time."""
 
@@ -89,7 +103,7 @@ class Vocabulary:
     def count_of(self, ids: np.ndarray) -> np.ndarray:
         """Counts of sorted ids."""
         out = np.zeros(len(ids), np.int64)
-        for k, a, b in _runs(np.searchsorted(self.starts, ids, side="right") - 1):
+        for k, a, b in _by_begin(ids, self.starts):
             out[a:b] = self.shard(k)[1][ids[a:b] - self.starts[k]]
         return out
 
@@ -115,14 +129,18 @@ class Level:
     def find(self, keys: np.ndarray, logs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entry (-1: none), log10 probability and log10 backoff (zeros without logs) of sorted keys context * size + word."""
         entry, prob, backoff = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
-        for k, a, b in _runs(np.searchsorted(self.first, keys, side="right") - 1):
+        for k, a, b in _by_begin(keys, self.first):
             if k < 0 or self.starts[k] == self.starts[k + 1]:
                 continue
             pointer, word, p, o, base = self.shard(k)
-            context, inside = keys[a:b] // self.size - base, (keys[a:b] // self.size) < base + pointer.n - 1
-            context = np.where(inside, context, 0)
-            begin = pointer.get(context)
-            end = np.where(inside, pointer.get(context + 1), begin)
+            context = keys[a:b] // self.size - base
+            fresh = np.r_[True, context[1:] != context[:-1]]
+            back, heads = np.cumsum(fresh) - 1, context[fresh]
+            there = heads < pointer.n - 1
+            heads = np.where(there, heads, 0)
+            begin = pointer.get(heads)
+            end = np.where(there, pointer.get(heads + 1), begin)[back]
+            begin, inside = begin[back], there[back]
             at = word.find(np.where(inside, keys[a:b] - base * self.size, 0), begin, end)
             hit = at >= 0
             entry[a:b] = np.where(hit, at + self.starts[k], -1)
@@ -136,7 +154,7 @@ class Level:
     def words_of(self, entries: np.ndarray) -> np.ndarray:
         """The last word's id of sorted entries."""
         out = np.zeros(len(entries), np.int64)
-        for k, a, b in _runs(np.searchsorted(self.starts, entries, side="right") - 1):
+        for k, a, b in _by_begin(entries, self.starts):
             out[a:b] = self.shard(k)[1].get(entries[a:b] - self.starts[k]) % self.size
         return out
 
@@ -225,7 +243,7 @@ def _count(texts: DataFrame, keys_of, cuts) -> DataFrame:
             if held:
                 keys, counts = _add(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if len(held) > 1 else held[0]
                 held.clear()
-                for k, a, b in _runs(np.searchsorted(cuts(), keys, side="right") - 1):
+                for k, a, b in _by_begin(keys, cuts()):
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "block": pa.array([_packed(keys[a:b], counts[a:b])], pa.binary())})
 
         for batch in batches:
@@ -378,7 +396,7 @@ def _level(texts: DataFrame, model: Model, n: int, inner: bool) -> list:
 def _backoffs(level: Level, entries: np.ndarray) -> np.ndarray:
     """log10 backoffs of sorted entries."""
     out = np.zeros(len(entries))
-    for k, a, b in _runs(np.searchsorted(level.starts, entries, side="right") - 1):
+    for k, a, b in _by_begin(entries, level.starts):
         out[a:b] = level.shard(k)[3][entries[a:b] - level.starts[k]] * -STEP
     return out
 
