@@ -289,7 +289,7 @@ def _words(texts: DataFrame, folder: str, bits: int) -> list:
     def cuts() -> np.ndarray:
         return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
 
-    return _count(texts, lambda part: _tokens(part)[0], cuts).groupBy("shard").applyInArrow(build, MADE).orderBy("shard").collect()
+    return _count(texts, lambda part: _tokens(part)[0], cuts).groupBy("shard").applyInArrow(build, MADE).collect()
 
 
 def _ids(vocabulary: Vocabulary, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,7 +390,7 @@ def _level(texts: DataFrame, model: Model, n: int, inner: bool) -> list:
         arrays.save(model.folder, f"level{n}-{shard}", made | {"prob": _quantise(prob), "backoff": _quantise(backoff), "base": np.array([base], np.int64)})
         return _made(shard, counts)
 
-    return _count(texts, keys_of, lambda: arrays.load(model.folder, f"cuts{n}", ("first",))["first"]).groupBy("shard").applyInArrow(build, MADE).orderBy("shard").collect()
+    return _count(texts, keys_of, lambda: arrays.load(model.folder, f"cuts{n}", ("first",))["first"]).groupBy("shard").applyInArrow(build, MADE).collect()
 
 
 def _backoffs(level: Level, entries: np.ndarray) -> np.ndarray:
