@@ -186,12 +186,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (one more entry than rows)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the index of its first word (one more entry than rows); `between` marks the bytes that aren't part of one."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    full = ~_IS_SPACE[data]
+    full = ~between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     begins = full.copy()
@@ -202,9 +202,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z as a-z if lower), and each row's first word."""
-    starts, ends, first = word_spans(data, offsets)
+    starts, ends, first = word_spans(data, offsets, between)
     if not len(starts):
         return np.zeros(0, np.uint64), first
     power, inverse = _power_tables(len(data) + 1)
