@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fim, langid, minhash, mixing, ngram_lm, quality_cnn, quality_rules, sentencepiece, sharding, simhash, suffix_dedup, topk
+from . import fim, langid, lexical, minhash, mixing, ngram_lm, quality_cnn, quality_rules, sentencepiece, sharding, simhash, suffix_dedup, topk
 
-MODULES = (minhash, quality_cnn, quality_rules, sharding, mixing, langid, topk, ngram_lm, sentencepiece, suffix_dedup, fim, simhash)
+MODULES = (minhash, quality_cnn, quality_rules, sharding, mixing, langid, topk, ngram_lm, sentencepiece, suffix_dedup, fim, simhash, lexical)
 
 
 def queries() -> dict:
