@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
     linked = checkpoint(points.join(roots, "fp"))
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = points.join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("least"))
-    out = signed.join(named, "fp")
+    # written first, so that both sides of the join are plain shuffles, whose large partitions Spark splits
+    out = signed.join(checkpoint(named), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
 
 
