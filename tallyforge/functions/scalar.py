@@ -17,8 +17,9 @@ def canonical(slot="slot", tx="tx_index", ordinal="event_ordinal", signature="tx
 
 
 def guard(slot="slot", tx="tx_index", ordinal="event_ordinal", signature="tx_signature") -> Column:
-    """A comparable struct in which nulls come lowest."""
-    return F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")).alias(c) for c in (slot, tx, ordinal)], F.coalesce(F.col(signature), F.lit("")).alias(signature))
+    """A comparable struct (slot, tx_index, event_ordinal, tx_signature) in which nulls come lowest."""
+    names = {"slot": slot, "tx_index": tx, "event_ordinal": ordinal}
+    return F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")).alias(n) for n, c in names.items()], F.coalesce(F.col(signature), F.lit("")).alias("tx_signature"))
 
 
 def sort_key(tier: Column, quality: Column, confidence: Column, tie: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import guard
+
 #: Columns that place an event.
 CONTEXT = ["tx_signature", "slot", "block_time", "tx_index", "event_ordinal"]
-#: Fields of each kind of event; the kinds of values are text, flag, whole, big (text of any digits) and hash; `?` may be absent.
+#: Fields of each kind of event; the kinds of values are text, flag, int, whole (64 bits without sign), big (text of any digits) and hash; `?` may be absent.
 FIELDS = {
     "AgentRegistered": "asset text, collection text, owner text, atom_enabled flag=true, agent_uri text?",
     "AgentOwnerSynced": "asset text, old_owner text, new_owner text",
@@ -20,11 +24,11 @@ FIELDS = {
     "RegistryInitialized": "collection text, authority text",
     "CollectionPointerSet": "asset text, set_by text, col text, lock flag?",
     "ParentAssetSet": "asset text, parent_asset text, parent_creator text, set_by text, lock flag?",
-    "NewFeedback": "asset text, client_address text, feedback_index whole, value big, value_decimals whole, score whole?, seal_hash hash, atom_enabled flag, new_trust_tier whole, new_quality_score whole, new_confidence whole, new_risk_score whole, new_diversity_ratio whole, new_feedback_digest hash, new_feedback_count whole, tag1 text?, tag2 text?, endpoint text?, feedback_uri text?, feedback_file_hash hash?",
-    "FeedbackRevoked": "asset text, client_address text, feedback_index whole, seal_hash hash, atom_enabled flag, had_impact flag, new_trust_tier whole, new_quality_score whole, new_confidence whole, new_revoke_digest hash, new_revoke_count whole",
+    "NewFeedback": "asset text, client_address text, feedback_index whole, value big, value_decimals int, score int?, seal_hash hash, atom_enabled flag, new_trust_tier int, new_quality_score int, new_confidence int, new_risk_score int, new_diversity_ratio int, new_feedback_digest hash, new_feedback_count whole, tag1 text?, tag2 text?, endpoint text?, feedback_uri text?, feedback_file_hash hash?",
+    "FeedbackRevoked": "asset text, client_address text, feedback_index whole, seal_hash hash, original_score int?, atom_enabled flag, had_impact flag, new_trust_tier int, new_quality_score int, new_confidence int, new_revoke_digest hash, new_revoke_count whole",
     "ResponseAppended": "asset text, client text, feedback_index whole, responder text, response_hash hash, seal_hash hash, new_response_digest hash, new_response_count whole, response_uri text?",
     "ValidationRequested": "asset text, validator_address text, nonce whole, request_uri text?, request_hash hash, requester text",
-    "ValidationResponded": "asset text, validator_address text, nonce whole, response whole, response_uri text?, response_hash hash, tag text?",
+    "ValidationResponded": "asset text, validator_address text, nonce whole, response int, response_uri text?, response_hash hash, tag text?",
 }
 
 
@@ -36,6 +40,8 @@ def _camel(name: str) -> str:
 def _read(text: Column, kind: str) -> Column:
     if kind == "flag":
         return text.try_cast("boolean")
+    if kind == "int":
+        return F.when(text.rlike("^[0-9]{1,9}$"), text.try_cast("int"))
     if kind == "whole":  # up to 2**64 - 1
         return F.when(text.rlike("^[0-9]{1,20}$"), text.try_cast("decimal(20,0)"))
     if kind == "big":
@@ -45,6 +51,48 @@ def _read(text: Column, kind: str) -> Column:
     return text
 
 
+def _fields(text: str) -> list[tuple[str, str, bool, str]]:
+    """name, kind of value, whether it may be absent, default of each field."""
+    out = []
+    for entry in text.split(", "):
+        name, value = entry.split(" ")
+        value, _, default = value.partition("=")
+        out.append((name, value.rstrip("?"), value.endswith("?"), default))
+    return out
+
+
+def wide(raw: DataFrame) -> DataFrame:
+    """A row for each event of a known kind: name, its place, at (block time), o (the place as a comparable struct), ok, and the fields of all kinds.
+
+    Fields of other kinds are null. A field that kinds read differently bears
+    the first one's name, and for others `name_kind`. data is parsed once, for
+    all kinds; `ok` as in typed().
+    """
+    place = ["slot", "tx_index", "event_ordinal", "tx_signature"]
+    kinds: dict[str, str] = {}  # column: kind of value
+    needs: dict[str, list[Column]] = {}
+    texts: dict[str, Column] = {}
+    defaults: dict[str, list[Column]] = {}
+    for kind, spec in FIELDS.items():
+        needs[kind] = [F.col("_d").isNotNull()]
+        for name, value, optional, default in _fields(spec):
+            column = name if kinds.setdefault(name, value) == value else f"{name}_{value}"
+            kinds[column] = value
+            texts[column] = F.col(f"_d.{_camel(name)}")
+            if default:
+                defaults.setdefault(column, []).append(F.when(F.col("name") == kind, F.lit(default)))
+            good = F.col(column).isNotNull()
+            needs[kind].append(good | F.col(f"_d.{_camel(name)}").isNull() if optional else good)
+    schema = ", ".join(f"`{n}` string" for n in sorted({_camel(n) for spec in FIELDS.values() for n, *_ in _fields(spec)}))
+    at = F.col("block_time") if "block_time" in raw.columns else F.lit(None).cast("timestamp")
+    rows = raw.where(F.col("name").isin(*FIELDS)).select("name", F.col("slot").cast("long").alias("slot"), F.col("tx_index").cast("int").alias("tx_index"), F.col("event_ordinal").cast("int").alias("event_ordinal"), "tx_signature", at.cast("timestamp").alias("at"), F.from_json("data", schema).alias("_d"))
+    rows = rows.select("name", *place, "at", guard().alias("o"), "_d", *[_read(F.coalesce(texts[c], *defaults.get(c, [])), k).alias(c) for c, k in kinds.items()])
+    ok = F.lit(False)
+    for kind, good in needs.items():
+        ok = F.when(F.col("name") == kind, reduce(Column.__and__, good)).otherwise(ok)
+    return rows.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_d")
+
+
 def typed(raw: DataFrame, kind: str, fields: str | None = None) -> DataFrame:
     """The rows of raw (name, data as JSON text, any other columns) of that kind, with the fields of the kind in place of name and data.
 
@@ -53,11 +101,7 @@ def typed(raw: DataFrame, kind: str, fields: str | None = None) -> DataFrame:
     letters, which fold nothing but are not lost. Columns of raw that bear a
     field's name are replaced by the field.
     """
-    specs = []
-    for entry in (fields or FIELDS[kind]).split(", "):
-        name, value = entry.split(" ")
-        value, _, default = value.partition("=")
-        specs.append((name, value.rstrip("?"), value.endswith("?"), default))
+    specs = _fields(fields or FIELDS[kind])
     schema = ", ".join(f"`{_camel(n)}` string" for n, *_ in specs)
     rows = raw.where(F.col("name") == kind).withColumn("_d", F.from_json("data", schema))
     ok, columns = F.col("_d").isNotNull(), {}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 _PLACE = "tx_index int, event_ordinal int, tx_signature string"
 _STATE = "status string, verified_at timestamp"
-_KEY = "asset string, client_address string, feedback_index long"
-_RATED = "value decimal(38,0), value_decimals int, score int, tag1 string, tag2 string, endpoint string, feedback_uri string, feedback_hash binary, running_digest binary"
+#: Numbers of up to 64 bits without sign are decimals; a feedback's value has up to 39 digits and is text.
+_KEY = "asset string, client_address string, feedback_index decimal(20,0)"
+_RATED = "value string, value_decimals int, score int, tag1 string, tag2 string, endpoint string, feedback_uri string, feedback_hash binary, running_digest binary"
 
 SCHEMAS = {
     "collections": f"collection string, registry_type string, authority string, created_at timestamp, {_STATE}",
@@ -17,9 +18,9 @@ SCHEMAS = {
     "metadata": f"id string, asset string, key string, key_hash string, value binary, immutable boolean, block_slot long, {_PLACE}, created_at timestamp, updated_at timestamp, {_STATE}",
     "feedbacks": f"id string, feedback_id long, {_KEY}, {_RATED}, is_revoked boolean, revoked_at timestamp, block_slot long, {_PLACE}, created_at timestamp, {_STATE}",
     "orphan_feedbacks": f"id string, {_KEY}, {_RATED}, atom_enabled boolean, new_trust_tier int, new_quality_score int, new_confidence int, new_risk_score int, new_diversity_ratio int, block_slot long, {_PLACE}, created_at timestamp",
-    "feedback_responses": f"id string, response_id long, {_KEY}, responder string, response_uri string, response_hash binary, seal_hash binary, running_digest binary, response_count long, block_slot long, {_PLACE}, created_at timestamp, {_STATE}",
-    "orphan_responses": f"id string, {_KEY}, responder string, response_uri string, response_hash binary, seal_hash binary, running_digest binary, response_count long, block_slot long, {_PLACE}, created_at timestamp",
-    "revocations": f"id string, revocation_id long, {_KEY}, feedback_hash binary, slot long, original_score int, atom_enabled boolean, had_impact boolean, running_digest binary, revoke_count long, {_PLACE}, created_at timestamp, {_STATE}",
+    "feedback_responses": f"id string, response_id long, {_KEY}, responder string, response_uri string, response_hash binary, seal_hash binary, running_digest binary, response_count decimal(20,0), block_slot long, {_PLACE}, created_at timestamp, {_STATE}",
+    "orphan_responses": f"id string, {_KEY}, responder string, response_uri string, response_hash binary, seal_hash binary, running_digest binary, response_count decimal(20,0), block_slot long, {_PLACE}, created_at timestamp",
+    "revocations": f"id string, revocation_id long, {_KEY}, feedback_hash binary, slot long, original_score int, atom_enabled boolean, had_impact boolean, running_digest binary, revoke_count decimal(20,0), {_PLACE}, created_at timestamp, {_STATE}",
     "validations": f"id string, asset string, validator_address string, nonce decimal(20,0), requester string, request_uri string, request_hash binary, response int, response_uri string, response_hash binary, tag string, status string, block_slot long, {_PLACE}, created_at timestamp, updated_at timestamp, chain_status string, chain_verified_at timestamp",
     "agent_digest_cache": "asset string, feedback_digest binary, feedback_count long, response_digest binary, response_count long, revoke_digest binary, revoke_count long, last_verified_slot long, last_verified_at timestamp, needs_gap_fill boolean",
     "id_counters": "scope string, next_value long",
@@ -53,6 +54,12 @@ def load_entity(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def as_entity(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the columns and types of an entity table; columns that they lack are null."""
+    kinds = [part.split(" ") for part in SCHEMAS[name].split(", ")]
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds])
+
+
 def conditions(name: str, columns: list[str]) -> dict[str, Column]:
     """Each rule of a table whose column is there, as a condition that also holds of null."""
     return {rule: F.coalesce(test(F.col(c)), F.lit(True)) for rule, (c, test) in RULES[name].items() if c in columns}
