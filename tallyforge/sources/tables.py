@@ -1,12 +1,12 @@
-"""Entity tables, action logs, and the folder shared by driver and executors."""
+"""Entity tables, events and action logs."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import checkpoint as checkpoint
+
 
 def load(spark: SparkSession, folder: str, name: str, schema=None) -> DataFrame:
     """An entity table, with its fixed schema if one is given."""
@@ -49,14 +49,3 @@ def snapshot_window(table: DataFrame, start: int, cutoff: int, slot: str = "slot
 def snapshot_windows(tables: dict[str, tuple[DataFrame, str]], start: int, cutoff: int) -> dict[str, DataFrame]:
     """The same range of slots of several tables, each with the name of its slot column."""
     return {name: snapshot_window(df, start, cutoff, slot) for name, (df, slot) in tables.items()}
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once, in the shared folder that the session names (one is set only where none is named)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
