@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import minhash, mixing, quality_cnn, sentencepiece, suffix_dedup
-from tallyforge.llm.common import fresh_folder, remove, unused, written
+from tallyforge.llm.common import unused
+from tallyforge.sources.shared import fresh_folder, remove, scope
 
 #: SQL cannot express the classifier or the tokenizer.
 ORACLE_SQL = None
@@ -58,14 +59,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage is written to the shared folder and read again, and what is no longer needed is removed there."""
+    """The last stage's rows; every stage is written to the shared folder and read again, and nothing but the last one stays there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before: list[str] = []
     for name, stage in STAGES:
-        others = set(written) - set(before)
         folder = fresh_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
-        remove(spark, [f for f in written if f not in others and f != folder])
-        before = [folder]
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        remove(spark, before)
+        docs, before = spark.read.parquet(folder), [folder]
     return docs
