@@ -31,8 +31,9 @@ def load(folder: str, name: str, keys: tuple[str, ...]) -> dict[str, np.ndarray]
     if not isinstance(store, fs.LocalFileSystem):
         own = _own_folder(folder)
         for k in keys:
-            if not os.path.exists(f"{own}/{name}.{k}.npy"):
-                fs.copy_files(f"{path}/{name}.{k}.npy", f"{own}/{name}.{k}.npy", source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+            if not os.path.exists(f"{own}/{name}.{k}.npy"):  # under another name until it is whole
+                fs.copy_files(f"{path}/{name}.{k}.npy", f"{own}/{name}.{k}.part", source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+                os.replace(f"{own}/{name}.{k}.part", f"{own}/{name}.{k}.npy")
         path = own
     return {k: np.load(f"{path}/{name}.{k}.npy", mmap_mode="r") for k in keys}
 

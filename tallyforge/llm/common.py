@@ -1,18 +1,18 @@
-"""Shared pieces: Arrow text access, vectorised word hashing, the shared folder."""
+"""Shared pieces: Arrow text access, vectorised word hashing, draws of rows; and the shared folder's functions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from ..sources.shared import checkpoint, drop, fresh_folder, remove, scope, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step holds at a time; a longer text makes a step of its own.
 STEP_BYTES = 1 << 21
 #: Characters that separate words, as in [\x20\x09-\x0D].
@@ -25,45 +25,6 @@ _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir() or made
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; Spark removes the files with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-#: Folders that this session's operators wrote to the shared folder and that weren't removed.
-written: list[str] = []
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one. What is in it is read as long as results that need it aren't written; remove() then takes it away."""
-    written.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return written[-1]
-
-
-def remove(spark: SparkSession, folders: list[str]) -> None:
-    """Deletes folders that fresh_folder() named."""
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        written.remove(folder)
-
-
 def crc_mod(column: str, k: int):
     """crc32 of the id as text, modulo k; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % k, F.lit(0)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, drop
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,13 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpoint(e)
     state = _state(e)
     while state[0]:
+        before = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(low, "u")
-        e = down.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = checkpoint(e)
+        stars = down.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = checkpoint(stars.distinct())
+        drop(before)
         now = _state(e)
         if now == state:
             break

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 
 import numpy as np
@@ -11,8 +12,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import common, mixing, quality_cnn
+from tallyforge.llm import mixing, quality_cnn, registry
 from tallyforge.llm.sentencepiece import default_model
+from tallyforge.sources import shared
 
 DATA = "/root/testdata/sf0.001"
 LIMIT = 200
@@ -181,6 +183,24 @@ def test_empty_tables(spark, tmp_path, k):
 
 
 def test_run_removes_what_it_no_longer_needs(spark):
-    before = len(common.written)
-    rows = corpus_pipeline.run(spark, DATA)
-    assert len(common.written) == before + 1 and rows.count() > 0 and "ids_sha256" in rows.columns
+    """Another operator of the session keeps its files while the pipeline runs; of the pipeline's only the last stage stays, and goes with the caller's scope."""
+    root = shared.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(root) for f in names}
+    own = shared.checkpoint(spark.range(10))
+    before = files()
+    with shared.scope(spark) as mine:
+        rows = corpus_pipeline.run(spark, DATA)
+        assert rows.count() > 0 and "ids_sha256" in rows.columns and len(mine) == 1
+        assert {f.split("/stage-")[1].split("-")[0] for f in files() - before} == {"sentencepiece"}
+    assert files() == before and own.count() == 10
+
+
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op7_topk", "op8_ngram_lm", "op10_suffix_dedup", "op12_simhash", "op13_lexical"])
+def test_queries_leave_nothing_in_the_shared_folder(spark, name):
+    root = shared.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(root) for f in names}
+    before = files()
+    with shared.scope(spark):
+        registry.queries()[name](spark, DATA).count()
+        assert files() != before
+    assert files() == before
