@@ -151,6 +151,13 @@ class Level:
             backoff[a:b] = np.where(hit, o[at] * -STEP, 0.0)
         return entry, prob, backoff
 
+    def counts_of(self, entries: np.ndarray) -> np.ndarray:
+        """How often each of sorted entries occurs in training."""
+        out = np.zeros(len(entries), np.int64)
+        for k, a, b in _by_begin(entries, self.starts):
+            out[a:b] = arrays.load(self.folder, f"level{self.n}-{k}", ("count",))["count"][entries[a:b] - self.starts[k]]
+        return out
+
     def words_of(self, entries: np.ndarray) -> np.ndarray:
         """The last word's id of sorted entries."""
         out = np.zeros(len(entries), np.int64)
@@ -339,15 +346,18 @@ def train(texts: DataFrame, order: int = ORDER, rows: int | None = None) -> Mode
     cuts = [int(starts[k] + e) * size + int(p * size) for k, r in sorted(made.items()) for e, p in zip(r["at"], r["part"], strict=True)]
     pieces = -(-rows // SHARD)
     cuts += [size * size + size * k // pieces for k in range(pieces)]
+    contexts = size + 1
     for n in range(2, order + 1):
         if not size:
             break
+        if contexts * size >= 1 << 63:
+            raise OverflowError(f"{contexts} contexts of {size} words have no 64-bit keys; train a lower order, or on fewer texts")
         first = np.unique(np.array(cuts, np.int64))
         arrays.save(folder, f"cuts{n}", {"first": first})
         made = {r["shard"]: r for r in _level(texts, model, n, n < order)}
         at = np.cumsum([0, *(made[k]["entries"] if k in made else 0 for k in range(len(first)))])
         arrays.save(folder, f"level{n}", {"first": first, "starts": at})
-        model = replace(model, levels=(*model.levels, n))
+        model, contexts = replace(model, levels=(*model.levels, n)), int(at[-1])
         cuts = [(int(at[k]) + e) * size + int(p * size) for k, r in sorted(made.items()) for e, p in zip(r["at"], r["part"], strict=True)]
     return model
 
@@ -382,25 +392,19 @@ def _level(texts: DataFrame, model: Model, n: int, inner: bool) -> list:
             below = levels[n - 3]
             tail = below.words_of(heads)[head]  # the context's last word
             lower = _logs(levels[0], tail, word, lower, vocabulary, model)
-            total = np.rint(MU * (10 ** -_backoffs(below, heads)[head] - 1)).astype(np.int64)
-        prob = np.log10((counts + MU * 10**lower) / (np.maximum(total, counts) + MU))
+            total = below.counts_of(heads)[head]
+        prob = np.log10((counts + MU * 10**lower) / (total + MU))
         backoff = np.log10(MU / (counts + MU)) if inner else np.zeros(len(keys))
         made = {f"pointer_{k}": a for k, a in elias_fano.build(pointer, len(keys) + 1).items()}
         made |= {f"word_{k}": a for k, a in elias_fano.build(keys - base * size, (last + 1 - base) * size).items()}
+        if inner:  # the next level's training reads them, scoring doesn't
+            made["count"] = counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)
         arrays.save(model.folder, f"level{n}-{shard}", made | {"prob": _quantise(prob), "backoff": _quantise(backoff), "base": np.array([base], np.int64)})
         return _made(shard, counts)
 
     return _count(texts, keys_of, lambda: arrays.load(model.folder, f"cuts{n}", ("first",))["first"]).groupBy("shard").applyInArrow(build, MADE).collect()
 
 
-def _backoffs(level: Level, entries: np.ndarray) -> np.ndarray:
-    """log10 backoffs of sorted entries."""
-    out = np.zeros(len(entries))
-    for k, a, b in _by_begin(entries, level.starts):
-        out[a:b] = level.shard(k)[3][entries[a:b] - level.starts[k]] * -STEP
-    return out
-
-
 def _logs(level: Level, context: np.ndarray, word: np.ndarray, lower: np.ndarray, vocabulary: Vocabulary, model: Model) -> np.ndarray:
     """log10 p(word | context) in the second level; both known words, or the context the begin."""
     kinds, back = np.unique(context * model.types + word, return_inverse=True)

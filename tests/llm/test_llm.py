@@ -307,10 +307,37 @@ def test_ngram_scores(spark, order):
         s = ["<s>", *tok(t)]
         want = sum(math.log10(p2(a, b)) for a, b in zip(s, s[1:])) if order == 2 else math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))
         assert abs(got[i]["base_score"] - sum(math.log10(p1(w)) for w in s[1:])) < 1e-9
-        assert abs(got[i]["score"] - want) < 0.06 * len(s) + 0.05
+        # of each token a probability, and a backoff where the context is known without it, are off by half a step at most
+        assert abs(got[i]["score"] - want) < ngram_lm.STEP * len(s)
         assert got[i]["n_known"] == sum(c1[w] > 0 for w in s[1:]) and got[i]["train_tokens"] == n
 
 
+def test_trigrams_of_a_frequent_context_have_exact_counts(spark):
+    """A context of 10,000 occurrences: the probability is off by half a step of its logarithm, not by the backoff's."""
+    texts = ["a b c"] * 10_000 + ["a b d"] * 13
+    model = ngram_lm.train(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]))
+    vocabulary, levels = model.open()
+    shards = lambda level: range(len(level.first))
+    counts = sorted(int(c) for k in shards(levels[0]) if levels[0].starts[k] < levels[0].starts[k + 1] for c in arrays.load(model.folder, f"level2-{k}", ("count",))["count"])
+    assert counts == [13, 13, 10_000, 10_000, 10_013, 10_013]
+    assert levels[0].counts_of(np.arange(6)).sum() == sum(counts)
+    n, mu = 4 * 10_013, ngram_lm.MU
+    p1 = lambda c: (c + 0.1) / (n + 0.1 * 6)
+    p2 = (13 + mu * p1(13)) / (10_013 + mu)
+    want = math.log10((13 + mu * p2) / (10_013 + mu))
+    score = lambda t: ngram_lm.score(frame(spark, [(1, t, "a")]), model, ["doc_id"]).first()["score"]
+    first = math.log10((10_013 + mu * p1(10_013)) / (10_013 + mu)), math.log10((10_013 + mu * (10_013 + mu * p1(10_013)) / (10_013 + mu)) / (10_013 + mu))
+    p3 = math.log10((13 + mu * (13 + mu * p1(10_013)) / (13 + mu)) / (13 + mu))
+    assert abs(score("a b d") - (sum(first) + want + p3)) <= 4 * ngram_lm.STEP / 2
+
+
+def test_keys_beyond_64_bits_are_refused(spark, monkeypatch):
+    made = ngram_lm._words
+    monkeypatch.setattr(ngram_lm, "_words", lambda *a: [r.asDict() | {"entries": 1 << 32} for r in made(*a)])
+    with pytest.raises(OverflowError):
+        ngram_lm.train(frame(spark, [(1, "a b", "a")]), 2)
+
+
 def test_ngram_query_uses_trigrams(spark, tmp_path):
     texts = ["a b c d b e " * 10 if k % 3 else "d b e a b c " * 9 for k in range(60)]
     frame(spark, [(i, t, "a") for i, t in enumerate(texts)]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
@@ -337,6 +364,26 @@ def test_stop_words_only_judge_their_script(spark):
     assert got == {1: (False, True), 2: (False, False), 3: (False, True)}
 
 
+def test_prose_of_languages_without_a_list_is_kept(spark):
+    polish = """W małym mieście nad rzeką mieszkał stary zegarmistrz, który od lat naprawiał zegary i nie pytał, skąd się wzięły. Każdego ranka szedł na rynek,
+kupował chleb i wracał do domu, a po drodze mówił dzień dobry do ludzi, których znał od dziecka. Nie miał rodziny, ale nie czuł się sam, bo w jego domu było pełno
+głosów: tykały zegary na ścianie, na stole i na oknie. Pewnego dnia przyszła do niego dziewczyna z wielkim pudłem. To był zegar jej dziadka, powiedziała, i nie
+chodzi od dnia, w którym dziadek wyjechał na wojnę. Zegarmistrz wziął go do ręki, otworzył i długo patrzył. Nie było w nim nic zepsutego, a on i tak nie chciał iść."""
+    turkish = """Küçük bir kasabada yaşlı bir saatçi yaşardı ve her gün dükkanını sabah erkenden açardı. Bu dükkan dar bir sokakta idi, ama herkes onu bilir ve ona
+saatini getirirdi. Bir gün genç bir kız geldi ve ona büyük bir kutu verdi. Bu saat dedemin, dedi, ve o gittiği günden beri hiç çalışmadı. Saatçi kutuyu aldı, açtı ve
+uzun uzun baktı. Ne bir çark kırıktı ne de bir yay, ama saat yine de durdu. O gece uyumadı ve saatin başında bekledi. Sabah olunca kız geri geldi ve ne oldu diye
+sordu. Saatçi ona bir şey demedi, ama saati ona verdi ve gülümsedi. Kız saati eline aldı ve o an saat yeniden çalıştı, çünkü onu bekleyen bir el vardı artık."""
+    vietnamese = """Ở một thị trấn nhỏ bên sông có một người thợ sửa đồng hồ đã già. Mỗi sáng ông ra chợ mua bánh mì rồi về nhà, trên đường ông chào những người mà ông
+biết từ khi còn nhỏ. Ông không có gia đình, nhưng ông không thấy cô đơn, vì trong nhà ông có rất nhiều tiếng tích tắc trên tường, trên bàn và bên cửa sổ. Một ngày
+kia có một cô gái đến với một cái hộp lớn. Đây là đồng hồ của ông tôi, cô nói, và nó đã không chạy từ ngày ông tôi đi xa. Người thợ mở nó ra và nhìn rất lâu. Không có gì
+hỏng ở trong đó, nhưng nó vẫn không chạy. Đêm ấy ông không ngủ và ngồi bên nó cho đến khi trời sáng, rồi ông nghe thấy nó chạy."""
+    rnd = random.Random(3)
+    jumble = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9))) for _ in range(300))
+    got = {r["doc_id"]: (r["base_failed"], r["n_stop_words"], r["kept"]) for r in quality_rules.apply_rules(frame(spark, [(i, t, "a") for i, t in enumerate((polish, turkish, vietnamese, jumble))])).collect()}
+    assert all(len(words(t)) >= 100 for t in (polish, turkish, vietnamese))
+    assert [got[i][0] for i in range(4)] == [False] * 4 and [got[i][2] for i in range(4)] == [True, True, True, False]
+
+
 def test_top_k_brute_force(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(0, 1, (230, 24)).astype(np.float32)
