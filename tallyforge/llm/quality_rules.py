@@ -18,13 +18,16 @@ STOP_WORDS = {
 }
 #: Letters of the script that those languages share, as a pattern's class.
 LATIN = "A-Za-z\u00C0-\u024F"
+#: A text's own words of at most SHORT characters that it repeats count as function words too, SHARE of them as one: so
+#: any language's do, whether its words are listed or not.
+SHORT, SHARE = 3, 3
 #: rule, numerator, denominator, least and most of 100 * numerator / denominator, the words a text needs for the rule to
 #: apply, and the percentage of Latin letters among its characters: stop words say nothing of a text in another script.
 RULES: list[tuple[str, str, str, int | None, int | None, int, int]] = [
     ("word_length", "word_chars", "n_words", 150, 2500, 1, 0),
     ("symbols", "n_symbols", "word_chars", None, 10, 1, 0),
     ("duplicate_lines", "n_dup_lines", "n_lines", None, 50, 1, 0),
-    ("stop_words", "n_stop_words", "n_words", 2, None, 100, 50),
+    ("function_words", "n_function_words", "n_words", 2, None, 100, 50),
     ("words_per_line", "n_words", "n_lines", 150, None, 100, 0),
 ]
 
@@ -32,7 +35,9 @@ RULES: list[tuple[str, str, str, int | None, int | None, int, int]] = [
 def measures(text: Column) -> list[tuple[str, Column]]:
     """Columns by name, each of which may use the ones before it."""
     words = F.col("_words")
-    hashes = F.transform(F.sequence(F.lit(1), F.col("n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    # of each window the hash of its words' hashes; the last WINDOW - 1 words begin none
+    begins = F.slice("_hashes", F.lit(1), F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)))
+    hashes = F.transform(begins, lambda h, i: F.xxhash64(h, *[F.get(F.col("_hashes"), i + k) for k in range(1, WINDOW)]))
     at = F.col("_windows")
     placed = F.sort_array(F.transform(at, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     n = F.size("_sorted")
@@ -41,7 +46,11 @@ def measures(text: Column) -> list[tuple[str, Column]]:
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     zero = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(starts, zero, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n")), lambda s: s["n"])
-    stops = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
+    stops = sorted({w for ws in STOP_WORDS.values() for w in ws})
+    low = F.col("_low")
+    beside = lambda x, i, k: F.coalesce(F.get(F.col("_short"), i + k) == x, F.lit(False))
+    repeated = F.size(F.filter("_short", lambda x, i: beside(x, i, -1) | beside(x, i, 1)))
+    few = 100 * F.col("n_stop_words") < 2 * F.col("n_words")
     return [
         ("_text", F.coalesce(text, F.lit(""))),
         ("_words", F.array_remove(F.split("_text", f"[{SPACE}]+"), "")),
@@ -49,11 +58,17 @@ def measures(text: Column) -> list[tuple[str, Column]]:
         ("n_words", F.size("_words")),
         ("word_chars", F.length(F.translate("_text", " \t\n\x0b\x0c\r", ""))),
         ("n_symbols", F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))),
-        ("n_latin", F.length(F.regexp_replace("_text", f"[^{LATIN}]+", ""))),
         ("n_lines", F.size("_lines")),
         ("n_dup_lines", F.size("_lines") - F.size(F.array_distinct("_lines"))),
-        ("n_stop_words", F.size(F.filter(F.transform(words, F.lower), lambda w: F.array_contains(stops, w)))),
-        ("_windows", F.when(F.col("n_words") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))),
+        ("_low", F.split(F.lower("_text"), f"[{SPACE}]+")),
+        ("n_stop_words", F.size(F.filter(low, lambda w: w.isin(stops)))),
+        # only texts that lack the listed words need their own looked for
+        ("_short", F.when(few, F.sort_array(F.filter(low, lambda w: (F.length(w) <= SHORT) & (w != "")))).otherwise(F.array().cast("array<string>"))),
+        ("n_function_words", F.col("n_stop_words") + F.floor(repeated / SHARE).cast("int")),
+        # the script is asked of texts that lack function words alone
+        ("n_latin", F.when(100 * F.col("n_function_words") < 2 * F.col("n_words"), F.length(F.regexp_replace("_text", f"[^{LATIN}]+", ""))).otherwise(F.lit(0))),
+        ("_hashes", F.transform(words, lambda w: F.xxhash64(w))),
+        ("_windows", hashes),
         # most texts repeat no window: then nothing is sorted
         ("_sorted", F.when(F.size(F.array_distinct(at)) < F.size(at), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))),
         ("n_repeat_words", F.when(n > 0, covered).otherwise(F.lit(0))),
@@ -84,12 +99,12 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: list[tuple] = RULES)
     out = docs
     for name, value in measures(F.col(text)):
         out = out.withColumn(name, value)
-    for name in ("n_words", "word_chars", "n_symbols", "n_latin", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"):
+    for name in ("n_words", "word_chars", "n_symbols", "n_latin", "n_lines", "n_dup_lines", "n_stop_words", "n_function_words", "n_repeat_words"):
         out = out.withColumn(name, F.col(name).cast("long"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", base)
     out = out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
-    return out.drop("_text", "_words", "_lines", "_windows", "_sorted")
+    return out.drop("_text", "_words", "_lines", "_low", "_short", "_hashes", "_windows", "_sorted")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -116,8 +131,10 @@ g AS (SELECT doc_id, i, ws[i:i+{WINDOW - 1}] AS g FROM (SELECT doc_id, ws, unnes
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 w AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, {WINDOW})) AS k) GROUP BY doc_id),
 v AS (SELECT m.doc_id, len(ws) AS n_words, word_chars, n_symbols, n_latin, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-    len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stop_words, coalesce(w.n, 0) AS n_repeat_words FROM m LEFT JOIN w ON w.doc_id = m.doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
+    len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stop_words, list_filter(list_transform(ws, lambda x: lower(x)), lambda x: length(x) <= {SHORT}) AS short,
+    coalesce(w.n, 0) AS n_repeat_words FROM m LEFT JOIN w ON w.doc_id = m.doc_id),
+f AS (SELECT *, n_stop_words + CASE WHEN 100 * n_stop_words < 2 * n_words THEN len(list_filter(short, lambda x: len(list_filter(short, lambda y: y = x)) > 1)) // {SHARE} ELSE 0 END AS n_function_words FROM v),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
     n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(tests)} AS kept FROM b"""
 
