@@ -133,10 +133,10 @@ def _agents(changes: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def collections(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """A row for each collection that was initialised or registered in: its last authority, its first event's time. Stored ones keep all but the authority."""
+    """A row for each collection that events initialise or register in: its last authority, its first event's time. Stored ones keep all but the authority."""
     told = _is("RegistryInitialized")
     new = rows.where(_is("RegistryInitialized", NEW)).groupBy("collection").agg(_last("authority", told).alias("authority"), F.max(told).alias("told"), F.min_by("slot", "o").alias("created_slot"), F.min_by("at", "o").alias("created_at"))
-    both = new.join(_kept(stored, ["collection"], "collections"), "collection", "full")
+    both = new.join(_kept(stored, ["collection"], "collections"), "collection", "left")
     old = lambda c, fresh: F.when(F.col("s_there"), F.col(f"s_{c}")).otherwise(fresh).alias(c)
     authority = F.when(F.col("told"), F.col("authority")).otherwise(F.col("s_authority")).alias("authority")
     kind = F.when(F.coalesce("told", F.lit(False)), "BASE").otherwise(F.coalesce("s_registry_type", F.lit("BASE"))).alias("registry_type")
@@ -160,7 +160,7 @@ def pointer_steps(moves: DataFrame) -> DataFrame:
 
 
 def _pointers(rows: DataFrame, agents: DataFrame, stored_agents: DataFrame, stored: DataFrame) -> DataFrame:
-    """The pointer table: stored rows with later sights and signed changes of their counts, and new ones. Moves of assets that aren't registered by then don't count."""
+    """The pointers that moves name: stored rows with later sights and signed changes of their counts, and new ones. Moves of assets that aren't registered by then don't count."""
     held = agents.select("asset", "creator", F.col("_born").alias("born"), F.col("canonical_col").alias("held"))
     moves = checkpoint(rows.where(_is("CollectionPointerSet")).join(held, "asset").where("o >= born").select("asset", "col", "creator", "held", "slot", "tx_index", "tx_signature", "at", "o"))
     seen = pointer_changes(moves)
@@ -168,7 +168,7 @@ def _pointers(rows: DataFrame, agents: DataFrame, stored_agents: DataFrame, stor
     before = stored_agents.select("asset", F.col("canonical_col").alias("was"), F.coalesce("creator", "owner").alias("creator_was"))
     steps = pointer_steps(now.join(before, "asset", "left")).groupBy("col", "creator").agg(F.sum("step").alias("step"))
     key = ["col", "creator"]
-    both = seen.join(steps, key, "full").join(_kept(stored, key, "collection_pointers"), key, "full").where("first_seen_slot IS NOT NULL OR s_there")
+    both = seen.join(steps, key, "full").join(_kept(stored, key, "collection_pointers"), key, "left").where("first_seen_slot IS NOT NULL OR s_there")
     place = lambda p: F.struct(*[F.coalesce(F.col(f"{p}last_seen_{c}").cast("long"), F.lit(-1).cast("long")).alias(c) for c in ("slot", "tx_index")], F.coalesce(f"{p}last_seen_tx_signature", F.lit("")).alias("s"))
     newer = F.col("last_seen_slot").isNotNull() & (F.col("s_there").isNull() | (place("") >= place("s_")))
     first = [F.when(F.col("s_there"), F.col(f"s_{c}")).otherwise(F.col(c)).alias(c) for c in columns_of("collection_pointers") if c.startswith("first")]
@@ -233,23 +233,17 @@ def feedback_changes(rows: DataFrame, agents: DataFrame, stored: dict[str, DataF
     return both.withColumns({"base": F.coalesce("early", "late"), "applied": fits("o_r"), "hits": fits("o_hit")})
 
 
-def _feedbacks(changes: DataFrame, stored: DataFrame) -> DataFrame:
+def _feedbacks(changes: DataFrame) -> DataFrame:
     c = changes.where("known")
     one = {k: F.when(F.col("s_there"), F.col(f"s_{k}")).otherwise(F.col(f"base.{k}")) for k in columns_of("feedbacks") if k in _PLAIN}
     one |= {k: F.coalesce(F.when(F.col("hashes").isNotNull(), F.col(f"hashes.{k}")), one[k]) for k in ("feedback_hash", "running_digest")}
     one["is_revoked"] = F.col("applied") | F.coalesce("s_is_revoked", F.lit(False))
     one |= {k: F.when(F.col("applied"), F.col(f"r.{v}")).otherwise(F.col(f"s_{k}")) for k, v in (("revoked_slot", "slot"), ("revoked_at", "created_at"))}
     one["status"] = F.coalesce("s_status", F.lit("PENDING"))
-    rows = c.select(*FEEDBACK_KEY, *[one[k].alias(k) for k in columns_of("feedbacks") if k not in FEEDBACK_KEY])
-    return _over(stored, rows, FEEDBACK_KEY)
+    return c.select(*FEEDBACK_KEY, *[one[k].alias(k) for k in columns_of("feedbacks") if k not in FEEDBACK_KEY])
 
 
-def _over(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows, and the stored ones that they don't replace."""
-    return stored.join(rows.select(*keys), keys, "left_anti").select(*rows.columns).unionByName(rows)
-
-
-def _revocations(changes: DataFrame, stored: DataFrame) -> DataFrame:
+def _revocations(changes: DataFrame) -> DataFrame:
     """The last revocation of each key, PENDING if its feedback is there, else ORPHANED; a stored one stays unless the incoming one's place is no lower."""
     takes = F.col("o_r").isNotNull() & (F.col("o_t").isNull() | (F.col("o_r") >= F.col("o_t")))
     columns = [c for c in columns_of("revocations") if c not in (*FEEDBACK_KEY, "status")]
@@ -259,11 +253,11 @@ def _revocations(changes: DataFrame, stored: DataFrame) -> DataFrame:
     status = F.when(F.col("takes") & (F.col("o_t").isNull() | (F.col("o_r") > F.col("o_t"))), fresh).otherwise(old)
     rows = changes.withColumn("takes", takes).where("o_r IS NOT NULL OR o_t IS NOT NULL")
     rows = rows.select(*FEEDBACK_KEY, *[F.when(F.col("takes"), F.col(f"r.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns], status.alias("status"))
-    return _over(stored, rows.select(*columns_of("revocations")), FEEDBACK_KEY)
+    return rows.select(*columns_of("revocations"))
 
 
 def _effects(agents: DataFrame, changes: DataFrame, feedbacks: DataFrame) -> DataFrame:
-    """agents with the counts of those whose feedback changed taken again, and the reputation that the last event says; hidden columns go."""
+    """The agents that events or feedback changed: their feedback counted again, and the reputation that the last event says."""
     three, two = REPUTATION[:3], REPUTATION[3:]
     fed, hit = F.col("o_fed"), F.when(F.col("hits"), F.col("o_hit"))
     later = F.coalesce(hit > fed, hit.isNotNull())
@@ -277,12 +271,12 @@ def _effects(agents: DataFrame, changes: DataFrame, feedbacks: DataFrame) -> Dat
         F.max_by(F.struct(*[F.coalesce(F.col(f"early.new_{c}"), F.lit(0)).alias(c) for c in REPUTATION]), F.when(entering, _promotion("early."))).alias("entered"), F.max(entering).alias("has_entered"),
         F.max(last).alias("o_last"), F.max_by(last_at, last).alias("last_at"),
     )
-    touched = checkpoint(by)
+    touched = checkpoint(by.withColumn("touched", F.lit(True)))
     mine = feedbacks.join(touched.select("asset"), "asset", "left_semi")
     counts = feedback_rollup(mine, ["asset"]).withColumnsRenamed({"feedback_count": "n", "raw_avg_score": "avg"})
     # feedback that was there before its agent is taken in at the registration, which then is as old as the last of it
     entered = mine.join(agents.select("asset", "_born"), "asset").where(scalar.guard() < F.col("_born")).groupBy("asset").agg(F.max_by("created_at", _promotion("")).alias("entered_at"))
-    rows = agents.join(touched, "asset", "left").join(counts, "asset", "left").join(entered, "asset", "left")
+    rows = agents.join(touched, "asset", "left").where("_o IS NOT NULL OR touched").join(counts, "asset", "left").join(entered, "asset", "left")
     made = {c: F.when(F.col("has_said"), F.col(f"said.{c}")).when(F.col("has_entered"), F.col(f"entered.{c}")).otherwise(F.col(c)) for c in three}
     made |= {c: F.when(F.col("has_more"), F.col(f"more.{c}")).when(F.col("has_entered"), F.col(f"entered.{c}")).otherwise(F.col(c)) for c in two}
     made |= {"feedback_count": F.coalesce("n", "feedback_count"), "raw_avg_score": F.coalesce("avg", "raw_avg_score")}
@@ -292,7 +286,7 @@ def _effects(agents: DataFrame, changes: DataFrame, feedbacks: DataFrame) -> Dat
 
 
 def _responses(rows: DataFrame, feedbacks: DataFrame, stored: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(responses with their feedback, those to stage): the last event of each full key; PENDING if it is new, and a stored one keeps its status and time."""
+    """(responses with their feedback, those to stage) of the keys that events or staged rows name: the last event of each; PENDING if it is new, and a stored one keeps its status and time."""
     names = {"running_digest": F.col("new_response_digest"), "response_count": F.col("new_response_count"), "created_at": F.col("at"), "response_uri": scalar.blank_to_null(F.col("response_uri"))}
     columns = [c for c in columns_of("orphan_responses") if c not in RESPONSE_KEY]
     own = rows.where(_is("ResponseAppended")).select("asset", F.col("client").alias("client_address"), "feedback_index", "responder", "tx_signature", "o", F.struct(*[names.get(c, F.col(c)).alias(c) for c in columns]).alias("x"))
@@ -302,7 +296,7 @@ def _responses(rows: DataFrame, feedbacks: DataFrame, stored: DataFrame, staged:
     old = stored.select(*RESPONSE_KEY, F.col("status").alias("s_status"), F.col("created_at").alias("s_at"), F.lit(True).alias("s_there"))
     come = last.where("there").join(old, RESPONSE_KEY, "left")
     come = come.withColumns({"status": F.when(F.col("s_there"), F.col("s_status")).otherwise("PENDING"), "created_at": F.when(F.col("s_there"), F.col("s_at")).otherwise(F.col("created_at"))})
-    return _over(stored, come.select(*columns_of("responses")), RESPONSE_KEY), last.where("there IS NULL").select(*columns_of("orphan_responses"))
+    return come.select(*columns_of("responses")), last.where("there IS NULL").select(*columns_of("orphan_responses"))
 
 
 def _validations(rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -314,15 +308,15 @@ def _validations(rows: DataFrame, stored: DataFrame) -> DataFrame:
     place = F.struct("slot", "tx_index", "event_ordinal", "tx_signature")
     new = rows.where(asked | told).groupBy(*VALIDATION_KEY).agg(_last(ask, asked).alias("a"), _last(tell, told).alias("t"), F.max_by(place, "o").alias("p"), F.min_by("at", "o").alias("created_at"))
     s = _kept(stored, VALIDATION_KEY, "validations")
-    both = new.join(s, VALIDATION_KEY, "full")
+    both = new.join(s, VALIDATION_KEY, "left")
     of = lambda part, c: F.when(F.col(part).isNotNull(), F.col(f"{part}.{c}")).otherwise(F.col(f"s_{c}"))
-    made = {c: of("a", c) for c in ("requester", "request_uri", "request_hash")} | {c: of("t", c) for c in ("response", "response_uri", "response_hash", "tag", "updated_at")} | {c: of("p", c) for c in ("slot", "tx_index", "event_ordinal", "tx_signature")}
+    made = {c: of("a", c) for c in ("requester", "request_uri", "request_hash")} | {c: of("t", c) for c in ("response", "response_uri", "response_hash", "tag", "updated_at")} | {c: F.col(f"p.{c}") for c in ("slot", "tx_index", "event_ordinal", "tx_signature")}
     made |= {"status": F.when(F.col("t").isNotNull(), "RESPONDED").otherwise(F.coalesce("s_status", F.lit("PENDING"))), "created_at": F.coalesce("s_created_at", "created_at"), "chain_status": F.coalesce("s_chain_status", F.lit("PENDING"))}
     return both.select(*VALIDATION_KEY, *[made[c].alias(c) for c in columns_of("validations") if c not in VALIDATION_KEY])
 
 
-def _metadata(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """What sets and deletions leave. Keys of documents (`_uri:`) aren't set by events; zero characters go; the id is the asset and the key's hash."""
+def _metadata(rows: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what sets and deletions leave of the keys that they name, those keys). Keys of documents (`_uri:`) aren't set by events; zero characters go; the id is the asset and the key's hash."""
     key = ["asset", "key"]
     plain = ["slot", "tx_index", "event_ordinal", "tx_signature"]
     value = lambda text, at: F.struct(text.alias("value"), *plain, at.alias("updated_at"), F.lit(None).cast("string").alias("status"))
@@ -334,8 +328,7 @@ def _metadata(rows: DataFrame, stored: DataFrame) -> DataFrame:
     state = metadata_state(ops.unionByName(old), key, F.col("o"))
     hashed = scalar.key_hash(F.col("key"))
     made = {"id": F.concat_ws(":", "asset", hashed), "key_hash": hashed, "status": F.coalesce("value.status", F.lit("PENDING"))} | {c: F.col(f"value.{c}") for c in ("value", *plain, "updated_at")}
-    fresh = state.select(*[made.get(c, F.col(c)).alias(c) for c in columns_of("metadata")])
-    return stored.join(names, key, "left_anti").select(*fresh.columns).unionByName(fresh)
+    return state.select(*[made.get(c, F.col(c)).alias(c) for c in columns_of("metadata")]), names
 
 
 def stored_table(raw: DataFrame, name: str, given: DataFrame | None) -> DataFrame:
@@ -346,29 +339,51 @@ def stored_table(raw: DataFrame, name: str, given: DataFrame | None) -> DataFram
     return given.select(*[(F.col(c) if c in given.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def fold(raw: DataFrame, snapshot: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables, dead letters): raw events of all kinds folded into the TABLES, on top of a snapshot of them.
+#: The columns that name a row of each table.
+KEYS = {
+    "agents": ["asset"], "collections": ["collection"], "collection_pointers": ["col", "creator"], "feedbacks": FEEDBACK_KEY, "orphan_feedbacks": FEEDBACK_KEY, "revocations": FEEDBACK_KEY,
+    "responses": RESPONSE_KEY, "orphan_responses": RESPONSE_KEY, "validations": VALIDATION_KEY, "metadata": ["asset", "key"],
+}
 
-    Staged rows of the snapshot count again; once their agent or feedback is
-    there they leave it. The numbers of touched agents and feedback keys are
-    written to the shared folder, so that no raw event is read for two tables.
+
+def changes(raw: DataFrame, stored: dict[str, DataFrame]) -> tuple[dict[str, tuple[DataFrame, DataFrame]], DataFrame]:
+    """({table: (new rows, keys that the table's rows of go before)}, dead letters): what raw events of all kinds change in the TABLES, given whole.
+
+    Staged rows count again; once their agent or feedback is there they go. The
+    numbers of touched agents and feedback keys are written to the shared
+    folder, so that no raw event is read for two tables.
     """
-    kept = {name: stored_table(raw, name, (snapshot or {}).get(name)) for name in TABLES}
     read = events.wide(raw)
     rows = read.where("ok")
-    changes = checkpoint(asset_changes(rows))
-    agents = _agents(changes, kept["agents"])
-    tables = {"collections": collections(rows, kept["collections"]), "collection_pointers": _pointers(rows, agents, kept["agents"], kept["collection_pointers"])}
-    fed = checkpoint(feedback_changes(rows, agents, kept))
-    tables["feedbacks"] = _feedbacks(fed, kept["feedbacks"])
-    tables["orphan_feedbacks"] = fed.where("NOT known AND base IS NOT NULL").select(*FEEDBACK_KEY, "base.*").select(*columns_of("orphan_feedbacks"))
-    tables["revocations"] = _revocations(fed, kept["revocations"])
-    tables["responses"], tables["orphan_responses"] = _responses(rows, tables["feedbacks"], kept["responses"], kept["orphan_responses"])
-    tables["validations"] = _validations(rows, kept["validations"])
-    tables["metadata"] = _metadata(rows, kept["metadata"])
-    tables["agents"] = _effects(agents, fed, tables["feedbacks"])
+    moved = checkpoint(asset_changes(rows))
+    agents = _agents(moved, stored["agents"])
+    made = {"collections": collections(rows, stored["collections"]), "collection_pointers": _pointers(rows, agents, stored["agents"], stored["collection_pointers"])}
+    fed = checkpoint(feedback_changes(rows, agents, stored))
+    made["feedbacks"] = _feedbacks(fed)
+    made["orphan_feedbacks"] = fed.where("NOT known AND base IS NOT NULL").select(*FEEDBACK_KEY, "base.*").select(*columns_of("orphan_feedbacks"))
+    made["revocations"] = _revocations(fed)
+    feedbacks = over(stored["feedbacks"], made["feedbacks"], made["feedbacks"], FEEDBACK_KEY)
+    made["responses"], made["orphan_responses"] = _responses(rows, feedbacks, stored["responses"], stored["orphan_responses"])
+    made["validations"] = _validations(rows, stored["validations"])
+    made["metadata"], names = _metadata(rows, stored["metadata"])
+    made["agents"] = _effects(agents, fed, feedbacks)
+    # all that was staged is among the rows that were decided again
+    gone = {"metadata": names, "orphan_feedbacks": stored["orphan_feedbacks"], "orphan_responses": stored["orphan_responses"]}
     dead = read.where(~F.col("ok")).select("name", "slot", "tx_index", "event_ordinal", "tx_signature", F.lit("a needed field is missing or cannot be read").alias("reason"))
-    return tables, dead
+    return {name: (made[name], gone.get(name, made[name]).select(*KEYS[name])) for name in TABLES}, dead
+
+
+def over(stored: DataFrame, rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, and the stored ones whose keys aren't gone."""
+    return stored.join(gone.select(*keys), keys, "left_anti").select(*rows.columns).unionByName(rows)
+
+
+def fold(raw: DataFrame, snapshot: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, dead letters): raw events of all kinds folded into the TABLES, on top of a snapshot of them."""
+    kept = {name: stored_table(raw, name, (snapshot or {}).get(name)) for name in TABLES}
+    made, dead = changes(raw, kept)
+    whole = ("orphan_feedbacks", "orphan_responses")  # of which nothing stored stays undecided
+    return {name: rows if name in whole else over(kept[name], rows, gone, KEYS[name]) for name, (rows, gone) in made.items()}, dead
 
 
 #: Tables that other ones stand for in sources.schemas, and columns that have other names there.

@@ -157,15 +157,12 @@ def replay(log):
     return T
 
 
-KEYS = {"agents": ["asset"], "collections": ["collection"], "collection_pointers": ["col", "creator"], "metadata": ["asset", "key"], "validations": projections.VALIDATION_KEY, "responses": projections.RESPONSE_KEY, "orphan_responses": projections.RESPONSE_KEY}
-
-
 def raw(spark, log):
     return spark.createDataFrame([(k, json.dumps(d), s, slot, at(slot), tx, o) for k, d, slot, tx, o, s in log], tables.EVENTS)
 
 
 def rows_of(table, name):
-    key = KEYS.get(name, projections.FEEDBACK_KEY)
+    key = projections.KEYS[name]
     plain = lambda v: bytes(v) if isinstance(v, bytearray) else int(v) if type(v).__name__ == "Decimal" else v.astimezone(Z) if isinstance(v, datetime.datetime) else v
     found = {}
     for r in table.collect():
