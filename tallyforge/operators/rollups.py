@@ -16,6 +16,33 @@ def feedback_rollup(feedbacks: DataFrame, by: list[str]) -> DataFrame:
     return feedbacks.groupBy(*by).agg(F.count_if(live).alias("feedback_count"), F.coalesce(F.round(F.avg(F.when(live, F.col("score")))), F.lit(0)).cast("long").alias("raw_avg_score"))
 
 
+#: Totals from which counts and averages follow without reading the feedback again.
+TOTALS = "asset string, feedback_count long, scored long, score_sum long"
+
+
+def total_steps(before: DataFrame, after: DataFrame) -> DataFrame:
+    """asset, and the signed changes of its totals, from the old and the new rows of the feedback that changed: what was inserted, revoked, orphaned or recovered."""
+    live = (~F.col("is_revoked") & active()).cast("long")
+    scored = F.when(F.col("score").isNotNull(), live).otherwise(0)
+    part = lambda df, sign: df.select("asset", (sign * live).alias("n"), (sign * scored).alias("scored"), (sign * scored * F.coalesce("score", F.lit(0))).alias("total"))
+    steps = part(before, -1).unionByName(part(after, 1)).groupBy("asset").agg(F.sum("n").alias("n"), F.sum("scored").alias("scored"), F.sum("total").alias("total"))
+    return steps.where("n <> 0 OR scored <> 0 OR total <> 0")
+
+
+def add_totals(totals: DataFrame, steps: DataFrame) -> DataFrame:
+    """The TOTALS of the assets that steps change."""
+    zero = F.lit(0).cast("long")
+    old = totals.withColumnsRenamed({"scored": "_scored"})
+    rows = steps.join(old, "asset", "left")
+    return rows.select("asset", (F.coalesce("feedback_count", zero) + F.col("n")).alias("feedback_count"), (F.coalesce("_scored", zero) + F.col("scored")).alias("scored"), (F.coalesce("score_sum", zero) + F.col("total")).alias("score_sum"))
+
+
+def from_totals(totals: DataFrame) -> DataFrame:
+    """asset, feedback_count, raw_avg_score (0 without scores) of TOTALS."""
+    mean = F.when(F.col("scored") > 0, F.round(F.col("score_sum") / F.col("scored"))).otherwise(0)
+    return totals.select("asset", "feedback_count", mean.cast("long").alias("raw_avg_score"))
+
+
 def reputation(agents: DataFrame, feedbacks: DataFrame, key: str = "asset") -> DataFrame:
     """agents with score count, rounded average, positive and negative counts; null average without scores."""
     good = feedbacks.where(active() & ~F.col("is_revoked") & F.col("score").isNotNull())
