@@ -78,6 +78,22 @@ class EliasFano:
         w = np.searchsorted(zeros, i, side="right") - 1
         return w * 64 + self._inside(~self.words[w], i - zeros[w])
 
+    def _after(self, p: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the next one (flip: zero) behind p; -1 if p's word holds none."""
+        word = self.words[p >> 6]
+        rest = ((~word if flip else word) >> (p & 63).astype(np.uint64)) >> _U(1)
+        lowest = np.bitwise_count((rest & (~rest + _U(1))) - _U(1))
+        return np.where(rest != 0, p + 1 + lowest, -1)
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places i and i + 1."""
+        one = self.select1(i)
+        two = self._after(one, False)
+        far = np.flatnonzero(two < 0)
+        two[far] = self.select1(i[far] + 1)
+        value = lambda at, k: ((at - k).astype(np.uint64) << _U(self.width) | self._lows(k)).astype(np.int64)
+        return value(one, i), value(two, i + 1)
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at the places i."""
         return ((self.select1(i) - i).astype(np.uint64) << _U(self.width) | self._lows(i)).astype(np.int64)
@@ -89,8 +105,12 @@ class EliasFano:
         high = value[todo] >> self.width
         low = value[todo].astype(np.uint64) & self.mask
         # the values with this high part, as far as they lie in the range
-        lo = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0) - high
-        hi = np.minimum(self.select0(high) - high, end[todo])
+        zero = self.select0(np.maximum(high - 1, 0))
+        lo = np.where(high > 0, zero + 1, 0) - high
+        after = self._after(zero, True)
+        far = np.flatnonzero((after < 0) | (high == 0))
+        after[far] = self.select0(high[far])
+        hi = np.minimum(after - high, end[todo])
         lo = np.maximum(lo, begin[todo])
         last = hi.copy()
         live = np.flatnonzero(lo < hi)

@@ -138,8 +138,8 @@ class Level:
             back, heads = np.cumsum(fresh) - 1, context[fresh]
             there = heads < pointer.n - 1
             heads = np.where(there, heads, 0)
-            begin = pointer.get(heads)
-            end = np.where(there, pointer.get(heads + 1), begin)[back]
+            begin, end = pointer.pair(heads)
+            end = np.where(there, end, begin)[back]
             begin, inside = begin[back], there[back]
             at = word.find(np.where(inside, keys[a:b] - base * self.size, 0), begin, end)
             hit = at >= 0
