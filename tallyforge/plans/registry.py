@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hashes, scalar
 from ..operators import chain, events, fold, ids, lifecycle, paging, projections, proofs, reconcile, registrations, rollups, tree
 from ..sources.tables import load
-from . import entities
+from . import entities, folding
 
 STATUS = {"P": "PENDING", "F": "FINALIZED", "O": "ORPHANED"}
 _STATUS_SQL = "CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'F' THEN 'FINALIZED' ELSE 'ORPHANED' END"
@@ -375,8 +375,8 @@ def fetch_urls(spark, d):
 
 
 def queries() -> dict:
-    return QUERIES | entities.QUERIES
+    return QUERIES | entities.QUERIES | folding.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | entities.SQL
+    return SQL | entities.SQL | folding.SQL
