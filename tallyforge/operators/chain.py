@@ -47,7 +47,7 @@ def leaves(rows: DataFrame, chain: str) -> DataFrame:
     return rows.withColumn("leaf", hashes.keccak256(data))
 
 
-def digests(rows: DataFrame, by: list[str], position: str, chain: str = "feedback", ties: list[Column] | None = None, seeds: DataFrame | None = None, hash: Hash = KECCAK) -> DataFrame:
+def digests(rows: DataFrame, by: list[str], position: str, chain: str = "feedback", ties: list[Column] | None = None, seeds: DataFrame | None = None, hash: Hash = KECCAK, checkpoints: DataFrame | None = None) -> DataFrame:
     """rows with `number` (from 1 on in its chain), `computed` (the digest that follows from the stored ones before) and `bad`.
 
     Order is by position, then by `ties` (canonical, nulls lowest, if not given,
@@ -56,8 +56,29 @@ def digests(rows: DataFrame, by: list[str], position: str, chain: str = "feedbac
     row whose predecessor has no stored digest is folded from the last stored
     one on, in step with all other such runs of its task, with one digest a run
     held. `seeds` (by, count, digest) says where chains begin that aren't
-    verified from their start. Null leaves make null digests.
+    verified from their start. `checkpoints` (by, count, digest) stand for the
+    stored digests that rows lack: a chain without any is cut at them into pieces
+    that are folded apart, and held against each one. Null leaves make null
+    digests.
     """
+    rows = _linked(rows, by, position, ties, seeds, checkpoints)
+    alone = F.col("_step") == 1
+    given = F.col("_given").isNotNull()
+    direct = rows.where(alone & given).withColumn("computed", hash.column(hashes.link(chain, F.col("_before"), F.col("leaf"))))
+    runs = rows.where(~alone | ~given).repartition(*by, "_run").sortWithinPartitions(*by, "_run", "_step")
+    got = direct.unionByName(runs.mapInArrow(_folded(by, chain, hash.batch), rows.withColumn("computed", F.lit(None).cast("binary")).schema))
+    bad = given & ~F.col("_given").eqNullSafe(F.col("computed"))
+    return got.withColumn("bad", bad).drop("_step", "_run", "_before", "_given")
+
+
+def pieces(rows: DataFrame, by: list[str], position: str, **options) -> int:
+    """How many pieces digests() folds apart, each of which may be another task's."""
+    made = {"ties": None, "seeds": None, "checkpoints": None} | options
+    return _linked(rows, by, position, **made).select(*by, "_run").distinct().count()
+
+
+def _linked(rows: DataFrame, by: list[str], position: str, ties: list[Column] | None, seeds: DataFrame | None, checkpoints: DataFrame | None) -> DataFrame:
+    """rows with number, _given (the digest stored for them), _before (the one given last before them), _run (its number), _step (how far behind it)."""
     order = [F.col(position), *(ties if ties is not None else [guard()] if {"slot", "tx_index", "event_ordinal", "tx_signature"} <= set(rows.columns) else [])]
     if seeds is not None:
         rows = rows.join(seeds.select(*by, F.col("count").alias("_seed_n"), F.col("digest").alias("_seed")), by, "left")
@@ -66,48 +87,42 @@ def digests(rows: DataFrame, by: list[str], position: str, chain: str = "feedbac
     rows = rows.withColumn("_chunk", F.floor(F.col(position) / CHUNK))
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     rows = rows.withColumn("_k", F.row_number().over(inside).cast("long"))
-    stored = F.when(F.col("digest").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("digest").alias("d")))
-    rows = rows.withColumn("_last", F.last(stored, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = rows.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"), F.max_by(stored, F.when(F.col("digest").isNotNull(), F.col("_k"))).alias("_end"))
+    n = F.coalesce("_seed_n", F.lit(0).cast("long"))
     across = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    if checkpoints is None:
+        rows = rows.withColumn("_given", F.col("digest"))
+    else:
+        sizes = rows.groupBy(*by, "_chunk").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
+        marks = checkpoints.groupBy(*by, F.col("count").alias("_c")).agg(F.min("digest").alias("_mark"))
+        rows = rows.join(sizes, [*by, "_chunk"]).withColumn("_c", n + F.col("_o") + F.col("_k")).join(marks, [*by, "_c"], "left").withColumn("_given", F.coalesce("digest", "_mark")).drop("_o", "_c", "_mark")
+    stored = F.when(F.col("_given").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("_given").alias("d")))
+    rows = rows.withColumn("_last", F.last(stored, ignorenulls=True).over(Window.partitionBy(*by, "_chunk").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)))
+    ends = rows.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"), F.max_by(stored, F.when(F.col("_given").isNotNull(), F.col("_k"))).alias("_end"))
     ends = ends.withColumn("_offset", F.coalesce(F.sum("_n").over(across), F.lit(0)))
     ended = F.when(F.col("_end").isNotNull(), F.struct((F.col("_offset") + F.col("_end.k")).alias("k"), F.col("_end.d").alias("d")))
     ends = ends.withColumn("_from", F.last(ended, ignorenulls=True).over(across)).select(*by, "_chunk", "_offset", "_from")
     rows = rows.join(ends, [*by, "_chunk"])
-    n = F.coalesce("_seed_n", F.lit(0).cast("long"))
     start = F.coalesce(F.col("_last.k") + F.col("_offset"), F.col("_from.k"), F.lit(0).cast("long"))
     rows = rows.withColumns({"_step": F.col("_offset") + F.col("_k") - start, "_run": start, "number": n + F.col("_offset") + F.col("_k")})
     rows = rows.withColumn("_before", F.coalesce("_last.d", "_from.d", "_seed", F.lit(GENESIS)))
-    rows = rows.drop("_chunk", "_k", "_last", "_offset", "_from", "_seed", "_seed_n")
-    alone = F.col("_step") == 1
-    direct = rows.where(alone & F.col("digest").isNotNull()).withColumn("computed", hash.column(hashes.link(chain, F.col("_before"), F.col("leaf"))))
-    runs = rows.where(~alone | F.col("digest").isNull()).repartition(*by, "_run").sortWithinPartitions("_step")
-    got = direct.unionByName(runs.mapInArrow(_folded(by, chain, hash.batch), rows.withColumn("computed", F.lit(None).cast("binary")).schema))
-    bad = F.col("digest").isNotNull() & ~F.col("digest").eqNullSafe(F.col("computed"))
-    return got.withColumn("bad", bad).drop("_step", "_run", "_before")
+    return rows.drop("_chunk", "_k", "_last", "_offset", "_from", "_seed", "_seed_n")
 
 
 def _folded(by: list[str], chain: str, batch_hash: Callable):
     domain = hashes.LINK_DOMAIN[chain].encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, bytes | None] = {}
+        """Rows come run by run, each in order of its steps: of the task one digest is held."""
+        held: tuple[tuple, bytes | None] | None = None
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in (*by, "_run")), strict=True))
             step, before, leaf = (batch.column(c).to_pylist() for c in ("_step", "_before", "leaf"))
-            out: list[bytes | None] = [None] * len(keys)
-            at = 0
-            while at < len(keys):  # rows of one step belong to different runs
-                end = at
-                while end < len(keys) and step[end] == step[at]:
-                    end += 1
-                from_ = [held.get(keys[i]) if step[i] > 1 else before[i] for i in range(at, end)]
-                full = [i for i, f in zip(range(at, end), from_, strict=True) if f is not None and leaf[i] is not None]
-                for i, d in zip(full, batch_hash([bytes(from_[i - at]) + domain + bytes(leaf[i]) for i in full]), strict=True):
-                    out[i] = d
-                for i in range(at, end):
-                    held[keys[i]] = out[i]
-                at = end
+            out: list[bytes | None] = []
+            for key, k, b, x in zip(keys, step, before, leaf, strict=True):
+                from_ = b if k == 1 else held[1] if held is not None and held[0] == key else None
+                digest = batch_hash([bytes(from_) + domain + bytes(x)])[0] if from_ is not None and x is not None else None
+                out.append(digest)
+                held = key, digest
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "computed"])
 
     return run

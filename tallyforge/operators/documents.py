@@ -11,15 +11,46 @@ from pyspark.sql import types as T
 TEXT, PACKED, EXPANDED, PLAIN = 1000, 10_240, 1_048_576, 256
 
 
+#: Elements whose content goes with them.
+HIDDEN = "annotation-xml audio colgroup desc foreignobject head iframe math mi mn mo ms mtext noembed noframes noscript plaintext script style svg template thead title video xmp".split(" ")
+#: The rest of a tag behind its name: quotes hold values only behind a sign of equality, and > in them doesn't end it.
+_REST = r"""(?:[^>=]|=\s*+"[^"]*+(?:"|$)|=\s*+'[^']*+(?:'|$)|=)*+(?:>|$)"""
+#: A comment, a declaration or such, a tag; what lacks its end goes up to the text's end.
+_MARKUP = rf"<!--(?:-?>|[\s\S]*?(?:--!?>|$))|<(?:[!?]|/[^A-Za-z>])[^>]*+(?:>|$)|</>|</?[A-Za-z]{_REST}"
+_OUTER = r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$"
+
+
+def without_markup(text: Column) -> Column:
+    """The text of an HTML fragment, as HTML: tags, comments and HIDDEN elements with what they hold go, and what is left of & < > and hard blanks is written as entities.
+
+    A < that begins no tag is text. Text without any < is left as it is. Of
+    entities those for & < > and hard blanks stay, quotes and numbers are read;
+    other names stay as they are.
+    """
+    hidden = rf"(?i)<({'|'.join(HIDDEN)})(?=[\s/>]){_REST}[\s\S]*?(?:</\1(?=[\s/>])[^>]*+(?:>|$)|$)"
+    # comments first, as tags in them are none
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"<!--(?:-?>|[\s\S]*?(?:--!?>|$))", ""), hidden, ""), _MARKUP, "")
+    number = lambda x: F.coalesce(F.conv(F.nullif(F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(x, r"^&#([0-9]{1,7});", 1), F.lit(""))).cast("long")
+    good = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    read = lambda x: F.when(good(number(x)), F.concat(letter(number(x)), F.regexp_replace(x, "^[^;]*;", ""))).otherwise(x)
+    decoded = F.when(F.contains(bare, F.lit("&#")), F.array_join(F.transform(F.split(bare, "(?=&#)"), read), "")).otherwise(bare)
+    decoded = F.regexp_replace(F.regexp_replace(decoded, "&quot;", '"'), "&apos;", "'")
+    escaped = F.regexp_replace(decoded, "&(?!(?:[a-zA-Z][a-zA-Z0-9]*;))", "&amp;")
+    for plain, name in (("<", "&lt;"), (">", "&gt;"), ("\u00a0", "&nbsp;")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(name))
+    return F.when(F.contains(text, F.lit("<")), escaped).otherwise(text)
+
+
 def clean_text(text: Column) -> Column:
-    """The first TEXT characters without tags (by a pattern), control characters and outer blanks; what is empty then is null."""
-    bare = F.regexp_replace(F.substring(text, 1, TEXT), r"<[^>]*>", "")
-    return F.nullif(F.trim(F.regexp_replace(bare, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")), F.lit(""))
+    """The first TEXT characters without markup, then without outer blanks, then without control characters but tab and line ends; what is empty then is null."""
+    bare = F.regexp_replace(without_markup(F.substring(text, 1, TEXT)), _OUTER, "")
+    return F.nullif(F.regexp_replace(bare, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit(""))
 
 
 def clean_url(url: Column) -> Column:
-    """An http or https address with a host, or an ipfs or ar one whose first part is a plain id; without tags (by a pattern) and outer blanks, of TEXT characters. Others are null."""
-    plain = F.trim(F.regexp_replace(F.substring(url, 1, TEXT), r"<[^>]*>", ""))
+    """An http or https address with a host, or an ipfs or ar one whose first part is a plain id; without markup and outer blanks, of TEXT characters. Others are null."""
+    plain = F.regexp_replace(without_markup(F.substring(url, 1, TEXT)), _OUTER, "")
     web = plain.rlike(r"^(?i)https?://[^\s/?#<>\"]+[^\s<>\"]*$")
     return F.when(web | plain.rlike(r"^ipfs://[a-zA-Z0-9]+(/[^<>]*)?$") | plain.rlike(r"^ar://[a-zA-Z0-9_-]+(/[^<>]*)?$"), plain)
 

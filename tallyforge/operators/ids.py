@@ -8,12 +8,35 @@ from pyspark.sql import functions as F
 from ..sources.tables import checkpoint
 
 
+def _numbered(rows: DataFrame, scope: list[str], order: list[Column], held: Column, new: Column, number: str, most: str) -> DataFrame:
+    """rows with the number of each new row within its scope, from 1 in order, and the highest id (`held`) of its scope, 0 without one.
+
+    Rows are sorted in ranges of scope and order, so that a large scope lies in
+    several of them. A range's rows are numbered apart. The scopes that go over
+    more than one range, of which each range has two at most, are summed up over
+    their ranges; those few sums are broadcast.
+    """
+    ranged = checkpoint(rows.withColumns({"_held": held, "_new": new}).repartitionByRange(*scope, *order).withColumn("_p", F.spark_partition_id()))
+    parts = ranged.groupBy("_p", *scope).agg(F.count_if("_new").alias("_n"), F.max("_held").alias("_m"))
+    whole = Window.partitionBy(*scope)
+    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    over = parts.select("_p", *scope, F.sum("_n").over(before).alias("_before"), F.max("_m").over(whole).alias("_most"), F.count("*").over(whole).alias("_parts"))
+    over = over.where("_parts > 1").select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_scope_{c}") for c in scope], "_before", "_most")
+    same = F.col("_p") == F.col("_q")
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"_scope_{c}"))
+    near = Window.partitionBy("_p", *scope)
+    placed = ranged.withColumns({"_k": F.row_number().over(Window.partitionBy("_p", *scope, "_new").orderBy(*order)), "_own": F.max("_held").over(near)})
+    got = placed.join(F.broadcast(over), same, "left")
+    got = got.withColumns({number: F.when(F.col("_new"), F.col("_k") + F.coalesce("_before", F.lit(0))), most: F.coalesce("_most", "_own", F.lit(0))})
+    return got.drop("_held", "_new", "_p", "_q", "_k", "_own", "_before", "_most", *[f"_scope_{c}" for c in scope])
+
+
 def assign_ids(rows: DataFrame, scope: list[str], order: list[Column], column: str, eligible: Column | None = None) -> DataFrame:
-    """Rows that lack an id get the scope's largest id and their rank among those; ids that exist stay."""
+    """Rows that lack an id get the scope's largest id and their rank among those; ids that exist stay. No task holds a whole scope."""
     new = F.col(column).isNull() & (F.coalesce(eligible, F.lit(True)) if eligible is not None else F.lit(True))
-    most = F.coalesce(F.max(column).over(Window.partitionBy(*scope)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(*scope, new).orderBy(*order))
-    return rows.withColumn(column, F.when(new, most + rank).otherwise(F.col(column)))
+    got = _numbered(rows, scope, order, F.col(column), new, "_number", "_top")
+    return got.withColumn(column, F.coalesce(F.col("_top") + F.col("_number"), F.col(column))).select(*rows.columns)
 
 
 def number_globally(rows: DataFrame, order: list[str], column: str) -> DataFrame:

@@ -169,16 +169,10 @@ def tree_forest(spark, d):
     return tree.forest(_nodes(spark, d)).withColumn("path", F.concat_ws(":", F.col("path").cast("array<string>")))
 
 
-@query(f"WITH RECURSIVE {_TREE}, t AS (SELECT node AS root, node, 0 AS depth FROM n WHERE node % 5 = 0 UNION ALL SELECT t.root, n.parent, depth + 1 FROM t JOIN n ON n.node = t.node WHERE n.parent IS NOT NULL AND depth < 32) SELECT * FROM t")
-def tree_lineage(spark, d):
-    nodes = _nodes(spark, d)
-    return tree.lineage(nodes.where("node % 5 = 0").select("node"), nodes).drop("path")
-
-
 @query(f"WITH RECURSIVE {_TREE}, t AS (SELECT node AS root, node, 0 AS depth FROM n UNION ALL SELECT t.root, n.parent, depth + 1 FROM t JOIN n ON n.node = t.node WHERE n.parent IS NOT NULL AND depth < 32) SELECT * FROM t")
 def tree_lineage_all(spark, d):
     nodes = _nodes(spark, d)
-    return tree.lineage(nodes.select("node"), nodes).drop("path")
+    return tree.lineage(nodes.select("node"), nodes)
 
 
 @query("SELECT user_id, event_id, missing FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id - 1 AS missing FROM events) WHERE missing > 0")
