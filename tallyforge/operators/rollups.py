@@ -51,16 +51,20 @@ def reputation(agents: DataFrame, feedbacks: DataFrame, key: str = "asset") -> D
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "positive", "negative")})
 
 
-def leaderboard(agents: DataFrame, first: int, least_tier: int = 2) -> DataFrame:
-    """The agents of a tier and up, by sort_key and then asset."""
-    return agents.where(F.col("trust_tier") >= least_tier).orderBy(F.desc("sort_key"), "asset").limit(first)
-
-
-def leaderboard_reputation(agents: DataFrame, feedbacks: DataFrame, first: int, least_tier: int = 2) -> DataFrame:
-    """The reputation of the first agents of the leaderboard, 1000 at most: those few rows come to the driver, and their keys go into the scan of the feedback."""
-    board = leaderboard(agents, min(first, 1000), least_tier)
-    rows = board.collect()
-    return reputation(agents.sparkSession.createDataFrame(rows, board.schema), feedbacks.where(F.col("asset").isin([r["asset"] for r in rows])))
+def leaderboard(agents: DataFrame, first: int, least_tier: int = 2, collection: str | None = None, include_orphaned: bool = False) -> DataFrame:
+    """The agents of a tier and up, by sort_key and then asset: of one collection if it is given, and without orphaned ones, where agents have a status."""
+    rows = agents.where(F.col("trust_tier") >= least_tier)
+    if collection is not None:
+        rows = rows.where(F.col("collection") == collection)
+    if "status" in agents.columns and not include_orphaned:
+        rows = rows.where(F.coalesce(active(), F.lit(True)))
+    return rows.orderBy(F.desc("sort_key"), "asset").limit(first)
+
+
+def leaderboard_reputation(agents: DataFrame, feedbacks: DataFrame, first: int, least_tier: int = 2, **which) -> DataFrame:
+    """The reputation of the first agents of the leaderboard, 1000 at most: their keys are broadcast to the feedback, of which nothing else is summed up."""
+    board = leaderboard(agents, min(first, 1000), least_tier, **which)
+    return reputation(board, feedbacks.join(F.broadcast(board.select("asset")), "asset", "left_semi"))
 
 
 def totals(**counts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:

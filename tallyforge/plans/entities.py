@@ -160,10 +160,20 @@ def list_revocations(spark, d):
     return entities.list_rows(table(spark, d, "rv"), "revocation", descending=False).select("id")
 
 
-@query("SELECT asset, key, value FROM md WHERE status <> 'ORPHANED' AND key = '_uri:name' ORDER BY asset, key, value LIMIT 1000000")
+@query("SELECT asset, key, max(value) AS value FROM md WHERE key <> '_uri:name' AND status <> 'ORPHANED' GROUP BY 1, 2 ORDER BY asset, key LIMIT 250 OFFSET 7")
 def list_metadata(spark, d):
-    rows = entities.where(table(spark, d, "md"), "metadata", key="_uri:name")
-    return rows.orderBy(*[F.asc(c) for c, _ in entities.list_order("metadata", descending=False)], "value").select("asset", "key", "value")
+    rows = table(spark, d, "md").where("status <> 'ORPHANED'").groupBy("asset", "key").agg(F.max("value").alias("value"), F.lit("PENDING").alias("status"))
+    return entities.list_rows(rows.where("key <> '_uri:name'"), "metadata", descending=False, first=250, skip=7).select("asset", "key", "value")
+
+
+@query("SELECT asset, sort_key FROM ag WHERE trust_tier >= 2 AND collection = 'n3' AND status <> 'ORPHANED' ORDER BY sort_key DESC, asset LIMIT 20")
+def leaderboard_of_collection(spark, d):
+    return rollups.leaderboard(table(spark, d, "ag"), 20, collection="n3").select("asset", "sort_key")
+
+
+@query("SELECT asset, sort_key FROM ag WHERE trust_tier >= 3 ORDER BY sort_key DESC, asset LIMIT 100")
+def leaderboard_with_orphans(spark, d):
+    return rollups.leaderboard(table(spark, d, "ag"), 100, 3, include_orphaned=True).select("asset", "sort_key")
 
 
 @query("SELECT col, creator FROM cp WHERE collection_id >= 3 AND first_seen_slot <= 20 ORDER BY first_seen_at DESC, col, creator LIMIT 15")
@@ -588,6 +598,63 @@ def integrity_of_feedback(spark, d):
     return reconcile.integrity(actions, {k: have for k in reconcile.ACTIONS}).where("kind = 'feedback'")
 
 
+@query("""WITH f AS (SELECT DISTINCT asset, client_address, feedback_index, seal_hash FROM fb), t AS (SELECT * FROM fb WHERE score IS NOT NULL),
+p AS (SELECT *, concat('r', feedback_index % 5) AS r FROM fb WHERE feedback_index % 2 = 0),
+w AS (SELECT r, asset, feedback_index, seal_hash, max(concat('w', id)) AS want, (feedback_index % 3 = 0) AS paid, client_address FROM p GROUP BY ALL)
+SELECT 'agent' AS kind, count(*) AS expected, count(*) FILTER (trust_tier > 0) AS indexed, count(*) FILTER (trust_tier = 0) AS missing, count(*) FILTER (trust_tier = 1) AS mismatched FROM ag
+UNION ALL SELECT 'feedback', count(*), (SELECT count(*) FROM t), count(*) - (SELECT count(*) FROM t), (SELECT count(*) FROM t WHERE score < 10) FROM f
+UNION ALL SELECT 'response', count(*), count(*) FILTER (feedback_index % 8 <> 0), count(*) FILTER (feedback_index % 8 = 0), 0 FROM w
+UNION ALL SELECT 'revoke', count(*), count(*) FILTER (feedback_index % 4 <> 0), count(*) FILTER (feedback_index % 4 = 0), count(*) FILTER (feedback_index % 4 = 1) FROM fb WHERE is_revoked""")
+def integrity_of_all_kinds(spark, d):
+    """Agents, feedback, revocations, and responses whose client comes from a payload before them or, without one, from the only feedback that they can mean."""
+    fb, none = table(spark, d, "fb"), F.lit(None).cast("string")
+    line = lambda df, phase, wallet, client, at, tx="id": df.select(at.cast("long").alias("line"), F.lit(phase).alias("phase"), "asset", wallet.alias("wallet"), client.alias("client"), F.col("feedback_index").cast("string").alias("feedback_index"), "seal_hash", F.col(tx).alias("tx_signature"))
+    index = F.col("feedback_index")
+    told = fb.where(index % 2 == 0).withColumns({"r": F.concat(F.lit("r"), index % 5), "w": F.concat(F.lit("w"), F.col("id"))})
+    agents = table(spark, d, "ag").select("asset", F.lit("0").alias("feedback_index"), none.alias("seal_hash"), F.concat(F.lit("g"), "asset").alias("id"))
+    log = line(fb, "feedback", F.col("client_address"), none, index)
+    for more in (
+        line(told.where(index % 3 == 0), "response_payload", F.col("r"), F.col("client_address"), index * 2), line(told, "response", F.col("r"), none, index * 2 + 1, "w"),
+        line(fb.where("is_revoked"), "revoke", F.col("client_address"), none, index), line(agents, "agent", none, none, F.lit(0)),
+    ):
+        log = log.unionByName(more)
+    actions, _ = reconcile.expected_actions(log)
+    have = lambda df, tx: df.select("asset", F.col("client_address").alias("client"), F.col("feedback_index").cast("string").alias("feedback_index"), "seal_hash", tx.alias("tx_signature"))
+    other = lambda when, tx="id": F.when(when, "other").otherwise(F.col(tx))
+    tables = {
+        "agent": table(spark, d, "ag").where("trust_tier > 0").select("asset", F.when(F.col("trust_tier") == 1, "other").otherwise(F.concat(F.lit("g"), "asset")).alias("tx_signature")),
+        "feedback": have(fb.where("score IS NOT NULL"), other(F.col("score") < 10)), "revoke": have(fb.where(F.col("is_revoked") & (index % 4 != 0)), other(index % 4 == 1)),
+        "response": have(told.where(index % 8 != 0), F.col("w")).withColumn("responder", F.concat(F.lit("r"), F.col("feedback_index").cast("long") % 5)),
+    }
+    return reconcile.integrity(actions, tables)
+
+
+@query("""SELECT asset, CASE WHEN c % 3 = 0 THEN 'IPFS' WHEN c % 3 = 1 THEN 'ARWEAVE' ELSE 'HTTP' END AS kind, substr(sha256(nft_name), 1, 32) AS key_hash, CASE WHEN status = 'PENDING' THEN 'PENDING' ELSE status END AS response_status, CASE WHEN c % 2 = 0 THEN 'COMPLETED' ELSE 'PENDING' END AS request_status,
+CASE WHEN c % 2 = 0 THEN 101 ELSE 103 END AS cluster, (1700000000 + c)::BIGINT AS at, CASE WHEN c % 4 = 0 THEN 1584316800 + (slot * 400) // 1000 ELSE 1600000000 + c END AS block_at, concat(asset, ',', slot) AS place
+FROM (SELECT *, substr(asset, 2)::BIGINT AS c FROM ag)""")
+def plain_values(spark, d):
+    """Kinds of addresses, hashes of keys, statuses, clusters, times, and cursors there and back, of every agent."""
+    c, whole = F.substring("asset", 2, 20).cast("long"), lambda x: x.cast("long").cast("string")
+    rows = table(spark, d, "ag").withColumn("c", c)
+    uri = F.concat(F.when(c % 3 == 0, "ipfs://").when(c % 3 == 1, "ar://").otherwise("https://"), "asset")
+    text = F.when(c % 3 == 0, whole(1_700_000_000 + c)).when(c % 3 == 1, whole((1_700_000_000 + c) * 1000)).otherwise(F.date_format(F.timestamp_seconds(1_700_000_000 + c), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    block = scalar.block_time(F.when(c % 4 != 0, 1_600_000_000 + c), F.col("slot"), F.lit(1_700_000_000_000))
+    seen = paging.decode_cursor(F.col("cursor"), "asset string, slot long")
+    rows = rows.withColumn("cursor", paging.encode_cursor("asset", "slot")).select("*", seen.alias("seen"))
+    return rows.select(
+        "asset", scalar.uri_type(uri).alias("kind"), scalar.key_hash(F.col("nft_name")).alias("key_hash"), scalar.response_status(F.col("status")).alias("response_status"), scalar.request_status(F.when(c % 2 == 0, c)).alias("request_status"),
+        scalar.cluster_id(F.when(c % 2 == 0, "mainnet").otherwise("devnet")).alias("cluster"), scalar.to_unix(scalar.timestamp_literal(text)).alias("at"), scalar.to_unix(block).alias("block_at"), F.concat_ws(",", "seen.asset", F.col("seen.slot").cast("string")).alias("place"),
+    )
+
+
+@query("SELECT id FROM rs WHERE block_slot IS NOT NULL AND block_slot >= (SELECT max(block_slot) FROM rs) - 500")
+def waiting_still(spark, d):
+    """Staged responses that haven't waited 500 slots."""
+    rs = table(spark, d, "rs")
+    last = rs.agg(F.max("block_slot")).first()[0]  # one number
+    return fold.expire(rs, last or 0, 500 * 400, "block_slot").select("id")
+
+
 @query("SELECT count(*) FILTER (feedback_index % 7 = 0 AND feedback_index % 11 <> 0) AS missing, count(*) FILTER (feedback_index % 7 <> 0 AND feedback_index % 11 = 0) AS extra, 0::BIGINT AS changed, FALSE AS ok FROM fb")
 def coherent_copies(spark, d):
     fb = table(spark, d, "fb").select("id", "feedback_index", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -95,24 +96,35 @@ def refresh_rollup(events: DataFrame, store: Store, checkpoint: str, keys: list[
 
 
 def extend_chains(events: DataFrame, by: str, chain: str, position: str = "position") -> DataFrame:
-    """by, position, digest of each event as it comes: state is each chain's last digest and position.
+    """by, position, digest, late of each event as it comes: state is each chain's last digest and position, and the positions that it passed over.
 
     Events (by, position, leaf) of a chain come in order of position from batch
-    to batch; within one they are sorted. One that isn't beyond the chain's
-    position was there before and gives no row.
+    to batch; within one they are sorted. One at a position that the chain passed
+    over comes too late to be hashed into what follows: it is given out without
+    a digest and as late, and the chain must be verified anew from there. One at
+    a position that was there before is a repeated delivery and gives no row.
     """
     domain = hashes.LINK_DOMAIN[chain].encode()
     kind = dict(events.dtypes)[by]
 
     def step(key, pieces, state):
-        digest, last = state.get if state.exists else (bytes(32), -1)
+        digest, last, gaps = state.get if state.exists else (bytes(32), -1, "[]")
+        open_ = json.loads(gaps)  # ranges of positions, ends included
         rows = pd.concat(list(pieces)).sort_values(position)
         out = []
-        for at, leaf in zip(rows[position], rows["leaf"], strict=True):
+        for at, leaf in zip(rows[position].tolist(), rows["leaf"], strict=True):
             if at > last:
-                digest, last = hashes.keccak_batch([bytes(digest) + domain + bytes(leaf)])[0], int(at)
-                out.append((key[0], last, digest))
-        state.update((digest, last))
-        yield pd.DataFrame(out, columns=[by, position, "digest"])
-
-    return events.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, {position} long, digest binary", "digest binary, last long", "append", "NoTimeout")
+                if last >= 0 and at > last + 1:
+                    open_.append([last + 1, at - 1])
+                digest, last = hashes.keccak_one(bytes(digest) + domain + bytes(leaf)), at
+                out.append((key[0], at, digest, False))
+                continue
+            gap = next((g for g in open_ if g[0] <= at <= g[1]), None)
+            if gap is not None:
+                open_.remove(gap)
+                open_ += [g for g in ([gap[0], at - 1], [at + 1, gap[1]]) if g[0] <= g[1]]
+                out.append((key[0], at, None, True))
+        state.update((digest, last, json.dumps(open_)))
+        yield pd.DataFrame(out, columns=[by, position, "digest", "late"])
+
+    return events.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, {position} long, digest binary, late boolean", "digest binary, last long, gaps string", "append", "NoTimeout")

@@ -252,6 +252,36 @@ def test_base58_and_lookup_hash():
     assert [int(hashes.lookup_hash([v])[0]) for v in values] == one.tolist() and len(set(one.tolist())) > 190
 
 
+def by_the_book(key):
+    """The published lookup hash of a byte string, a byte at a time, with the start value and the blocks of the database that uses it."""
+    m = 0xFFFFFFFF
+    turn = lambda x, k: ((x << k) | (x >> (32 - k))) & m
+    a = b = c = (0x9E3779B9 + len(key) + 3923095) & m
+    word = lambda part: int.from_bytes(part.ljust(4, b"\0"), "little")
+    rest = key
+    while len(rest) >= 12:
+        a, b, c = (a + word(rest[:4])) & m, (b + word(rest[4:8])) & m, (c + word(rest[8:12])) & m
+        for k in (4, 6, 8, 16, 19, 4):
+            a = ((a - c) & m) ^ turn(c, k)
+            c = (c + b) & m
+            a, b, c = b, c, a
+        rest = rest[12:]
+    # the first byte of c is for the length
+    a, b, c = (a + word(rest[:4])) & m, (b + word(rest[4:8])) & m, (c + (word(rest[8:]) << 8)) & m
+    for k in (14, 11, 25, 16, 4, 14, 24):
+        c = ((c ^ b) - turn(b, k)) & m
+        a, b, c = b, c, a
+    return b
+
+
+def test_lookup_hash_by_the_book():
+    rnd = random.Random(6)
+    values = [b"", b"a", b"Hello, world", "Größe".encode(), *(bytes(rnd.randrange(256) for _ in range(n)) for n in range(60))]
+    signed = lambda x: x - (1 << 32) if x >> 31 else x
+    got = [int(x) for x in hashes.lookup_hash(values)]
+    assert [g - (1 << 32) if g >> 31 else g for g in got] == [signed(by_the_book(v)) for v in values]
+
+
 def test_action_log(spark, tmp_path):
     lines = [
         dict(line=1, phase="feedback", asset="A", wallet="c1", feedback_index="0", seal_hash="h", tx_signature="f1"),

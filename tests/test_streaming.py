@@ -130,3 +130,13 @@ def test_running_chains(spark, tmp_path, chain):
             digest = hashes.keccak_batch([digest + hashes.LINK_DOMAIN[chain].encode() + leaf(code, k)])[0]
             assert got[a, k] == digest
     assert len(got) == 4
+
+
+def test_late_positions_are_given_out(spark, tmp_path):
+    leaf = lambda n: bytes([7, n] * 16)
+    parts = [[("a", 0, leaf(0)), ("a", 4, leaf(4))], [("a", 2, leaf(2)), ("a", 4, leaf(4)), ("a", 5, leaf(5))], [("a", 2, leaf(2)), ("a", 1, leaf(1))]]
+    events = files(spark, f"{tmp_path}/in", parts, "agent string, position long, leaf binary")
+    query = streams.extend_chains(events, "agent", "feedback").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = sorted((r["position"], r["late"], r["digest"] is None) for r in spark.table("late").collect())
+    assert got == [(0, False, False), (1, True, True), (2, True, True), (4, False, False), (5, False, False)]
