@@ -54,15 +54,15 @@ class EliasFano:
     @staticmethod
     def _inside(word: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The place of the k-th one of each word."""
-        at = np.zeros(len(word), np.int64)
+        at = np.zeros(len(word), np.uint8)
         for half in (32, 16, 8):
-            lower = word & _U((1 << half) - 1)
-            n = np.bitwise_count(lower).astype(np.int64)
+            n = np.bitwise_count(word & _U((1 << half) - 1))
             up = k >= n
-            k = np.where(up, k - n, k)
-            word = np.where(up, word >> _U(half), lower)
-            at += np.where(up, half, 0)
-        return at + _SELECT8[word.astype(np.int64), k]
+            k = k - n * up
+            shift = up.view(np.uint8) * np.uint8(half)
+            word = word >> shift
+            at += shift
+        return at + _SELECT8[(word & _U(0xFF)).astype(np.int64), k]
 
     def select1(self, i: np.ndarray) -> np.ndarray:
         w = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
@@ -106,9 +106,11 @@ class EliasFano:
         low = value[todo].astype(np.uint64) & self.mask
         # the values with this high part, as far as they lie in the range
         zero = self.select0(np.maximum(high - 1, 0))
-        lo = np.where(high > 0, zero + 1, 0) - high
+        lo = zero + 1 - high
         after = self._after(zero, True)
-        far = np.flatnonzero((after < 0) | (high == 0))
+        lowest = high == 0
+        lo[lowest] = 0
+        far = np.flatnonzero((after < 0) | lowest)
         after[far] = self.select0(high[far])
         hi = np.minimum(after - high, end[todo])
         lo = np.maximum(lo, begin[todo])
