@@ -42,6 +42,10 @@ class Bpe:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        # what a normaliser or another treatment of blanks would change; texts are cut and merged as they are
+        odd = [t for t in (" x  y ", "x", "\ufb01 \u2167\u3000e\u0301", "a\tb\n") if model.normalize(t) != META + t.replace(" ", META)]
+        if odd:
+            raise ValueError(f"the model normalises texts: {odd[0]!r} becomes {model.normalize(odd[0])!r}")
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.unk = model.unk_id()

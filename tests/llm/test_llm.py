@@ -530,6 +530,14 @@ def test_language_scores_by_a_dictionary(spark, monkeypatch):
         assert got[i]["lang_pred"] == name and abs(got[i]["score"] - score) < 1e-5 and got[i]["accepted"] == (score >= 0.5)
 
 
+def test_models_that_normalise_are_refused(monkeypatch):
+    kept = sentencepiece.SentencePieceProcessor.normalize
+    assert sp.Bpe(sp.default_model()).n == 32_000
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, t: kept(self, t.replace("\ufb01", "fi")))
+    with pytest.raises(ValueError, match="normalises"):
+        sp.Bpe(sp.default_model())
+
+
 def test_draw_is_bounded_and_repeats(spark):
     rows = [(i, f"t{i}", "en" if i % 3 else "de") for i in range(600)] + [(7, "t7", "en")] * 500 + [(None, "x", "en"), (1, None, "en"), (2, "y", None), (9, "only", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
