@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes, scalar
 from ..sources import schemas
+from ..sources.shared import written
 from ..sources.tables import checkpoint
 from . import events
 from .fold import metadata_state, project
@@ -350,10 +351,12 @@ def changes(raw: DataFrame, stored: dict[str, DataFrame]) -> tuple[dict[str, tup
     """({table: (new rows, keys that the table's rows of go before)}, dead letters): what raw events of all kinds change in the TABLES, given whole.
 
     Staged rows count again; once their agent or feedback is there they go. The
-    numbers of touched agents and feedback keys are written to the shared
-    folder, so that no raw event is read for two tables.
+    parsed events, the touched agents and the touched feedback keys are written
+    to the shared folder, so that no raw event is parsed twice: a condition on
+    parsed columns would be pushed below the parser and parse once a column.
+    Events are dealt out by their place first, so that few files are no bound.
     """
-    read = events.wide(raw)
+    read = written(events.wide(raw.repartition("slot", "tx_index", "event_ordinal", "tx_signature")), "events")
     rows = read.where("ok")
     moved = checkpoint(asset_changes(rows))
     agents = _agents(moved, stored["agents"])

@@ -71,6 +71,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder, of which later reads take only the columns that they need."""
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def remove(spark: SparkSession, folders: list[str]) -> None:
     """Deletes folders, which no scope owns any longer."""
     mine = _scope.get()

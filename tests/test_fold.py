@@ -239,3 +239,11 @@ def test_wide_marks_dead_letters(spark):
     got = {(r["name"], r["tx_signature"]): r for r in events.wide(frame).collect()}
     assert {k[1]: r["ok"] for k, r in got.items()} == {"s0": False, "s1": True, "s3": True, "n": False, "m": False}
     assert got["AgentRegistered", "s1"]["atom_enabled"] is True and got["MetadataSet", "s3"]["value"] == "7 of them" and got["NewFeedback", "s0"]["atom_enabled"] is None
+
+
+def test_events_are_parsed_once(spark):
+    """No table's plan holds the parser: each condition on a parsed column would parse the event again."""
+    frame = spark.createDataFrame([(kind, json.dumps(data), slot, tx, ordinal, signature, at(slot)) for kind, data, slot, tx, ordinal, signature in log(1, 30)], "name string, data string, slot long, tx_index int, event_ordinal int, tx_signature string, block_time timestamp")
+    made, dead = projections.changes(frame, {name: projections.stored_table(frame, name, None) for name in projections.TABLES})
+    for rows in (*[part for parts in made.values() for part in parts], dead):
+        assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
