@@ -294,7 +294,8 @@ def event_ordinals(spark, d):
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_linestatus = 'O'), h AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_quantity > 20 AND l_linestatus = 'O')
 SELECT coalesce(CASE WHEN e.l_suppkey % 3 = 0 THEN FALSE END, h.l_tax > 0.04) AS lock, count(*) AS n FROM e LEFT JOIN h USING (l_orderkey, l_returnflag, n) GROUP BY 1""")
 def lock_hints(spark, d):
-    rows = load(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("tx_signature"), F.col("l_returnflag").alias("kind"), F.struct("l_linenumber", "l_partkey").alias("event_ordinal"), F.when(F.col("l_suppkey") % 3 == 0, False).alias("lock"), "l_quantity", "l_tax")
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax")  # the SQL's order, and what it leaves open by all that a row says
+    rows = load(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("tx_signature"), F.col("l_returnflag").alias("kind"), place.alias("event_ordinal"), F.when(F.col("l_suppkey") % 3 == 0, False).alias("lock"), "l_quantity", "l_tax")
     hints = rows.where("l_quantity > 20").select("tx_signature", "kind", F.col("event_ordinal").alias("position"), (F.col("l_tax") > 0.04).alias("lock"))
     return events.with_lock_hints(rows, hints).groupBy("lock").agg(F.count("*").alias("n"))
 
