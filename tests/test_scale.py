@@ -102,3 +102,12 @@ def test_lineage_by_doubling(spark, most):
 )
 def test_texts_without_markup(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(documents.clean_text(F.col("t"))).first()[0] == want
+
+
+def test_audit_keeps_no_row_for_each_id(spark):
+    """Gaps, repeats and missing ids on either side of a mask's end are found, without a group for each id."""
+    held = {"whole": [*range(1, 200)], "gap": [*range(1, 64), *range(65, 130)], "twice": [*range(1, 129), 128], "swapped": [*range(1, 64), 66, 65, 65], "far": [1, 2**62], "low": [-1, 1, 2], "none": [None], "late": [1, 2, None]}
+    rows = spark.createDataFrame([(a, i) for a, some in held.items() for i in some], "a string, i long")
+    got = ids.audit_gapless(rows, ["a"], "i", F.lit(True))
+    assert {r["a"]: (r["kinds"], r["missing"]) for r in got.collect()} == {a: (len({*some} - {None}), some.count(None)) for a, some in held.items() if a != "whole"}
+    assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
