@@ -103,7 +103,8 @@ def typed(raw: DataFrame, kind: str, fields: str | None = None) -> DataFrame:
     """
     specs = _fields(fields or FIELDS[kind])
     schema = ", ".join(f"`{_camel(n)}` string" for n, *_ in specs)
-    rows = raw.where(F.col("name") == kind).withColumn("_d", F.from_json("data", schema))
+    # exploded, as a condition on fields is pushed below a plain column, and would parse (and make data) once a field
+    rows = raw.where(F.col("name") == kind).select("*", F.explode(F.array(F.from_json("data", schema))).alias("_d"))
     ok, columns = F.col("_d").isNotNull(), {}
     for name, value, optional, default in specs:
         text = F.col(f"_d.{_camel(name)}")

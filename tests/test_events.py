@@ -126,3 +126,9 @@ def test_keccak_base58_and_leaf(spark):
 def test_failed_transactions_go(spark):
     tx = spark.createDataFrame([("a", None), ("b", "err")], "tx_signature string, err string")
     assert [r["tx_signature"] for r in events.succeeded(tx).collect()] == ["a"]
+
+
+def test_a_condition_on_fields_does_not_parse_again(spark):
+    frame = raw(spark, ("UriUpdated", 0, {"asset": "a", "newUri": "u", "updatedBy": "x"}))
+    plan = events.typed(frame.repartition(2), "UriUpdated").where("ok AND asset = 'a'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
