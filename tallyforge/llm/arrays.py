@@ -13,15 +13,21 @@ import pyarrow as pa
 import pyarrow.fs as fs
 
 
-def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Each array as a file of its own; a repeated task writes the same again."""
+def save(folder: str, name: str, arrays: dict[str, np.ndarray | list[np.ndarray]]) -> None:
+    """Each array, or list of pieces of one, as a file of its own; a repeated task writes the same again."""
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     for key, a in arrays.items():
         # under a name of its own first, so that no reader sees half a file
         own = f"{path}/.{name}.{key}.{os.getpid()}-{os.urandom(4).hex()}"
         with store.open_output_stream(own) as out, pa.PythonFile(out, "w") as f:
-            np.lib.format.write_array(f, np.ascontiguousarray(a))
+            if isinstance(a, list):
+                kind = np.result_type(*a)
+                np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (sum(map(len, a)),)})
+                for piece in a:
+                    f.write(piece.astype(kind, copy=False).tobytes())
+            else:
+                np.lib.format.write_array(f, np.ascontiguousarray(a))
         store.move(own, f"{path}/{name}.{key}.npy")
 
 

@@ -24,7 +24,7 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """The arrays of a monotone sequence of values below universe."""
     n = len(values)
-    low = max(0, (universe // max(1, n)).bit_length() - 1)
+    low = Builder.width_of(n, universe)
     values = values.astype(np.uint64)
     high = (values >> _U(low)).astype(np.int64)
     size = n + (universe >> low) + 2
@@ -35,12 +35,59 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"low": _pack(values & _U((1 << low) - 1), low) if low else np.zeros(8, np.uint8), "words": words, "ones": ones.astype(np.uint32 if n < 1 << 32 else np.uint64), "shape": np.array([n, low], np.int64)}
 
 
+class Builder:
+    """The arrays of a monotone sequence that comes part by part, its width fixed before; as lists of pieces."""
+
+    def __init__(self, width: int):
+        self.n, self.width = 0, width
+        self.low: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        self._rest = np.zeros(0, np.uint64)  # low bits that don't fill a byte yet
+        self._done, self._last = 0, _U(0)  # whole words so far, and the word behind them
+
+    @staticmethod
+    def width_of(n: int, universe: int) -> int:
+        return max(0, (universe // max(1, n)).bit_length() - 1)
+
+    def add(self, values: np.ndarray) -> None:
+        """Values no lower than those before."""
+        if not len(values):
+            return
+        values = values.astype(np.uint64)
+        if self.width:
+            low = np.concatenate([self._rest, values & _U((1 << self.width) - 1)])
+            whole = len(low) & ~7
+            self.low.append(_pack(low[:whole], self.width)[:-8])
+            self._rest = low[whole:].copy()
+        at = (values >> _U(self.width)).astype(np.int64) + np.arange(self.n, self.n + len(values))
+        bits = np.zeros(((int(at[-1]) >> 6) + 1 - self._done) * 64, np.uint8)
+        bits[at - self._done * 64] = 1
+        words = np.packbits(bits, bitorder="little").view(np.uint64)
+        words[0] |= self._last
+        self.words.append(words[:-1])
+        self._done, self._last = self._done + len(words) - 1, words[-1]
+        self.n += len(values)
+
+    def arrays(self, universe: int) -> dict[str, list[np.ndarray]]:
+        """As build() gives them, and `zeros`, the zeros before each word."""
+        more = max(0, -(-(self.n + (universe >> self.width) + 2) // 64) - self._done - 1)
+        words = [*self.words, np.array([self._last], np.uint64), np.zeros(more, np.uint64)]
+        kind = np.uint32 if sum(map(len, words)) * 64 < 1 << 32 else np.uint64
+        ones, zeros, seen, at = [np.zeros(1, kind)], [np.zeros(1, kind)], 0, 0
+        for w in words:
+            n = seen + np.cumsum(np.bitwise_count(w), dtype=np.int64)
+            ones.append(n.astype(kind))
+            zeros.append((np.arange(at + 1, at + 1 + len(w)) * 64 - n).astype(kind))
+            at, seen = at + len(w), int(n[-1]) if len(n) else seen
+        return {"low": [*self.low, _pack(self._rest, self.width)], "words": words, "ones": ones, "zeros": zeros, "shape": [np.array([self.n, self.width], np.int64)]}
+
+
 class EliasFano:
     """Random access and successor search in a sequence, for whole arrays of queries."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.width = (int(x) for x in arrays["shape"])
-        self.words, self.ones = arrays["words"], arrays["ones"]
+        self.words, self.ones, self.zeros = arrays["words"], arrays["ones"], arrays.get("zeros")
         low = arrays["low"]
         self.low = np.ndarray(max(1, len(low) - 7), "<u8", low, strides=(1,))
         self.mask = _U((1 << self.width) - 1)
@@ -68,15 +115,11 @@ class EliasFano:
         w = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
         return w * 64 + self._inside(self.words[w], i - self.ones[w].astype(np.int64))
 
-    def _zeros(self) -> np.ndarray:
-        if not hasattr(self, "_zero_counts"):
-            self._zero_counts = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-        return self._zero_counts
-
     def select0(self, i: np.ndarray) -> np.ndarray:
-        zeros = self._zeros()
-        w = np.searchsorted(zeros, i, side="right") - 1
-        return w * 64 + self._inside(~self.words[w], i - zeros[w])
+        if self.zeros is None:
+            self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        w = np.searchsorted(self.zeros, i.astype(self.zeros.dtype), side="right") - 1
+        return w * 64 + self._inside(~self.words[w], i - self.zeros[w].astype(np.int64))
 
     def _after(self, p: np.ndarray, flip: bool) -> np.ndarray:
         """The place of the next one (flip: zero) behind p; -1 if p's word holds none."""

@@ -15,9 +15,11 @@ Training makes one level after another, each with one pass over the texts:
 A pass sends its counts as packed blocks of sorted keys, one for each shard of
 the next level. The level below tells where to cut: each shard of it cuts its
 own range at quantiles of its counts, within one context too if that is
-frequent, so that shards stay near SHARD n-grams. Shards are files in the shared
-folder; scoring maps them into memory and touches the pages it needs. No task
-and not the driver ever holds a level.
+frequent, so that shards stay near SHARD n-grams. A task merges one shard after
+another and appends it to a file of up to TOGETHER neighbouring shards, as what
+a lookup costs besides its keys is one visit of each file: a level of many shards
+has about FILES. Files lie in the shared folder; scoring maps them into memory
+and touches the pages it needs. No task and not the driver ever holds a level.
 
 Smoothing: p(w | context) = (c(context w) + MU p(w | shorter context)) / (c(context) + MU);
 the shortest is (c + 0.1) / (N + 0.1 (V + 1)).
@@ -26,9 +28,10 @@ the shortest is (c + 0.1) / (N + 0.1 (V + 1)).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays, elias_fano
-from .common import crc32_sql, crc_mod, fresh_folder, mix_int, slices, utf8, word_hashes
+from .common import STEP_BYTES, crc32_sql, crc_mod, fresh_folder, mix_int, slices, utf8, word_hashes
 
 ORDER = 3
 MU = 2.0
 #: n-grams (with repeats) that a shard of a level holds, about.
 SHARD = 2_000_000
+#: Files of a level, about, as long as none holds more than TOGETHER shards.
+FILES = 64
+TOGETHER = 32
+#: Bytes of text that one step of the lookups holds: each step visits all files of a level.
+LOOKUP = 2 * STEP_BYTES
+#: Bytes of packed blocks that a task sends at a time, about.
+SENT = 1 << 22
 #: Keys that a task gathers before it packs them.
 GATHER = 3_000_000
 #: A byte of a quantised log10 probability or backoff stands for this much.
@@ -74,9 +84,9 @@ def _by_begin(keys: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int,
 
 
 class Vocabulary:
-    """The mapped shards of the words, OPEN of them at a time."""
+    """The mapped shards of the words, OPEN of them at a time; few more are ever made, as each step asks them all."""
 
-    OPEN = 256
+    OPEN = 4096
 
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits = folder, bits
@@ -109,11 +119,11 @@ class Vocabulary:
 
 
 class Level:
-    """The mapped shards of the n-grams of one length, OPEN of them at a time."""
+    """The mapped files of the n-grams of one length, OPEN of them at a time; few more are ever made, as each step asks them all."""
 
-    OPEN = 256
+    OPEN = 1024
 
-    KEYS = tuple(f"{a}_{b}" for a in ("pointer", "word") for b in ("low", "words", "ones", "shape")) + ("prob", "backoff", "base")
+    KEYS = (*(f"{a}_{b}" for a in ("pointer", "word") for b in ("low", "words", "ones", "shape")), "word_zeros", "prob", "backoff", "base")
 
     def __init__(self, folder: str, n: int, size: int):
         self.folder, self.n, self.size = folder, n, size  # size: the number of word ids
@@ -123,7 +133,7 @@ class Level:
 
     def _shard(self, k: int):
         got = arrays.load(self.folder, f"level{self.n}-{k}", self.KEYS)
-        part = lambda p: elias_fano.EliasFano({b: got[f"{p}_{b}"] for b in ("low", "words", "ones", "shape")})
+        part = lambda p: elias_fano.EliasFano({b: got[f"{p}_{b}"] for b in ("low", "words", "ones", "zeros", "shape") if f"{p}_{b}" in got})
         return part("pointer"), part("word"), got["prob"], got["backoff"], int(got["base"][0])
 
     def find(self, keys: np.ndarray, logs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,11 +260,18 @@ def _count(texts: DataFrame, keys_of, cuts) -> DataFrame:
             if held:
                 keys, counts = _add(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if len(held) > 1 else held[0]
                 held.clear()
+                shards, blocks = [], []
                 for k, a, b in _by_begin(keys, cuts()):
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "block": pa.array([_packed(keys[a:b], counts[a:b])], pa.binary())})
+                    shards.append(k)
+                    blocks.append(_packed(keys[a:b], counts[a:b]))
+                    if sum(map(len, blocks)) > SENT:
+                        yield pa.RecordBatch.from_pydict({"shard": pa.array(shards, pa.int32()), "block": pa.array(blocks, pa.binary())})
+                        shards, blocks = [], []
+                if shards:
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(shards, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LOOKUP):
                 raw.append(keys_of(part))
                 if sum(map(len, raw)) > GATHER // 4:
                     gather()
@@ -265,9 +282,9 @@ def _count(texts: DataFrame, keys_of, cuts) -> DataFrame:
     return texts.mapInArrow(run, BLOCKS)
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All of a shard's counts, added two blocks at a time."""
-    parts = [_unpacked(b.as_py()) for b in table.column("block")]
+def _merged(blocks: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All of a shard's counts, added."""
+    parts = [_unpacked(b) for b in blocks]
     return _add(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
@@ -289,7 +306,7 @@ def _made(shard: int, counts: np.ndarray) -> pa.Table:
 def _words(texts: DataFrame, folder: str, bits: int) -> list:
     def build(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = _merged(table)
+        keys, counts = _merged(b.as_py() for b in table.column("block"))
         arrays.save(folder, f"words-{shard}", {"hash": keys.astype(np.uint64), "count": counts})
         return _made(shard, counts)
 
@@ -354,15 +371,17 @@ def train(texts: DataFrame, order: int = ORDER, rows: int | None = None) -> Mode
             raise OverflowError(f"{contexts} contexts of {size} words have no 64-bit keys; train a lower order, or on fewer texts")
         first = np.unique(np.array(cuts, np.int64))
         arrays.save(folder, f"cuts{n}", {"first": first})
-        made = {r["shard"]: r for r in _level(texts, model, n, n < order)}
+        per = min(TOGETHER, -(-len(first) // FILES))
+        made = {r["shard"]: r for r in _level(texts, model, n, n < order, first[::per], contexts, len(first), per)}
         at = np.cumsum([0, *(made[k]["entries"] if k in made else 0 for k in range(len(first)))])
-        arrays.save(folder, f"level{n}", {"first": first, "starts": at})
+        arrays.save(folder, f"level{n}", {"first": first[::per], "starts": np.r_[at[:-1][::per], at[-1]]})
         model, contexts = replace(model, levels=(*model.levels, n)), int(at[-1])
         cuts = [(int(at[k]) + e) * size + int(p * size) for k, r in sorted(made.items()) for e, p in zip(r["at"], r["part"], strict=True)]
     return model
 
 
-def _level(texts: DataFrame, model: Model, n: int, inner: bool) -> list:
+def _level(texts: DataFrame, model: Model, n: int, inner: bool, first: np.ndarray, contexts: int, shards: int, per: int) -> list:
+    """Writes the level's files, of `per` shards each, which begin at the keys `first`; a row for each shard."""
     size = model.types
 
     def keys_of(part: pa.RecordBatch) -> np.ndarray:
@@ -371,14 +390,9 @@ def _level(texts: DataFrame, model: Model, n: int, inner: bool) -> list:
         key = _keys(levels, ids, starts, size, n)
         return key[key >= 0]
 
-    def build(table: pa.Table) -> pa.Table:
+    def logs(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability and backoff of a shard's entries."""
         vocabulary, levels = model.open()
-        shard = table.column("shard")[0].as_py()
-        keys, counts = _merged(table)
-        keys = keys.astype(np.int64)
-        context, word = keys // size, keys % size
-        base, last = int(context[0]), int(context[-1])
-        pointer = np.searchsorted(context, np.arange(base, last + 2))
         # probabilities of the shorter context, and the context's count
         kinds, back = np.unique(word, return_inverse=True)
         lower = model.base(vocabulary.count_of(kinds))[back]
@@ -393,16 +407,43 @@ def _level(texts: DataFrame, model: Model, n: int, inner: bool) -> list:
             tail = below.words_of(heads)[head]  # the context's last word
             lower = _logs(levels[0], tail, word, lower, vocabulary, model)
             total = below.counts_of(heads)[head]
-        prob = np.log10((counts + MU * 10**lower) / (total + MU))
-        backoff = np.log10(MU / (counts + MU)) if inner else np.zeros(len(keys))
-        made = {f"pointer_{k}": a for k, a in elias_fano.build(pointer, len(keys) + 1).items()}
-        made |= {f"word_{k}": a for k, a in elias_fano.build(keys - base * size, (last + 1 - base) * size).items()}
-        if inner:  # the next level's training reads them, scoring doesn't
-            made["count"] = counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)
-        arrays.save(model.folder, f"level{n}-{shard}", made | {"prob": _quantise(prob), "backoff": _quantise(backoff), "base": np.array([base], np.int64)})
-        return _made(shard, counts)
-
-    return _count(texts, keys_of, lambda: arrays.load(model.folder, f"cuts{n}", ("first",))["first"]).groupBy("shard").applyInArrow(build, MADE).collect()
+        return np.log10((counts + MU * 10**lower) / (total + MU)), np.log10(MU / (counts + MU)) if inner else np.zeros(len(counts))
+
+    def file(k: int, parts: Iterator[tuple[int, Iterable[bytes]]]) -> Iterator[pa.Table]:
+        base, end = int(first[k]) // size, int(first[k + 1]) if k + 1 < len(first) else contexts * size
+        least = max(1, model.tokens * per // (2 * shards))  # entries, if half of the tokens repeat; a bad guess costs a bit an entry
+        pointer = elias_fano.Builder(elias_fano.Builder.width_of(-(-end // size) - base, least))
+        words = elias_fano.Builder(elias_fano.Builder.width_of(least, end - base * size))
+        probs, backoffs, all_counts, last = [], [], [], base - 1
+        for shard, blocks in parts:
+            keys, counts = _merged(blocks)
+            keys = keys.astype(np.int64)
+            context, word = keys // size, keys % size
+            pointer.add(words.n + np.searchsorted(context, np.arange(last + 1, int(context[-1]) + 1)))
+            words.add(keys - base * size)
+            last = int(context[-1])
+            prob, backoff = logs(context, word, counts)
+            probs.append(_quantise(prob))
+            backoffs.append(_quantise(backoff))
+            if inner:  # the next level's training reads them, scoring doesn't
+                all_counts.append(counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))
+            yield _made(shard, counts)
+        pointer.add(np.array([words.n]))
+        made = {f"pointer_{key}": a for key, a in pointer.arrays(words.n + 1).items() if key != "zeros"}
+        made |= {f"word_{key}": a for key, a in words.arrays((last + 1 - base) * size).items()}
+        made |= {"count": all_counts} if inner else {}
+        arrays.save(model.folder, f"level{n}-{k}", made | {"prob": probs, "backoff": backoffs, "base": np.array([base], np.int64)})
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = ((shard, block.as_py()) for batch in batches for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block"), strict=True))
+        parts = ((shard, (b for _, b in rows)) for shard, rows in groupby(blocks, key=lambda x: x[0]))
+        for k, mine in groupby(parts, key=lambda x: x[0] // per):
+            for table in file(k, mine):
+                yield from table.to_batches()
+
+    counted = _count(texts, keys_of, lambda: arrays.load(model.folder, f"cuts{n}", ("first",))["first"])
+    dealt = counted.repartitionById(len(first), (F.col("shard") / per).cast("int")).sortWithinPartitions("shard")
+    return dealt.mapInArrow(build, MADE).collect()
 
 
 def _logs(level: Level, context: np.ndarray, word: np.ndarray, lower: np.ndarray, vocabulary: Vocabulary, model: Model) -> np.ndarray:
@@ -433,7 +474,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, levels = model.open()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LOOKUP):
                 ids, counts, starts = _ids(vocabulary, part)
                 plain = model.base(counts)
                 logs = plain.copy()

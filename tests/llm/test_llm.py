@@ -288,6 +288,38 @@ def test_elias_fano():
         assert (at == np.where(values[want] == asked, want, -1)).all()
 
 
+def test_elias_fano_in_parts():
+    """The same arrays as of the whole sequence, whatever the parts: also with repeated values, empty parts and a wide gap."""
+    rnd = np.random.default_rng(4)
+    for n, universe in ((1, 10), (70, 100), (5000, 10**12), (3000, 3000)):
+        values = np.sort(np.r_[rnd.integers(0, universe, n), universe - 1])
+        whole = elias_fano.build(values, universe)
+        made = elias_fano.Builder(elias_fano.Builder.width_of(len(values), universe))
+        for part in np.split(values, np.sort(rnd.integers(0, len(values), 6))):
+            made.add(part)
+        got = {k: np.concatenate(a) for k, a in made.arrays(universe).items()}
+        assert all((got[k] == a).all() and len(got[k]) == len(a) for k, a in whole.items())
+        one, two = elias_fano.EliasFano(whole), elias_fano.EliasFano(got)
+        asked = rnd.integers(0, universe, 200)
+        at = [e.find(asked, np.zeros(len(asked), np.int64), np.full(len(asked), len(values))).tolist() for e in (one, two)]
+        assert at[0] == at[1] and (two.get(np.arange(len(values))) == values).all()
+
+
+def test_shards_of_ngrams_share_files(spark, monkeypatch):
+    """Hundreds of shards of the second level lie in 64 files at most, as each step of the lookups visits all of them; scores are those of a file for each shard."""
+    texts = [f"w{k} w{k * 7 % 200} w{k % 13} w{k % 3}" for k in range(200)]
+    docs = frame(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    score = lambda model: sorted(tuple(r) for r in ngram_lm.score(docs, model, ["doc_id"]).collect())
+    model = ngram_lm.train(docs, rows=149 * ngram_lm.SHARD)  # of so many texts the begins are dealt to 149 shards
+    level = model.open()[1][0]
+    shards = len(arrays.load(model.folder, "cuts2", ("first",))["first"])
+    assert shards > 150 and len(level.first) <= 64
+    assert level.counts_of(np.arange(int(level.starts[-1]))).sum() == 5 * len(texts)
+    monkeypatch.setattr(ngram_lm, "FILES", 1000)
+    apart = ngram_lm.train(docs, rows=149 * ngram_lm.SHARD)
+    assert len(apart.open()[1][0].first) == shards and score(apart) == score(model)
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_ngram_scores(spark, order):
     rnd = random.Random(8)
