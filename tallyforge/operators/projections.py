@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes, scalar
 from ..sources import schemas
-from ..sources.shared import written
-from ..sources.tables import checkpoint
+from ..sources.shared import checkpoint, drop, written
 from . import events
 from .fold import metadata_state, project
 from .rollups import feedback_rollup
@@ -163,7 +162,7 @@ def pointer_steps(moves: DataFrame) -> DataFrame:
 def _pointers(rows: DataFrame, agents: DataFrame, stored_agents: DataFrame, stored: DataFrame) -> DataFrame:
     """The pointers that moves name: stored rows with later sights and signed changes of their counts, and new ones. Moves of assets that aren't registered by then don't count."""
     held = agents.select("asset", "creator", F.col("_born").alias("born"), F.col("canonical_col").alias("held"))
-    moves = checkpoint(rows.where(_is("CollectionPointerSet")).join(held, "asset").where("o >= born").select("asset", "col", "creator", "held", "slot", "tx_index", "tx_signature", "at", "o"))
+    moves = checkpoint(rows.where(_is("CollectionPointerSet")).join(held, "asset").where("o >= born").select("asset", "col", "creator", "held", "slot", "tx_index", "tx_signature", "at", "o"), free=True)
     seen = pointer_changes(moves)
     now = moves.groupBy("asset").agg(F.first("creator").alias("creator"), F.first("held").alias("col"))
     before = stored_agents.select("asset", F.col("canonical_col").alias("was"), F.coalesce("creator", "owner").alias("creator_was"))
@@ -203,14 +202,15 @@ def _promotion(row: str) -> Column:
 def feedback_changes(rows: DataFrame, agents: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
     """A row for each feedback key that events or staged rows name, with the stored feedback (s_...) and revocation (t) of that key.
 
-    born: the place of its agent's registration, null without one. base: the feedback's columns
+    born: its agent is registered. base: the feedback's columns
     (of the last event before the agent's registration, else of the first after).
-    hashes: of the last event. fed, hit: what the last event of its kind says of
+    hashes: of the last event, where they aren't the base's. fed, hit: what the last event of its kind says of
     the agent's reputation. r: the last revocation; applied: it came when the
     feedback was there, and not before the stored one.
     """
     lives = agents.select("asset", F.col("_born").alias("born"))
     o, born = F.col("o"), F.col("born")
+    says = [f"new_{c}" for c in REPUTATION]
     told = F.col("f").isNotNull()
     post = told & born.isNotNull() & (o >= born)
     hit = F.col("r.atom_enabled") & F.col("r.had_impact")
@@ -219,8 +219,8 @@ def feedback_changes(rows: DataFrame, agents: DataFrame, stored: dict[str, DataF
         F.first("born").alias("born"),
         F.max_by("f", F.when(told & ~F.coalesce(post, F.lit(False)), o)).alias("early"), F.min_by("f", F.when(post, o)).alias("late"),
         _last(F.struct("f.feedback_hash", "f.running_digest"), post).alias("hashes"), _at(post).alias("o_told"), F.max_by("f.created_at", F.when(post, o)).alias("told_at"), F.min(F.when(post, o)).alias("o_late"),
-        _last("f", post & F.col("f.atom_enabled")).alias("fed"), _at(post & F.col("f.atom_enabled")).alias("o_fed"),
-        F.max_by("r", F.when(F.col("r").isNotNull(), o)).alias("r"), _at(F.col("r").isNotNull()).alias("o_r"), _last("r", hit).alias("hit"), _at(hit).alias("o_hit"),
+        _last(F.struct(*[f"f.{c}" for c in says]), post & F.col("f.atom_enabled")).alias("fed"), _at(post & F.col("f.atom_enabled")).alias("o_fed"),
+        F.max_by("r", F.when(F.col("r").isNotNull(), o)).alias("r"), _at(F.col("r").isNotNull()).alias("o_r"), _last(F.struct(*[f"r.{c}" for c in says[:3]]), hit).alias("hit"), _at(hit).alias("o_hit"),
     )
     s = _kept(stored["feedbacks"], FEEDBACK_KEY, "feedbacks").withColumn("o_s", scalar.guard("s_slot", "s_tx_index", "s_event_ordinal", "s_tx_signature"))
     t = stored["revocations"].select(*FEEDBACK_KEY, F.struct(*[c for c in columns_of("revocations") if c not in FEEDBACK_KEY]).alias("t"), scalar.guard().alias("o_t"))
@@ -231,7 +231,11 @@ def feedback_changes(rows: DataFrame, agents: DataFrame, stored: dict[str, DataF
     there = F.when(F.col("s_there"), F.greatest("o_s", F.coalesce("born", "o_s"))).when(promoted, F.col("born")).otherwise(F.when(lives, F.col("o_late")))
     fits = lambda c: F.coalesce((F.col(c) > F.col("there")) & (F.col("o_t").isNull() | (F.col(c) >= F.col("o_t"))), F.lit(False))
     both = both.withColumns({"promoted": promoted, "there": there, "known": F.coalesce("s_there", lives & F.coalesce("early", "late").isNotNull())})
-    return both.withColumns({"base": F.coalesce("early", "late"), "applied": fits("o_r"), "hits": fits("o_hit")})
+    base = F.coalesce("early", "late")
+    # no digest is kept twice: only what the table takes from somewhere else
+    same = F.col("s_there").isNull() & F.col("hashes").eqNullSafe(F.struct(base["feedback_hash"].alias("feedback_hash"), base["running_digest"].alias("running_digest")))
+    early = F.when(F.col("early").isNotNull(), F.struct(*[f"early.{c}" for c in ("atom_enabled", *says, "slot", "tx_index", "event_ordinal", "created_at")]))
+    return both.withColumns({"base": base, "early": early, "hashes": F.when(~same, F.col("hashes")), "applied": fits("o_r"), "hits": fits("o_hit"), "born": F.col("born").isNotNull()}).drop("late", "o_late", "there", "o_s")
 
 
 def _feedbacks(changes: DataFrame) -> DataFrame:
@@ -266,13 +270,13 @@ def _effects(agents: DataFrame, changes: DataFrame, feedbacks: DataFrame) -> Dat
     entering = F.col("promoted") & F.col("early.atom_enabled") & F.col("early").isNotNull()
     last = F.greatest(F.col("o_told"), F.when(F.col("applied"), F.col("o_r")))
     last_at = F.when(F.col("applied") & F.coalesce(F.col("o_r") > F.col("o_told"), F.lit(True)), F.col("r.created_at")).otherwise(F.col("told_at"))
-    by = changes.where("born IS NOT NULL").groupBy("asset").agg(
+    by = changes.where("born").groupBy("asset").agg(
         F.max_by(said, F.greatest(fed, hit)).alias("said"), F.max(F.greatest(fed, hit)).isNotNull().alias("has_said"),
         F.max_by(F.struct(*[F.col(f"fed.new_{c}").alias(c) for c in two]), fed).alias("more"), F.max(fed).isNotNull().alias("has_more"),
         F.max_by(F.struct(*[F.coalesce(F.col(f"early.new_{c}"), F.lit(0)).alias(c) for c in REPUTATION]), F.when(entering, _promotion("early."))).alias("entered"), F.max(entering).alias("has_entered"),
         F.max(last).alias("o_last"), F.max_by(last_at, last).alias("last_at"),
     )
-    touched = checkpoint(by.withColumn("touched", F.lit(True)))
+    touched = checkpoint(by.withColumn("touched", F.lit(True)), free=True)
     mine = feedbacks.join(touched.select("asset"), "asset", "left_semi")
     counts = feedback_rollup(mine, ["asset"]).withColumnsRenamed({"feedback_count": "n", "raw_avg_score": "avg"})
     # feedback that was there before its agent is taken in at the registration, which then is as old as the last of it
@@ -292,8 +296,9 @@ def _responses(rows: DataFrame, feedbacks: DataFrame, stored: DataFrame, staged:
     columns = [c for c in columns_of("orphan_responses") if c not in RESPONSE_KEY]
     own = rows.where(_is("ResponseAppended")).select("asset", F.col("client").alias("client_address"), "feedback_index", "responder", "tx_signature", "o", F.struct(*[names.get(c, F.col(c)).alias(c) for c in columns]).alias("x"))
     again = staged.select(*RESPONSE_KEY, scalar.guard().alias("o"), F.struct(*columns).alias("x"))
-    last = own.unionByName(again).groupBy(*RESPONSE_KEY).agg(F.max_by("x", "o").alias("x")).select(*RESPONSE_KEY, "x.*")
-    last = checkpoint(last.join(feedbacks.select(*FEEDBACK_KEY, F.lit(True).alias("there")), FEEDBACK_KEY, "left"))
+    one = checkpoint(own.unionByName(again).groupBy(*RESPONSE_KEY).agg(F.max_by("x", "o").alias("x")).select(*RESPONSE_KEY, "x.*"), free=True)
+    last = checkpoint(one.join(feedbacks.select(*FEEDBACK_KEY, F.lit(True).alias("there")), FEEDBACK_KEY, "left"), free=True)
+    drop(one)
     old = stored.select(*RESPONSE_KEY, F.col("status").alias("s_status"), F.col("created_at").alias("s_at"), F.lit(True).alias("s_there"))
     come = last.where("there").join(old, RESPONSE_KEY, "left")
     come = come.withColumns({"status": F.when(F.col("s_there"), F.col("s_status")).otherwise("PENDING"), "created_at": F.when(F.col("s_there"), F.col("s_at")).otherwise(F.col("created_at"))})
@@ -323,7 +328,7 @@ def _metadata(rows: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]
     value = lambda text, at: F.struct(text.alias("value"), *plain, at.alias("updated_at"), F.lit(None).cast("string").alias("status"))
     sets = rows.where(_is("MetadataSet") & ~F.startswith("key", F.lit("_uri:"))).select(*key, F.lit("set").alias("op"), value(scalar.strip_nul(F.col("value")), F.col("at")).alias("value"), "immutable", "o")
     gone = rows.where(_is("MetadataDeleted")).select(*key, F.lit("delete").alias("op"), "o")
-    ops = checkpoint(sets.unionByName(gone, allowMissingColumns=True))
+    ops = checkpoint(sets.unionByName(gone, allowMissingColumns=True), free=True)
     names = ops.select(*key).distinct()
     old = stored.join(names, key, "left_semi").select(*key, F.lit("set").alias("op"), F.struct("value", *plain, "updated_at", "status").alias("value"), "immutable", _lowest().alias("o"))
     state = metadata_state(ops.unionByName(old), key, F.col("o"))
@@ -353,15 +358,16 @@ def changes(raw: DataFrame, stored: dict[str, DataFrame]) -> tuple[dict[str, tup
     Staged rows count again; once their agent or feedback is there they go. The
     parsed events, the touched agents and the touched feedback keys are written
     to the shared folder, so that no raw event is parsed twice: a condition on
-    parsed columns would be pushed below the parser and parse once a column.
+    parsed columns would be pushed below the parser and parse once a column. The
+    shuffles of each step are deleted with its end, before the next one's.
     Events are dealt out by their place first, so that few files are no bound.
     """
     read = written(events.wide(raw.repartition("slot", "tx_index", "event_ordinal", "tx_signature")), "events")
     rows = read.where("ok")
-    moved = checkpoint(asset_changes(rows))
+    moved = checkpoint(asset_changes(rows), free=True)
     agents = _agents(moved, stored["agents"])
     made = {"collections": collections(rows, stored["collections"]), "collection_pointers": _pointers(rows, agents, stored["agents"], stored["collection_pointers"])}
-    fed = checkpoint(feedback_changes(rows, agents, stored))
+    fed = checkpoint(feedback_changes(rows, agents, stored), free=True)
     made["feedbacks"] = _feedbacks(fed)
     made["orphan_feedbacks"] = fed.where("NOT known AND base IS NOT NULL").select(*FEEDBACK_KEY, "base.*").select(*columns_of("orphan_feedbacks"))
     made["revocations"] = _revocations(fed)

@@ -13,7 +13,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +47,23 @@ def _own(spark: SparkSession, folder: str) -> None:
         mine.append(folder)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Frames that are made inside delete the files of their shuffles when they have run, not when the driver's memory is next swept."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def checkpoint(df: DataFrame, free: bool = False) -> DataFrame:
+    """df, computed once and kept in the shared folder; with free, the shuffles that made it are deleted."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    with _freed(df.sparkSession) if free else nullcontext():
+        out = (df.select("*") if free else df).checkpoint(eager=True)
     folder = _folder(out)
     if folder:
         _own(df.sparkSession, folder)
@@ -72,10 +85,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder, of which later reads take only the columns that they need."""
-    folder = fresh_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """df, computed once and kept as Parquet in the shared folder, of which later reads take only the columns that they need; the shuffles that made it are deleted."""
+    spark = df.sparkSession
+    folder = fresh_folder(spark, name)
+    with _freed(spark):
+        df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def remove(spark: SparkSession, folders: list[str]) -> None:

@@ -4,10 +4,12 @@ import datetime
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import scalar
 from tallyforge.operators import events, projections
 from tallyforge.sources import schemas, tables
 
@@ -247,3 +249,21 @@ def test_events_are_parsed_once(spark):
     made, dead = projections.changes(frame, {name: projections.stored_table(frame, name, None) for name in projections.TABLES})
     for rows in (*[part for parts in made.values() for part in parts], dead):
         assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_of_the_fold_leave_no_shuffles(spark):
+    """What a step shuffled is deleted when its result is written, and the digests of a feedback are kept once."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.rsplit("/", 1)[-1] for f in disk.getAllFiles().mkString(" ").split(" ") if "/shuffle_" in f}
+    frame = raw(spark, log(1, 240))
+    stored = {name: projections.stored_table(frame, name, None) for name in projections.TABLES}
+    before = shuffles()
+    made, _ = projections.changes(frame, stored)
+    for _ in range(50):  # deletion isn't waited for
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    fed = projections.feedback_changes(tables.checkpoint(events.wide(frame)).where("ok"), made["agents"][0].withColumn("_born", scalar.guard()), stored)
+    assert fed.where("base IS NOT NULL AND hashes.feedback_hash = base.feedback_hash AND hashes.running_digest = base.running_digest").isEmpty()
+    assert not fed.where("base IS NOT NULL").isEmpty()
